@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import classifier, media, packing, quality, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +23,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(documents(spark, sf_dir))
+
+
+QUERIES = [op3_packing, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_media_sniffing]
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_packing": op3_packing, "op7_simhash": op7_simhash}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
