@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, media, packing, quality, simhash
+from . import classifier, media, packing, quality, secrets, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -39,7 +43,7 @@ def op8_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
-QUERIES = [op3_packing, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_media_sniffing]
+QUERIES = [op2_secret_scans, op3_packing, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_media_sniffing]
 
 
 def queries() -> dict[str, Query]:
