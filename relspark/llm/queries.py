@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import classifier, media, packing, quality, secrets, simhash
+from . import chat, classifier, licenses, media, mixing, packing, quality, runindex, secrets, simhash
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.dedup(documents(spark, sf_dir))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -27,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,7 +50,15 @@ def op8_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
-QUERIES = [op2_secret_scans, op3_packing, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_media_sniffing]
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+QUERIES = [op1_run_index, op2_secret_scans, op3_packing, op4_mixing, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_media_sniffing, op9_chat_formatting, op10_license_scans]
 
 
 def queries() -> dict[str, Query]:
