@@ -149,6 +149,18 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return df.mapInArrow(score, docs.select(*keep).schema.add("score", "double").add("predicted", "integer"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, whose texts are predicted to be of label 1."""
+    held, at = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, sample)), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, m = np.zeros(1 << BITS, bool), held.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(indicators(t, mask)) >= CUT for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted for each document; labels of held-out documents are never seen.
 

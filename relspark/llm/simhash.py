@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, staged
@@ -176,3 +176,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = staged(named.join(least, "root").select("fp", "component_id"), "simhash-ids")
     return docs_fp.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that name their component: one document of each group of near-duplicates, the one of least id.
+
+    Rows of one id are one document: that of the least text hash stays. Rows without an id form one document where none in their group
+    has an id.
+    """
+    ids = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    joined = docs.join(ids, docs[id_col].eqNullSafe(ids["_kept"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    return joined.withColumn("_first", first).where("_first = 1").drop("_first")
