@@ -98,7 +98,7 @@ def final_answer(x: Column) -> Column:
 
 
 def normalize_answer(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(normalize_text(final_answer(F.coalesce(x, F.lit("")))), r"\b(the|a|an)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(normalize_text(final_answer(F.coalesce(x, F.lit("")))), r"(?U)\b(the|a|an)\b", " "), r"\s+", " "))
 
 
 def normalize_answer_text(x: Column) -> Column:

@@ -63,7 +63,7 @@ on_docs("txt09_excerpt", T.excerpt(x), r"CASE WHEN length(trim(regexp_replace(te
 on_docs("txt10_plain_tokens", F.array_join(T.plain_tokens(x), " "), "array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')")
 FINAL = f"coalesce(trim({first_sql('completion', r'####\s*([^\n]+)')}), trim({first_sql('completion', T.PHRASE)}), {first_sql('completion', r'(?i)^\s*(yes|no)\b')}, {last_sql('completion', T.NUMBER)}, trim(completion))"
 on_answers("txt03_final_answer", T.final_answer(c), FINAL)
-on_answers("txt02_normalize_answer", T.normalize_answer(c), rf"trim(regexp_replace(regexp_replace({norm_sql(FINAL)}, '\b(the|a|an)\b', ' ', 'g'), '\s+', ' ', 'g'))")
+on_answers("txt02_normalize_answer", T.normalize_answer(c), f"coalesce(list_aggregate(list_filter(string_split({norm_sql(FINAL)}, ' '), lambda w: w NOT IN ('the', 'a', 'an', '')), 'string_agg', ' '), '')")
 NAT = r"list_aggregate(list_filter(string_split(rtrim(trim(regexp_replace(replace(lower(trim({x})), '$', ''), '\s+', ' ', 'g')), '.'), ' '), lambda w: w NOT IN ('the', 'a', 'an', '')), 'string_agg', ' ')"
 on_answers("txt11_normalize_answer_text", T.normalize_answer_text(c), f"coalesce({NAT.replace('{x}', 'completion')}, '')")
 on_answers("txt12_normalize_final", T.normalize_final(c), f"coalesce(list_aggregate(list_filter({tokens_sql('completion')}, lambda w: w NOT IN ('the', 'a', 'an')), 'string_agg', ' '), '')")
@@ -195,7 +195,7 @@ _over("num01_numeric_value", number_forms, NV, "benchmark_id", {"value": F.round
 _over("num02_numeric_equal", number_forms, NV, "benchmark_id", {"value": A.close(A.numeric_value(F.col("a")), A.numeric_value(F.col("gold")))}, {"value": f"coalesce(abs(({NVE}) - gold::DOUBLE) <= 1e-9 + 1e-6 * greatest(abs({NVE}), gold::DOUBLE), false)"})
 _over("num04_answers_equivalent", number_forms, NV, "benchmark_id", {"text": A.equivalent(F.col("gold"), F.col("a"), F.lit("text")), "numeric": A.equivalent(F.col("gold"), F.col("a"), F.lit("numeric"))},
       {"text": "a = gold", "numeric": f"coalesce(abs(({NVE}) - gold::DOUBLE) <= 1e-9 + 1e-6 * greatest(abs({NVE}), gold::DOUBLE), false)"})
-_over("num16_int_or_none", number_forms, NV, "benchmark_id", {"value": A.int_or_none(F.col("a"))}, {"value": "CASE WHEN cast(benchmark_id AS bigint) % 6 = 0 THEN gold::BIGINT END"})
+_over("num16_int_or_none", number_forms, NV, "benchmark_id", {"value": F.coalesce(A.int_or_none(F.col("a")), F.lit(-1))}, {"value": "CASE WHEN cast(benchmark_id AS bigint) % 6 = 0 THEN gold::BIGINT ELSE -1 END"})
 _over("num04_answer_kind", scores, "{scores}", "benchmark_id", {"value": A.answer_kind(F.col("benchmark"), F.when(F.col("skill") == "BUILDING", "arithmetic").otherwise(F.col("skill")), F.col("normalized_predicted"), F.col("arm") == "seen")},
       {"value": "CASE WHEN coalesce(arm, '') = 'seen' THEN 'multiple_choice' WHEN skill = 'BUILDING' THEN 'numeric' ELSE 'text' END"})
 
