@@ -186,10 +186,12 @@ def _(s, d):
     return p.agg(F.count(F.lit(1)).alias("n_items"), F.avg("near_duplicate_share").alias("mean_near_duplicate_share"), F.avg("gini").alias("mean_gini"), F.avg((F.col("near_duplicate_share") >= 0.3).cast("int")).alias("concentrated_share"))
 
 
-@query("con02_embedding_scan", f"SELECT query, neighbor, round(cosine, 4) AS cosine, CASE WHEN cosine > 0.90 THEN 'contaminated' ELSE 'partial' END AS label FROM {NB} WHERE cosine > 0.75", 4)
+@query("con02_embedding_scan", f"SELECT * FROM (SELECT query, neighbor, round(cosine, 4) AS cosine, CASE WHEN cosine > 0.90 THEN 'contaminated' WHEN cosine > 0.75 OR n.label = q.label THEN 'partial' ELSE 'clean' END AS label FROM {NB} n JOIN embeddings q ON q.vec_id = n.query) WHERE label <> 'clean'", 4)
 def _(s, d):
-    """Top twenty by cosine, labelled, clean ones dropped (vectors of this table carry no text to rerank by)."""
-    n = neighbors(s, d).withColumn("label", R.contamination_label(F.col("cosine"), F.lit(0.0)))
+    """Top twenty by cosine, reranked and labelled, clean ones dropped. Vectors carry no text here: an equal label counts as overlap."""
+    labels = table(s, d, "embeddings").select("vec_id", "label")
+    n = neighbors(s, d).join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("a")), "query").join(labels.select(F.col("vec_id").alias("neighbor"), F.col("label").alias("b")), "neighbor")
+    n = n.withColumn("label", R.contamination_label(F.col("cosine"), F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)))
     return n.where("label <> 'clean'").select("query", "neighbor", "cosine", "label")
 
 
