@@ -148,7 +148,7 @@ def mcnemar_exact(gained: int, lost: int) -> float:
 
 
 def minimum_detectable_effect(p0: float, n: int, alpha_z: float = 1.959963984540054, power: float = 0.8) -> float:
-    """Smallest p1 - p0 that two groups of n tell apart with the power, by bisection."""
+    """Smallest rate above p0 that two groups of n tell apart from it with the power, by bisection; n counts rows."""
     phi = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
 
     def reached(d: float) -> float:
@@ -161,4 +161,4 @@ def minimum_detectable_effect(p0: float, n: int, alpha_z: float = 1.959963984540
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (lo, mid) if reached(mid) >= power else (mid, hi)
-    return hi
+    return p0 + hi
