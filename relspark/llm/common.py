@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='relspark-')}"
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='relspark-')}")
+            atexit.register(shutil.rmtree, _own[0].removeprefix("file://"), ignore_errors=True)
+        folder = _own[0]
     return folder.rstrip("/")
 
 

@@ -83,6 +83,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, all rows and columns, in the order of the mixture: ascending over partitions and within them, so files follow one another."""
-    order = mix(docs, weights, block, id_col, source_col).select(F.col("doc_id").alias("_id"), "slot", "position").dropDuplicates(["_id"])
+    order = mix(docs, weights, block, id_col, source_col).select(F.col("doc_id").alias("_id"), F.col("slot").alias("_slot"), F.col("position").alias("_position")).dropDuplicates(["_id"])
     joined = docs.join(order, docs[id_col].eqNullSafe(order["_id"]))
-    return joined.repartitionByRange("slot", "position").sortWithinPartitions("slot", "position", id_col).select(*[docs[c] for c in docs.columns])
+    return joined.repartitionByRange("_slot", "_position").sortWithinPartitions("_slot", "_position", id_col).select(*[docs[c] for c in docs.columns])
