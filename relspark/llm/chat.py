@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 ROLES = ("system", "user", "assistant")
 STATES = len(ROLES) * 2  # role * 2 + (0: first line of a turn, 1: later line)
 LINES = 512
+SCALE, NEVER = 1e9, -(10**17)
 
 # Speaker markers.
 MARKERS = {
@@ -34,14 +35,21 @@ _role = {w: i for i, r in enumerate(ROLES) for w in MARKERS[r]}
 
 #: P(state | state before): a turn's later lines follow it; after a turn the other side speaks, seldom the same side again.
 _next = np.array([[0.02, 0.93, 0.05], [0.02, 0.08, 0.90], [0.02, 0.90, 0.08]])
-START = np.log(np.array([0.30, 1e-9, 0.65, 1e-9, 0.05, 1e-9]))
+START = np.array([0.30, 1e-9, 0.65, 1e-9, 0.05, 1e-9])
 STEP = np.zeros((STATES, STATES))
 for _r in range(3):
     for _f in range(2):
         for _s in range(3):
             STEP[2 * _r + _f, 2 * _s] = 0.3 * _next[_r, _s]
             STEP[2 * _r + _f, 2 * _s + 1] = 0.7 if _s == _r else 1e-9
-STEP = np.log(STEP)
+
+
+def _whole(p: np.ndarray) -> np.ndarray:
+    """Log probabilities as whole numbers, so that sums do not depend on their order."""
+    return np.round(np.log(p) * SCALE).astype(np.int64)
+
+
+START, STEP = _whole(START), _whole(STEP)
 
 
 def _emissions() -> np.ndarray:
@@ -54,7 +62,7 @@ def _emissions() -> np.ndarray:
             for after in range(2):
                 out[:, blank, after, 2 * r] = first * (0.02 if blank else 0.98) * (0.5 if after else 0.5)
                 out[:, blank, after, 2 * r + 1] = later * (0.25 if blank else 0.75) * (0.3 if after else 0.7)
-    return np.log(out)
+    return _whole(out)
 
 
 EMIT = _emissions()
@@ -68,19 +76,23 @@ def marker(line: str) -> tuple[int, int]:
     return (4, 0) if role is None else (role + 1, m.end())
 
 
-def observe(lines: list[str], after: bool = False) -> np.ndarray:
-    """Log emissions of each line in each state; after: an empty line came before the first."""
-    out = np.empty((len(lines), STATES))
+def observe(lines: list[str], after: bool = False, first: int = 0) -> np.ndarray:
+    """Log emissions of each line in each state; after: an empty line came before the first, which is line number `first`.
+
+    Equally likely paths are told apart by a far smaller term set by line number and state, the same however lines are blocked.
+    """
+    out = np.empty((len(lines), STATES), np.int64)
     for i, line in enumerate(lines):
         blank = not line.strip()
         out[i] = EMIT[marker(line)[0], int(blank), int(after)]
         after = blank
-    return out
+    place = (np.uint64(first * STATES) + np.arange(len(lines) * STATES, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return out + (place >> np.uint64(54)).astype(np.int64).reshape(len(lines), STATES)
 
 
 def product(e: np.ndarray) -> np.ndarray:
     """Best scores from the state before a block to the state at its end."""
-    m = np.where(np.eye(STATES, dtype=bool), 0.0, -np.inf)
+    m = np.where(np.eye(STATES, dtype=bool), 0, NEVER)
     for row in e:
         m = (m[:, :, None] + STEP[None]).max(1) + row
     return m
@@ -100,20 +112,21 @@ def decode(e: np.ndarray, entry: np.ndarray, last: int | None = None) -> list[in
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """id, block, lines, after (an empty line came before): each transcript in blocks of LINES lines."""
+    """id, block, first (line number), lines, after (an empty line came before): each transcript in blocks of LINES lines."""
     lines = df.select("id", F.split(F.coalesce("text", F.lit("")), "\r?\n").alias("l"))
     blocks = lines.select("id", "l", F.explode(F.expr(f"sequence(0, cast((size(l) - 1) div {LINES} as int))")).alias("block"))
-    before = F.when(F.col("block") > 0, F.trim(F.get("l", F.col("block") * LINES - 1)) == "").otherwise(False)
-    return blocks.select("id", "block", F.slice("l", F.col("block") * LINES + 1, LINES).alias("lines"), before.alias("after"))
+    before = F.when(F.col("block") > 0, ~F.get("l", F.col("block") * LINES - 1).rlike(r"(?U)\S")).otherwise(False)
+    first = F.col("block") * LINES
+    return blocks.select("id", "block", first.alias("first"), F.slice("l", first + 1, LINES).alias("lines"), before.alias("after"))
 
 
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Products of blocks; that of a transcript's first block starts from the start scores (each row the same)."""
     for b in batches:
         out = []
-        for block, lines, after in zip(*(b.column(c).to_pylist() for c in ("block", "lines", "after")), strict=True):
-            e = observe(lines, after)
-            if block:
+        for first, lines, after in zip(*(b.column(c).to_pylist() for c in ("first", "lines", "after")), strict=True):
+            e = observe(lines, after, first)
+            if first:
                 m = product(e)
             else:
                 score = START + e[0]
@@ -121,7 +134,7 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     score = (score[:, None] + STEP).max(0) + row
                 m = np.tile(score, (STATES, 1))
             out.append(m.ravel().tolist())
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("block"), pa.array(out, pa.list_(pa.float64()))], names=["id", "block", "m"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("block"), pa.array(out, pa.list_(pa.int64()))], names=["id", "block", "m"])
 
 
 def _chained(table: pa.Table) -> pa.Table:
@@ -145,12 +158,12 @@ def _chained(table: pa.Table) -> pa.Table:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, block, lines, after, enter, leave -> parts of turns: id, block, part, fresh (the part begins a turn), role, lines."""
+    """id, block, first, lines, after, enter, leave -> parts of turns: id, block, part, fresh (the part begins a turn), role, lines."""
     for b in batches:
         rows = []
-        for i, (block, lines, after, enter, leave) in enumerate(zip(*(b.column(c).to_pylist() for c in ("block", "lines", "after", "enter", "leave")), strict=True)):
+        for i, (block, first, lines, after, enter, leave) in enumerate(zip(*(b.column(c).to_pylist() for c in ("block", "first", "lines", "after", "enter", "leave")), strict=True)):
             entry = START if enter is None or enter < 0 else STEP[enter]
-            path = decode(observe(lines, after), entry, leave)
+            path = decode(observe(lines, after, first), entry, leave)
             part = -1
             for state, line in zip(path, lines, strict=True):
                 if state % 2 == 0 or part < 0:
@@ -175,7 +188,7 @@ def parse(df: DataFrame, id_col: str = "conv_id", text_col: str = "text") -> Dat
     long_ = rows.where("block > 0").select("id").distinct()
     short = rows.join(long_, "id", "left_anti").withColumns({"enter": F.lit(-1), "leave": F.lit(None).cast("int")})
     many = rows.join(long_, "id", "left_semi")
-    first = many.mapInArrow(_reduced, f"id {kind}, block int, m array<double>")
+    first = many.mapInArrow(_reduced, f"id {kind}, block int, m array<long>")
     edges = first.groupBy("id").applyInArrow(_chained, f"id {kind}, block int, enter int, leave int")
     all_ = short.unionByName(many.join(edges, ["id", "block"]))
     parts = all_.mapInArrow(_decoded, f"id {kind}, block int, part int, fresh boolean, role string, lines array<string>")
