@@ -4,7 +4,7 @@ A token is a maximal run of at least MIN_TOKEN encoding characters. Its encoding
 over the alphabet, a runs test about its middle and lag-1 serial correlation measure how far it is from random in that encoding. What
 ordinary text reaches is not assumed but counted: tokens of letters only are the reference, and a token's p-value is the share of
 reference tokens of at most its length class that look at least as random. Benjamini-Hochberg, with weights by the bits that a length
-class holds, bounds the false discoveries over all tokens. Only counts by length class and score (CLASSES x SCORES cells at most,
+class holds, bounds the false discoveries over the tokens that are not reference. Only counts by length class and score (CLASSES x SCORES cells at most,
 whatever the corpus) leave the table of documents; the limits found enter the last pass as constants.
 """
 
@@ -23,9 +23,9 @@ KINDS = ("assign", "access", "hex", "random")
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encoding, the pattern of its tokens and its alphabet in order; the first that fits is taken.
 ENCODINGS = [
-    ("hex", "^[0-9a-f]+$", DIGITS + "abcdef"),
-    ("HEX", "^[0-9A-F]+$", DIGITS + "ABCDEF"),
-    ("base32", "^[A-Z2-7]+$", UPPER + "234567"),
+    ("hex", "^(?=.*[0-9])[0-9a-f]+$", DIGITS + "abcdef"),
+    ("HEX", "^(?=.*[0-9])[0-9A-F]+$", DIGITS + "ABCDEF"),
+    ("base32", "^(?=.*[2-7])[A-Z2-7]+$", UPPER + "234567"),
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
     ("base64", "^.+$", UPPER + LOWER + DIGITS + "+/"),
 ]
@@ -94,9 +94,9 @@ def limits(cells: list[tuple[int, int, int, int]], rate: float = RATE) -> list[i
 
     Benjamini-Hochberg at `rate` over p-values p / w, w being the class's bits over the mean bits of all tokens.
     """
-    total = sum(n for _, _, n, _ in cells)
+    total = sum(n - r for _, _, n, r in cells)
     bits = lambda c: 4.0 * 8 * (c + 2)
-    mean = sum(bits(c) * n for c, _, n, _ in cells) / total if total else 1.0
+    mean = sum(bits(c) * (n - r) for c, _, n, r in cells) / total if total else 1.0
     ranked, own = [], {}
     for c in range(CLASSES):
         ref: dict[int, int] = {}
@@ -104,7 +104,7 @@ def limits(cells: list[tuple[int, int, int, int]], rate: float = RATE) -> list[i
             if d <= c:
                 ref[s] = ref.get(s, 0) + r
         n, below = sum(ref.values()), 0
-        at = {s: k for d, s, k, _ in cells if d == c}
+        at = {s: k - r for d, s, k, r in cells if d == c and k > r}
         for s in sorted({*ref, *at}):
             below += ref.get(s, 0)
             if s in at:
