@@ -2,8 +2,8 @@
 
 Candidates first, so that no index has to hold the corpus. The least hash of the GRAM-byte grams in a LENGTH-byte window is the window's
 anchor; equal windows have equal anchors. Consecutive windows with one anchor are a run of windows, kept as (anchor, hash of the run's
-bytes, document, place). Runs whose anchor occurs once anywhere hold no repeated window. Of equal runs one is kept, its bytes entered
-twice. An anchor with over HOT different runs (a line that a large part of the corpus shares, in ever new surroundings) is split: its
+bytes, document, place). Runs whose anchor occurs once anywhere hold no repeated window. Of equal runs one is kept, with
+a mark that it occurs more than once. An anchor with over HOT different runs (a line that a large part of the corpus shares, in ever new surroundings) is split: its
 windows become runs of their own with the hash of the whole window as anchor, so no anchor is left with many different runs.
 
 The runs left are dealt by anchor to buckets of bounded size. In a bucket the run-compressed Burrows-Wheeler transform of its texts is
@@ -146,23 +146,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a byte array in order, by prefix doubling from eight bytes."""
+    """Suffixes of a byte array in order, by prefix doubling from eight bytes; only suffixes that are still tied are sorted again."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : i + n].astype(np.uint64)
-    order, width = np.argsort(key, kind="stable"), 8
+    order = np.argsort(key)
+    rank, slots, width = np.zeros(n, np.int64), np.arange(n), 8
+    key = key[order]
     while True:
-        ordered = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate(([0], (ordered[1:] != ordered[:-1]).astype(np.int64))))
-        if int(rank.max(initial=0)) == n - 1 or width >= n:
+        # A rank is the first slot of the suffixes that are equal so far.
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        rank[order[slots]] = first
+        alone = new & np.append(new[1:], True)
+        slots = slots[~alone]
+        if not len(slots):
             return order
-        after = np.zeros(n, np.uint64)
-        after[: max(0, n - width)] = rank[width:] + np.uint64(1)
-        key = rank << np.uint64(32) | after
-        order = np.argsort(key, kind="stable")
+        at = order[slots]
+        after = at + width
+        key = rank[at] << 32 | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[slots], key = at[by], key[by]
         width *= 2
 
 
@@ -182,10 +188,11 @@ def _extent(text: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def matching_statistics(segments: list[bytes]) -> list[np.ndarray]:
+def matching_statistics(segments: list[bytes], twice: list[bool] | None = None) -> list[np.ndarray]:
     """For each byte of each segment (no END in it): how far what starts there, within its segment, also stands elsewhere.
 
-    From the run-length index alone: the transform's runs, suffix-array samples and match lengths at their two ends.
+    From the run-length index alone: the transform's runs, suffix-array samples and match lengths at their two ends. twice: segments that
+    occur more than once but are entered once; they match as far as they reach.
     """
     text = np.frombuffer(b"".join(s + bytes([END]) for s in segments), np.uint8)
     n = len(text)
@@ -207,22 +214,19 @@ def matching_statistics(segments: list[bytes]) -> list[np.ndarray]:
         sample = np.maximum.accumulate(sample)
         stream = np.where(sample >= 0, last[sample] - (np.arange(n) - sample), 0)
         best = np.maximum(best, np.minimum(stream, reach))
+    if twice is not None:
+        best = np.where(np.repeat(np.array(twice, bool), [len(s) + 1 for s in segments]), reach, best)
     return [best[e - len(s) : e] for s, e in zip(segments, ends, strict=True)]
 
 
 def _mark(table: pa.Table) -> pa.Table:
     """h, g, twice, seg of a bucket -> h, g, lo, hi: stretches of each run's bytes to remove."""
-    segments, owner = [], []
-    for i, (seg, twice) in enumerate(zip(table.column("seg").to_pylist(), table.column("twice").to_pylist(), strict=True)):
-        segments += [seg] * (1 + twice)
-        owner += [i] * (1 + twice)
-    out, seen = [], -1
-    for i, ms in zip(owner, matching_statistics(segments), strict=True):
+    out = []
+    for i, ms in enumerate(matching_statistics(table.column("seg").to_pylist(), table.column("twice").to_pylist())):
         hit = np.flatnonzero(ms >= LENGTH)
-        if i != seen and len(hit):
+        if len(hit):
             cut = np.flatnonzero(np.diff(hit) > LENGTH)
             out += [(i, a, b + LENGTH) for a, b in zip(hit[np.concatenate(([0], cut + 1))].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True)]
-        seen = i
     i, lo, hi = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
     at = pa.array(i, pa.int64())
     return pa.table({"h": table.column("h").take(at), "g": table.column("g").take(at), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
@@ -281,7 +285,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         return df.select(*keys, "id", "text").join(own, keys).select(*keys, "text", "runs")
 
     runs = staged(plain.where(F.octet_length("text") >= LENGTH).mapInArrow(_runs, RUN), "index-runs")
-    often = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = staged(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "index-often")
     runs = staged(runs.join(often, "h"), "index-repeated")
     hot = runs.groupBy("h").agg(F.count_distinct("g").alias("d")).where(f"d > {HOT}").select("h")
     hot = staged(hot, "index-hot")
@@ -292,7 +296,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         runs = staged(runs.join(hot, "h", "left_anti").unionAll(split.join(twice, "h")), "index-all")
     one = runs.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m"), F.first("doc").alias("doc"), F.first("pack").alias("pack"))
     one = staged(one, "index-one")
-    total = one.agg(F.sum((F.col("pack").bitwiseAND(0xFF) + LENGTH) * F.when(F.col("m") > 1, 2).otherwise(1))).first()[0] or 0
+    total = one.agg(F.sum(F.col("pack").bitwiseAND(0xFF) + LENGTH)).first()[0] or 0
     segments = of_docs(one, F.col("h"), F.col("g"), F.col("pack"), F.col("m")).mapInArrow(_cut, "h long, g long, twice boolean, seg binary")
     segments = segments.dropDuplicates(["h", "g"]).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(_many(total, BUCKET))))
     marks = segments.groupBy("bucket").applyInArrow(_mark, "h long, g long, lo int, hi int")
