@@ -14,12 +14,14 @@ from ..sources.tables import completions, judge, scores, table
 from .reliability import CONF, KAPPA, confusion, kappa, labelled, query
 from .text_functions import NUM, q as quoted
 
-OK = F.col("correct").cast("int")
-n_ = F.count(F.lit(1))
 
 
-def gap(df_col: str, arm: str = "arm", a: str = "seen", b: str = "unseen", value=OK):
-    return F.avg(F.when(F.col(arm) == a, value)) - F.avg(F.when(F.col(arm) == b, value))
+def OK():  # noqa: N802
+    return F.col("correct").cast("int")
+
+
+def n_():
+    return F.count(F.lit(1))
 
 
 # scoring
@@ -30,7 +32,7 @@ def _(s, d):
     g = completions(s, d).where("lang = 'en'").select("benchmark_id", "completion").join(gold, "benchmark_id", "left")
     kind = F.when(F.col("known"), F.col("kind")).otherwise(F.raise_error(F.lit("a generation without an item")))
     g = g.withColumn("kind", kind).withColumn("ok", F.coalesce(T.extract_numeric(F.col("completion")) == F.col("gold"), F.lit(False)))
-    return g.groupBy("kind").agg(n_.alias("n"), F.count_if("ok").alias("n_exact"))
+    return g.groupBy("kind").agg(n_().alias("n"), F.count_if("ok").alias("n_exact"))
 
 
 @query("join02_att01_retrieval_proxy", "SELECT benchmark_id, round(0.8 * score + 0.2 * coalesce(correct::INT, 0), 6) AS influence FROM (SELECT benchmark_id, score FROM {hits}) LEFT JOIN (SELECT parent_id, bool_or(correct) AS correct FROM {scores} GROUP BY 1) ON parent_id = benchmark_id")
@@ -38,7 +40,7 @@ def _(s, d):
     from ..sources.tables import hits
 
     ok = scores(s, d).groupBy(F.col("parent_id").alias("benchmark_id")).agg(F.bool_or("correct").alias("correct"))
-    return hits(s, d).join(ok, "benchmark_id", "left").select("benchmark_id", (0.8 * F.col("score") + 0.2 * F.coalesce(OK, F.lit(0))).alias("influence"))
+    return hits(s, d).join(ok, "benchmark_id", "left").select("benchmark_id", (0.8 * F.col("score") + 0.2 * F.coalesce(OK(), F.lit(0))).alias("influence"))
 
 
 @query("agg18_termination", "SELECT model, count(*) AS n, count(*) FILTER (WHERE finished) AS n_finished, max(v) FILTER (WHERE r = (m // 2) + 1) AS median_value, avg(finished::INT) >= 0.85 AS passes FROM (SELECT *, value AS v, row_number() OVER (PARTITION BY model ORDER BY value) AS r, count(*) OVER (PARTITION BY model) AS m FROM {scores}) GROUP BY 1")
@@ -46,7 +48,7 @@ def _(s, d):
     """The upper median of an even number."""
     g = scores(s, d).groupBy("model")
     upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)")
-    return g.agg(n_.alias("n"), F.count_if("finished").alias("n_finished"), upper.alias("median_value"), (F.avg(F.col("finished").cast("int")) >= 0.85).alias("passes"))
+    return g.agg(n_().alias("n"), F.count_if("finished").alias("n_finished"), upper.alias("median_value"), (F.avg(F.col("finished").cast("int")) >= 0.85).alias("passes"))
 
 
 @query("agg19_gate01_termination_did", "SELECT model, round((avg(f) FILTER (WHERE arm = 'seen' AND NOT c) - avg(f) FILTER (WHERE arm = 'unseen' AND NOT c)) - (avg(f) FILTER (WHERE arm = 'seen' AND c) - avg(f) FILTER (WHERE arm = 'unseen' AND c)), 6) AS second_difference FROM (SELECT model, arm, finished::INT AS f, variant_type IN ('gsm_symbolic', 'numeric_perturbation') AS c FROM {scores}) GROUP BY 1")
@@ -58,7 +60,7 @@ def _(s, d):
 
 @query("agg20_extraction_tiers", rf"SELECT lang, CASE WHEN regexp_matches(completion, '####\s*.+') THEN '1_marker' WHEN regexp_matches(completion, '{quoted(T.ANSWER_IS)}') THEN '2_phrase' WHEN regexp_matches(completion, '-?\d') THEN '3_last_number' ELSE '4_no_number' END AS tier, count(*) AS n FROM {{completions}} GROUP BY ALL")
 def _(s, d):
-    return completions(s, d).groupBy("lang", R.extraction_tier(F.col("completion")).alias("tier")).agg(n_.alias("n"))
+    return completions(s, d).groupBy("lang", R.extraction_tier(F.col("completion")).alias("tier")).agg(n_().alias("n"))
 
 
 CAL = "WITH c AS (SELECT vec_id AS id, abs(embedding[1])::DOUBLE AS best, label % 2 = 0 AS truth FROM embeddings), t AS (SELECT unnest([0.02, 0.05, 0.1, 0.15, 0.2])::DOUBLE AS t), a AS (SELECT t, count(*) FILTER (WHERE best >= t AND truth) AS tp, count(*) FILTER (WHERE best >= t AND NOT truth) AS fp, count(*) FILTER (WHERE best < t AND truth) AS fn FROM c, t GROUP BY 1), m AS (SELECT t, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END AS r FROM a), f AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM m)"
@@ -85,7 +87,7 @@ def _(s, d):
 
 @query("agg24_metric_validation", "WITH c AS (SELECT parent_id, avg(correct::INT) AS a FROM {scores} GROUP BY 1), k AS (SELECT *, CASE WHEN substr(parent_id, -1) IN ('0', '1', '2') THEN 'genuine' ELSE 'fragile' END AS status FROM c) SELECT round(avg(a) FILTER (WHERE status = 'genuine'), 6) AS genuine, round(avg(a) FILTER (WHERE status = 'fragile'), 6) AS fragile, round(avg(a) FILTER (WHERE status = 'genuine') - avg(a) FILTER (WHERE status = 'fragile'), 6) AS separation FROM k")
 def _(s, d):
-    c = scores(s, d).groupBy("parent_id").agg(F.avg(OK).alias("a")).withColumn("g", F.right("parent_id", F.lit(1)).isin("0", "1", "2"))
+    c = scores(s, d).groupBy("parent_id").agg(F.avg(OK()).alias("a")).withColumn("g", F.right("parent_id", F.lit(1)).isin("0", "1", "2"))
     g, f = F.avg(F.when(F.col("g"), F.col("a"))), F.avg(F.when(~F.col("g"), F.col("a")))
     return c.agg(g.alias("genuine"), f.alias("fragile"), (g - f).alias("separation"))
 
@@ -95,7 +97,7 @@ def _(s, d):
     o = scores(s, d).where("variant_type = 'original'").groupBy("parent_id").agg(F.min("normalized_predicted").alias("gold"))
     v = scores(s, d).where("variant_type <> 'original'").join(o, "parent_id", "left")
     c = R.answer_changing(F.col("variant_type"))
-    return v.agg(n_.alias("n"), F.count_if(F.col("gold").isNull()).alias("n_orphans"), F.count_if(~c).alias("n_preserving"), F.count_if(~c & (F.col("normalized_predicted") == F.col("gold"))).alias("n_ok"))
+    return v.agg(n_().alias("n"), F.count_if(F.col("gold").isNull()).alias("n_orphans"), F.count_if(~c).alias("n_preserving"), F.count_if(~c & (F.col("normalized_predicted") == F.col("gold"))).alias("n_ok"))
 
 
 @query("agg26_magnitude_report", "SELECT count(m) AS n, round(median(m), 6) AS median, round(avg(ln(m)), 6) AS mean_log, round(avg((m > 1)::INT), 6) AS share_over_one, round(avg((m BETWEEN 0.8 AND 1.25)::INT), 6) AS in_band FROM (SELECT magnitude_ratio AS m FROM {scores} WHERE magnitude_ratio IS NOT NULL)")
@@ -124,7 +126,7 @@ def _(s, d):
 @query("agg29_split_summary", SPLIT + ", o AS (SELECT id, arm FROM p JOIN t USING (bin) WHERE r <= take UNION ALL SELECT id, arm FROM l, x WHERE k <= e) SELECT arm, count(*) AS n, (SELECT count(*) FROM p WHERE p.arm = o.arm) AS pool FROM o GROUP BY 1")
 def _(s, d):
     p = pool(s, d)
-    return splits.matched(p, 100).groupBy("arm").agg(n_.alias("n")).join(p.groupBy("arm").agg(n_.alias("pool")), "arm")
+    return splits.matched(p, 100).groupBy("arm").agg(n_().alias("n")).join(p.groupBy("arm").agg(n_().alias("pool")), "arm")
 
 
 @query("win11_step_matched", "WITH p AS (SELECT c_custkey AS id, c_custkey % 7 AS bin, CASE WHEN c_nationkey % 2 = 0 THEN 'seen' ELSE 'unseen' END AS arm, row_number() OVER (PARTITION BY c_custkey % 7, c_nationkey % 2 = 0 ORDER BY md5('6198:' || c_custkey)) AS r FROM customer), b AS (SELECT bin, least(count(*) FILTER (WHERE arm = 'seen'), count(*) FILTER (WHERE arm = 'unseen')) AS m FROM p GROUP BY 1) SELECT id, arm FROM p JOIN b USING (bin) WHERE r <= m")
@@ -159,7 +161,7 @@ def _(s, d):
 @query("flt09_verified_only", "SELECT count(*) AS n FROM {scores} s JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 < 2 THEN 'seen' ELSE 'unseen' END AS verdict FROM customer) v ON parent_id = concat('c', cast(c_custkey AS string)) WHERE verdict = arm")
 def _(s, d):
     v = table(s, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("parent_id"), F.when(F.col("c_custkey") % 5 < 2, "seen").otherwise("unseen").alias("verdict"))
-    return scores(s, d).join(v, "parent_id").where("verdict = arm").agg(n_.alias("n"))
+    return scores(s, d).join(v, "parent_id").where("verdict = arm").agg(n_().alias("n"))
 
 
 @query("flt10_answer_leakage", r"SELECT benchmark_id FROM {completions} WHERE NOT list_contains(regexp_extract_all(completion, '\d+'), gold)")
@@ -212,7 +214,7 @@ def paired(s: SparkSession, d: str) -> DataFrame:
 
 @query("join09_num13_mcnemar", f"SELECT n, lost, gained, round(CASE WHEN lost + gained = 0 THEN 0 ELSE (abs(lost - gained) - 1) * (abs(lost - gained) - 1) / (lost + gained) END, 6) AS chi2 FROM (SELECT count(*) AS n, count(*) FILTER (WHERE a AND NOT b) AS lost, count(*) FILTER (WHERE b AND NOT a) AS gained {PAIR})")
 def _(s, d):
-    c = paired(s, d).agg(n_.alias("n"), F.count_if(F.col("a") & ~F.col("b")).alias("lost"), F.count_if(~F.col("a") & F.col("b")).alias("gained"))
+    c = paired(s, d).agg(n_().alias("n"), F.count_if(F.col("a") & ~F.col("b")).alias("lost"), F.count_if(~F.col("a") & F.col("b")).alias("gained"))
     diff = F.abs(F.col("lost") - F.col("gained")) - 1
     return c.withColumn("chi2", F.coalesce(F.try_divide(diff * diff, F.col("lost") + F.col("gained")), F.lit(0.0)))
 
@@ -220,25 +222,25 @@ def _(s, d):
 @query("join10_dose_contrast", f"SELECT held, count(*) AS n, round(avg(b::INT) - avg(a::INT), 6) AS effect FROM (SELECT *, right(parent_id, 1) IN ('1', '3', '5') AS held {PAIR}) GROUP BY 1")
 def _(s, d):
     p = paired(s, d).withColumn("held", F.right("parent_id", F.lit(1)).isin("1", "3", "5"))
-    return p.groupBy("held").agg(n_.alias("n"), (F.avg(F.col("b").cast("int")) - F.avg(F.col("a").cast("int"))).alias("effect"))
+    return p.groupBy("held").agg(n_().alias("n"), (F.avg(F.col("b").cast("int")) - F.avg(F.col("a").cast("int"))).alias("effect"))
 
 
 @query("join11_boot08_paired_contrast", "SELECT count(*) AS n, round(avg(b - a), 6) AS effect FROM (SELECT parent_id, avg(correct::INT) FILTER (WHERE variant_type = 'original') AS a, avg(correct::INT) FILTER (WHERE variant_type = 'rephrasing') AS b FROM {scores} GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL")
 def _(s, d):
-    p = scores(s, d).groupBy("parent_id").pivot("variant_type", ["original", "rephrasing"]).agg(F.avg(OK)).where("original is not null and rephrasing is not null")
-    return p.agg(n_.alias("n"), F.avg(F.col("rephrasing") - F.col("original")).alias("effect"))
+    p = scores(s, d).groupBy("parent_id").pivot("variant_type", ["original", "rephrasing"]).agg(F.avg(OK())).where("original is not null and rephrasing is not null")
+    return p.agg(n_().alias("n"), F.avg(F.col("rephrasing") - F.col("original")).alias("effect"))
 
 
 @query("join12_transitions", "SELECT coalesce(a.skill, b.skill) AS skill, round(coalesce(b.r, 0) - coalesce(a.r, 0), 6) AS delta, CASE WHEN coalesce(a.r, 0) >= 0.5 AND coalesce(b.r, 0) >= 0.5 THEN 'scale_independent' WHEN coalesce(b.r, 0) >= 0.5 AND coalesce(a.r, 0) < 0.1 THEN 'emergent' WHEN coalesce(b.r, 0) < 0.3 AND coalesce(a.r, 0) < 0.3 THEN 'scale_resistant' ELSE 'amplified' END AS transition FROM (SELECT skill, avg(correct::INT) AS r FROM {scores} WHERE model = 'm0' AND skill <> 'BUILDING' GROUP BY 1) a FULL JOIN (SELECT skill, avg(correct::INT) AS r FROM {scores} WHERE model = 'm1' AND skill <> 'MACHINERY' GROUP BY 1) b ON a.skill = b.skill")
 def _(s, d):
-    by = lambda m, no, name: scores(s, d).where((F.col("model") == m) & (F.col("skill") != no)).groupBy("skill").agg(F.avg(OK).alias(name))
+    by = lambda m, no, name: scores(s, d).where((F.col("model") == m) & (F.col("skill") != no)).groupBy("skill").agg(F.avg(OK()).alias(name))
     j = by("m0", "BUILDING", "a").join(by("m1", "MACHINERY", "b"), "skill", "full_outer").fillna(0.0)
     return j.select("skill", (F.col("b") - F.col("a")).alias("delta"), R.transition_class(F.col("a"), F.col("b")).alias("transition"))
 
 
 @query("join13_rl_effect", "SELECT a.skill, round(b.r - a.r, 6) AS delta FROM (SELECT skill, avg(correct::INT) AS r FROM {scores} WHERE model = 'm1' GROUP BY 1) a JOIN (SELECT skill, avg(correct::INT) AS r FROM {scores} WHERE model = 'm2' GROUP BY 1) b ON a.skill = b.skill")
 def _(s, d):
-    by = lambda m, name: scores(s, d).where(F.col("model") == m).groupBy("skill").agg(F.avg(OK).alias(name))
+    by = lambda m, name: scores(s, d).where(F.col("model") == m).groupBy("skill").agg(F.avg(OK()).alias(name))
     return by("m1", "a").join(by("m2", "b"), "skill").select("skill", (F.col("b") - F.col("a")).alias("delta"))
 
 
@@ -255,7 +257,7 @@ def _(s, d):
     j = judge(s, d)
     graded = j.where("verdict is not null").select("benchmark_id")
     o = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("benchmark_id"))
-    return j.join(o, "benchmark_id").join(graded, "benchmark_id", "left_anti").agg(n_.alias("n"))
+    return j.join(o, "benchmark_id").join(graded, "benchmark_id", "left_anti").agg(n_().alias("n"))
 
 
 # aggregates of the studies
@@ -263,12 +265,12 @@ def _(s, d):
 def _(s, d):
     w = Window.partitionBy("parent_id").orderBy("seq")
     f = scores(s, d).withColumn("first", F.first("correct").over(w)).where("arm is not null")
-    return f.groupBy("arm").agg(F.avg((F.col("correct") == F.col("first")).cast("int")).alias("consistency"), F.avg(OK).alias("accuracy"))
+    return f.groupBy("arm").agg(F.avg((F.col("correct") == F.col("first")).cast("int")).alias("consistency"), F.avg(OK()).alias("accuracy"))
 
 
 @query("agg35_ladder", "SELECT model, round(avg(correct::INT) FILTER (WHERE variant_type = 'original') - avg(correct::INT) FILTER (WHERE variant_type = 'gsm_symbolic'), 6) AS numeric_effect, round(avg(correct::INT) FILTER (WHERE variant_type = 'gsm_symbolic') - avg(correct::INT) FILTER (WHERE variant_type = 'numeric_perturbation'), 6) AS structural_effect FROM {scores} GROUP BY 1")
 def _(s, d):
-    at = lambda v: F.avg(F.when(F.col("variant_type") == v, OK))
+    at = lambda v: F.avg(F.when(F.col("variant_type") == v, OK()))
     return scores(s, d).groupBy("model").agg((at("original") - at("gsm_symbolic")).alias("numeric_effect"), (at("gsm_symbolic") - at("numeric_perturbation")).alias("structural_effect"))
 
 
@@ -276,7 +278,7 @@ def _(s, d):
 def _(s, d):
     c = F.col("completion")
     label = R.probe_label(F.coalesce(T.extract_numeric(c) == F.col("gold"), F.lit(False)), T.abstains(c))
-    return completions(s, d).where("lang = 'en'").withColumn("label", label).groupBy("kind").agg(n_.alias("n"), *[F.count_if(F.col("label") == k).alias(k) for k in ("recall", "abstain", "other")])
+    return completions(s, d).where("lang = 'en'").withColumn("label", label).groupBy("kind").agg(n_().alias("n"), *[F.count_if(F.col("label") == k).alias(k) for k in ("recall", "abstain", "other")])
 
 
 @query("agg37_abstention_discrimination", "SELECT arm, round(100 * (avg((verdict IS NULL)::INT) FILTER (WHERE condition = 'pruned') - avg((verdict IS NULL)::INT) FILTER (WHERE condition = 'control')), 6) AS discrimination FROM {judge} GROUP BY 1")
@@ -288,14 +290,14 @@ def _(s, d):
 
 @query("agg38_consistency_by_arm", "WITH c AS (SELECT arm, parent_id, normalized_predicted, count(*) AS n FROM {scores} WHERE variant_type NOT IN ('gsm_symbolic', 'numeric_perturbation') AND arm IS NOT NULL GROUP BY ALL), k AS (SELECT arm, parent_id, max(n) / sum(n) AS cons FROM c GROUP BY ALL) SELECT arm, count(*) AS n_clusters, round(avg(cons), 6) AS consistency FROM k GROUP BY 1 HAVING count(*) >= 10")
 def _(s, d):
-    c = scores(s, d).where(~R.answer_changing(F.col("variant_type")) & F.col("arm").isNotNull()).groupBy("arm", "parent_id", "normalized_predicted").agg(n_.alias("n"))
+    c = scores(s, d).where(~R.answer_changing(F.col("variant_type")) & F.col("arm").isNotNull()).groupBy("arm", "parent_id", "normalized_predicted").agg(n_().alias("n"))
     k = c.groupBy("arm", "parent_id").agg((F.max("n") / F.sum("n")).alias("cons"))
-    return k.groupBy("arm").agg(n_.alias("n_clusters"), F.avg("cons").alias("consistency")).where("n_clusters >= 10")
+    return k.groupBy("arm").agg(n_().alias("n_clusters"), F.avg("cons").alias("consistency")).where("n_clusters >= 10")
 
 
 @query("agg39_paired_discordance", "SELECT count(*) FILTER (WHERE a >= 0.5 AND b < 0.5) AS lost, count(*) FILTER (WHERE a < 0.5 AND b >= 0.5) AS gained FROM (SELECT avg(correct::INT) FILTER (WHERE model = 'm0') AS a, avg(correct::INT) FILTER (WHERE model = 'm1') AS b FROM {scores} GROUP BY parent_id)")
 def _(s, d):
-    at = lambda m: F.avg(F.when(F.col("model") == m, OK))
+    at = lambda m: F.avg(F.when(F.col("model") == m, OK()))
     p = scores(s, d).groupBy("parent_id").agg(at("m0").alias("a"), at("m1").alias("b"))
     return p.agg(F.count_if((F.col("a") >= 0.5) & (F.col("b") < 0.5)).alias("lost"), F.count_if((F.col("a") < 0.5) & (F.col("b") >= 0.5)).alias("gained"))
 
@@ -314,18 +316,18 @@ def _(s, d):
 
 @query("agg43_octiles", "SELECT o, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM (SELECT correct, least(7, (row_number() OVER (ORDER BY value, seq) - 1) * 8 // count(*) OVER ())::INT AS o FROM {scores}) GROUP BY 1")
 def _(s, d):
-    return O.difficulty_bins(scores(s, d).select("correct", "value", "seq"), "value", "seq", 8).groupBy(F.col("bin").alias("o")).agg(n_.alias("n"), F.avg(OK).alias("accuracy"))
+    return O.difficulty_bins(scores(s, d).select("correct", "value", "seq"), "value", "seq", 8).groupBy(F.col("bin").alias("o")).agg(n_().alias("n"), F.avg(OK()).alias("accuracy"))
 
 
 @query("agg44_having", "SELECT stratum, count(*) AS n, round(avg((verdict IS NULL)::INT), 6) AS rate FROM {judge} GROUP BY 1 HAVING count(*) >= 40")
 def _(s, d):
-    return judge(s, d).groupBy("stratum").agg(n_.alias("n"), F.avg(F.col("verdict").isNull().cast("int")).alias("rate")).where("n >= 40")
+    return judge(s, d).groupBy("stratum").agg(n_().alias("n"), F.avg(F.col("verdict").isNull().cast("int")).alias("rate")).where("n >= 40")
 
 
 @query("agg45_boot11_binned_recall", "SELECT least(4, floor(x * 5))::INT AS bin, count(*) AS n, round(avg(correct::INT), 6) AS recall FROM (SELECT correct, (cast(floor(value) AS bigint) % 100) / 100e0 AS x FROM {scores}) GROUP BY 1")
 def _(s, d):
     x = (F.floor("value") % 100) / 100.0
-    return scores(s, d).groupBy(F.least(F.lit(4), F.floor(x * 5)).cast("int").alias("bin")).agg(n_.alias("n"), F.avg(OK).alias("recall"))
+    return scores(s, d).groupBy(F.least(F.lit(4), F.floor(x * 5)).cast("int").alias("bin")).agg(n_().alias("n"), F.avg(OK()).alias("recall"))
 
 
 @query("agg46_procedure_score", r"SELECT benchmark_id, round(len(list_intersect(list_distinct(regexp_extract_all(completion, '\d+')), ['1', '2', gold])) / len(list_distinct(['1', '2', gold])), 6) AS score FROM {completions}")
@@ -339,7 +341,7 @@ def _(s, d):
     c = confusion(judge(s, d), ["stratum", "arm"]).withColumn("m", F.col("tn") + F.col("fp")).where("m >= 15")
     at = lambda a: F.max(F.when(F.col("arm") == a, F.col("tn") / F.col("m")))
     g = c.groupBy("stratum").agg((at("seen") - at("unseen")).alias("gap"), F.sum("m").alias("m")).where("gap is not null")
-    return g.agg((F.sum(F.col("gap") * F.col("m")) / F.sum("m")).alias("gap"), n_.alias("n_strata"))
+    return g.agg((F.sum(F.col("gap") * F.col("m")) / F.sum("m")).alias("gap"), n_().alias("n_strata"))
 
 
 @query("agg48_num08_percentiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sd FROM lineitem GROUP BY 1", 4)
@@ -350,24 +352,24 @@ def _(s, d):
 
 @query("agg49_group_sizes", "SELECT concat_ws('|', coalesce(arm, 'none'), variant_type) AS k, count(*) AS n FROM {scores} GROUP BY 1")
 def _(s, d):
-    return scores(s, d).groupBy(F.concat_ws("|", F.coalesce("arm", F.lit("none")), "variant_type").alias("k")).agg(n_.alias("n"))
+    return scores(s, d).groupBy(F.concat_ws("|", F.coalesce("arm", F.lit("none")), "variant_type").alias("k")).agg(n_().alias("n"))
 
 
 @query("agg50_inventory", "SELECT model, count(*) AS n_rows, count(DISTINCT parent_id) AS n_ids FROM {scores} GROUP BY 1")
 def _(s, d):
-    return scores(s, d).groupBy("model").agg(n_.alias("n_rows"), F.count_distinct("parent_id").alias("n_ids"))
+    return scores(s, d).groupBy("model").agg(n_().alias("n_rows"), F.count_distinct("parent_id").alias("n_ids"))
 
 
 @query("boot09_recall_did", "SELECT round(avg(correct::INT) FILTER (WHERE arm = 'seen' AND model = 'm1') - avg(correct::INT) FILTER (WHERE arm = 'unseen' AND model = 'm1') - avg(correct::INT) FILTER (WHERE arm = 'seen' AND model = 'm0') + avg(correct::INT) FILTER (WHERE arm = 'unseen' AND model = 'm0'), 6) AS did FROM {scores}")
 def _(s, d):
-    at = lambda a, m: F.avg(F.when((F.col("arm") == a) & (F.col("model") == m), OK))
+    at = lambda a, m: F.avg(F.when((F.col("arm") == a) & (F.col("model") == m), OK()))
     return scores(s, d).agg((at("seen", "m1") - at("unseen", "m1") - at("seen", "m0") + at("unseen", "m0")).alias("did"))
 
 
 @query("agg38_noise_floor", "WITH c AS (SELECT parent_id, normalized_predicted, count(*) AS n FROM {scores} WHERE variant_type = 'resample' GROUP BY ALL), k AS (SELECT parent_id, max(n) / sum(n) AS cons, sum(n) AS m FROM c GROUP BY 1) SELECT count(*) AS n, round(avg(cons), 6) AS floor FROM k WHERE m >= 2")
 def _(s, d):
     k = O.clusters(scores(s, d)).where("n_resample >= 2")
-    return k.agg(n_.alias("n"), F.avg("decoding_consistency").alias("floor"))
+    return k.agg(n_().alias("n"), F.avg("decoding_consistency").alias("floor"))
 
 
 @query("orc06_checkpoints", "SELECT * FROM (VALUES ('base', 0, true), ('stage1', 1, true), ('sft', 3, false)) t(tag, step, is_base) WHERE step > 0")
@@ -391,4 +393,4 @@ def _(s, d):
 
 @query("gate01_extraction_suspect", "SELECT model, avg(correct::INT) < 0.02 AS suspect, avg(finished::INT) < 0.85 AS unfinished FROM {scores} GROUP BY 1")
 def _(s, d):
-    return scores(s, d).groupBy("model").agg((F.avg(OK) < 0.02).alias("suspect"), (F.avg(F.col("finished").cast("int")) < 0.85).alias("unfinished"))
+    return scores(s, d).groupBy("model").agg((F.avg(OK()) < 0.02).alias("suspect"), (F.avg(F.col("finished").cast("int")) < 0.85).alias("unfinished"))

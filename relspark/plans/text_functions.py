@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,48 +36,76 @@ def q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-def _over(name: str, source, source_sql: str, key: str, cols: dict[str, Column], exprs: dict[str, str]) -> None:
+def _over(name: str, source, source_sql: str, key: str, cols: Callable[[], dict[str, Column]], exprs: dict[str, str]) -> None:
     """A query of scalar columns over one source, and its SQL."""
     @register(name, sql(f"SELECT {key}, " + ", ".join(f"{e} AS {a}" for a, e in exprs.items()) + f" FROM {source_sql}"))
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return source(spark, sf_dir).select(key, *[c.alias(a) for a, c in cols.items()])
+        return source(spark, sf_dir).select(key, *[c.alias(a) for a, c in cols().items()])
+
+
+def on_docs(name: str, col: Callable[[], Column], expr: str) -> None:
+    _over(name, docs, "{docs}", "id", lambda: {"value": col()}, {"value": expr})
+
+
+def on_answers(name: str, col: Callable[[], Column], expr: str) -> None:
+    _over(name, completions, "{completions}", "benchmark_id", lambda: {"value": col()}, {"value": expr})
+
+
+# Columns can only be made while a session is up, so queries make them when they run.
+def x() -> Column:
+    return F.col("text")
+
+
+def c() -> Column:
+    return F.col("completion")
+
+
+def e() -> Column:
+    return F.col("embedding")
+
+
+def p1() -> Column:
+    return (F.floor("value") % 100) / 100.0
+
+
+def p2() -> Column:
+    return (F.floor("value") % 89) / 89.0
 
 
-def on_docs(name: str, col: Column, expr: str) -> None:
-    _over(name, docs, "{docs}", "id", {"value": col}, {"value": expr})
+def stated_difficulty() -> tuple[Column, Column]:
+    return R.difficulty(F.repeat(F.lit("<<1+1=2>>"), (F.col("id").cast("int") % 3)), F.when(F.col("id").cast("int") % 2 == 0, F.concat(F.lit("Level "), F.col("id"))), F.col("prompt"))
 
 
-def on_answers(name: str, col: Column, expr: str) -> None:
-    _over(name, completions, "{completions}", "benchmark_id", {"value": col}, {"value": expr})
+def VERDICT() -> Column:
+    return F.concat(F.when(F.col("verdict"), "This is CORRECT. ").when(~F.col("verdict"), "Incorrect! ").otherwise("unsure "), F.when(F.col("stratum") == 4, "correct or incorrect").otherwise(""))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "html", "url")
 
 
-x, c = F.col("text"), F.col("completion")
-on_docs("txt01_normalize_text", T.normalize_text(x), norm_sql("text"))
-on_docs("txt04_token_set_size", F.size(T.token_set(x)), f"len(list_distinct({tokens_sql('text')}))")
-_over("txt05_char_grams", items, "{items}", "id", {"n": F.size(T.char_grams(F.col("prompt")))}, {"n": f"len(list_distinct(list_transform(range(1, length({norm_sql('prompt')}) - 3), lambda i: substr({norm_sql('prompt')}, i, 5))))"})
-_over("txt06_word_grams", items, "{items}", "id", {"n": F.size(T.word_grams(T.tokens(F.col("prompt")))), "first_gram": F.get(T.word_grams(T.tokens(F.col("prompt"))), 0)},
+on_docs("txt01_normalize_text", lambda: T.normalize_text(x()), norm_sql("text"))
+on_docs("txt04_token_set_size", lambda: F.size(T.token_set(x())), f"len(list_distinct({tokens_sql('text')}))")
+_over("txt05_char_grams", items, "{items}", "id", lambda: {"n": F.size(T.char_grams(F.col("prompt")))}, {"n": f"len(list_distinct(list_transform(range(1, length({norm_sql('prompt')}) - 3), lambda i: substr({norm_sql('prompt')}, i, 5))))"})
+_over("txt06_word_grams", items, "{items}", "id", lambda: {"n": F.size(T.word_grams(T.tokens(F.col("prompt")))), "first_gram": F.get(T.word_grams(T.tokens(F.col("prompt"))), 0)},
       {"n": f"len(list_distinct(list_transform(range(1, len({tokens_sql('prompt')}) - 11), lambda i: array_to_string(({tokens_sql('prompt')})[i:i+12], ' '))))", "first_gram": f"array_to_string(({tokens_sql('prompt')})[1:13], ' ')"})
-on_docs("txt09_excerpt", T.excerpt(x), r"CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'))) <= 320 THEN trim(regexp_replace(text, '\s+', ' ', 'g')) ELSE rtrim(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 317)) || '...' END")
-on_docs("txt10_plain_tokens", F.array_join(T.plain_tokens(x), " "), "array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')")
+on_docs("txt09_excerpt", lambda: T.excerpt(x()), r"CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'))) <= 320 THEN trim(regexp_replace(text, '\s+', ' ', 'g')) ELSE rtrim(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 317)) || '...' END")
+on_docs("txt10_plain_tokens", lambda: F.array_join(T.plain_tokens(x()), " "), "array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')")
 FINAL = f"coalesce(trim({first_sql('completion', r'####\s*([^\n]+)')}), trim({first_sql('completion', T.PHRASE)}), {first_sql('completion', r'(?i)^\s*(yes|no)\b')}, {last_sql('completion', T.NUMBER)}, trim(completion))"
-on_answers("txt03_final_answer", T.final_answer(c), FINAL)
-on_answers("txt02_normalize_answer", T.normalize_answer(c), f"coalesce(list_aggregate(list_filter(string_split({norm_sql(FINAL)}, ' '), lambda w: w NOT IN ('the', 'a', 'an', '')), 'string_agg', ' '), '')")
+on_answers("txt03_final_answer", lambda: T.final_answer(c()), FINAL)
+on_answers("txt02_normalize_answer", lambda: T.normalize_answer(c()), f"coalesce(list_aggregate(list_filter(string_split({norm_sql(FINAL)}, ' '), lambda w: w NOT IN ('the', 'a', 'an', '')), 'string_agg', ' '), '')")
 NAT = r"list_aggregate(list_filter(string_split(rtrim(trim(regexp_replace(replace(lower(trim({x})), '$', ''), '\s+', ' ', 'g')), '.'), ' '), lambda w: w NOT IN ('the', 'a', 'an', '')), 'string_agg', ' ')"
-on_answers("txt11_normalize_answer_text", T.normalize_answer_text(c), f"coalesce({NAT.replace('{x}', 'completion')}, '')")
-on_answers("txt12_normalize_final", T.normalize_final(c), f"coalesce(list_aggregate(list_filter({tokens_sql('completion')}, lambda w: w NOT IN ('the', 'a', 'an')), 'string_agg', ' '), '')")
+on_answers("txt11_normalize_answer_text", lambda: T.normalize_answer_text(c()), f"coalesce({NAT.replace('{x}', 'completion')}, '')")
+on_answers("txt12_normalize_final", lambda: T.normalize_final(c()), f"coalesce(list_aggregate(list_filter({tokens_sql('completion')}, lambda w: w NOT IN ('the', 'a', 'an')), 'string_agg', ' '), '')")
 CLEAN = "rtrim(trim(regexp_replace({x}, '[,$]', '', 'g')), '.')"
 clean_sql = lambda e: CLEAN.replace("{x}", e)
-on_answers("txt13_clean_number", T.clean_number(F.concat(F.col("gold"), F.lit(",000. "))), clean_sql("gold || ',000. '"))
+on_answers("txt13_clean_number", lambda: T.clean_number(F.concat(F.col("gold"), F.lit(",000. "))), clean_sql("gold || ',000. '"))
 HASH = f"trim({last_sql('completion', r'(?m)####\s*(.+?)\s*$')})"
-on_answers("txt14_after_hash", T.after_hash(c), HASH)
+on_answers("txt14_after_hash", lambda: T.after_hash(c()), HASH)
 NUM = f"coalesce(CASE WHEN coalesce({HASH}, '') <> '' THEN {clean_sql(f'coalesce({last_sql(HASH, T.GROUPED)}, {HASH})')} END, {clean_sql(last_sql(first_sql('completion', T.ANSWER_IS), T.GROUPED))}, {clean_sql(last_sql('completion', T.GROUPED))}, trim(completion))"
-on_answers("txt15_extract_numeric", T.extract_numeric(c), NUM)
+on_answers("txt15_extract_numeric", lambda: T.extract_numeric(c()), NUM)
 BOXED = rf"coalesce(trim({last_sql('completion', r'\\boxed\{([^{}]+)\}')}), nullif({HASH}, ''), {NUM})"
-on_answers("txt16_extract_boxed", T.extract_boxed(c), BOXED)
+on_answers("txt16_extract_boxed", lambda: T.extract_boxed(c()), BOXED)
 SPACE = f"coalesce(nullif({HASH}, ''), {first_sql('completion', T.ANSWER_IS)}, completion)"
 CHOICE = rf"coalesce({last_sql(f'upper({SPACE})', r'\b([A-E])\b')}, {last_sql(SPACE, T.GROUPED)}, trim({SPACE}))"
 YESNO = f"lower(coalesce({first_sql(f'coalesce(nullif({HASH}, ' + chr(39) * 2 + '), completion)', r'(?i)\b(yes|no|true|false)\b')}, trim(coalesce(nullif({HASH}, ''), completion))))"
@@ -88,42 +118,41 @@ def english(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EN = "(SELECT * FROM {completions} WHERE lang = 'en')"
-_over("txt17_extract_choice", english, EN, "benchmark_id", {"value": T.extract_choice(c)}, {"value": CHOICE})
-_over("txt18_extract_yes_no", english, EN, "benchmark_id", {"value": T.extract_yes_no(c)}, {"value": YESNO})
-_over("txt19_extract_answer", english, EN, "benchmark_id", {"value": T.extract_answer(c, F.col("kind"))}, {"value": ANSWER})
-_over("txt19_extractor_for", scores, "{scores}", "benchmark_id", {"value": T.extractor_for(F.col("benchmark"), F.when(F.col("skill") == "MACHINERY", "mathematical").otherwise(F.col("skill")), F.col("normalized_predicted"), F.col("arm") == "seen")},
+_over("txt17_extract_choice", english, EN, "benchmark_id", lambda: {"value": T.extract_choice(c())}, {"value": CHOICE})
+_over("txt18_extract_yes_no", english, EN, "benchmark_id", lambda: {"value": T.extract_yes_no(c())}, {"value": YESNO})
+_over("txt19_extract_answer", english, EN, "benchmark_id", lambda: {"value": T.extract_answer(c(), F.col("kind"))}, {"value": ANSWER})
+_over("txt19_extractor_for", scores, "{scores}", "benchmark_id", lambda: {"value": T.extractor_for(F.col("benchmark"), F.when(F.col("skill") == "MACHINERY", "mathematical").otherwise(F.col("skill")), F.col("normalized_predicted"), F.col("arm") == "seen")},
       {"value": "CASE WHEN skill = 'MACHINERY' THEN 'boxed' WHEN coalesce(arm, '') = 'seen' THEN 'multiple_choice' ELSE 'numeric' END"})
-on_answers("txt22_canonical_number", T.canonical_number(F.concat(F.lit("\\text{"), F.col("gold"), F.lit(".00}"))), "gold")
-on_answers("txt23_cut_at_exemplar", T.cut_at_exemplar(c), r"regexp_replace(completion, '(?s)\n\s*(?:Question|Q)\s*:.*', '')")
-on_answers("txt23_finished", T.finished(c, F.col("gold") == "7", 4), r"gold = '7' OR regexp_matches(completion, '\n\s*(?:Question|Q)\s*:')")
-on_docs("txt24_sentences", F.size(T.sentences(x)), r"len(list_filter(regexp_extract_all(text, '([^.!?]*[.!?]+\s*|[^.!?]+$)', 1), lambda s: trim(s) <> ''))")
-on_docs("txt25_sentence_parts", F.size(T.sentence_parts(x)), r"len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)))")
-on_answers("txt27_is_question", T.is_question(F.concat(c, F.when(F.col("gold") < "3", "?").otherwise(""))), rf"regexp_matches(lower(trim(completion || CASE WHEN gold < '3' THEN '?' ELSE '' END)), '{q(T.QUESTION)}')")
-on_answers("txt29_order_safe", T.order_safe(c), " AND ".join(rf"NOT regexp_matches(lower(completion), '{q(p)}')" for p in (T.PRONOUN, T.TEMPORAL, T.BACK)))
-_over("txt30_abstains", english, EN, "benchmark_id", {"value": T.abstains(c)}, {"value": rf"regexp_matches(completion, '{q(T.ABSTAIN)}')"})
-VERDICT = F.concat(F.when(F.col("verdict"), "This is CORRECT. ").when(~F.col("verdict"), "Incorrect! ").otherwise("unsure "), F.when(F.col("stratum") == 4, "correct or incorrect").otherwise(""))
+on_answers("txt22_canonical_number", lambda: T.canonical_number(F.concat(F.lit("\\text{"), F.col("gold"), F.lit(".00}"))), "gold")
+on_answers("txt23_cut_at_exemplar", lambda: T.cut_at_exemplar(c()), r"regexp_replace(completion, '(?s)\n\s*(?:Question|Q)\s*:.*', '')")
+on_answers("txt23_finished", lambda: T.finished(c(), F.col("gold") == "7", 4), r"gold = '7' OR regexp_matches(completion, '\n\s*(?:Question|Q)\s*:')")
+on_docs("txt24_sentences", lambda: F.size(T.sentences(x())), r"len(list_filter(regexp_extract_all(text, '([^.!?]*[.!?]+\s*|[^.!?]+$)', 1), lambda s: trim(s) <> ''))")
+on_docs("txt25_sentence_parts", lambda: F.size(T.sentence_parts(x())), r"len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)))")
+on_answers("txt27_is_question", lambda: T.is_question(F.concat(c(), F.when(F.col("gold") < "3", "?").otherwise(""))), rf"regexp_matches(lower(trim(completion || CASE WHEN gold < '3' THEN '?' ELSE '' END)), '{q(T.QUESTION)}')")
+on_answers("txt29_order_safe", lambda: T.order_safe(c()), " AND ".join(rf"NOT regexp_matches(lower(completion), '{q(p)}')" for p in (T.PRONOUN, T.TEMPORAL, T.BACK)))
+_over("txt30_abstains", english, EN, "benchmark_id", lambda: {"value": T.abstains(c())}, {"value": rf"regexp_matches(completion, '{q(T.ABSTAIN)}')"})
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import judge
 
-    return judge(spark, sf_dir).withColumn("raw", VERDICT)
+    return judge(spark, sf_dir).withColumn("raw", VERDICT())
 
 
 _over("txt31_judge_verdict", judged, "(SELECT *, upper((CASE WHEN verdict THEN 'This is CORRECT. ' WHEN NOT verdict THEN 'Incorrect! ' ELSE 'unsure ' END) || (CASE WHEN stratum = 4 THEN 'correct or incorrect' ELSE '' END)) AS raw FROM {judge})", "benchmark_id",
-      {"value": T.judge_verdict(F.col("raw"))}, {"value": "CASE WHEN contains(replace(raw, 'INCORRECT', ''), 'CORRECT') AND NOT contains(raw, 'INCORRECT') THEN true WHEN contains(raw, 'INCORRECT') AND NOT contains(replace(raw, 'INCORRECT', ''), 'CORRECT') THEN false END"})
-on_answers("txt32_judge_prompt", F.format_string("Reference: %s\nAnswer (tail): %s\nReply CORRECT or INCORRECT.", F.col("gold"), F.right(c, F.lit(1200))), r"'Reference: ' || gold || chr(10) || 'Answer (tail): ' || right(completion, 1200) || chr(10) || 'Reply CORRECT or INCORRECT.'")
-on_answers("txt33_build_prompt", F.concat(F.col("gold"), F.when(F.col("kind") == "multiple_choice", "\nThink step by step, then answer with the single letter of the correct option after '####'.").when(F.col("kind") == "yes_no", "\nThink step by step, then answer 'yes' or 'no' after '####'.").otherwise("\nLet's think step by step, then give the final answer after '####'.")),
+      lambda: {"value": T.judge_verdict(F.col("raw"))}, {"value": "CASE WHEN contains(replace(raw, 'INCORRECT', ''), 'CORRECT') AND NOT contains(raw, 'INCORRECT') THEN true WHEN contains(raw, 'INCORRECT') AND NOT contains(replace(raw, 'INCORRECT', ''), 'CORRECT') THEN false END"})
+on_answers("txt32_judge_prompt", lambda: F.format_string("Reference: %s\nAnswer (tail): %s\nReply CORRECT or INCORRECT.", F.col("gold"), F.right(c(), F.lit(1200))), r"'Reference: ' || gold || chr(10) || 'Answer (tail): ' || right(completion, 1200) || chr(10) || 'Reply CORRECT or INCORRECT.'")
+on_answers("txt33_build_prompt", lambda: F.concat(F.col("gold"), F.when(F.col("kind") == "multiple_choice", "\nThink step by step, then answer with the single letter of the correct option after '####'.").when(F.col("kind") == "yes_no", "\nThink step by step, then answer 'yes' or 'no' after '####'.").otherwise("\nLet's think step by step, then give the final answer after '####'.")),
            "gold || chr(10) || CASE kind WHEN 'multiple_choice' THEN 'Think step by step, then answer with the single letter of the correct option after ''####''.' WHEN 'yes_no' THEN 'Think step by step, then answer ''yes'' or ''no'' after ''####''.' ELSE 'Let''s think step by step, then give the final answer after ''####''.' END")
-on_answers("txt35_stage2_doc", F.concat_ws("\n", c, F.lit("Answer:"), F.col("gold")), "completion || chr(10) || 'Answer:' || chr(10) || gold")
-on_answers("txt37_chain_length", T.chain_length(F.concat(c, F.repeat(F.lit("<<1+2=3>>"), F.col("gold").cast("int") % 5))), "cast(gold AS int) % 5")
-_over("txt38_numbers", english, EN, "benchmark_id", {"n": F.size(T.numbers(c)), "total": F.round(F.aggregate(T.numbers(c), F.lit(0.0), lambda a, v: a + v), 6)},
+on_answers("txt35_stage2_doc", lambda: F.concat_ws("\n", c(), F.lit("Answer:"), F.col("gold")), "completion || chr(10) || 'Answer:' || chr(10) || gold")
+on_answers("txt37_chain_length", lambda: T.chain_length(F.concat(c(), F.repeat(F.lit("<<1+2=3>>"), F.col("gold").cast("int") % 5))), "cast(gold AS int) % 5")
+_over("txt38_numbers", english, EN, "benchmark_id", lambda: {"n": F.size(T.numbers(c())), "total": F.round(F.aggregate(T.numbers(c()), F.lit(0.0), lambda a, v: a + v), 6)},
       {"n": r"len(list_distinct(list_transform(regexp_extract_all(completion, '-?\d+(?:\.\d+)?'), lambda v: v::DOUBLE)))", "total": r"round(coalesce(list_sum(list_distinct(list_transform(regexp_extract_all(completion, '-?\d+(?:\.\d+)?'), lambda v: v::DOUBLE))), 0), 6)"})
 
 
 @register("txt39_int_occurrences")
 def int_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return completions(spark, sf_dir).select("benchmark_id", T.int_occurrences(c, F.col("gold")).alias("n"))
+    return completions(spark, sf_dir).select("benchmark_id", T.int_occurrences(c(), F.col("gold")).alias("n"))
 
 
 @register("txt28_domain_noun", sql(r"""
@@ -132,7 +161,7 @@ n AS (SELECT benchmark_id, word, count(*) AS n, min(pos) AS first FROM w WHERE w
 SELECT benchmark_id, word AS noun FROM (SELECT *, row_number() OVER (PARTITION BY benchmark_id ORDER BY n DESC, (CASE WHEN word LIKE '%s' THEN 0 ELSE 1 END), first) AS r FROM n) WHERE r = 1"""))
 def domain_noun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most frequent longer word, plurals before others, then the earliest."""
-    words = completions(spark, sf_dir).select("benchmark_id", F.posexplode(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1))).alias("pos", "word"))
+    words = completions(spark, sf_dir).select("benchmark_id", F.posexplode(F.regexp_extract_all(F.lower(c()), F.lit("([a-z]{4,})"), F.lit(1))).alias("pos", "word"))
     words = words.where(~F.col("word").isin("that", "this", "with", "from", "have", "each", "many", "much", "what", "when", "they", "then", "there", "their"))
     n = words.groupBy("benchmark_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     return n.groupBy("benchmark_id").agg(F.min_by("word", F.struct(-F.col("n"), F.when(F.col("word").endswith("s"), 0).otherwise(1), "first")).alias("noun"))
@@ -148,13 +177,13 @@ def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.containment import matches
 
     i = items(spark, sf_dir).select("id", T.word_grams(T.tokens(F.col("prompt")), 5).alias("g"))
-    d = docs(spark, sf_dir).select("id", T.word_grams(T.tokens(x), 5, short=False).alias("g"))
+    d = docs(spark, sf_dir).select("id", T.word_grams(T.tokens(x()), 5, short=False).alias("g"))
     return matches(i, d).select("item", "doc", F.round(F.col("n_shared") / F.col("n_grams"), 6).alias("overlap"))
 
 
-_over("set01_jaccard", docs, f"(SELECT id, list_distinct({tokens_sql('left(text, 300)')}) AS a, list_distinct({tokens_sql('right(text, 300)')}) AS b FROM {{docs}})", "id", {"value": F.round(T.jaccard(T.token_set(F.left(x, F.lit(300))), T.token_set(F.right(x, F.lit(300)))), 6)},
+_over("set01_jaccard", docs, f"(SELECT id, list_distinct({tokens_sql('left(text, 300)')}) AS a, list_distinct({tokens_sql('right(text, 300)')}) AS b FROM {{docs}})", "id", lambda: {"value": F.round(T.jaccard(T.token_set(F.left(x(), F.lit(300))), T.token_set(F.right(x(), F.lit(300)))), 6)},
       {"value": "round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6)"})
-_over("txt08_weighted_overlap", docs, "{docs}", "id", {"value": F.round(T.weighted_overlap(T.tokens(F.left(x, F.lit(200))), T.tokens(F.right(x, F.lit(200)))), 6)},
+_over("txt08_weighted_overlap", docs, "{docs}", "id", lambda: {"value": F.round(T.weighted_overlap(T.tokens(F.left(x(), F.lit(200))), T.tokens(F.right(x(), F.lit(200)))), 6)},
       {"value": f"round(coalesce((SELECT sum(least(n, (SELECT count(*) FROM (SELECT unnest({tokens_sql('right(text, 200)')}) AS v) WHERE v = u)))::DOUBLE / sum(n) FROM (SELECT u, count(*) AS n FROM (SELECT unnest({tokens_sql('left(text, 200)')}) AS u) GROUP BY u)), 0), 6)"})
 QUAL = r"(SELECT id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM {docs})"
 
@@ -170,14 +199,14 @@ a AS (SELECT w.id, len(w) AS n_tokens, coalesce(len(list_distinct(w)) / nullif(l
 SELECT id, n_tokens, round(ratio, 6) AS distinct_ratio, round(top, 6) AS top_trigram, run AS longest_run,
  n_tokens = 0 OR (n_tokens >= 20 AND (ratio < 0.35 OR top > 0.25)) OR run >= 12 AS degenerate FROM a"""))
 def qual01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = docs(spark, sf_dir).select("id", T.degenerate(x).alias("q"))
+    df = docs(spark, sf_dir).select("id", T.degenerate(x()).alias("q"))
     return df.select("id", "q.n_tokens", F.round("q.distinct_ratio", 6).alias("distinct_ratio"), F.round("q.top_trigram", 6).alias("top_trigram"), "q.longest_run", "q.degenerate")
 
 
 @register("agg27_quality_report", sql(rf"""
 WITH w AS {QUAL} SELECT count(*) AS n, count(*) FILTER (WHERE len(w) = 0 OR (len(w) >= 20 AND len(list_distinct(w)) / len(w) < 0.35)) AS n_repetitive FROM w"""))
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q_ = docs(spark, sf_dir).select(T.degenerate(x).alias("q"))
+    q_ = docs(spark, sf_dir).select(T.degenerate(x()).alias("q"))
     return q_.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("q.reasons", "empty") | F.array_contains("q.reasons", "low_distinct_token_ratio")).alias("n_repetitive"))
 
 
@@ -191,12 +220,12 @@ def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NVE = "CASE cast(benchmark_id AS bigint) % 6 WHEN 0 THEN gold::DOUBLE WHEN 1 THEN 1000 + gold::DOUBLE WHEN 2 THEN gold::DOUBLE / 100 WHEN 3 THEN gold::DOUBLE / 4 WHEN 4 THEN gold::DOUBLE / 8 END"
-_over("num01_numeric_value", number_forms, NV, "benchmark_id", {"value": F.round(A.numeric_value(F.col("a")), 6)}, {"value": f"round({NVE}, 6)"})
-_over("num02_numeric_equal", number_forms, NV, "benchmark_id", {"value": A.close(A.numeric_value(F.col("a")), A.numeric_value(F.col("gold")))}, {"value": f"coalesce(abs(({NVE}) - gold::DOUBLE) <= 1e-9 + 1e-6 * greatest(abs({NVE}), gold::DOUBLE), false)"})
-_over("num04_answers_equivalent", number_forms, NV, "benchmark_id", {"text": A.equivalent(F.col("gold"), F.col("a"), F.lit("text")), "numeric": A.equivalent(F.col("gold"), F.col("a"), F.lit("numeric"))},
+_over("num01_numeric_value", number_forms, NV, "benchmark_id", lambda: {"value": F.round(A.numeric_value(F.col("a")), 6)}, {"value": f"round({NVE}, 6)"})
+_over("num02_numeric_equal", number_forms, NV, "benchmark_id", lambda: {"value": A.close(A.numeric_value(F.col("a")), A.numeric_value(F.col("gold")))}, {"value": f"coalesce(abs(({NVE}) - gold::DOUBLE) <= 1e-9 + 1e-6 * greatest(abs({NVE}), gold::DOUBLE), false)"})
+_over("num04_answers_equivalent", number_forms, NV, "benchmark_id", lambda: {"text": A.equivalent(F.col("gold"), F.col("a"), F.lit("text")), "numeric": A.equivalent(F.col("gold"), F.col("a"), F.lit("numeric"))},
       {"text": "a = gold", "numeric": f"coalesce(abs(({NVE}) - gold::DOUBLE) <= 1e-9 + 1e-6 * greatest(abs({NVE}), gold::DOUBLE), false)"})
-_over("num16_int_or_none", number_forms, NV, "benchmark_id", {"value": F.coalesce(A.int_or_none(F.col("a")), F.lit(-1))}, {"value": "CASE WHEN cast(benchmark_id AS bigint) % 6 = 0 THEN gold::BIGINT ELSE -1 END"})
-_over("num04_answer_kind", scores, "{scores}", "benchmark_id", {"value": A.answer_kind(F.col("benchmark"), F.when(F.col("skill") == "BUILDING", "arithmetic").otherwise(F.col("skill")), F.col("normalized_predicted"), F.col("arm") == "seen")},
+_over("num16_int_or_none", number_forms, NV, "benchmark_id", lambda: {"value": F.coalesce(A.int_or_none(F.col("a")), F.lit(-1))}, {"value": "CASE WHEN cast(benchmark_id AS bigint) % 6 = 0 THEN gold::BIGINT ELSE -1 END"})
+_over("num04_answer_kind", scores, "{scores}", "benchmark_id", lambda: {"value": A.answer_kind(F.col("benchmark"), F.when(F.col("skill") == "BUILDING", "arithmetic").otherwise(F.col("skill")), F.col("normalized_predicted"), F.col("arm") == "seen")},
       {"value": "CASE WHEN coalesce(arm, '') = 'seen' THEN 'multiple_choice' WHEN skill = 'BUILDING' THEN 'numeric' ELSE 'text' END"})
 
 
@@ -204,8 +233,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
-e = F.col("embedding")
-_over("num10_norm_dot_cosine", vectors, "embeddings", "vec_id", {"norm": F.round(A.norm(e), 5), "cosine_with_reversed": F.round(A.cosine(e, F.reverse(e)), 5), "unit_norm": F.round(A.norm(A.unit(e)), 5)},
+_over("num10_norm_dot_cosine", vectors, "embeddings", "vec_id", lambda: {"norm": F.round(A.norm(e()), 5), "cosine_with_reversed": F.round(A.cosine(e(), F.reverse(e())), 5), "unit_norm": F.round(A.norm(A.unit(e())), 5)},
       {"norm": "round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5)", "cosine_with_reversed": "round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 5)", "unit_norm": "1.0::DOUBLE"})
 
 
@@ -217,24 +245,21 @@ def hashing_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # CLS
-s = {k: F.col(k) for k in ("variant_type", "arm", "value", "stratum", "model")}
 P, S2 = "(cast(floor(value) AS bigint) % 100) / 100e0", "(cast(floor(value) AS bigint) % 89) / 89e0"
-p1, p2 = (F.floor(s["value"]) % 100) / 100.0, (F.floor(s["value"]) % 89) / 89.0
-_over("cls02_contamination_label", scores, "{scores}", "benchmark_id", {"value": R.contamination_label(p1, p2)}, {"value": f"CASE WHEN {P} > 0.90 OR {S2} > 0.60 THEN 'contaminated' WHEN {P} > 0.75 OR {S2} > 0.30 THEN 'partial' ELSE 'clean' END"})
-_over("cls03_containment_verdict", scores, "{scores}", "benchmark_id", {"value": R.containment_verdict(p1, s["stratum"])}, {"value": f"CASE WHEN stratum = 0 THEN 'too_short' WHEN {P} >= 0.8 THEN 'seen' WHEN {P} <= 0.1 THEN 'unseen' ELSE 'ambiguous' END"})
-_over("cls05_transition_class", scores, "{scores}", "benchmark_id", {"value": R.transition_class(p1, p2), "rl": R.rl_verdict(p1 - p2, p2 - 0.5)},
+_over("cls02_contamination_label", scores, "{scores}", "benchmark_id", lambda: {"value": R.contamination_label(p1(), p2())}, {"value": f"CASE WHEN {P} > 0.90 OR {S2} > 0.60 THEN 'contaminated' WHEN {P} > 0.75 OR {S2} > 0.30 THEN 'partial' ELSE 'clean' END"})
+_over("cls03_containment_verdict", scores, "{scores}", "benchmark_id", lambda: {"value": R.containment_verdict(p1(), F.col("stratum"))}, {"value": f"CASE WHEN stratum = 0 THEN 'too_short' WHEN {P} >= 0.8 THEN 'seen' WHEN {P} <= 0.1 THEN 'unseen' ELSE 'ambiguous' END"})
+_over("cls05_transition_class", scores, "{scores}", "benchmark_id", lambda: {"value": R.transition_class(p1(), p2()), "rl": R.rl_verdict(p1() - p2(), p2() - 0.5)},
       {"value": f"CASE WHEN {P} >= 0.5 AND {S2} >= 0.5 THEN 'scale_independent' WHEN {S2} >= 0.5 AND {P} < 0.1 THEN 'emergent' WHEN {S2} < 0.3 AND {P} < 0.3 THEN 'scale_resistant' ELSE 'amplified' END", "rl": f"CASE WHEN {P} - {S2} > 0.02 AND {S2} - 0.5 > 0.02 THEN 'genuine_improvement' WHEN {P} - {S2} > 0.02 THEN 'accuracy_only' WHEN {P} - {S2} < -0.02 OR {S2} - 0.5 < -0.02 THEN 'regression' ELSE 'no_change' END"})
-_over("cls06_quadrant", scores, "{scores}", "benchmark_id", {"value": R.quadrant(p1, p2)}, {"value": f"CASE WHEN {P} >= 0.5 AND {S2} >= 0.5 THEN 'genuine' WHEN {P} >= 0.5 THEN 'fragile' WHEN {S2} >= 0.5 THEN 'consistent_gap' ELSE 'random' END"})
-score, method = R.difficulty(F.repeat(F.lit("<<1+1=2>>"), (F.col("id").cast("int") % 3)), F.when(F.col("id").cast("int") % 2 == 0, F.concat(F.lit("Level "), F.col("id"))), F.col("prompt"))
-_over("cls07_difficulty", items, "{items}", "id", {"score": score, "method": method},
+_over("cls06_quadrant", scores, "{scores}", "benchmark_id", lambda: {"value": R.quadrant(p1(), p2())}, {"value": f"CASE WHEN {P} >= 0.5 AND {S2} >= 0.5 THEN 'genuine' WHEN {P} >= 0.5 THEN 'fragile' WHEN {S2} >= 0.5 THEN 'consistent_gap' ELSE 'random' END"})
+_over("cls07_difficulty", items, "{items}", "id", lambda: dict(zip(("score", "method"), stated_difficulty(), strict=True)),
       {"score": r"CASE WHEN cast(id AS int) % 3 > 0 THEN (cast(id AS int) % 3)::DOUBLE WHEN cast(id AS int) % 2 = 0 THEN id::DOUBLE ELSE len(list_filter(regexp_split_to_array(prompt, '\s+'), lambda w: w <> '')) + 5.0::DOUBLE * len(regexp_extract_all(prompt, '-?\d+(?:\.\d+)?')) END", "method": "CASE WHEN cast(id AS int) % 3 > 0 THEN 'gsm8k_steps' WHEN cast(id AS int) % 2 = 0 THEN 'math_level' ELSE 'length_quantity' END"})
-_over("cls09_probe_label", english, EN, "benchmark_id", {"recall_first": R.probe_label(F.coalesce(T.extract_numeric(c) == F.col("gold"), F.lit(False)), T.abstains(c)), "abstain_first": R.probe_label(F.coalesce(T.extract_numeric(c) == F.col("gold"), F.lit(False)), T.abstains(c), False)},
+_over("cls09_probe_label", english, EN, "benchmark_id", lambda: {"recall_first": R.probe_label(F.coalesce(T.extract_numeric(c()) == F.col("gold"), F.lit(False)), T.abstains(c())), "abstain_first": R.probe_label(F.coalesce(T.extract_numeric(c()) == F.col("gold"), F.lit(False)), T.abstains(c()), False)},
       {"recall_first": rf"CASE WHEN {NUM} = gold THEN 'recall' WHEN regexp_matches(completion, '{q(T.ABSTAIN)}') THEN 'abstain' ELSE 'other' END", "abstain_first": rf"CASE WHEN regexp_matches(completion, '{q(T.ABSTAIN)}') THEN 'abstain' WHEN {NUM} = gold THEN 'recall' ELSE 'other' END"})
-_over("cls10_canonical_label", scores, "{scores}", "benchmark_id", {"value": R.canonical_label(F.element_at(F.array(F.lit("exact"), F.lit("partial"), F.lit("paraphrase_candidate"), F.lit("none")), (F.floor(s["value"]) % 4 + 1).cast("int")))}, {"value": "CASE cast(floor(value) AS bigint) % 4 WHEN 0 THEN 'contaminated' WHEN 3 THEN 'clean' ELSE 'partial' END"})
-_over("flt01_answer_changing", scores, "{scores}", "benchmark_id", {"value": R.answer_changing(s["variant_type"], F.col("correct") & (F.col("stratum") == 2))}, {"value": "variant_type IN ('gsm_symbolic', 'numeric_perturbation') OR (correct AND stratum = 2)"})
-_over("flt02_record_arm", scores, "{scores}", "benchmark_id", {"value": R.record_arm(s["arm"])}, {"value": "arm"})
-_over("flt03_record_condition", scores, "{scores}", "benchmark_id", {"value": R.record_condition(s["variant_type"])}, {"value": "CASE WHEN variant_type IN ('gsm_symbolic', 'numeric_perturbation') THEN 'perturbed' ELSE 'original' END"})
+_over("cls10_canonical_label", scores, "{scores}", "benchmark_id", lambda: {"value": R.canonical_label(F.element_at(F.array(F.lit("exact"), F.lit("partial"), F.lit("paraphrase_candidate"), F.lit("none")), (F.floor(F.col("value")) % 4 + 1).cast("int")))}, {"value": "CASE cast(floor(value) AS bigint) % 4 WHEN 0 THEN 'contaminated' WHEN 3 THEN 'clean' ELSE 'partial' END"})
+_over("flt01_answer_changing", scores, "{scores}", "benchmark_id", lambda: {"value": R.answer_changing(F.col("variant_type"), F.col("correct") & (F.col("stratum") == 2))}, {"value": "variant_type IN ('gsm_symbolic', 'numeric_perturbation') OR (correct AND stratum = 2)"})
+_over("flt02_record_arm", scores, "{scores}", "benchmark_id", lambda: {"value": R.record_arm(F.col("arm"))}, {"value": "arm"})
+_over("flt03_record_condition", scores, "{scores}", "benchmark_id", lambda: {"value": R.record_condition(F.col("variant_type"))}, {"value": "CASE WHEN variant_type IN ('gsm_symbolic', 'numeric_perturbation') THEN 'perturbed' ELSE 'original' END"})
 _over("num05_num06_num07_proportions", scores, "{scores}", "benchmark_id",
-      {"z": F.round(A.two_proportions(F.lit(90), F.lit(100), F.col("stratum") + 40, F.lit(100))[0], 6), "p": F.round(A.two_proportions(F.col("stratum") + 45, F.lit(100), F.lit(50), F.lit(100))[1], 6), "low": F.round(A.wilson(F.col("stratum") + 50, F.lit(100))[0], 6), "h": F.round(A.cohens_h(p1, p2), 6)},
+      lambda: {"z": F.round(A.two_proportions(F.lit(90), F.lit(100), F.col("stratum") + 40, F.lit(100))[0], 6), "p": F.round(A.two_proportions(F.col("stratum") + 45, F.lit(100), F.lit(50), F.lit(100))[1], 6), "low": F.round(A.wilson(F.col("stratum") + 50, F.lit(100))[0], 6), "h": F.round(A.cohens_h(p1(), p2()), 6)},
       {"z": "round((0.9e0 - (stratum + 40) / 100e0) / sqrt((130 + stratum) / 200e0 * (1 - (130 + stratum) / 200e0) * 0.02e0), 6)", "p": f"round(least(1, 2 * {A.normal_sf_sql('abs((stratum - 5) / 100e0 / sqrt((95 + stratum) / 200e0 * (1 - (95 + stratum) / 200e0) * 0.02e0))')}), 6)",
        "low": "round(greatest(0, ((stratum + 50) / 100e0 + 3.8414588206941227e0 / 200 - 1.959963984540054e0 * sqrt((stratum + 50) / 100e0 * (1 - (stratum + 50) / 100e0) / 100 + 3.8414588206941227e0 / 40000)) / (1 + 3.8414588206941227e0 / 100)), 6)", "h": f"round(2 * asin(sqrt({P})) - 2 * asin(sqrt({S2})), 6)"})
