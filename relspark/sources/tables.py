@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over all cores where a small table has fewer partitions than that; a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _VALUE = "cast(floor(o_totalprice) as bigint)"
 SCORES = {
     "benchmark_id": "cast(o_orderkey as string)",
@@ -81,7 +87,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(table(spark, sf_dir, "documents"), COMPLETIONS)
+    return _mapped(spread(table(spark, sf_dir, "documents")), COMPLETIONS)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +95,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "source")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("id"), "text", "source")
 
 
 SQL = {
