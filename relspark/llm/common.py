@@ -34,12 +34,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def parts_for(rows: int, each: int) -> int:
-    """Number of partitions that hold about `each` rows, at least the session's default parallelism of a small job."""
-    return max(12, -(-rows // each))
+    """The documents table, dealt over all cores where it has fewer partitions than that."""
+    df, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def salted_rank(df: DataFrame, group: list[str], order: list[str], out: str, rows: int, each: int = 20_000) -> DataFrame:
