@@ -65,8 +65,9 @@ def word_grams(ws: Column, n: int = 13, short: bool = True) -> Column:
 
 def char_grams(x: Column, n: int = 5) -> Column:
     """Distinct n-character windows of the normalised text; a text of n characters or fewer is one gram."""
-    cut = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n))))
-    return _let(normalize_text(x), lambda s: F.when(F.length(s) > n, cut(s)).when(F.length(s) > 0, F.array(s)).otherwise(F.expr(EMPTY)))
+    # Characters are taken from an array: a place in a string is only reached by going there from its start.
+    slide = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + j) for j in range(n)]))
+    return _let(normalize_text(x), lambda s: F.when(F.length(s) > n, F.array_distinct(_let(F.split(s, ""), slide))).when(F.length(s) > 0, F.array(s)).otherwise(F.expr(EMPTY)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -82,9 +83,19 @@ def overlap(query: Column, doc: Column) -> Column:
 
 def weighted_overlap(query: Column, doc: Column) -> Column:
     """Multiset overlap of two word arrays, over the query's size."""
-    count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-    shared = F.aggregate(F.array_distinct(query), F.lit(0), lambda acc, w: acc + F.least(count(query, w), count(doc, w)))
-    return F.when((F.size(query) == 0) | (F.size(doc) == 0), 0.0).otherwise(shared / F.size(query))
+    side = lambda ws, s: F.transform(ws, lambda w: F.struct(w.alias("w"), F.lit(s).alias("s")))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["w"] == x["w"]
+        count = lambda c, s: F.when(same, acc[c]).otherwise(0) + F.when(x["s"] == s, 1).otherwise(0)
+        return F.struct(x["w"].alias("w"), count("a", 0).alias("a"), count("b", 1).alias("b"), F.when(same, acc["sum"]).otherwise(acc["sum"] + F.least(acc["a"], acc["b"])).alias("sum"))
+
+    def of(s: Column) -> Column:
+        shared = F.aggregate(F.sort_array(F.concat(side(s["q"], 0), side(s["d"], 1))), start, step, lambda acc: acc["sum"] + F.least(acc["a"], acc["b"]))
+        return F.when((F.size(s["q"]) == 0) | (F.size(s["d"]) == 0), 0.0).otherwise(shared / F.size(s["q"]))
+
+    return _let(F.struct(query.alias("q"), doc.alias("d")), of)
 
 
 def excerpt(x: Column, limit: int = 320) -> Column:

@@ -7,13 +7,13 @@ join is left to the planner, which shuffles both sides by gram.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import containment_verdict
-from ..functions.text import plain_tokens, tokens, word_grams
+from ..functions.rules import containment_verdict, lexical_label
+from ..functions.text import char_grams, normalize_text, plain_tokens, tokens, word_grams
 
-BROADCAST = 500_000
+BROADCAST, LEAST = 500_000, 0.45
 
 
 def grams(df: DataFrame, text: str, n: int = 13, plain: bool = False, short: bool = True) -> DataFrame:
@@ -53,6 +53,55 @@ def _verdicts(own: DataFrame, matched: DataFrame) -> DataFrame:
     return df.select("item", "n_grams", F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"), value.alias("containment"), containment_verdict(value, F.col("n_grams")).alias("verdict"))
 
 
+def _counted(df: DataFrame, name: str, text: str, most: Column) -> DataFrame:
+    """name, kind (c: character gram, w: word), hash and count of each distinct feature of a text, beside its numbers of features.
+
+    Texts of over `most` distinct character grams give their words only.
+    """
+    def feature(kind: str, value: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), value).alias("k"), n.alias("n"))
+
+    t = df.select(F.col("id").alias(name), normalize_text(F.col(text)).alias("t")).where("t <> ''")
+    t = t.select(name, char_grams(F.col("t")).alias("chars"), F.sort_array(F.split("t", " ")).alias("ws"))
+    # Equal words stand together; a word's count is the way from its first place to the next word's.
+    first = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (i == 0) | (F.get("ws", i) != F.get("ws", i - 1)))
+    t = t.select(name, "chars", "ws", first.alias("first"))
+    words = F.transform("first", lambda i, j: feature("w", F.get("ws", i), F.coalesce(F.get("first", j + 1), F.size("ws")) - i))
+    chars = F.transform(F.when(F.size("chars") <= most, F.col("chars")).otherwise(F.expr("cast(array() as array<string>)")), lambda g: feature("c", g, F.lit(1)))
+    numbers = [F.size("chars").alias("n_c"), F.size("first").alias("n_w"), F.size("ws").alias("total")]
+    return t.select(name, *numbers, F.explode(F.concat(chars, words)).alias("f")).select(name, "n_c", "n_w", "total", "f.*")
+
+
+def lexical_scan(items: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+    """item, doc, score, label: the k best labelled documents of each item by word Jaccard, character 5-gram Jaccard or weighted word overlap.
+
+    An inverted index counts what each pair shares. A Jaccard of LEAST needs sizes within that ratio, so longer documents are not looked up
+    by character grams unless an item has under four words: one of more words whose text a document holds has LEAST by its inner words
+    alone. Texts are compared for the best k only. An item of under five characters is found as a word, not within one. Texts without
+    a word have no hit. Ties go to the lesser document id.
+    """
+    left = _counted(items, "item", "prompt", F.lit(1 << 30))
+    widest, least = left.agg(F.max("n_c"), F.min("total")).first()
+    most = F.lit(1 << 30 if (least or 0) < 4 else widest / LEAST)
+    left = left.select("item", *[F.col(c).alias(f"i_{c}") for c in ("n_c", "n_w", "total", "n")], "kind", "k")
+    left = F.broadcast(left) if left.limit(BROADCAST + 1).count() <= BROADCAST else left
+    hit = _counted(docs, "doc", "text", most).join(left, ["kind", "k"]).where(f"kind = 'w' or n_c <= i_n_c / {LEAST} or i_total < 4")
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
+    pairs = hit.groupBy("item", "doc", "n_c", "n_w", "i_n_c", "i_n_w", "i_total").agg(of("c", F.lit(1)).alias("c"), of("w", F.lit(1)).alias("w"), of("w", F.least("n", "i_n")).alias("m"))
+    shared = lambda kind: F.col(kind) / (F.col(f"n_{kind}") + F.col(f"i_n_{kind}") - F.col(kind))
+    score = F.greatest(shared("w"), shared("c"), F.col("m") / F.col("i_total"))
+    pairs = pairs.select("item", "doc", score.alias("score"), (F.col("c") == F.col("i_n_c")).alias("whole")).where((F.col("score") >= LEAST) | F.col("whole"))
+    own = items.select(F.col("id").alias("item"), normalize_text(F.col("prompt")).alias("it"))
+    texts = docs.select(F.col("id").alias("doc"), normalize_text(F.col("text")).alias("dt"))
+    w = Window.partitionBy("item").orderBy(F.desc(F.round("score", 9)), "doc")
+    best = pairs.where(F.col("score") >= LEAST).select("item", "doc", "score")
+    if (least or 0) < 4:
+        low = pairs.where((F.col("score") < LEAST) & F.col("whole")).join(own, "item").join(texts, "doc").where(F.col("dt").contains(F.col("it")))
+        best = best.unionAll(low.select("item", "doc", "score"))
+    best = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    return best.join(own, "item").join(texts, "doc").select("item", "doc", "score", lexical_label(F.col("it"), F.col("dt"), F.col("score")).alias("label"))
+
+
 def bands(values: DataFrame, value: str = "containment") -> DataFrame:
     """Counts at each threshold, greatest and upper-middle value, of one column."""
     v = F.col(value)

@@ -107,32 +107,35 @@ def _(s, d):
 W = tokens_sql
 
 
+def char_grams_sql(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(length({x}) - 3, 2)), lambda k: substr({x}, k, 5)))"
+
+
 @query("con01_join06_lexical_scan", f"""
-WITH i AS (SELECT id AS item, {norm_sql('prompt')} AS t, {W('prompt')} AS w, list_distinct(list_transform(range(1, length({norm_sql('prompt')}) - 3), lambda k: substr({norm_sql('prompt')}, k, 5))) AS c FROM {{items}} WHERE id::INT < 8),
-d AS (SELECT id AS doc, {norm_sql('x')} AS t, {W('x')} AS w, list_distinct(list_transform(range(1, greatest(length({norm_sql('x')}) - 3, 1)), lambda k: substr({norm_sql('x')}, k, 5))) AS c FROM (SELECT id, left(text, 400) AS x FROM {{docs}})),
-p AS (SELECT item, doc, i.t AS it, d.t AS dt, len(list_intersect(list_distinct(i.w), list_distinct(d.w))) / (len(list_distinct(i.w)) + len(list_distinct(d.w)) - len(list_intersect(list_distinct(i.w), list_distinct(d.w)))) AS a, len(list_intersect(i.c, d.c)) / (len(i.c) + len(d.c) - len(list_intersect(i.c, d.c))) AS b FROM i, d WHERE d.t <> ''),
-s AS (SELECT *, greatest(a, b) AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(score, 9) DESC, doc) AS r FROM s)
-SELECT item, doc, round(score, 6) AS score, CASE WHEN it = dt OR contains(dt, it) OR score >= 0.98 THEN 'exact' WHEN score >= 0.72 THEN 'near_duplicate' WHEN score >= 0.45 THEN 'paraphrase_candidate' ELSE 'none' END AS label FROM r WHERE r <= 5""")
-def _(s, d):
-    """A stated set of items against every document (heads of texts): best of word and character Jaccard, five hits an item."""
-    i = items(s, d).where(F.col("id").cast("int") < 8)
-    prep = lambda df, x, name: df.select(F.col("id").alias(name), T.normalize_text(x).alias(f"{name}_t"), T.token_set(x).alias(f"{name}_w"), T.char_grams(x).alias(f"{name}_c"))
-    left, right = prep(i, F.col("prompt"), "item"), prep(docs(s, d), F.left("text", F.lit(400)), "doc").where("doc_t <> ''")
-    p = right.join(F.broadcast(left))  # eight stated items
-    p = p.withColumn("score", F.greatest(T.jaccard(F.col("item_w"), F.col("doc_w")), T.jaccard(F.col("item_c"), F.col("doc_c"))))
-    p = p.select("item", "doc", "score", R.lexical_label(F.col("item_t"), F.col("doc_t"), F.col("score")).alias("label"))
-    w = Window.partitionBy("item").orderBy(F.desc(F.round("score", 9)), "doc")
-    return p.withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
+WITH i AS (SELECT item, t, string_split(t, ' ') AS w FROM (SELECT id AS item, {norm_sql('prompt')} AS t FROM {{items}}) WHERE t <> ''),
+d AS (SELECT doc, t, string_split(t, ' ') AS w FROM (SELECT id AS doc, {norm_sql('text')} AS t FROM {{docs}}) WHERE t <> ''),
+ic AS (SELECT item, unnest({char_grams_sql('t')}) AS g FROM i), dc AS (SELECT doc, unnest({char_grams_sql('t')}) AS g FROM d),
+iw AS (SELECT item, v, count(*) AS n FROM (SELECT item, unnest(w) AS v FROM i) GROUP BY ALL), dw AS (SELECT doc, v, count(*) AS n FROM (SELECT doc, unnest(w) AS v FROM d) GROUP BY ALL),
+c AS (SELECT item, doc, count(*) AS c FROM ic JOIN dc USING (g) GROUP BY ALL),
+m AS (SELECT item, doc, count(*) AS k, sum(least(iw.n, dw.n)) AS m FROM iw JOIN dw USING (v) GROUP BY ALL),
+icn AS (SELECT item, count(*) AS n FROM ic GROUP BY 1), dcn AS (SELECT doc, count(*) AS n FROM dc GROUP BY 1), iwn AS (SELECT item, count(*) AS n, sum(n) AS total FROM iw GROUP BY 1), dwn AS (SELECT doc, count(*) AS n FROM dw GROUP BY 1),
+p AS (SELECT item, doc, greatest(coalesce(k, 0)::DOUBLE / (iwn.n + dwn.n - coalesce(k, 0)), coalesce(c, 0)::DOUBLE / (icn.n + dcn.n - coalesce(c, 0)), coalesce(m, 0)::DOUBLE / iwn.total) AS score, i.t AS it, d.t AS dt
+ FROM c FULL JOIN m USING (item, doc) JOIN i USING (item) JOIN d USING (doc) JOIN icn USING (item) JOIN dcn USING (doc) JOIN iwn USING (item) JOIN dwn USING (doc)),
+s AS (SELECT item, doc, score, CASE WHEN it = dt OR contains(dt, it) OR score >= 0.98 THEN 'exact' WHEN score >= 0.72 THEN 'near_duplicate' WHEN score >= 0.45 THEN 'paraphrase_candidate' ELSE 'none' END AS label FROM p)
+SELECT item, doc, round(score, 6) AS score, label FROM s WHERE label <> 'none' QUALIFY row_number() OVER (PARTITION BY item ORDER BY round(score, 9) DESC, doc) <= 5""")
+def _(s, d):
+    """Every item against every whole document: best of word Jaccard, character Jaccard and weighted overlap, five hits an item."""
+    return C.lexical_scan(items(s, d), docs(s, d)).select("item", "doc", F.round("score", 6).alias("score"), "label")
 
 
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[])"
-KNN = f"SELECT q.vec_id AS query, x.vec_id AS neighbor, x.label AS label, {COS} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, x.vec_id) AS rank FROM embeddings q, embeddings x WHERE q.vec_id % 10 = 0 AND q.vec_id <> x.vec_id"
+KNN = f"SELECT q.vec_id AS query, x.vec_id AS neighbor, x.label AS label, {COS} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, x.vec_id) AS rank FROM embeddings q, embeddings x WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id"
 
 
 def neighbors(s: SparkSession, d: str, k: int = 20) -> DataFrame:
-    """Every tenth vector as a query against all vectors but itself."""
+    """Every vector whose id is divisible by 100 as a query against all vectors but itself."""
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return V.top_k(e.where("id % 10 = 0"), e, k, exclude_self=True)
+    return V.top_k(e.where("id % 100 = 0"), e, k, exclude_self=True)
 
 
 @query("join07_idx01_knn", f"SELECT query, neighbor, round(cosine, 5) AS cosine, rank::INT AS rank FROM ({KNN}) WHERE rank <= 20", 5)
@@ -144,7 +147,7 @@ def _(s, d):
 def _(s, d):
     """Recall of the inverted lists against the exact top ten."""
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = e.where("id % 10 = 0")
+    q = e.where("id % 100 = 0")
     got = V.top_k_lists(q, e, V.fit_lists(e), 10, 6).select("query", "neighbor").withColumn("hit", F.lit(1))
     return V.top_k(q, e, 10).join(got, ["query", "neighbor"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 

@@ -25,11 +25,11 @@ def n_():
 
 
 # scoring
-@query("scr01_join01_score_generations", f"SELECT kind, count(*) AS n, count(*) FILTER (WHERE {NUM} = gold) AS n_exact FROM {{completions}} WHERE lang = 'en' GROUP BY 1")
+@query("scr01_join01_score_generations", f"SELECT kind, count(*) AS n, count(*) FILTER (WHERE {NUM} = gold) AS n_exact FROM {{completions}} GROUP BY 1")
 def _(s, d):
     """Extract, compare, count; generations without an item would raise."""
     gold = completions(s, d).select("benchmark_id", "gold", "kind").withColumn("known", F.lit(True))
-    g = completions(s, d).where("lang = 'en'").select("benchmark_id", "completion").join(gold, "benchmark_id", "left")
+    g = completions(s, d).select("benchmark_id", "completion").join(gold, "benchmark_id", "left")
     kind = F.when(F.col("known"), F.col("kind")).otherwise(F.raise_error(F.lit("a generation without an item")))
     g = g.withColumn("kind", kind).withColumn("ok", F.coalesce(T.extract_numeric(F.col("completion")) == F.col("gold"), F.lit(False)))
     return g.groupBy("kind").agg(n_().alias("n"), F.count_if("ok").alias("n_exact"))
@@ -274,11 +274,11 @@ def _(s, d):
     return scores(s, d).groupBy("model").agg((at("original") - at("gsm_symbolic")).alias("numeric_effect"), (at("gsm_symbolic") - at("numeric_perturbation")).alias("structural_effect"))
 
 
-@query("agg36_probe_rates", rf"SELECT kind, count(*) AS n, count(*) FILTER (WHERE label = 'recall') AS recall, count(*) FILTER (WHERE label = 'abstain') AS abstain, count(*) FILTER (WHERE label = 'other') AS other FROM (SELECT kind, CASE WHEN {NUM} = gold THEN 'recall' WHEN regexp_matches(completion, '{quoted(T.ABSTAIN)}') THEN 'abstain' ELSE 'other' END AS label FROM {{completions}} WHERE lang = 'en') GROUP BY 1")
+@query("agg36_probe_rates", rf"SELECT kind, count(*) AS n, count(*) FILTER (WHERE label = 'recall') AS recall, count(*) FILTER (WHERE label = 'abstain') AS abstain, count(*) FILTER (WHERE label = 'other') AS other FROM (SELECT kind, CASE WHEN {NUM} = gold THEN 'recall' WHEN regexp_matches(completion, '{quoted(T.ABSTAIN)}') THEN 'abstain' ELSE 'other' END AS label FROM {{completions}}) GROUP BY 1")
 def _(s, d):
     c = F.col("completion")
     label = R.probe_label(F.coalesce(T.extract_numeric(c) == F.col("gold"), F.lit(False)), T.abstains(c))
-    return completions(s, d).where("lang = 'en'").withColumn("label", label).groupBy("kind").agg(n_().alias("n"), *[F.count_if(F.col("label") == k).alias(k) for k in ("recall", "abstain", "other")])
+    return completions(s, d).withColumn("label", label).groupBy("kind").agg(n_().alias("n"), *[F.count_if(F.col("label") == k).alias(k) for k in ("recall", "abstain", "other")])
 
 
 @query("agg37_abstention_discrimination", "SELECT arm, round(100 * (avg((verdict IS NULL)::INT) FILTER (WHERE condition = 'pruned') - avg((verdict IS NULL)::INT) FILTER (WHERE condition = 'control')), 6) AS discrimination FROM {judge} GROUP BY 1")
@@ -377,18 +377,18 @@ def _(s, d):
     return s.createDataFrame([("base", 0, True), ("stage1", 1, True), ("sft", 3, False)], "tag string, step int, is_base boolean").where("step > 0")
 
 
-@query("txt36_divergence", "WITH p AS (SELECT benchmark_id, string_split(lower(left(completion, 60)), ' ') AS a, string_split(lower(left(completion, 60) || ' x'), ' ') AS b FROM {completions}) SELECT benchmark_id, CASE WHEN len(a) < len(b) THEN 'premature_conclusion' ELSE 'no_divergence' END AS category FROM p")
+@query("txt36_divergence", "WITH p AS (SELECT benchmark_id, string_split(lower(completion), ' ') AS a, string_split(lower(completion || ' x'), ' ') AS b FROM {completions}) SELECT benchmark_id, CASE WHEN len(a) < len(b) THEN 'premature_conclusion' ELSE 'no_divergence' END AS category FROM p")
 def _(s, d):
-    a, b = F.split(F.left("completion", F.lit(60)), " "), F.split(F.concat(F.left("completion", F.lit(60)), F.lit(" x")), " ")
+    a, b = F.split("completion", " "), F.split(F.concat("completion", F.lit(" x")), " ")
     return completions(s, d).select("benchmark_id", splits.divergence(a, b, F.lit(False), F.lit(True)).alias("category"))
 
 
-@query("gen02_verbatim_match", "SELECT doc_id, round(list_sum(list_transform(range(1, 51), lambda i: (substr(text, i, 1) = substr(lower(text), i, 1))::INT)) / 50, 6) AS share FROM documents WHERE length(text) >= 50")
+@query("gen02_verbatim_match", "SELECT doc_id, round(list_sum(list_transform(list_zip(string_split(text, ''), string_split(lower(text), '')), lambda p: (p[1] = p[2])::INT)) / length(text), 6) AS share FROM documents WHERE text <> ''")
 def _(s, d):
     """Share of positions at which two token sequences agree."""
-    t = table(s, d, "documents").where(F.length("text") >= 50)
-    a, b = F.split(F.left("text", F.lit(50)), ""), F.split(F.left(F.lower("text"), F.lit(50)), "")
-    return t.select("doc_id", (F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, v: acc + v) / 50).alias("share"))
+    t = table(s, d, "documents").where("text <> ''")
+    a, b = F.split("text", ""), F.split(F.lower("text"), "")
+    return t.select("doc_id", (F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, v: acc + v) / F.length("text")).alias("share"))
 
 
 @query("gate01_extraction_suspect", "SELECT model, avg(correct::INT) < 0.02 AS suspect, avg(finished::INT) < 0.85 AS unfinished FROM {scores} GROUP BY 1")

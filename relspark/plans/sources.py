@@ -29,9 +29,9 @@ def _(s, d):
     return S.benchmark_items(parsed(table(s, d, "benchmark"), j, S.ITEM))
 
 
-@query("src05_generation_reader", "SELECT cast(doc_id AS string) AS benchmark_id, left(text, 80) AS completion, 'unknown' AS model FROM documents WHERE text <> ''")
+@query("src05_generation_reader", "SELECT cast(doc_id AS string) AS benchmark_id, text AS completion, 'unknown' AS model FROM documents WHERE text <> ''")
 def _(s, d):
-    k, t = F.col("doc_id") % 2, F.left("text", F.lit(80))
+    k, t = F.col("doc_id") % 2, F.col("text")
     j = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.when(k == 0, t).alias("prediction"), F.when(k == 1, t).alias("response")))
     return S.generations(parsed(table(s, d, "documents").where("text <> ''"), j, S.GENERATION))
 

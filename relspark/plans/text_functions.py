@@ -110,17 +110,9 @@ SPACE = f"coalesce(nullif({HASH}, ''), {first_sql('completion', T.ANSWER_IS)}, c
 CHOICE = rf"coalesce({last_sql(f'upper({SPACE})', r'\b([A-E])\b')}, {last_sql(SPACE, T.GROUPED)}, trim({SPACE}))"
 YESNO = f"lower(coalesce({first_sql(f'coalesce(nullif({HASH}, ' + chr(39) * 2 + '), completion)', r'(?i)\b(yes|no|true|false)\b')}, trim(coalesce(nullif({HASH}, ''), completion))))"
 ANSWER = f"CASE kind WHEN 'boxed' THEN {BOXED} WHEN 'multiple_choice' THEN {CHOICE} WHEN 'yes_no' THEN {YESNO} ELSE {NUM} END"
-ASCII = "lang = 'en'"
-
-
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return completions(spark, sf_dir).where(ASCII)
-
-
-EN = "(SELECT * FROM {completions} WHERE lang = 'en')"
-_over("txt17_extract_choice", english, EN, "benchmark_id", lambda: {"value": T.extract_choice(c())}, {"value": CHOICE})
-_over("txt18_extract_yes_no", english, EN, "benchmark_id", lambda: {"value": T.extract_yes_no(c())}, {"value": YESNO})
-_over("txt19_extract_answer", english, EN, "benchmark_id", lambda: {"value": T.extract_answer(c(), F.col("kind"))}, {"value": ANSWER})
+_over("txt17_extract_choice", completions, "{completions}", "benchmark_id", lambda: {"value": T.extract_choice(c())}, {"value": CHOICE})
+_over("txt18_extract_yes_no", completions, "{completions}", "benchmark_id", lambda: {"value": T.extract_yes_no(c())}, {"value": YESNO})
+_over("txt19_extract_answer", completions, "{completions}", "benchmark_id", lambda: {"value": T.extract_answer(c(), F.col("kind"))}, {"value": ANSWER})
 _over("txt19_extractor_for", scores, "{scores}", "benchmark_id", lambda: {"value": T.extractor_for(F.col("benchmark"), F.when(F.col("skill") == "MACHINERY", "mathematical").otherwise(F.col("skill")), F.col("normalized_predicted"), F.col("arm") == "seen")},
       {"value": "CASE WHEN skill = 'MACHINERY' THEN 'boxed' WHEN coalesce(arm, '') = 'seen' THEN 'multiple_choice' ELSE 'numeric' END"})
 on_answers("txt22_canonical_number", lambda: T.canonical_number(F.concat(F.lit("\\text{"), F.col("gold"), F.lit(".00}"))), "gold")
@@ -130,7 +122,7 @@ on_docs("txt24_sentences", lambda: F.size(T.sentences(x())), r"len(list_filter(r
 on_docs("txt25_sentence_parts", lambda: F.size(T.sentence_parts(x())), r"len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)))")
 on_answers("txt27_is_question", lambda: T.is_question(F.concat(c(), F.when(F.col("gold") < "3", "?").otherwise(""))), rf"regexp_matches(lower(trim(completion || CASE WHEN gold < '3' THEN '?' ELSE '' END)), '{q(T.QUESTION)}')")
 on_answers("txt29_order_safe", lambda: T.order_safe(c()), " AND ".join(rf"NOT regexp_matches(lower(completion), '{q(p)}')" for p in (T.PRONOUN, T.TEMPORAL, T.BACK)))
-_over("txt30_abstains", english, EN, "benchmark_id", lambda: {"value": T.abstains(c())}, {"value": rf"regexp_matches(completion, '{q(T.ABSTAIN)}')"})
+_over("txt30_abstains", completions, "{completions}", "benchmark_id", lambda: {"value": T.abstains(c())}, {"value": rf"regexp_matches(completion, '{q(T.ABSTAIN)}')"})
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +138,7 @@ on_answers("txt33_build_prompt", lambda: F.concat(F.col("gold"), F.when(F.col("k
            "gold || chr(10) || CASE kind WHEN 'multiple_choice' THEN 'Think step by step, then answer with the single letter of the correct option after ''####''.' WHEN 'yes_no' THEN 'Think step by step, then answer ''yes'' or ''no'' after ''####''.' ELSE 'Let''s think step by step, then give the final answer after ''####''.' END")
 on_answers("txt35_stage2_doc", lambda: F.concat_ws("\n", c(), F.lit("Answer:"), F.col("gold")), "completion || chr(10) || 'Answer:' || chr(10) || gold")
 on_answers("txt37_chain_length", lambda: T.chain_length(F.concat(c(), F.repeat(F.lit("<<1+2=3>>"), F.col("gold").cast("int") % 5))), "cast(gold AS int) % 5")
-_over("txt38_numbers", english, EN, "benchmark_id", lambda: {"n": F.size(T.numbers(c())), "total": F.round(F.aggregate(T.numbers(c()), F.lit(0.0), lambda a, v: a + v), 6)},
+_over("txt38_numbers", completions, "{completions}", "benchmark_id", lambda: {"n": F.size(T.numbers(c())), "total": F.round(F.aggregate(T.numbers(c()), F.lit(0.0), lambda a, v: a + v), 6)},
       {"n": r"len(list_distinct(list_transform(regexp_extract_all(completion, '-?\d+(?:\.\d+)?'), lambda v: v::DOUBLE)))", "total": r"round(coalesce(list_sum(list_distinct(list_transform(regexp_extract_all(completion, '-?\d+(?:\.\d+)?'), lambda v: v::DOUBLE))), 0), 6)"})
 
 
@@ -181,10 +173,25 @@ def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(i, d).select("item", "doc", F.round(F.col("n_shared") / F.col("n_grams"), 6).alias("overlap"))
 
 
-_over("set01_jaccard", docs, f"(SELECT id, list_distinct({tokens_sql('left(text, 300)')}) AS a, list_distinct({tokens_sql('right(text, 300)')}) AS b FROM {{docs}})", "id", lambda: {"value": F.round(T.jaccard(T.token_set(F.left(x(), F.lit(300))), T.token_set(F.right(x(), F.lit(300)))), 6)},
+HEAD, TAIL = "left(text, length(text) // 2)", "substr(text, length(text) // 2 + 1)"
+
+
+def halves() -> tuple[Column, Column]:
+    """The two halves of a whole text, as two texts to be compared."""
+    n = F.floor(F.length(x()) / 2).cast("int")
+    return F.left(x(), n), F.substr(x(), n + 1)
+
+
+_over("set01_jaccard", docs, f"(SELECT id, list_distinct({tokens_sql(HEAD)}) AS a, list_distinct({tokens_sql(TAIL)}) AS b FROM {{docs}})", "id", lambda: {"value": F.round(T.jaccard(*map(T.token_set, halves())), 6)},
       {"value": "round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6)"})
-_over("txt08_weighted_overlap", docs, "{docs}", "id", lambda: {"value": F.round(T.weighted_overlap(T.tokens(F.left(x(), F.lit(200))), T.tokens(F.right(x(), F.lit(200)))), 6)},
-      {"value": f"round(coalesce((SELECT sum(least(n, (SELECT count(*) FROM (SELECT unnest({tokens_sql('right(text, 200)')}) AS v) WHERE v = u)))::DOUBLE / sum(n) FROM (SELECT u, count(*) AS n FROM (SELECT unnest({tokens_sql('left(text, 200)')}) AS u) GROUP BY u)), 0), 6)"})
+@register("txt08_weighted_overlap", sql(f"""
+WITH q AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest({tokens_sql(HEAD)}) AS w FROM {{docs}}) GROUP BY ALL), d AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest({tokens_sql(TAIL)}) AS w FROM {{docs}}) GROUP BY ALL),
+m AS (SELECT id, sum(least(q.n, d.n))::DOUBLE AS m FROM q JOIN d USING (id, w) GROUP BY 1), t AS (SELECT id, sum(n) AS t FROM q GROUP BY 1)
+SELECT id, round(coalesce(m / t, 0), 6) AS value FROM {{docs}} LEFT JOIN m USING (id) LEFT JOIN t USING (id)"""))
+def weighted_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("id", F.round(T.weighted_overlap(*map(T.tokens, halves())), 6).alias("value"))
+
+
 QUAL = r"(SELECT id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM {docs})"
 
 
@@ -253,7 +260,7 @@ _over("cls05_transition_class", scores, "{scores}", "benchmark_id", lambda: {"va
 _over("cls06_quadrant", scores, "{scores}", "benchmark_id", lambda: {"value": R.quadrant(p1(), p2())}, {"value": f"CASE WHEN {P} >= 0.5 AND {S2} >= 0.5 THEN 'genuine' WHEN {P} >= 0.5 THEN 'fragile' WHEN {S2} >= 0.5 THEN 'consistent_gap' ELSE 'random' END"})
 _over("cls07_difficulty", items, "{items}", "id", lambda: dict(zip(("score", "method"), stated_difficulty(), strict=True)),
       {"score": r"CASE WHEN cast(id AS int) % 3 > 0 THEN (cast(id AS int) % 3)::DOUBLE WHEN cast(id AS int) % 2 = 0 THEN id::DOUBLE ELSE len(list_filter(regexp_split_to_array(prompt, '\s+'), lambda w: w <> '')) + 5.0::DOUBLE * len(regexp_extract_all(prompt, '-?\d+(?:\.\d+)?')) END", "method": "CASE WHEN cast(id AS int) % 3 > 0 THEN 'gsm8k_steps' WHEN cast(id AS int) % 2 = 0 THEN 'math_level' ELSE 'length_quantity' END"})
-_over("cls09_probe_label", english, EN, "benchmark_id", lambda: {"recall_first": R.probe_label(F.coalesce(T.extract_numeric(c()) == F.col("gold"), F.lit(False)), T.abstains(c())), "abstain_first": R.probe_label(F.coalesce(T.extract_numeric(c()) == F.col("gold"), F.lit(False)), T.abstains(c()), False)},
+_over("cls09_probe_label", completions, "{completions}", "benchmark_id", lambda: {"recall_first": R.probe_label(F.coalesce(T.extract_numeric(c()) == F.col("gold"), F.lit(False)), T.abstains(c())), "abstain_first": R.probe_label(F.coalesce(T.extract_numeric(c()) == F.col("gold"), F.lit(False)), T.abstains(c()), False)},
       {"recall_first": rf"CASE WHEN {NUM} = gold THEN 'recall' WHEN regexp_matches(completion, '{q(T.ABSTAIN)}') THEN 'abstain' ELSE 'other' END", "abstain_first": rf"CASE WHEN regexp_matches(completion, '{q(T.ABSTAIN)}') THEN 'abstain' WHEN {NUM} = gold THEN 'recall' ELSE 'other' END"})
 _over("cls10_canonical_label", scores, "{scores}", "benchmark_id", lambda: {"value": R.canonical_label(F.element_at(F.array(F.lit("exact"), F.lit("partial"), F.lit("paraphrase_candidate"), F.lit("none")), (F.floor(F.col("value")) % 4 + 1).cast("int")))}, {"value": "CASE cast(floor(value) AS bigint) % 4 WHEN 0 THEN 'contaminated' WHEN 3 THEN 'clean' ELSE 'partial' END"})
 _over("flt01_answer_changing", scores, "{scores}", "benchmark_id", lambda: {"value": R.answer_changing(F.col("variant_type"), F.col("correct") & (F.col("stratum") == 2))}, {"value": "variant_type IN ('gsm_symbolic', 'numeric_perturbation') OR (correct AND stratum = 2)"})

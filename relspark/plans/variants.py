@@ -63,9 +63,9 @@ def _(s, d):
     return V.quantity_ablation(word_problems(s, d))
 
 
-@query("var17_dose_stream", "WITH a AS (SELECT id, prompt AS text, k::INT AS copy, 0 AS f FROM {items}, range(1, 4) r(k) WHERE id::INT < 10 UNION ALL SELECT id, text, 0, 1 FROM {docs}), t AS (SELECT *, sum(length(text)) OVER (ORDER BY f, md5('6198:' || id || ':' || copy)) AS total FROM a) SELECT id, copy FROM t WHERE total <= 100000")
+@query("var17_dose_stream", "WITH a AS (SELECT id, prompt AS text, k::INT AS copy, 0 AS f FROM {items}, range(1, 4) r(k) UNION ALL SELECT id, text, 0, 1 FROM {docs}), t AS (SELECT *, sum(length(text)) OVER (ORDER BY f, md5('6198:' || id || ':' || copy)) AS total FROM a) SELECT id, copy FROM t WHERE total <= 100000")
 def _(s, d):
-    repeat = items(s, d).where(F.col("id").cast("int") < 10).select("id", F.col("prompt").alias("text"))
+    repeat = items(s, d).select("id", F.col("prompt").alias("text"))
     return V.dose_stream(repeat, docs(s, d).select("id", "text"), 3, 100_000).select("id", "copy")
 
 

@@ -11,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Dealt over all cores where a small table has fewer partitions than that; a table of many files is left as it is."""
+    """Dealt over all cores where a small table has fewer files than that; a table of many files is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 _VALUE = "cast(floor(o_totalprice) as bigint)"
@@ -54,7 +54,7 @@ COMPLETIONS = {
     "benchmark_id": "cast(doc_id as string)",
     "gold": "cast(doc_id % 50 as string)",
     "kind": "case doc_id % 4 when 0 then 'numeric' when 1 then 'boxed' when 2 then 'multiple_choice' else 'yes_no' end",
-    "completion": r"""concat(substring(text, 1, 160), case doc_id % 8 when 0 then concat(chr(10), '#### ', cast(doc_id % 50 as string)) when 1 then concat('. The answer is $', cast(doc_id % 50 as string), '.') when 2 then concat(' so ', chr(92), 'boxed{', cast(doc_id % 49 as string), '}') when 3 then '. So yes' when 4 then concat('. Final answer: ', cast(doc_id % 50 as string), ',000') when 5 then '. We have not enough information' when 6 then concat(chr(10), 'Question: another 3/4') else '. Option B fits' end)""",
+    "completion": r"""concat(text, case doc_id % 8 when 0 then concat(chr(10), '#### ', cast(doc_id % 50 as string)) when 1 then concat('. The answer is $', cast(doc_id % 50 as string), '.') when 2 then concat(' so ', chr(92), 'boxed{', cast(doc_id % 49 as string), '}') when 3 then '. So yes' when 4 then concat('. Final answer: ', cast(doc_id % 50 as string), ',000') when 5 then '. We have not enough information' when 6 then concat(chr(10), 'Question: another 3/4') else '. Option B fits' end)""",
     "lang": "lang",
 }
 
