@@ -34,9 +34,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, dealt over all cores where it has fewer partitions than that."""
+    """The documents table, dealt over all cores where it has fewer files than that."""
     df, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def salted_rank(df: DataFrame, group: list[str], order: list[str], out: str, rows: int, each: int = 20_000) -> DataFrame:
