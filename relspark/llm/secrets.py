@@ -1,15 +1,22 @@
 """Secret scans, in DataFrame functions only: pattern spans, and random-looking tokens by a battery of randomness tests.
 
 A token is a maximal run of at least MIN_TOKEN encoding characters. Its encoding is inferred from its alphabet; chi-squared uniformity
-over the alphabet, a runs test about its middle and lag-1 serial correlation measure how far it is from random in that encoding. What
-ordinary text reaches is not assumed but counted: tokens of letters only are the reference, and a token's p-value is the share of
-reference tokens of at most its length class that look at least as random. Benjamini-Hochberg, with weights by the bits that a length
-class holds, bounds the false discoveries over the tokens that are not reference. Only counts by length class and score (CLASSES x SCORES cells at most,
+over the alphabet, a runs test about its middle and lag-1 serial correlation measure how far it is from random in that encoding. A
+token's p-value is the chance that ordinary text of its length (LONGEST where it is longer) looks at least as uniform: characters
+drawn by their shares in WORDS (English letters with some capitals, digits and separators) and scored among 64, or, for a token of
+digits only, even digits scored among 16. These chances are summed
+exactly over all letter counts (null()), so they are the same in a corpus of any size; runs and correlation only add to a score, so
+leaving them out of the chance makes it no smaller. Benjamini-Hochberg, with weights by the bits that a length holds, bounds the
+false discoveries over the tokens that are not letters only as words are written. Only counts by length and score (2 x CLASSES x SCORES cells at most,
 whatever the corpus) leave the table of documents; the limits found enter the last pass as constants.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from math import factorial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +36,15 @@ ENCODINGS = [
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
     ("base64", "^.+$", UPPER + LOWER + DIGITS + "+/"),
 ]
-MIN_TOKEN, CLASSES, SCORES, STEP, RATE = 20, 9, 1024, 16, 0.01
+MIN_TOKEN, LONGEST, SCORES, STEP, RATE = 20, 100, 1024, 16, 0.01
+CLASSES = LONGEST - MIN_TOKEN + 1
 TOKEN = rf"([A-Za-z0-9+/_-]{{{MIN_TOKEN},}})"
+#: Letters of English text in percent, a to z (rounded published counts).
+ENGLISH = (8.17, 1.49, 2.78, 4.25, 12.7, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41, 6.75, 7.51, 1.93, 0.095, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.074)
+#: What ordinary tokens (words, identifiers, paths) are taken to be drawn from: 90 % lower case, 3 % capitals, 4 % digits, 3 % in two
+#: separators. A fixed assumption; tokens of more mixed make are less unlike random ones than it says.
+WORDS = (*(0.9 * x / sum(ENGLISH) for x in ENGLISH), *(0.03 * x / sum(ENGLISH) for x in ENGLISH), *(0.004,) * 10, *(0.015,) * 2)
+FLOOR = 1e-30  # the least p-value
 SPAN = "struct<kind:int,start:int,end:int>"
 
 
@@ -85,32 +99,53 @@ def badness(token: Column) -> Column:
 
 
 def length_class(token: Column) -> Column:
-    """Classes by length, the last one open."""
-    return F.least(F.floor(F.length(token) / 8) - 2, F.lit(CLASSES - 1)).cast("int")
+    """Classes by length, the last one open; those of tokens of digits only come after the others."""
+    c = F.least(F.length(token), F.lit(LONGEST)) - MIN_TOKEN
+    return (c + F.when(token.rlike("^[0-9]+$"), CLASSES).otherwise(0)).cast("int")
+
 
+@cache
+def nulls(digits: bool) -> list[list[float]]:
+    """For each length and each score below SCORES, the chance that an ordinary token has a chi-squared part of at most that score.
 
-def limits(cells: list[tuple[int, int, int, int]], rate: float = RATE) -> list[int]:
-    """Greatest score of each length class that is a discovery, -1 for none. cells: class, score, tokens, reference tokens.
+    The sum of squared character counts decides the chi-squared statistic; its distribution is summed character by character for all
+    lengths at once, up to the sums that SCORES can need.
+    """
+    k, shares = (16, (0.1,) * 10) if digits else (64, WORDS)
+    df = k - 1
+    spread = 2.0 / (9.0 * df)
+    most = df * (1 - spread + (SCORES / STEP * spread) ** 0.5) ** 3  # chi-squared at the last score
+    top = int((most + LONGEST) * LONGEST / k) + 1
+    table = np.zeros((LONGEST + 1, top + 1))  # by characters placed and sum of squared counts
+    table[0, 0] = 1.0
+    for share in shares:
+        more = np.zeros_like(table)
+        for m in range(int(top**0.5) + 1):
+            more[m:, m * m :] += share**m / factorial(m) * table[: LONGEST + 1 - m, : top + 1 - m * m]
+        table = more
+    out = []
+    for n in range(MIN_TOKEN, LONGEST + 1):
+        chi = np.cbrt(np.maximum(np.arange(top + 1) * k / n - n, 0.0) / df) - (1 - spread)
+        score = np.minimum(np.maximum(chi, 0.0) ** 2 / spread * STEP, SCORES).astype(int)
+        sums = np.cumsum(np.bincount(score, table[n], SCORES + 1))[:SCORES] * float(factorial(n))
+        out.append(np.clip(sums, FLOOR, 1.0).tolist())
+    return out
+
+
+def null(c: int) -> list[float]:
+    return nulls(c >= CLASSES)[c % CLASSES]
+
+
+def limits(cells: list[tuple[int, int, int]], rate: float = RATE) -> list[int]:
+    """Greatest score of each length class that is a discovery, -1 for none. cells: class, score, tokens.
 
     Benjamini-Hochberg at `rate` over p-values p / w, w being the class's bits over the mean bits of all tokens.
     """
-    total = sum(n - r for _, _, n, r in cells)
-    bits = lambda c: 4.0 * 8 * (c + 2)
-    mean = sum(bits(c) * (n - r) for c, _, n, r in cells) / total if total else 1.0
-    ranked, own = [], {}
-    for c in range(CLASSES):
-        ref: dict[int, int] = {}
-        for d, s, _, r in cells:
-            if d <= c:
-                ref[s] = ref.get(s, 0) + r
-        n, below = sum(ref.values()), 0
-        at = {s: k - r for d, s, k, r in cells if d == c and k > r}
-        for s in sorted({*ref, *at}):
-            below += ref.get(s, 0)
-            if s in at:
-                ranked.append((min(1.0, (1 + below) / (1 + n) * mean / bits(c)), c, s, at[s]))
-    ranked.sort()
-    rank, cut = 0, -1.0
+    total = sum(n for _, _, n in cells)
+    bits = lambda c: 4.0 * (c % CLASSES + MIN_TOKEN)
+    mean = sum(bits(c) * n for c, _, n in cells) / total if total else 1.0
+    ranked = sorted((min(1.0, null(c)[s] * mean / bits(c)) if s < SCORES else 1.0, c, s, n) for c, s, n in cells)
+    rank, cut, own = 0, -1.0, {}
     for i, (p, _, _, n) in enumerate(ranked):
         rank += n
         if (i + 1 == len(ranked) or ranked[i + 1][0] > p) and p <= rate * rank / total:
@@ -118,7 +153,7 @@ def limits(cells: list[tuple[int, int, int, int]], rate: float = RATE) -> list[i
     for p, c, s, _ in ranked:
         if p <= cut:
             own[c] = max(own.get(c, -1), s)
-    return [own.get(c, -1) for c in range(CLASSES)]
+    return [own.get(c, -1) for c in range(2 * CLASSES)]
 
 
 def _features(text: Column) -> Column:
@@ -141,8 +176,9 @@ def _features(text: Column) -> Column:
 
 def _limits(features: DataFrame, rate: float) -> Column:
     """Limits by length class as a constant; features: a column f of _features()."""
-    cells = features.select(F.explode("f.tokens").alias("t")).groupBy("t.c", "t.s").agg(F.count(F.lit(1)).alias("n"), F.count_if("t.ref").alias("r")).collect()  # CLASSES x SCORES rows at most
-    return F.array(*[F.lit(x) for x in limits([(r["c"], r["s"], r["n"], r["r"]) for r in cells], rate)])
+    tokens = features.select(F.explode("f.tokens").alias("t")).where("not t.ref")
+    cells = tokens.groupBy("t.c", "t.s").agg(F.count(F.lit(1)).alias("n")).collect()  # 2 x CLASSES x SCORES rows at most
+    return F.array(*[F.lit(x) for x in limits([(r["c"], r["s"], r["n"]) for r in cells], rate)])
 
 
 def _spans(f: Column, cut: Column) -> Column:
