@@ -1,6 +1,7 @@
 """License scans, in DataFrame functions only: MinHash bands over text windows retrieve templates, shingle containment verifies them.
 
-Texts are lower-cased words of letters and digits; a shingle is five words. Windows of SCALES shingles overlap by half. A template (or,
+Texts are lower-cased words of letters and digits; a shingle is five words. A template under five words is one shingle of all its words,
+and the texts that hold the longest word of such a template are looked through in shingles of that width too. Windows of SCALES shingles overlap by half. A template (or,
 where it is longer than half the widest window, each of its pieces) belongs to the narrowest scale whose half window holds it, so some
 window contains it whole. A window and a template collide where one of BANDS one-row bands, each the least shingle under its own hash,
 is equal. A template found at a containment of 0.8 or more fills at least an eighth of its window, so they collide with a probability
@@ -11,6 +12,10 @@ shingles within reach of the window. Templates are a fixed list, so everything b
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +35,31 @@ TEMPLATES = {
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    # Of these the words that tell them from their kin: BSD-2-Clause and the GPL headers share the rest.
+    "BSD-3-Clause": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "LGPL-2.1-or-later": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "LGPL-3.0-or-later": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "AGPL-3.0-or-later": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+} | {
+    f"{x}-spdx": f"SPDX-License-Identifier: {x}"
+    for x in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+}
+# Those under five words.
+SHORT = {
+    "All-rights-reserved": "All rights reserved.",
+    "CC0-1.0-notice": "CC0 1.0 Universal",
+    "MIT-spdx": "SPDX-License-Identifier: MIT",
+    "ISC-spdx": "SPDX-License-Identifier: ISC",
 }
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of a text's five-word shingles in order; fewer words: none."""
+def shingles(text: Column, width: int = WORDS) -> Column:
+    """Hashes of a text's shingles of `width` words in order; fewer words: none."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
     def slide(h: Column) -> Column:
-        return F.when(F.size(h) >= WORDS, F.transform(F.sequence(F.lit(0), F.size(h) - WORDS), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)]))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
     return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), slide)[0]
 
@@ -49,29 +70,48 @@ def signature(window: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), least)
 
 
-def pieces(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[tuple[str, list[int]]]]:
+def pieces(spark: SparkSession, templates: dict[str, str], width: int = WORDS) -> tuple[DataFrame, list[tuple[str, list[int]]]]:
     """(license, scale, signature) of each template piece, and each template's distinct shingles."""
-    df = spark.createDataFrame(list(templates.items()), "license string, text string").select("license", shingles(F.col("text")).alias("s"))
+    df = spark.createDataFrame(list(templates.items()), "license string, text string").select("license", shingles(F.col("text"), width).alias("s"))
     all_ = [(r["license"], list(dict.fromkeys(r["s"]))) for r in df.collect()]
     widest = SCALES[-1] // 2
     cut = [(name, next(k for k in SCALES if k // 2 >= min(len(s), widest)), s[i : i + widest]) for name, s in all_ for i in range(0, len(s), widest)]
     return spark.createDataFrame(cut, "license string, scale int, s array<bigint>").select("license", "scale", signature(F.col("s")).alias("signature")), all_
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, n_windows: one row for each license found in a document.
 
     containment: the greatest share of the template's distinct shingles near one of its n_windows colliding windows. Null and empty
-    texts and texts under five words have no row. Repeated rows give repeated rows, ids that differ only in text are kept apart.
-    Templates under five words are never found. Other columns are not looked at.
+    texts have no row. Repeated rows give repeated rows, ids that differ only in text are kept apart. Other columns are not looked at.
+    A template without a word is never found.
     """
+    groups: dict[int, dict[str, str]] = {}
+    for name, t in (templates or TEMPLATES | SHORT).items():
+        groups.setdefault(min(len(_words(t)), WORDS), {})[name] = t
+    docs, out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), []
+    for width, group in groups.items():
+        if 0 < width < WORDS:  # a found template stands in the text as a whole, its longest word too
+            words = sorted({max(_words(t), key=len) for t in group.values()})
+            out.append(_scan(docs.where(reduce(or_, [F.lower("text").contains(w) for w in words])), group, width, containment))
+        elif width:
+            out.append(_scan(docs, group, width, containment))
+    return reduce(DataFrame.unionAll, out) if out else _scan(docs.limit(0), TEMPLATES, WORDS, containment)
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], width: int, containment: float) -> DataFrame:
+    """scan() for templates of one shingle width."""
     spark = docs.sparkSession
-    parts, all_ = pieces(spark, templates or TEMPLATES)
+    parts, all_ = pieces(spark, templates, width)
     held = parts.collect()  # a fixed list
     literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
     anchors = {k: sorted({x for r in held if r["scale"] == k for x in r["signature"]}) for k in SCALES}
     reach = max((len(s) for _, s in all_), default=0)
-    df = docs.select(F.col(id_col).alias("doc_id"), shingles(F.col(text_col)).alias("s")).withColumn("row", F.monotonically_increasing_id())
+    df = docs.select("doc_id", shingles(F.col("text"), width).alias("s")).withColumn("row", F.monotonically_increasing_id())
     df = df.where(F.arrays_overlap("s", literal(sorted({x for v in anchors.values() for x in v}))))
 
     def starts(scale: int) -> Column:

@@ -152,6 +152,22 @@ def test_licenses_against_exact_containment(spark):
     assert licenses.scan(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_short_notices_and_more_licenses(spark):
+    pad = " ".join(f"w{i}" for i in range(90))
+    texts = ["All rights reserved.", f"{pad}\nALL RIGHTS  RESERVED\n{pad}", "all rights are reserved", f"# SPDX-License-Identifier: MIT\n{pad}", "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later", f"{pad} CC0 1.0 Universal", None, "reserved all rights"]
+    texts += [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or later",
+        "3. Neither the name of ACME Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        licenses.TEMPLATES["GPL-3.0-or-later"] + " All rights reserved.",
+    ]
+    got = sorted((x["doc_id"], x["license"]) for x in licenses.scan(frame(spark, texts)).collect())
+    want = {0: "All-rights-reserved", 1: "All-rights-reserved", 3: "MIT-spdx", 4: "Apache-2.0-spdx", 5: "GPL-2.0-spdx", 6: "CC0-1.0-notice", 9: "LGPL-2.1-or-later", 10: "AGPL-3.0-or-later", 11: "BSD-3-Clause"}
+    assert got == sorted([*want.items(), (12, "All-rights-reserved"), (12, "GPL-3.0-or-later")])
+    own = licenses.scan(frame(spark, ["a b", "x y z", "b a"]), {"two": "A, b", "none": "...", "five": "p q r s t"}).collect()
+    assert [(x["doc_id"], x["license"], x["containment"]) for x in own] == [(0, "two", 1.0)]
+
+
 def test_classifier_on_held_out_rows(spark):
     r = random.Random(9)
     clean = lambda: " ".join(r.choice(["the", "sea", "over", "hills", "quiet", "morning"]) for _ in range(30))
