@@ -2,8 +2,9 @@
 
 Fingerprints are compared in buckets that share 2 of 4 bands of 16 bits (at most 2 differing bits leave 2 bands whole, so no link is
 lost). In a bucket, blocks of 64 fingerprints are stored as 64 vertical bit planes; a query runs over the planes, carry-save counters
-keep 64 distances at once, and a block is abandoned as soon as all its lanes exceed the radius. A bucket over HOT rows is split by the
-same rule on its other 32 bits, after which at most 2**16 distinct fingerprints can share a bucket, whatever the corpus.
+keep 64 distances at once, and a block is abandoned as soon as all its lanes exceed the radius. A bucket over HOT fingerprints is split
+by the same rule: its other 32 bits are six bands, of which four have to be equal. At most 2**12 distinct fingerprints can share such a
+part, whatever the corpus, and the parts are dealt over all tasks. A bucket is contracted to a forest before its links leave the task.
 """
 
 from __future__ import annotations
@@ -14,13 +15,23 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, fresh, staged
 
 RADIUS, HOT, SEED = 2, 2048, 42
-TABLES = list(combinations(range(4), 2))
+FULL = (1 << 64) - 1
+
+
+def _left_out(bands: list[int], keep: int) -> list[int]:
+    """Masks that leave out two of the bands (given as masks) and keep the rest of `keep`."""
+    return [keep & ~(a | b) for a, b in combinations(bands, 2)]
+
+
+TABLES = _left_out([0xFFFF << 16 * i for i in range(4)], FULL)
+#: For each table, the masks that split a hot bucket: the 32 bits left out, in six bands of at most 6 bits, two of them left out.
+PARTS = [_left_out([((1 << w) - 1) << 16 * i + o for i in range(4) if not t >> 16 * i & 0xFFFF for w, o in ((6, 0), (5, 6), (5, 11))], FULL) for t in TABLES]
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -46,13 +57,14 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(x) for x in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long) for each row; the fingerprint's 64 bits as a signed long."""
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return df.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
+    """(doc_id long, fp long) for each row, with tag_col also (tag long); the fingerprint's 64 bits as a signed long."""
+    more = [F.col(tag_col).alias("tag")] if tag_col else []
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return df.mapInArrow(_fingerprints, "doc_id long, fp long" + ", tag long" * len(more))
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -64,8 +76,11 @@ def _planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1).reshape(64, blocks * 64), axis=1, bitorder="little")).view("<u8")
 
 
-def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j with equal key (keys sorted) and at most `radius` (2 at most) differing bits; each pair once."""
+def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS, chunk: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j with equal key (keys sorted) and at most `radius` (2 at most) differing bits; each pair once.
+
+    chunk: queries times blocks at a time; should all their lanes be near, they give 64 pairs each.
+    """
     if radius > 2:
         raise ValueError("the carry-save counters hold distances up to 2")
     n = len(fps)
@@ -118,10 +133,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         root = np.arange(len(fps))
         for i, j in close_pairs(keys, fps.view(np.uint64)):
-            while True:
+            while len(i):
                 a, b = root[i], root[j]
-                if (a == b).all():
-                    break
+                open_ = a != b
+                i, j, a, b = i[open_], j[open_], a[open_], b[open_]
                 np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
                 root = root[root]
         while (root != root[root]).any():
@@ -131,8 +146,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for b in batches:
-        keys = np.concatenate((keys, b.column(0).to_numpy()))
-        fps = np.concatenate((fps, b.column(1).to_numpy()))
+        keys = np.concatenate((keys, b.column("key").to_numpy()))
+        fps = np.concatenate((fps, b.column("fp").to_numpy()))
         if len(keys) >= 1 << 16 and keys[0] != keys[-1]:
             cut = int(np.searchsorted(keys, keys[-1]))
             yield solve(keys[:cut], fps[:cut])
@@ -141,50 +156,55 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(keys, fps)
 
 
-def _band_keys(fp: str, bits: int, width: int, tables: list[tuple[int, int]]) -> list:
-    band = [F.shiftrightunsigned(F.col(fp), bits + width * i).bitwiseAND((1 << width) - 1) for i in range(4)]
-    return [F.struct(F.lit(t).cast("int").alias("t"), (F.shiftleft(band[i], width).bitwiseOR(band[j])).alias("k")) for t, (i, j) in enumerate(tables)]
+def _keys(fp: str, masks: list[int]) -> list[Column]:
+    """One bucket key for each mask: the bits of the fingerprint that the mask keeps."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [F.xxhash64(F.lit(signed(m)), F.col(fp).bitwiseAND(F.lit(signed(m)))) for m in masks]
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (column fp, no repeats) within RADIUS bits of each other."""
-    rows = fps.select("fp", F.explode(F.array(*_band_keys("fp", 0, 16, TABLES))).alias("b")).select("fp", F.xxhash64("b.t", "b.k").alias("key"), "b.t")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(sizes, "key")
-    cool = rows.where(f"n <= {HOT}").select("key", "fp")
-    # The 32 bits outside a hot bucket's two bands, gathered into one value, are banded again.
-    hot, rest = rows.where(f"n > {HOT}"), None
-    for t, (i, j) in enumerate(TABLES):
-        a, b = (x for x in range(4) if x not in (i, j))
-        part = F.shiftleft(F.shiftrightunsigned("fp", 16 * a).bitwiseAND(0xFFFF), 16).bitwiseOR(F.shiftrightunsigned("fp", 16 * b).bitwiseAND(0xFFFF))
-        rest = F.when(F.col("t") == t, part) if rest is None else rest.when(F.col("t") == t, part)
-    hot = hot.withColumn("rest", rest).select("fp", "key", F.explode(F.array(*_band_keys("rest", 0, 8, TABLES))).alias("b"))
-    hot = hot.select(F.xxhash64("key", "b.t", "b.k").alias("key"), "fp")
-    return cool.unionAll(hot).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
+    rows = fps.select("fp", F.posexplode(F.array(*_keys("fp", TABLES))).alias("t", "key"))
+    hot = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("key", F.lit(True).alias("hot")), "simhash-hot")
+    parts = F.create_map(*[x for t, masks in enumerate(PARTS) for x in (F.lit(t), F.array(*_keys("fp", masks)))])
+    rows = rows.join(hot, "key", "left").select("fp", F.explode(F.when(F.col("hot"), F.element_at(parts, F.col("t"))).otherwise(F.array("key"))).alias("key"))
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
+
+
+def _groups(prints: DataFrame) -> DataFrame:
+    """(fp, root) of each fingerprint that is linked to another one; prints: a staged table with a column fp."""
+    roots = components(links(staged(prints.select("fp").distinct(), "simhash-distinct")))
+    return staged(roots.withColumnRenamed("node", "fp"), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links, its own included).
 
     Null and empty texts and texts without a word have fingerprint zero and are linked like any other. Repeated rows give repeated
-    result rows. A null id keeps its row; it never names a component unless all ids of the component are null.
+    result rows. A null id keeps its row; it never names a component unless all ids of the component are null. Other columns are not
+    looked at. An empty table has no rows.
     """
     docs_fp = staged(fingerprints(docs, id_col, text_col), "simhash-fp")
-    distinct = docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp")))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = staged(named.join(least, "root").select("fp", "component_id"), "simhash-ids")
+    least = docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    linked = staged(least.join(_groups(docs_fp), "fp"), "simhash-linked")
+    names = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    ids = staged(least.join(names, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-ids")
     return docs_fp.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that name their component: one document of each group of near-duplicates, the one of least id.
+    """One row of docs, all columns, for each group of near-duplicates: that of least id, then of least text hash; null ids come last.
 
-    Rows of one id are one document: that of the least text hash stays. Rows without an id form one document where none in their group
-    has an id.
+    Only rows that are linked to the one kept go: rows that share an id, or have none, but differ in text are documents of their own.
+    Null and empty texts are one group. An empty table has no rows.
     """
-    ids = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(ids, docs[id_col].eqNullSafe(ids["_kept"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return joined.withColumn("_first", first).where("_first = 1").drop("_first")
+    doc, text = fresh(docs, "doc"), fresh(docs, "tag")
+    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), text: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    prints = staged(fingerprints(keyed, doc, text_col, text), "simhash-fp")
+    rows = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
+    kept = rows.join(_groups(prints), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))
+    kept = staged(kept.select("least.*"), "simhash-kept").select(F.col("doc_id").alias(doc), F.col("tag").alias(text))
+    # Of rows with one id and one text any is as good; the limit within a group acts before the shuffle.
+    rank = fresh(docs, "rank")
+    first = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(doc, text).orderBy(doc))).where(F.col(rank) == 1)
+    return first.join(kept, [doc, text], "left_semi").select(*docs.columns)

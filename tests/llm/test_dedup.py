@@ -56,6 +56,17 @@ def test_repeats_are_removed(spark, hot, monkeypatch):
     assert [tuple(r)[1:] for r in got] == removed(texts)
 
 
+def test_copies_enter_the_index_as_run_lengths():
+    r = random.Random(4)
+    for _ in range(100):
+        segs = list({bytes(r.choice(b"ab") for _ in range(r.randint(1, 25))) for _ in range(r.randint(1, 6))})
+        copies = [r.randint(1, 3) for _ in segs]
+        whole = [s for s, m in zip(segs, copies, strict=True) for _ in range(m)]
+        each = dict(zip(whole, runindex.matching_statistics(whole), strict=True))
+        for s, got in zip(segs, runindex.matching_statistics(segs, copies), strict=True):
+            assert got.tolist() == each[s].tolist()
+
+
 def test_texts_longer_than_a_block(spark, monkeypatch):
     import relspark.llm.runindex as m
 
@@ -72,6 +83,8 @@ def test_an_empty_table_and_repeated_rows(spark):
     assert runindex.dedup(docs(spark, ["x"]).limit(0)).count() == 0
     t = prose(11, 80)
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (2, "unlike")], "doc_id long, text string")
+    one = spark.createDataFrame([(7, prose(12, 90)), (7, prose(13, 90)), (7, prose(12, 90)[:250] + "x")], "doc_id long, text string")
+    assert [tuple(r)[1:] for r in runindex.dedup(one).orderBy("n_bytes").collect()] == sorted(removed([r["text"] for r in one.collect()]))
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in runindex.dedup(df).collect())
     n = len(t.encode())
     assert got == [(-1, n), (1, n), (1, n), (2, 0)]
@@ -136,12 +149,32 @@ def test_one_of_each_keeps_columns(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 3]
 
 
+def test_one_of_each_keeps_unlike_texts_of_one_id_or_none(spark):
+    t = [prose(60 + i, 40) for i in range(4)]
+    rows = [(7, t[0]), (7, t[1]), (None, t[2]), (None, t[3]), (None, t[3]), (9, t[0]), (3, t[1]), (3, t[1])]
+    df = spark.createDataFrame([(a, b, 1, 2, 3) for a, b in rows], "doc_id long, text string, _first int, doc int, rank int")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in out.collect()) == sorted([(7, t[0]), (3, t[1]), (-1, t[2]), (-1, t[3])])
+    assert simhash.one_of_each(df.limit(0)).count() == simhash.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in common.components(edges).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[101] == got[100] == 100
 
 
+def test_components_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(common, "IN_MEMORY", 4)
+    r = random.Random(5)
+    edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(20)]
+    got = {x["node"]: x["root"] for x in common.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    node, root = common._forest(*np.array(edges).T)
+    assert {k: v for k, v in zip(node.tolist(), root.tolist(), strict=True) if k in got} == got
+    assert set(got) == {x for e in edges if e[0] != e[1] for x in e}
+
+
 def test_salted_ranks_are_whole(spark):
     df = spark.createDataFrame([(i % 2 if i % 5 else None, i) for i in range(200)], "g int, i long")
     for g, rows in __import__("itertools").groupby(sorted(common.salted_rank(df, ["g"], ["i"], "r", 200, 20).collect(), key=lambda r: str(r["g"])), key=lambda r: r["g"]):
