@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 # File signatures.
 SIGNATURES = {
     "audio/wav": [b"RIFF"],
@@ -28,6 +30,8 @@ SIGNATURES = {
     "image/png": [b"\x89PNG\r\n\x1a\n"],
     "application/gzip": [b"\x1f\x8b\x08"],
 }
+ROWS = 64  # blobs whose media are copied out at a time
+CHUNK = 1 << 16  # bytes that are copied or unpacked at a time
 ROW = 192  # bytes of a payload row: 64 pixels of three 8-bit samples
 
 
@@ -102,21 +106,24 @@ def _jpeg(b: memoryview) -> int:
             return 0
         at += 2 + int.from_bytes(b[at + 2 : at + 4], "big")
         if kind == 0xDA:
-            end = bytes(b).find(b"\xff\xd9", at)
-            return end + 2 if end >= 0 else 0
+            for lo in range(at, len(b), CHUNK):
+                if (end := bytes(b[lo : lo + CHUNK + 1]).find(b"\xff\xd9")) >= 0:
+                    return lo + end + 2
+            return 0
     return 0
 
 
 def _gzip(b: memoryview) -> int:
-    d = zlib.decompressobj(31)
+    d, at = zlib.decompressobj(31), 0
     try:
-        rest = bytes(b)
-        while rest and not d.eof:
-            d.decompress(rest, 1 << 20)
-            rest = d.unconsumed_tail
+        while at < len(b) and not d.eof:
+            d.decompress(b[at : at + CHUNK], CHUNK)
+            while d.unconsumed_tail and not d.eof:
+                d.decompress(d.unconsumed_tail, CHUNK)
+            at += CHUNK
     except zlib.error:
         return 0
-    return len(b) - len(d.unused_data) if d.eof else 0
+    return min(at, len(b)) - len(d.unused_data) if d.eof else 0
 
 
 VALID = {"audio/wav": _wav, "image/bmp": _bmp, "image/gif": _gif, "image/jpeg": _jpeg, "image/png": _png, "application/gzip": _gzip}
@@ -133,9 +140,11 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(blob: bytes, a: ahocorasick.Automaton) -> list[Found]:
     """Valid media in the blob, leftmost first, none inside another."""
-    out, end, view = [], 0, memoryview(blob)
+    out, end, view, closed = [], 0, memoryview(blob), blob.rfind(b"\xff\xd9")
     for last, (n, kind) in a.iter(blob.decode("latin-1")):
         at = last + 1 - n
+        if kind == "image/jpeg" and at > closed:  # no end follows, so there is nothing to look through
+            continue
         if at >= end and (length := VALID[kind](view[at:])):
             out.append(Found(at, length, kind))
             end = at + length
@@ -179,14 +188,32 @@ def decode(media: bytes, kind: str) -> bytes:
 
 
 MADE = ("audio/wav", "image/bmp", "image/png")
-CARRIER = b"\x00carrier"
+DECLARED = (*MADE, "application/octet-stream")
 
 
 def store(text: bytes | None) -> tuple[int, bytes, str]:
-    """(bytes unpadded, blob, declared type): the text's payload in a format set by its checksum, behind a carrier's first bytes."""
+    """(bytes unpadded, blob, declared type) of a text: its payload as a medium among foreign bytes, under a type that may be wrong.
+
+    Format, foreign bytes (none to 63 before and after it, of values that begin no signature) and type are set by the payload's checksum.
+    """
     raw = text or b""
     payload = raw + b" " * (-len(raw) % ROW or (0 if raw else ROW))
-    return len(raw), CARRIER + encode(payload, MADE[zlib.crc32(payload) % len(MADE)]), "application/octet-stream"
+    key = zlib.crc32(payload)
+    noise = [bytes((key >> i % 29) + i & 15 for i in range(key >> s & 63)) for s in (8, 14)]
+    return len(raw), noise[0] + encode(payload, MADE[key % len(MADE)]) + noise[1], DECLARED[key >> 20 & 3]
+
+
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, blob (binary), declared: each text written down as a media column."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                rows = [store(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.string()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in columns)], names=["doc_id", "n_bytes", "blob", "declared"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, "doc_id long, n_bytes long, blob binary, declared string")
 
 
 def sniffed(df: DataFrame, id_col: str, blob_col: str, type_col: str) -> DataFrame:
@@ -200,15 +227,16 @@ def sniffed(df: DataFrame, id_col: str, blob_col: str, type_col: str) -> DataFra
     def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()
         for b in batches:
-            rows = []
-            for i, (blob, declared) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                found = sniff(blob, a) if blob else []
-                rows += [(i, declared, f.type, f.type != declared, f.offset, f.length, blob[f.offset : f.offset + f.length]) for f in found]
-                if not found:
-                    rows.append((i, declared, declared, False, None, 0, None))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=schema.names)
+            for lo in range(0, b.num_rows, ROWS):
+                part, rows = b.slice(lo, ROWS), []
+                for i, (blob, declared) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    found = sniff(blob, a) if blob else []
+                    rows += [(i, declared, f.type, f.type != declared, f.offset, f.length, blob[f.offset : f.offset + f.length]) for f in found]
+                    if not found:
+                        rows.append((i, declared, declared, False, None, 0, None))
+                cols = list(zip(*rows, strict=True))
+                kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=schema.names)
 
     return df.select(F.col(id_col).alias("id"), F.col(blob_col).alias("blob"), F.col(type_col).alias("declared")).mapInArrow(carve, schema)
 
@@ -217,25 +245,26 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored as a medium in a carrier with an unspecific type, found again by its signature, carved, corrected and read back.
+    """Each text stored as a media column (staged), whose media are sniffed, corrected, carved and read back.
 
-    feature: type found, declared type, offset and length in the carrier, rows, sum and greatest sample. Equal texts have equal rows but
-    for the id; null and empty texts are one row of blanks; a text that holds signatures or whole media itself does not change what is
-    carved.
+    media_bytes and media_sha256 are of the stored blob. feature: type found, declared type, offset and length in the blob, rows, sum and
+    greatest sample. Equal texts have equal rows but for the id; null and empty texts are one row of blanks; a text that holds signatures
+    or whole media itself does not change what is carved, which is the first and only medium of its blob. Repeated rows give repeated
+    rows; an empty table has none.
     """
+    blobs = staged(stored(docs, id_col, text_col), "media")
+    key = F.struct("doc_id", "n_bytes", F.octet_length("blob").cast("long").alias("media_bytes"), F.sha2("blob", 256).alias("media_sha256"))
+    media = sniffed(blobs.select(key.alias("key"), "blob", "declared"), "key", "blob", "declared")
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                n, blob, declared = store(text)
-                f = sniff(blob, a)[0]
-                media = blob[f.offset : f.offset + f.length]
-                payload = decode(media, f.type)
+            for key, declared, kind, offset, length, medium in zip(*(b.column(c).to_pylist() for c in ("id", "declared", "type", "offset", "length", "media")), strict=True):
+                payload = decode(medium, kind)
                 s = np.frombuffer(payload, np.uint8)
-                feature = f"{f.type};{declared};{f.offset};{f.length};{len(s) // ROW};{int(s.sum(dtype=np.int64))};{int(s.max())}"
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                feature = f"{kind};{declared};{offset};{length};{len(s) // ROW};{int(s.sum(dtype=np.int64))};{int(s.max())}"
+                rows.append((key["doc_id"], key["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), key["media_bytes"], key["media_sha256"], feature))
             kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(digest, DIGEST)
+    return media.mapInArrow(digest, DIGEST)

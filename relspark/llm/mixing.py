@@ -14,12 +14,13 @@ import heapq
 from fractions import Fraction
 from math import ceil, floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_rank, staged
+from .common import fresh, salted_rank, staged
 
-BLOCK, SLOTS, TEMPERATURE = 16, 1024, 0.5
+BLOCK, SLOTS, TEMPERATURE, SOURCES = 16, 1024, 0.5, 50_000
+COLUMNS = ["block_index", "release", "deadline", "slot", "position"]
 
 
 def shares(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
@@ -54,35 +55,53 @@ def schedule(parts: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, source, block_index, release, deadline, slot, position of each document; position orders documents within their slot.
-
-    weights: by source; without them a source weighs its number of documents to the power `temperature`. A source that weights does not
-    name raises a ValueError, a named source without documents leaves its slots empty. Null is a source like any other (named "" in
-    weights). Documents of one id are ordered by the rest of the row's key, which makes no difference to the result. An empty table has no rows.
-    """
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
-    df = staged(df, "mixing")
-    counts = {r["source"]: r["n"] for r in df.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
+def _slotted(df: DataFrame, weights: dict[str, float] | None, block: int, source: str, order: list[str], temperature: float, at: dict[str, str]) -> DataFrame:
+    """df, staged, with columns for block_index, release, deadline, slot and position, named by `at`; source: a column without nulls."""
+    counts = {r[source]: r["n"] for r in df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()}
+    if len(counts) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: map them to fewer, by host family for one")
     weights = weights or {s: n**temperature for s, n in counts.items()}
     if missing := set(counts) - set(weights):
         raise ValueError(f"no weight for {sorted(missing)}")
     parts = shares(weights)
     period = sum(parts.values())
     rows = [(s, i, parts[s], *x) for s, blocks in schedule(parts).items() for i, x in enumerate(blocks)]
-    plan = df.sparkSession.createDataFrame(rows, "source string, i long, k long, r long, d long, s long")
-    ranked = salted_rank(df.withColumn("_key", F.xxhash64("doc_id")), ["source"], ["_key", "doc_id"], "_rank", sum(counts.values()))
-    ranked = ranked.withColumn("block_index", F.floor(F.col("_rank") / block))
-    # The plan has one row for each slot of the hyperperiod, whose size is set by the number of sources.
-    share = F.broadcast(plan.select("source", "k").distinct())
-    ranked = ranked.join(share, "source").withColumn("i", F.col("block_index") % F.col("k")).withColumn("_turn", F.floor(F.col("block_index") / F.col("k")) * period).drop("k")
-    out = ranked.join(F.broadcast(plan.drop("k")), ["source", "i"])
-    at = {"release": "r", "deadline": "d", "slot": "s"}
-    return out.select("doc_id", "source", "block_index", *[(F.col("_turn") + F.col(c)).alias(k) for k, c in at.items()], (F.col("_rank") % block).alias("position"))
-
-
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs, all rows and columns, in the order of the mixture: ascending over partitions and within them, so files follow one another."""
-    order = mix(docs, weights, block, id_col, source_col).select(F.col("doc_id").alias("_id"), F.col("slot").alias("_slot"), F.col("position").alias("_position")).dropDuplicates(["_id"])
-    joined = docs.join(order, docs[id_col].eqNullSafe(order["_id"]))
-    return joined.repartitionByRange("_slot", "_position").sortWithinPartitions("_slot", "_position", id_col).select(*[docs[c] for c in docs.columns])
+    rank, k, i, r, d, s = (fresh(df, c) for c in ("rank", "k", "i", "r", "d", "s"))
+    # One row for each slot of the hyperperiod: SLOTS or four a source, of which there are SOURCES at most.
+    plan = df.sparkSession.createDataFrame(rows, f"{source} string, {i} long, {k} long, {r} long, {d} long, {s} long")
+    ranked = salted_rank(df, [source], order, rank, sum(counts.values())).withColumn(at["block_index"], F.floor(F.col(rank) / block))
+    ranked = ranked.join(F.broadcast(plan.select(source, k).distinct()), source).withColumn(i, F.col(at["block_index"]) % F.col(k))
+    turn = F.floor(F.col(at["block_index"]) / F.col(k)) * period
+    out = ranked.withColumn(k, turn).join(F.broadcast(plan.drop(k)), [source, i])
+    return out.select(*df.columns, at["block_index"], *[(F.col(k) + F.col(c)).alias(at[n]) for n, c in (("release", r), ("deadline", d), ("slot", s))], (F.col(rank) % block).alias(at["position"]))
+
+
+def _source(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", temperature: float = TEMPERATURE) -> DataFrame:
+    """doc_id, source, block_index, release, deadline, slot, position of each document; position orders documents within their slot.
+
+    weights: by source; without them a source weighs its number of documents to the power `temperature`. A source that weights does not
+    name raises a ValueError, a named source without documents leaves its slots empty. Null is a source like any other (named "" in
+    weights). Over SOURCES sources raise a ValueError, as the schedule is made on the driver. Documents of one id have places of their
+    own; which of them has which makes no difference to the result. Other columns are not looked at. An empty table has no rows.
+    """
+    df = staged(docs.select(F.col(id_col).alias("doc_id"), _source(source_col).alias("source")), "mixing")
+    at = {c: c for c in COLUMNS}
+    return _slotted(df.withColumn("_key", F.xxhash64("doc_id")), weights, block, "source", ["_key", "doc_id"], temperature, at).select("doc_id", "source", *COLUMNS)
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", temperature: float = TEMPERATURE) -> DataFrame:
+    """docs, all rows and columns, in the order of the mixture: ascending over partitions and within them, so files follow one another.
+
+    Each row, repeated ones too, has a place of its own; rows of one id are ordered by their other columns' hash. Nulls, weights and empty
+    tables are as for mix(). docs must give the same rows when it is read twice (a table).
+    """
+    src, key = fresh(docs, "mixture"), fresh(docs, "hash")
+    df = docs.withColumns({src: _source(source_col), key: F.xxhash64(*[F.col(c) for c in docs.columns])})
+    at = {c: fresh(df, c) for c in COLUMNS}
+    order = [at["slot"], at["position"]]
+    out = _slotted(df, weights, block, src, [key, id_col], temperature, at)
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

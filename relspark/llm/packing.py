@@ -15,14 +15,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from .common import salted_rank, staged
 
 END_ID, SIZE, CACHE = 1, 2048, 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 TAIL = b".,!?;:#$%&*|"
+PROBES = ("The Quick brown fox, jumped: over 12 lazy dogs!", "x.y (a-b) don't [C]#1 f00?", "  unbelievably\tinternationalisation \n\n z ")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -40,6 +42,10 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        for x in PROBES:  # a file of other rules would give wrong ids
+            own = b"".join(self.words([w.encode() for w in x.lower().split()]))
+            if own != np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes():
+                raise ValueError(f"{path} does not encode texts word by word in lower case")
 
     def _encode(self, words: list[bytes]) -> None:
         plain, other = [], []
@@ -99,8 +105,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block: int = 8 << 20, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most `size` ids of each document: its text's ids, then end_id. A null or empty text has the one id end_id."""
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block: int = 8 << 20, with_ids: bool = False, place: Column | None = None) -> DataFrame:
+    """Pieces of at most `size` ids of each document: its text's ids, then end_id. A null or empty text has the one id end_id.
+
+    place: a value of the document's row that its pieces carry on as column `place`.
+    """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
@@ -108,20 +117,23 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(step, (step[lo - 1] if lo else 0) + block, side="right")))
                 ids, ends = enc.texts(b.column(1).slice(lo, hi - lo))
-                rows, begin = [], 0
-                for doc, end in zip(b.column(0).slice(lo, hi - lo).to_pylist(), ends.tolist(), strict=True):
+                rows, of, begin = [], [], 0
+                for at, (doc, end) in enumerate(zip(b.column(0).slice(lo, hi - lo).to_pylist(), ends.tolist(), strict=True), lo):
                     own = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4")
                     begin = end
                     for s in range(0, len(own), size):
                         part = own[s : s + size]
                         rows.append((doc, s, len(part), zlib.crc32(part.tobytes()), len(own), *([part.tolist()] if with_ids else [])))
+                        of.append(at)
                 kinds = [pa.int64()] * 5 + ([pa.list_(pa.int32())] if with_ids else [])
                 names = [x.split()[0] for x in PIECES.split(", ")] + (["ids"] if with_ids else [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                more = [b.column(2).take(pa.array(of))] if b.num_columns > 2 else []
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *more], names=names + ["place"] * len(more))
                 lo = hi
 
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return df.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if place is None else [place.alias("place")]))
+    kind = "" if place is None else f", place {df.schema['place'].dataType.simpleString()}"
+    return df.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else "") + kind)
 
 
 def shortest_pack_first(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
@@ -189,23 +201,32 @@ def _placer(plan: list[tuple[int, tuple[int, ...]]]) -> Callable[[Iterator[pa.Re
     return place
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, place: Column | None = None) -> DataFrame:
     """One row for each piece with its sequence and its offset there; sequences are gapless, 0 up.
 
-    padded: the sequence's length as stored, `size` unless its ids fill a power of two. Null and empty texts are pieces of the one id
-    end_id. Rows with the same id are packed each for itself. Columns besides id and text are not looked at. An empty table gives no rows.
+    padded: the sequence's length as stored, `size` unless its ids fill a power of two. place: an order of the documents that the
+    sequences follow: pieces of one length are dealt to patterns in that order, and sequences are numbered by their earliest piece.
+    Null and empty texts are pieces of the one id end_id. Rows with the same id are packed each for itself. Columns besides id and text
+    are not looked at. An empty table gives no rows.
     """
-    cut = staged(pieces(docs, tokenizer, size, end_id, id_col, text_col, with_ids=with_ids), "pieces")
+    cut = staged(pieces(docs, tokenizer, size, end_id, id_col, text_col, with_ids=with_ids, place=place), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `size` rows at most
     plan = shortest_pack_first(counts, size)
     if not plan:
-        return cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "padded": F.lit(0).cast("long")})
-    ranked = salted_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "_rank", sum(counts.values()))
-    placed = ranked.mapInArrow(_placer(plan), cut.schema.add("sequence_id", "long").add("offset", "long"))
+        return cut.drop("place").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "padded": F.lit(0).cast("long")})
+    own = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    ranks = salted_rank(cut, ["length"], own, "_rank", sum(counts.values())) if place is None else ranked(cut, ["length"], ["place", *own], "_rank")
+    placed = ranks.mapInArrow(_placer(plan), cut.schema.add("sequence_id", "long").add("offset", "long"))
     # A sequence's own length is its pattern's: patterns and their runs of sequence ids are as bounded as the plan.
     ends = np.cumsum([t for t, _ in plan])
     odd = [(int(e - t), int(e), sum(p)) for e, (t, p) in zip(ends, plan, strict=True) if sum(p) & (sum(p) - 1) == 0 and sum(p) < size]
     padded = F.lit(size)
     for lo, hi, n in odd:
         padded = F.when((F.col("sequence_id") >= lo) & (F.col("sequence_id") < hi), n).otherwise(padded)
-    return placed.withColumn("padded", padded.cast("long"))
+    placed = placed.withColumn("padded", padded.cast("long"))
+    if place is None:
+        return placed
+    placed = staged(placed, "placed")
+    numbered = ranked(placed.groupBy("sequence_id").agg(F.min("place").alias("first")), [], ["first", "sequence_id"], "number")
+    out = placed.join(numbered.select("sequence_id", "number"), "sequence_id")
+    return out.select(*[F.col("number").alias(c) if c == "sequence_id" else F.col(c) for c in placed.columns if c != "place"])

@@ -166,3 +166,91 @@ def test_the_rest_does_not_import_this_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_decoding_against_every_path():
+    r, lines = random.Random(12), ["User: a", "Assistant: b", "", "text", "1. x", "System: c", "note: d"]
+    for _ in range(25):
+        some = [r.choice(lines) for _ in range(r.randint(1, 5))]
+        e = chat.observe(some)
+        best, paths = None, [()]
+        for _ in some:
+            paths = [(*p, s) for p in paths for s in range(chat.STATES)]
+        for p in paths:
+            score = chat.START[p[0]] + e[0][p[0]] + sum(chat.STEP[p[i - 1], p[i]] + e[i][p[i]] for i in range(1, len(p)))
+            if best is None or score > best[0]:
+                best = score, list(p)
+        assert chat.decode(e, chat.START) == best[1]
+
+
+def test_transcripts_of_blank_lines_and_of_one_id(spark):
+    t = "User: hi" + "\n" * 100_000 + "x...\n\n\t\nAssistant: yes" + "\n \n" * 3000
+    rows = [(1, t), (1, "User: a\n\nAssistant: b"), (1, "User: a\n\nAssistant: b"), (None, "\n\n"), (None, t)]
+    got = Counter((r["id"], r["turn"], r["role"], r["text"]) for r in chat.parse(spark.createDataFrame(rows, "conv_id long, text string")).collect())
+    body = "hi" + "\n" * 100_000 + "x..."
+    assert got == {(1, 0, "user", body): 1, (1, 1, "assistant", "yes"): 1, (1, 0, "user", "a"): 2, (1, 1, "assistant", "b"): 2, (None, 0, "user", ""): 1, (None, 0, "user", body): 1, (None, 1, "assistant", "yes"): 1}
+    assert chat.parse(spark.createDataFrame(rows, "conv_id long, text string").limit(0)).count() == 0
+
+
+def test_pieces_are_one_transcript(spark, monkeypatch):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"said {t}" + "\nmore" * (t % 5 == 1)) for c in (1, None) for t in range(300)] + [(2, None, "user", "same")] * 40
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = sorted((r["conv_id"] or -1, r["turn"], r["role"], r["rendered"]) for r in chat.formatted(df).collect())
+    for c in (-1, 1):  # every eighth turn is written without a marker: its role comes from the turns around it
+        assert [(t, r, x) for i, t, r, x in whole if i == c] == [(t, r, f"<|{r}|>\n{x}\n<|end|>") for i, t, r, x in rows if (i or -1) == c]
+    monkeypatch.setattr(chat, "LINES", 50)
+    monkeypatch.setattr(chat, "PIECES", 2)
+    turns = chat.parse(chat.transcripts(df, 16, 0), "conv_id", "text", "seq")
+    one = sorted((r["id"] or -1, r["turn"], r["role"], r["text"]) for r in turns.collect())
+    assert [x for x in one if x[0] != 2] == [(i, t, r, x.split("\n", 1)[1][: -len("\n<|end|>")]) for i, t, r, x in whole if i != 2]
+    assert sum(x[0] == 2 for x in one) == 40
+
+
+def test_mixture_keeps_clashing_columns_and_repeated_rows(spark):
+    rows = [(i % 50, "ab"[i % 2], i, "x") for i in range(100)] + [(7, "a", 1, "x")] * 60 + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, _slot int, rank string").repartition(4)
+    staged = mixing.staged(df, "test")
+    out = mixing.mixed(staged, {"a": 3.0, "b": 1.0, "": 1.0}, block=2)
+    assert out.columns == df.columns and Counter(map(tuple, out.collect())) == Counter(rows)
+    first = [r["source"] for r in out.collect()][:64]
+    assert 1.8 < first.count("a") / max(1, first.count("b")) < 4.5
+    assert mixing.mixed(staged.limit(0)).count() == 0
+
+
+def test_packing_follows_an_order(spark):
+    texts = ["word " * (i % 40 + 1) for i in range(400)]
+    df = frame(spark, texts)
+    rows = packing.pack(df, tokenizer_path(), size=64, place=-F.col("doc_id")).collect()
+    assert sorted({r["sequence_id"] for r in rows}) == list(range(len({r["sequence_id"] for r in rows})))
+    first = {}
+    for r in rows:
+        first[r["sequence_id"]] = max(first.get(r["sequence_id"], -1), r["doc_id"])
+    assert [first[s] for s in sorted(first)] == sorted(first.values(), reverse=True)
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for s in by.values():
+        assert sum(r["length"] for r in s) <= 64
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"the": 0, "[UNK]": 1}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        packing.WordEncoder(str(tmp_path / "t.json"))
+
+
+def test_empty_tables_and_repeated_rows_of_media(spark):
+    df = frame(spark, ["a", "a", None])
+    assert media.text_media(df.limit(0)).count() == 0
+    rows = media.text_media(df.unionAll(df)).collect()
+    assert len(rows) == 6 and len({tuple(r)[1:] for r in rows}) == 2
+    hostile = spark.createDataFrame([(1, b"\xff\xd8\xff\xda\x00\x02" * 40_000, "x"), (2, b"\x1f\x8b\x08" * 40_000, "x")], "doc_id long, blob binary, kind string")
+    assert [r["length"] for r in media.sniffed(hostile, "doc_id", "blob", "kind").collect()] == [0, 0]
