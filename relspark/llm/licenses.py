@@ -16,10 +16,10 @@ import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORDS, SCALES, BANDS, CONTAINMENT = 5, (8, 32, 128), 128, 0.8
+WORDS, SCALES, BANDS, CONTAINMENT, CELL = 5, (8, 32, 128), 128, 0.8, 32
 
 # Short notices and standard headers of public licenses.
 TEMPLATES = {
@@ -37,9 +37,13 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     # Of these the words that tell them from their kin: BSD-2-Clause and the GPL headers share the rest.
     "BSD-3-Clause": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-2.0-or-later": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
     "LGPL-2.1-or-later": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
     "LGPL-3.0-or-later": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
     "AGPL-3.0-or-later": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
 } | {
     f"{x}-spdx": f"SPDX-License-Identifier: {x}"
@@ -84,9 +88,10 @@ def _words(text: str) -> list[str]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, license, containment, n_windows: one row for each license found in a document.
+    """doc_id, license, containment, n_windows, best: one row for each license found in a document.
 
-    containment: the greatest share of the template's distinct shingles near one of its n_windows colliding windows. Null and empty
+    containment: the greatest share of the template's distinct shingles near one of its n_windows colliding windows. best: in some window
+    no other template that overlaps it is held better, as a notice is by the text that quotes it or one license by its kin. Null and empty
     texts have no row. Repeated rows give repeated rows, ids that differ only in text are kept apart. Other columns are not looked at.
     A template without a word is never found.
     """
@@ -130,5 +135,11 @@ def _scan(docs: DataFrame, templates: dict[str, str], width: int, containment: f
     full = F.create_map(*[x for name, s in all_ for x in (F.lit(name), literal(s) if s else F.expr("cast(array() as array<bigint>)"))])
     share = F.size(F.array_intersect("near", F.element_at(full, F.col("license")))) / F.size(F.element_at(full, F.col("license")))
     hits = hits.withColumn("share", share).where(F.col("share") >= containment)
-    found = hits.groupBy("row", "license").agg(F.first("doc_id").alias("doc_id"), F.max("share").alias("containment"), F.countDistinct("scale", "start").alias("n_windows"))
-    return found.select("doc_id", "license", "containment", "n_windows")
+    # Of templates found about one place the best has the greatest share, then the most shingles.
+    rank = F.struct("share", F.size(F.element_at(full, F.col("license"))).alias("size"))
+    cells = F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("start") + F.col("scale") - 1) / CELL))
+    hits = hits.select("row", "doc_id", "license", "scale", "start", "share", rank.alias("rank"), F.explode(cells).alias("cell"))
+    hits = hits.withColumn("top", F.max("rank").over(Window.partitionBy("row", "cell")))
+    hits = hits.groupBy("row", "license", "scale", "start").agg(F.first("doc_id").alias("doc_id"), F.first("share").alias("share"), F.min(F.col("rank") == F.col("top")).alias("best"))
+    found = hits.groupBy("row", "license").agg(F.first("doc_id").alias("doc_id"), F.max("share").alias("containment"), F.count(F.lit(1)).alias("n_windows"), F.max("best").alias("best"))
+    return found.select("doc_id", "license", "containment", "n_windows", "best")

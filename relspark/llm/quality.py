@@ -1,9 +1,9 @@
 """Quality rules, in DataFrame functions only: line, symbol and repetition rules, then a hashed n-gram log-likelihood ratio.
 
 Word uni- and bigrams are hashed to BUCKETS buckets. Two multinomials are counted over them: the raw one over all documents, the
-trusted one over at most TRUSTED documents with a trusted label (those with the least hash of their id, a bounded sample of labelled
-rows). A document's verdict is its mean log ratio of the two, held against a fixed threshold; no draw is made, so equal texts are
-treated equally. The table of ratios has BUCKETS entries, whatever the corpus, and enters the plan as a constant.
+trusted one over all documents with a trusted label. A document's verdict is its mean log ratio of the two, held against a threshold that
+all but a share LOST of the trusted documents reach; no draw is made, so equal texts are treated equally. The table of ratios has BUCKETS
+entries, whatever the corpus, and enters the plan as a constant.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, TRUSTED, THRESHOLD = 10_000, 20_000, -0.04
+from .common import staged
+
+BUCKETS, LOST, BROADCAST = 10_000, 0.002, 2_000_000  # BROADCAST: ids
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
@@ -55,11 +57,17 @@ def repeated_words(ws: Column, width: int = WINDOW) -> Column:
     return F.when(n < width + 1, 0).otherwise(found).cast("long")
 
 
-def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", n: int = BUCKETS, trusted: int = TRUSTED) -> list[float]:
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(id) of the rows with a trusted label, each once."""
+    return labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+
+
+def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", n: int = BUCKETS) -> list[float]:
     """log p_trusted - log p_raw of each bucket, add-one smoothed; all zero where no row has a trusted label."""
-    ids = labels.where(F.col(label_col) == 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(trusted).withColumn("hit", F.lit(1))
-    rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("ws")).join(F.broadcast(ids), "id", "left")
+    ids = trusted_ids(labels, id_col, label_col).withColumn("hit", F.lit(1))
+    # Few ids go to the texts; many meet them in a shuffle.
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("ws")).join(ids, "id", "left")
     grams = rows.select("hit", F.explode(buckets(F.col("ws"), n)).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("hit").alias("good")).collect()  # at most n rows
     raw, good = [1] * n, [1] * n
@@ -72,13 +80,15 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return [round(math.log(g) - math.log(r) + shift, 5) for g, r in zip(good, raw, strict=True)]
 
 
-def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = BUCKETS, trusted: int = TRUSTED) -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float | None = None, n: int = BUCKETS, lost: float = LOST) -> DataFrame:
     """One row for each document with its base counts, base_failed, llr and kept.
 
-    A null or empty text, or one of white space, has no words: all counts 0, base_failed true, llr null, kept false. Repeated rows are
-    judged each for itself, and each counts in the raw multinomial. Columns besides id and text are not looked at.
+    threshold: the least ratio of a kept document; by default the one below which a share `lost` of the trusted documents that pass the
+    base rules lies (without any, all that pass are kept). A null or empty text, or one of white space, has no words: all counts 0,
+    base_failed true, llr null, kept false. Repeated rows are judged each for itself, and each counts in the raw multinomial. Columns
+    besides id and text are not looked at. An empty table has no rows.
     """
-    table = F.split(F.lit(",".join(map(str, ratios(docs, labels, id_col, text_col, n=n, trusted=trusted)))), ",").cast("array<double>")
+    table = F.split(F.lit(",".join(map(str, ratios(docs, labels, id_col, text_col, label_col, n)))), ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("ws", words(F.col("text"))).withColumn("lines", lines)
@@ -93,4 +103,9 @@ def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     llr = F.when(F.col("n_words") > 0, F.col("sum") / (2 * F.col("n_words") - 1))
-    return df.withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))).drop("sum")
+    df = staged(df.withColumn("llr", llr).drop("sum"), "quality")
+    if threshold is None:
+        passed = df.where("not base_failed").join(trusted_ids(labels, id_col, label_col).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        threshold = passed.agg(F.percentile_approx("llr", lost, 10_000)).first()[0]
+    verdict = F.coalesce(F.col("llr") >= (-math.inf if threshold is None else threshold), F.lit(False))
+    return df.withColumn("kept", ~F.col("base_failed") & verdict)

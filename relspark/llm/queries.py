@@ -55,7 +55,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir))
+    return licenses.scan(documents(spark, sf_dir)).where("best").drop("best")
 
 
 QUERIES = [op1_run_index, op2_secret_scans, op3_packing, op4_mixing, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_media_sniffing, op9_chat_formatting, op10_license_scans]

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 
 # Span patterns; a match counts from `least` characters of its group on.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,30 +45,43 @@ ENGLISH = (8.17, 1.49, 2.78, 4.25, 12.7, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.0
 #: separators. A fixed assumption; tokens of more mixed make are less unlike random ones than it says.
 WORDS = (*(0.9 * x / sum(ENGLISH) for x in ENGLISH), *(0.03 * x / sum(ENGLISH) for x in ENGLISH), *(0.004,) * 10, *(0.015,) * 2)
 FLOOR = 1e-30  # the least p-value
-SPAN = "struct<kind:int,start:int,end:int>"
+HIT, CHUNK = "struct<start:int,end:int,match:string>", 512
 
 
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _chunks(array: Column) -> Column:
+    """An array as arrays of at most CHUNK elements, so that a step over each element and one over each chunk stay short."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / CHUNK).cast("int")), lambda i: F.slice(array, i * CHUNK + 1, CHUNK))
+
+
 def found(text: Column, pattern: str, least: int = 1) -> Column:
     """Array of (start, end, match) of the leftmost non-overlapping matches whose group 1 has `least` characters; code points."""
-    def place(parts: Column, whole: Column, group: Column) -> Column:
-        zipped = F.arrays_zip(parts.alias("p"), whole.alias("m"), group.alias("g"))
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
+    none = F.expr(f"cast(array() as array<{HIT}>)")
 
+    def local(chunk: Column) -> Column:
+        """A chunk's matches, placed from the chunk's own beginning, and its length."""
         def step(acc: Column, x: Column) -> Column:
             begin = acc["at"] + F.length(x["p"])
             end = begin + F.length(x["m"])
             hit = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("match"))
             return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.array_append(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
-        whole_only = F.slice(zipped, 1, F.size(whole))
-        return F.aggregate(whole_only, start, step, lambda acc: acc["out"])
+        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def moved(parts: Column) -> Column:
+        bases = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + p["at"]))
+        shift = lambda p, base: F.transform(p["out"], lambda h: F.struct((h["start"] + base).alias("start"), (h["end"] + base).alias("end"), h["match"].alias("match")))
+        return _let(bases, lambda b: F.flatten(F.zip_with(parts, F.slice(b, 1, F.size(parts)), shift)))
 
-    matches = _let(F.struct(F.split(text, pattern).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("g")), lambda s: place(s["p"], s["m"], s["g"]))
-    return F.when(text.rlike(pattern), matches).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)"))
+    def place(s: Column) -> Column:
+        zipped = F.slice(F.arrays_zip(s["p"].alias("p"), s["m"].alias("m"), s["g"].alias("g")), 1, F.size(s["m"]))
+        return _let(F.transform(_chunks(zipped), local), moved)
+
+    matches = _let(F.struct(F.split(text, pattern).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("g")), place)
+    return F.when(text.rlike(pattern), matches).otherwise(none)
 
 
 def badness(token: Column) -> Column:
@@ -166,7 +179,12 @@ def _features(text: Column) -> Column:
     base = F.concat(of_kind(0, ASSIGN, 8), of_kind(1, ACCESS, 1), of_kind(2, HEX, 1))
 
     def tokens(base: Column) -> Column:
-        plain = F.filter(found(text, TOKEN), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+        def free(chunk: Column) -> Column:
+            """The chunk's tokens that no base span touches; each is held against the spans about the chunk alone."""
+            near = F.filter(base, lambda b: (b["start"] < F.element_at(chunk, -1)["end"]) & (chunk[0]["start"] < b["end"]))
+            return _let(near, lambda n: F.filter(chunk, lambda t: ~F.exists(n, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+
+        plain = _let(found(text, TOKEN), lambda a: F.when(F.size(a) > 0, F.flatten(F.transform(_chunks(a), free))).otherwise(a))
         score = lambda t: F.least(F.floor(badness(t["match"]) * STEP), F.lit(SCORES)).cast("int")
         scored = F.transform(plain, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), length_class(t["match"]).alias("c"), score(t).alias("s"), t["match"].rlike("^[A-Za-z][a-z]*$").alias("ref")))
         return F.struct(base.alias("base"), scored.alias("tokens"))
@@ -207,18 +225,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
 def redacted(docs: DataFrame, text_col: str = "text", rate: float = RATE, mark: str = "[secret]") -> DataFrame:
     """docs with every span of its texts replaced by `mark`; texts without a span, null ones included, are as they were.
 
-    Two passes over the texts, one for the limits and one that scans and replaces in the row, so no text is shuffled.
+    Each row is redacted for itself, repeated ones too; an empty table has no rows. Texts are looked through once: rows are staged
+    beside their features, from which the limits are counted and the spans taken.
     """
-    features = docs.select(_features(F.col(text_col)).alias("f"))
-    cut, text = _limits(features, rate), F.col(text_col)
+    f = fresh(docs, "features")
+    rows, text = staged(docs.withColumn(f, _features(F.col(text_col))), "secret-features"), F.col(text_col)
+    cut = _limits(rows.select(F.col(f).alias("f")), rate)
 
     def replace(spans: Column) -> Column:
+        """The text between spans, in pieces that are joined once; spans that lie in earlier ones add nothing."""
         def step(acc: Column, x: Column) -> Column:
-            joined = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.when(x["start"] >= acc["at"], mark).otherwise(""))
-            return F.struct(F.greatest(x["end"], acc["at"]).alias("at"), joined.alias("out"))
+            return F.struct(F.greatest(x["end"], acc["at"]).alias("at"), F.when(x["start"] >= acc["at"], F.array_append(acc["cuts"], F.struct(acc["at"].alias("a"), x["start"].alias("b")))).otherwise(acc["cuts"]).alias("cuts"))
 
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("cuts"))
+        piece = lambda c: F.substring(text, c["a"] + 1, c["b"] - c["a"])
+        clean = _let(F.aggregate(spans, start, step), lambda acc: F.concat(F.array_join(F.transform(acc["cuts"], piece), mark), F.lit(mark), F.substring(text, acc["at"] + 1, F.length(text))))
         return F.when(F.size(spans) > 0, clean).otherwise(text)
 
-    return docs.withColumn(text_col, _let(_spans(_features(text), cut), replace))
+    return rows.withColumn(text_col, _let(_spans(F.col(f), cut), replace)).select(*docs.columns)

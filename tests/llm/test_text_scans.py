@@ -189,3 +189,46 @@ def test_classifier_without_labels(spark):
     assert [x["score"] for x in classifier.classify(df, labels(spark, []).limit(0)).collect()] == [0.5, 0.5]
     assert classifier.classify(df.limit(0), labels(spark, [(1, 1, 0)])).count() == 0
     assert classifier.accepted(df, labels(spark, [(1, 1, 0)])).columns == df.columns
+
+
+def test_spans_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 3)
+    text = " é ".join(f"token=abcdefgh{i} AKIA{'X' * 16}{i} {'ab' * 20} zz{'Q7x' * 9}" for i in range(12))
+    row = secrets.scan(frame(spark, [text])).first()
+    want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans(text))
+    assert row["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and row["n_assign"] == row["n_access"] == row["n_hex"] == 12
+    assert secrets.redacted(frame(spark, [text, text])).select("text").distinct().count() == 1
+
+
+def test_scans_of_empty_tables(spark):
+    none, lab = frame(spark, ["x"]).limit(0), labels(spark, [(1, 1, 0)])
+    assert secrets.scan(none).count() == secrets.redacted(none).count() == quality.rules(none, lab).count() == classifier.accepted(none, lab).count() == 0
+
+
+def test_the_best_of_overlapping_licenses(spark):
+    affero = licenses.TEMPLATES["GPL-3.0-or-later"].replace("GNU General", "GNU Affero General")
+    texts = [affero, licenses.TEMPLATES["BSD-3-Clause-text"], licenses.TEMPLATES["BSD-2-Clause"], licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["GPL-3.0-or-later"] + " x" * 300 + " " + affero]
+    got = {}
+    for r in licenses.scan(frame(spark, texts)).where("best").collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {0: {"AGPL-3.0-or-later"}, 1: {"BSD-3-Clause-text"}, 2: {"BSD-2-Clause"}, 3: {"Apache-2.0"}, 4: {"GPL-3.0-or-later", "AGPL-3.0-or-later"}}
+
+
+def test_the_classifier_against_a_plain_solver():
+    """The dual's optimum by plain projected gradient on the whole kernel, against coordinate descent."""
+    import numpy as np
+
+    r = random.Random(10)
+    rows = [np.array(sorted(r.sample(range(40), 8)) + [50 + 3 * (i % 2) + r.randint(0, 2)]) for i in range(60)]
+    y = np.array([1 if i % 2 else -1 for i in range(60)])
+    ratio = classifier._ratio(rows, y)
+    w, bias = classifier._descend(rows, y, ratio, 1.0, 4000, 1.0)
+    x = np.zeros((60, 1 << classifier.BITS))
+    for i, at in enumerate(rows):
+        x[i, at] = ratio[at] / np.sqrt(np.square(ratio[at].astype(float)).sum())
+    q = (x @ x.T + 1) * np.outer(y, y)
+    a, step = np.zeros(60), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        a = np.clip(a - step * (q @ a - 1), 0, 1)
+    plain = x @ (x.T @ (a * y)) + (a * y).sum()
+    assert np.abs(x @ w + bias - plain).max() < 0.02
