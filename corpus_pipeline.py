@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.llm import classifier, mixing, packing, secrets, simhash
-from relspark.llm.common import staged
+from relspark.llm.common import fresh, row_order, staged
 from relspark.llm.queries import tokenizer_path
 
 
@@ -19,14 +19,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays, the one of least id."""
+    """One document of each group of SimHash near-duplicates stays, the one of least id; documents linked to none all stay."""
     return simhash.one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts, whose documents stay; n_chars follows."""
-    out = secrets.redacted(docs.withColumn("_before", F.col("text")))
-    return out.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return secrets.redacted(docs)
+    before = fresh(docs, "before")
+    out = secrets.redacted(docs.withColumn(before, F.col("text")))
+    return out.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col(before)), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces with the sequence and the offset that each is packed at."""
-    return packing.pack(docs, tokenizer_path())
+    """The documents' token pieces with the sequence and the offset that each is packed at; sequences follow the mixture's order."""
+    return packing.pack(docs, tokenizer_path(), place=row_order(docs))
 
 
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("secret scans", secret_scans), ("mixing", mixture), ("packing", packed)]
