@@ -2,14 +2,15 @@
 
 Candidates first, so that no index has to hold the corpus. The least hash of the GRAM-byte grams in a LENGTH-byte window is the window's
 anchor; equal windows have equal anchors. Consecutive windows with one anchor are a run of windows, kept as (anchor, hash of the run's
-bytes, document, place). Runs whose anchor occurs once anywhere hold no repeated window. Of equal runs one is kept, with
-a mark that it occurs more than once. An anchor with over HOT different runs (a line that a large part of the corpus shares, in ever new surroundings) is split: its
-windows become runs of their own with the hash of the whole window as anchor, so no anchor is left with many different runs.
-
-The runs left are dealt by anchor to buckets of bounded size. In a bucket the run-compressed Burrows-Wheeler transform of its texts is
-built, with suffix-array samples at both ends of each run and the length of the match with the neighbour there. Matching statistics are
-streamed along the text from these samples alone (they fall by one a byte between samples), and each window whose match reaches LENGTH
-is marked.
+bytes, document, place). Runs whose anchor occurs once anywhere hold no repeated window. Equal runs are cut out of the texts once, with
+their number. An anchor with over HOT different runs (a line that a large part of the corpus shares, in ever new surroundings) is dealt
+out: its windows become runs of their own with the hash of the whole window as anchor, and pass the same way. So no anchor is left with
+many different runs, and each has its place in a bucket.
+
+The runs left are dealt by anchor to buckets of bounded size. In a bucket the run-compressed Burrows-Wheeler transform of its texts, in
+all their copies, is built, with suffix-array samples at both ends of each run and the length of the match with the neighbour there.
+Matching statistics are streamed along the text from these samples alone (they fall by one a byte between samples), and each window whose
+match reaches LENGTH is marked. Hashes choose what enters the index; what is removed is what the index matches.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
-LENGTH, GRAM, HOT, BLOCK, BUCKET = 200, 32, 2_000, 1 << 22, 2 << 20
+LENGTH, GRAM, HOT, BLOCK, BUCKET = 200, 32, 2_000, 1 << 20, 1 << 20
 END = 0xFF  # no byte of UTF-8
-RUN = "h long, g long, doc long, pack long"
+RUN = "h long, g long, doc long, tag long, pack long"
 
 
 @cache
@@ -93,9 +94,10 @@ def window_runs(data: np.ndarray, ends: np.ndarray, single: bool = False) -> tup
     return h[anchor[s]], _span_hash(data, s, stop - s + LENGTH), doc[s], s - begins[doc[s]], stop - s + 1
 
 
-def _pack(tag: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Tag (24 bits), start (32 bits) and number of windows (8 bits) in one long."""
-    return (tag.astype(np.int64) & 0xFFFFFF) << 40 | start << 8 | many
+def _rows(h: np.ndarray, g: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    """A batch of RUN; pack holds the start and, in its low 8 bits, the number of windows."""
+    columns = (h.view(np.int64), g.view(np.int64), doc, tag, start.astype(np.int64) << 8 | many)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["h", "g", "doc", "tag", "pack"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shift, data in pieces:
                 ends = np.array([len(data)]) if len(pieces) > 1 else np.cumsum([len(t) for t in part])
                 h, g, d, s, n = window_runs(np.frombuffer(data, np.uint8), ends)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), g.view(np.int64), ids[lo + d], _pack(tags[lo + d], s + shift, n))], names=["h", "g", "doc", "pack"])
+                yield _rows(h, g, ids[lo + d], tags[lo + d], s + shift, n)
 
 
 def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -130,19 +132,24 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for doc, tag, text, packs in zip(*(b.column(i).to_pylist() for i in range(2)), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
             for p in packs:
-                start, many = p >> 8 & 0xFFFFFFFF, p & 0xFF
+                start, many = p >> 8, p & 0xFF
                 data = np.frombuffer(text[start : start + many + LENGTH - 1], np.uint8)
                 h, g, _, s, n = window_runs(data, np.array([len(data)]), single=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), g.view(np.int64), np.full(len(h), doc), _pack(np.full(len(h), tag), s + start, n))], names=["h", "g", "doc", "pack"])
+                yield _rows(h, g, np.full(len(h), doc), np.full(len(h), tag), s + start, n)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, tag, text, runs (h, g, pack, m) -> h, g, twice, seg."""
+    """doc, tag, text, runs (h, g, pack, m) -> h, g, m, seg. Rows of one doc and tag have one text, of which one is cut."""
+    last = None
     for b in batches:
-        rows = [(r["h"], r["g"], r["m"] > 1, text[(at := r["pack"] >> 8 & 0xFFFFFFFF) : at + (r["pack"] & 0xFF) + LENGTH - 1]) for text, runs in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True) for r in runs]
+        rows = []
+        for doc, tag, text, runs in zip(*(b.column(i).to_pylist() for i in range(2)), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if (doc, tag) != last:
+                rows += [(r["h"], r["g"], r["m"], text[(at := r["pack"] >> 8) : at + (r["pack"] & 0xFF) + LENGTH - 1]) for r in runs]
+            last = (doc, tag)
         for i in range(0, len(rows), 20_000):
             cols = zip(*rows[i : i + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["h", "g", "twice", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "g", "m", "seg"])
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -152,13 +159,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : i + n].astype(np.uint64)
-    order = np.argsort(key)
-    rank, slots, width = np.zeros(n, np.int64), np.arange(n), 8
+    order = np.argsort(key).astype(np.int32)
+    rank, slots, width = np.zeros(n, np.int32), np.arange(n, dtype=np.int32), 8
     key = key[order]
     while True:
         # A rank is the first slot of the suffixes that are equal so far.
         new = np.concatenate(([True], key[1:] != key[:-1]))
-        first = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        first = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots), dtype=np.int32), 0))]
         rank[order[slots]] = first
         alone = new & np.append(new[1:], True)
         slots = slots[~alone]
@@ -166,7 +173,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
         at = order[slots]
         after = at + width
-        key = rank[at] << 32 | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[at].astype(np.int64) << 32 | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         by = np.argsort(key)
         order[slots], key = at[by], key[by]
         width *= 2
@@ -188,41 +195,47 @@ def _extent(text: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def matching_statistics(segments: list[bytes], twice: list[bool] | None = None) -> list[np.ndarray]:
+def matching_statistics(segments: list[bytes], copies: list[int] | None = None) -> list[np.ndarray]:
     """For each byte of each segment (no END in it): how far what starts there, within its segment, also stands elsewhere.
 
-    From the run-length index alone: the transform's runs, suffix-array samples and match lengths at their two ends. twice: segments that
-    occur more than once but are entered once; they match as far as they reach.
+    From the run-length index alone: the transform's runs, suffix-array samples and match lengths at their two ends. copies: how often
+    each segment stands in the collection. Copies of a suffix are neighbours in the transform with one letter before them all, so they
+    are held as a run's length instead of rows; the match with such a neighbour reaches the segment's end. The letter before a segment's
+    first byte is the end of another one in each copy, so a run starts there and is sampled.
     """
     text = np.frombuffer(b"".join(s + bytes([END]) for s in segments), np.uint8)
-    n = len(text)
+    n, sizes = len(text), np.array([len(s) + 1 for s in segments])
+    ends, place = np.cumsum(sizes) - 1, np.arange(n, dtype=np.int32)
+    reach = np.repeat(ends.astype(np.int32), sizes) - place  # to the segment's end
+    before = text[place - 1].astype(np.int32)
+    before[ends - sizes + 1] = 256 + np.arange(len(segments))
     sa = suffix_array(text)
-    bwt = text[sa - 1].astype(np.int16)
-    bwt[sa == 0] = 256
+    bwt = before[sa]
     edge = np.flatnonzero(bwt[1:] != bwt[:-1])
-    tails, heads = np.append(edge, n - 1), np.concatenate(([0], edge + 1))
-    ends = np.cumsum([len(s) + 1 for s in segments]) - 1
-    reach = np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(n)  # to the segment's end
-    best = np.zeros(n, np.int64)
-    for ranks, other in ((heads, heads - 1), (tails, tails + 1)):
-        real = (other >= 0) & (other < n)
-        at, length = sa[ranks], np.zeros(len(ranks), np.int64)
+    del before, bwt
+    beside = np.repeat(np.zeros(len(segments), bool) if copies is None else np.array(copies) > 1, sizes)
+    best = np.zeros(n, np.int32)
+    for ranks, other in ((np.concatenate(([0], edge + 1)), np.concatenate(([-1], edge))), (np.append(edge, n - 1), np.append(edge + 1, n))):
+        at, length = sa[ranks], np.zeros(len(ranks), np.int32)
+        own = beside[at]
+        length[own] = reach[at[own]]
+        real = ~own & (other >= 0) & (other < n)
         length[real] = _extent(text, sa[ranks[real]], sa[other[real]])
-        sample, last = np.full(n, -1), np.full(n, 0)
-        last[at] = length
+        sample = np.full(n, -1, np.int32)
         sample[at] = at
         sample = np.maximum.accumulate(sample)
-        stream = np.where(sample >= 0, last[sample] - (np.arange(n) - sample), 0)
+        stream = np.zeros(n, np.int32)
+        stream[at] = length
+        stream = np.where(sample >= 0, stream[sample] - (place - sample), 0)
         best = np.maximum(best, np.minimum(stream, reach))
-    if twice is not None:
-        best = np.where(np.repeat(np.array(twice, bool), [len(s) + 1 for s in segments]), reach, best)
     return [best[e - len(s) : e] for s, e in zip(segments, ends, strict=True)]
 
 
 def _mark(table: pa.Table) -> pa.Table:
-    """h, g, twice, seg of a bucket -> h, g, lo, hi: stretches of each run's bytes to remove."""
-    out = []
-    for i, ms in enumerate(matching_statistics(table.column("seg").to_pylist(), table.column("twice").to_pylist())):
+    """h, g, m, seg of a bucket -> h, g, lo, hi: stretches of each run's bytes to remove. Repeats of one (h, g) are the same segment."""
+    one = list({k: i for i, k in enumerate(zip(table.column("h").to_pylist(), table.column("g").to_pylist(), strict=True))}.values())
+    table, out = table.take(one), []
+    for i, ms in enumerate(matching_statistics(table.column("seg").to_pylist(), table.column("m").to_pylist())):
         hit = np.flatnonzero(ms >= LENGTH)
         if len(hit):
             cut = np.flatnonzero(np.diff(hit) > LENGTH)
@@ -270,39 +283,49 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row (with_text: and the bytes kept).
 
     Null texts are empty; texts under LENGTH bytes are kept whole. Repeated rows are documents of their own, so what they hold of LENGTH
-    bytes or more goes from each of them. A null id is an id like any other. Other columns are not looked at.
+    bytes or more goes from each of them. A null id is an id like any other. Texts of one id are told apart by a 64-bit hash. Other
+    columns are not looked at. An empty table has no rows.
     """
     doc, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tag = F.xxhash64(text).bitwiseAND(0xFFFFFF)
-    df = docs.select(doc.alias("id"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"), tag.alias("tag"), text.alias("text"))
-    plain, keys = df.select("doc", "tag", "text"), ["doc", "tag"]
+    df = docs.select(doc.alias("id"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    keys = ["doc", "tag"]
 
-    def of_docs(packs: DataFrame, *cols: Column) -> DataFrame:
+    def of_docs(packs: DataFrame, *cols: str) -> DataFrame:
         """The rows of `packs` gathered by document, beside the document's text."""
-        packs = packs.withColumn("tag", F.shiftrightunsigned("pack", 40))
         own = packs.groupBy(*keys).agg(F.collect_list(cols[0] if len(cols) == 1 else F.struct(*cols)).alias("runs"))
-        # One of rows with the same id and text is enough here; which one makes no difference.
-        return df.select(*keys, "id", "text").join(own, keys).select(*keys, "text", "runs")
-
-    runs = staged(plain.where(F.octet_length("text") >= LENGTH).mapInArrow(_runs, RUN), "index-runs")
-    often = staged(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "index-often")
-    runs = staged(runs.join(often, "h"), "index-repeated")
-    hot = runs.groupBy("h").agg(F.count_distinct("g").alias("d")).where(f"d > {HOT}").select("h")
-    hot = staged(hot, "index-hot")
-    if hot.count():
-        split = of_docs(runs.join(hot, "h").select("doc", "pack").distinct(), F.col("pack")).mapInArrow(_single, RUN)
-        split = staged(split, "index-split")
-        twice = split.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        runs = staged(runs.join(hot, "h", "left_anti").unionAll(split.join(twice, "h")), "index-all")
-    one = runs.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m"), F.first("doc").alias("doc"), F.first("pack").alias("pack"))
-    one = staged(one, "index-one")
+        return df.select(*keys, "text").join(own, keys).select(*keys, "text", "runs")
+
+    def repeated(runs: DataFrame, name: str) -> DataFrame:
+        """The runs whose anchor stands more than once; only anchors and their counts are shuffled to find them."""
+        often = staged(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "index-often")
+        out = staged(runs.join(often, "h"), name)
+        dropped(runs, often)
+        return out
+
+    def representatives(runs: DataFrame) -> DataFrame:
+        return runs.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m"), F.first(F.struct(*keys, "pack")).alias("r")).select("h", "g", "m", "r.*")
+
+    whole = F.octet_length("text") >= LENGTH
+    runs = repeated(staged(df.where(whole).select(*keys, "text").mapInArrow(_runs, RUN), "index-runs"), "index-repeated")
+    one = staged(representatives(runs), "index-one")
+    hot = staged(one.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where(f"d > {HOT}").select("h"), "index-hot")
+    if not hot.isEmpty():
+        split = of_docs(runs.join(hot, "h").select(*keys, "pack").distinct(), "pack").mapInArrow(_single, RUN)
+        split = repeated(staged(split, "index-split"), "index-windows")
+        more = staged(representatives(split).unionByName(one.join(hot, "h", "left_anti")), "index-one")
+        rest = staged(runs.join(hot, "h", "left_anti").unionByName(split), "index-all")
+        dropped(runs, one, split)
+        runs, one = rest, more
     total = one.agg(F.sum(F.col("pack").bitwiseAND(0xFF) + LENGTH)).first()[0] or 0
-    segments = of_docs(one, F.col("h"), F.col("g"), F.col("pack"), F.col("m")).mapInArrow(_cut, "h long, g long, twice boolean, seg binary")
-    segments = segments.dropDuplicates(["h", "g"]).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(_many(total, BUCKET))))
-    marks = segments.groupBy("bucket").applyInArrow(_mark, "h long, g long, lo int, hi int")
-    marks = staged(marks, "index-marks")
-    start = F.shiftrightunsigned("pack", 8).bitwiseAND(0xFFFFFFFF)
-    spans = runs.join(marks, ["h", "g"]).select("doc", F.shiftrightunsigned("pack", 40).alias("tag"), F.struct((start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi")).alias("span"))
-    spans = spans.groupBy(*keys).agg(F.collect_set("span").alias("spans"))
+    # Segments are staged, so that the shuffled texts are gone before the segments are shuffled themselves.
+    segments = staged(of_docs(one, "h", "g", "pack", "m").mapInArrow(_cut, "h long, g long, m long, seg binary"), "index-segments")
+    dropped(one)
+    bucket = F.pmod(F.xxhash64("h"), F.lit(_many(total, BUCKET)))
+    marks = staged(segments.groupBy(bucket.alias("bucket")).applyInArrow(_mark, "h long, g long, lo int, hi int"), "index-marks")
+    dropped(segments)
+    start = F.shiftright("pack", 8)
+    spans = runs.join(marks, ["h", "g"]).select(*keys, F.struct((start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi")).alias("span"))
+    spans = staged(spans.groupBy(*keys).agg(F.collect_set("span").alias("spans")), "index-spans")
+    dropped(runs, hot, marks)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return df.join(spans, keys, "left").select("id", "text", "spans").mapInArrow(_kept(with_text), schema)
