@@ -127,18 +127,27 @@ def hashed_sql(*parts: str) -> str:
 POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975085)
 
 
-def poisson_weight(*parts: Column) -> Column:
-    """How often a cluster is drawn in a replicate: Poisson(1) by hash, so replicates need neither a shuffle nor a shared draw."""
-    u = hashed(*parts) / 4294967296.0
-    w = F.lit(0)
-    for c in POISSON:
-        w = w + F.when(u >= c, 1).otherwise(0)
-    return w
-
-
-def poisson_weight_sql(*parts: str) -> str:
-    u = f"({hashed_sql(*parts)} / 4294967296.0::DOUBLE)"
-    return "(" + " + ".join(f"(CASE WHEN {u} >= {c}::DOUBLE THEN 1 ELSE 0 END)" for c in POISSON) + ")"
+#: Weights in bootstrap replicates are drawn from 0 to PRIME - 1.
+PRIME = (1 << 31) - 1
+
+
+def weight_cuts(halves: bool = False) -> list[int]:
+    """A weight is the number of these that its draw reaches: Poisson(1), or 0 and 1 with equal chance."""
+    return [PRIME // 2] if halves else [math.ceil(c * PRIME) for c in POISSON]
+
+
+def weight_stream(cluster: Column, seed: int) -> tuple[Column, Column]:
+    """Start and step of a cluster's draws: draw r is (start + step r) mod PRIME."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), cluster.cast("string")))
+    at = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("bigint") % PRIME
+    return at(1), at(9)
+
+
+def weight_sql(cluster: str, seed: int, reps: int, table: str, halves: bool = False) -> str:
+    """The rows of `table` in each replicate (rep) with their weight (w)."""
+    at = lambda i: f"('0x' || substr(md5(concat_ws(':', '{seed}', {cluster})), {i}, 8))::BIGINT % {PRIME}"
+    cuts = " + ".join(f"(u >= {c})::INT" for c in weight_cuts(halves))
+    return f"(SELECT *, {cuts} AS w FROM (SELECT t.*, rep, (b0 + b1 * rep) % {PRIME} AS u FROM (SELECT *, {at(1)} AS b0, {at(9)} AS b1 FROM {table}) t, range({reps}) r(rep)))"
 
 
 def mcnemar_exact(gained: int, lost: int) -> float:

@@ -1,8 +1,8 @@
 """Containment of items in documents by an inverted index of word grams.
 
-Items are the small side: their distinct grams are hashed to longs and joined with the documents' grams, so a document's grams are
-dropped at the join and only matches are shuffled. The item side is broadcast while its grams are under BROADCAST rows; beyond that the
-join is left to the planner, which shuffles both sides by gram.
+Items are the small side: their distinct grams are hashed to longs. A document's words are hashed once, its grams are hashes of word
+hashes, and these longs alone meet the items' grams; words are put together and compared only where hashes met. The item side is
+broadcast while its grams are under BROADCAST rows; beyond that the join is left to the planner, which shuffles both sides by gram.
 """
 
 from __future__ import annotations
@@ -22,29 +22,45 @@ def grams(df: DataFrame, text: str, n: int = 13, plain: bool = False, short: boo
     return df.select("id", word_grams(words, n, short).alias("g"))
 
 
-def matches(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """item, doc, n_shared, n_grams of each item and document with a gram in common; both sides are (id, g)."""
-    left = items.select(F.col("id").alias("item"), F.size("g").alias("n_grams"), F.explode("g").alias("gram")).withColumn("k", F.xxhash64("gram"))
-    left = F.broadcast(left) if left.limit(BROADCAST + 1).count() <= BROADCAST else left
-    right = docs.select(F.col("id").alias("doc"), F.explode("g").alias("gram")).withColumn("k", F.xxhash64("gram"))
-    hit = right.join(left.withColumnRenamed("gram", "own"), "k").where("gram = own")
-    return hit.groupBy("item", "doc", "n_grams").agg(F.count(F.lit(1)).alias("n_shared"))
+def _gram_hashes(words: Column, n: int) -> Column:
+    """One long for each n words in a row, from the words' own hashes; fewer words: none."""
+    def slide(h: Column) -> Column:
+        return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), slide)[0]
+
+
+def _met(items: DataFrame, docs: DataFrame, n: int, plain: bool) -> DataFrame:
+    """item, n_grams, gram, doc of each place of a document (id, text) where a gram of the items (id, g) stands; places may repeat."""
+    left = items.select(F.col("id").alias("item"), F.size("g").alias("n_grams"), F.explode("g").alias("own"))
+    left = left.withColumn("k", F.get(_gram_hashes(F.split("own", " "), n), 0)).where("k is not null")
+    small = left.limit(BROADCAST + 1).count() <= BROADCAST
+    words = plain_tokens(F.col("text")) if plain else tokens(F.col("text"))
+    right = docs.select(F.col("id").alias("doc"), words.alias("w")).select("doc", "w", _gram_hashes(F.col("w"), n).alias("ks"))
+    right = right.select("doc", "w", F.posexplode("ks").alias("at", "k"))
+    gram = F.array_join(F.slice("w", F.col("at") + 1, n), " ")
+    # Beside a broadcast side words stay where they are; rows that are shuffled carry their own gram instead of all words.
+    hit = right.join(F.broadcast(left), "k").withColumn("gram", gram) if small else right.select("doc", "k", gram.alias("gram")).join(left, "k")
+    return hit.where("gram = own").select("item", "n_grams", "gram", "doc")
+
+
+def matches(items: DataFrame, docs: DataFrame, n: int = 13, plain: bool = False) -> DataFrame:
+    """item, doc, n_grams, n_shared of each item (id, g: its distinct grams) and document (id, text) with a gram of n words in common."""
+    return _met(items, docs, n, plain).distinct().groupBy("item", "doc", "n_grams").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def containment_max(items: DataFrame, docs: DataFrame, n: int = 13) -> DataFrame:
     """Per-document maximum: item, n_grams, n_matched, containment, verdict; items without a match have 0."""
     own = grams(items, "prompt", n)
-    best = matches(own, grams(docs, "text", n, short=False)).groupBy("item").agg(F.max("n_shared").alias("n_matched"))
+    best = matches(own, docs, n).groupBy("item").agg(F.max("n_shared").alias("n_matched"))
     return _verdicts(own, best)
 
 
 def containment_union(items: DataFrame, docs: DataFrame, n: int = 13) -> DataFrame:
     """Grams found anywhere in the corpus; plain tokens, items under n of them are too short."""
     own = grams(items, "prompt", n, plain=True, short=False)
-    left = own.select(F.col("id").alias("item"), F.explode("g").alias("gram"))
-    left = F.broadcast(left) if left.limit(BROADCAST + 1).count() <= BROADCAST else left
-    found = grams(docs, "text", n, plain=True, short=False).select(F.explode("g").alias("gram")).join(left, "gram")
-    return _verdicts(own, found.groupBy("item").agg(F.count_distinct("gram").alias("n_matched")))
+    found = _met(own, docs, n, True).select("item", "gram").distinct()
+    return _verdicts(own, found.groupBy("item").agg(F.count(F.lit(1)).alias("n_matched")))
 
 
 def _verdicts(own: DataFrame, matched: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.answers import poisson_weight, two_proportions
+from ..functions.answers import two_proportions
 from ..functions.rules import answer_changing, atlas_verdict, canonical_label, label_rank
-
-SEED = 6198
+from .ranks import ranked
+from .resampling import REPS, SEED, drawn, interval  # noqa: F401
 
 
 def accuracy(df: DataFrame) -> DataFrame:
@@ -94,38 +94,33 @@ def gap_cells(labelled: DataFrame, keys: list[str], weight=None) -> DataFrame:
     return labelled.groupBy(*keys, "stratum").agg(total(one).alias("n1"), total(one & ok).alias("c1"), total(zero).alias("n0"), total(zero & ok).alias("c0"))
 
 
-def replicated(df: DataFrame, reps: int, cluster: str = "parent_id", seed: int = SEED) -> DataFrame:
-    """Each cluster's row in each bootstrap replicate with its weight; rows of weight 0 are left out. df: one row a cluster or cell."""
-    out = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    return out.withColumn("w", poisson_weight(F.lit(str(seed)), F.col("rep").cast("string"), F.col(cluster))).where("w > 0")
-
-
-def interval(estimates: DataFrame, keys: list[str], value: str = "estimate") -> DataFrame:
-    return estimates.groupBy(*keys).agg(F.percentile(value, 0.025).alias("ci_low"), F.percentile(value, 0.975).alias("ci_high"), F.count(value).alias("n_reps"))
-
-
-def stratified_gap(labelled: DataFrame, keys: list[str], reps: int = 200) -> DataFrame:
+def stratified_gap(labelled: DataFrame, keys: list[str], reps: int = REPS) -> DataFrame:
     """Unadjusted and pooled gap by scope with a cluster-bootstrap interval; clusters are reduced to cell counts first."""
     cells = gap_cells(labelled, keys)
     plain = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n1", "c1", "n0", "c0")])
     plain = plain.select(*keys, (F.try_divide("c1", "n1") - F.try_divide("c0", "n0")).alias("unadjusted_gap"))
     per = gap_cells(labelled, [*keys, "parent_id"])
-    drawn = replicated(per, reps).groupBy(*keys, "rep", "stratum").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n1", "c1", "n0", "c0")])
-    ci = interval(pooled_gap(drawn, [*keys, "rep"]).withColumnRenamed("pooled_gap", "estimate"), keys)
+    replicates = drawn(per, [*keys, "stratum"], ["n1", "c1", "n0", "c0"], reps)
+    ci = interval(pooled_gap(replicates, [*keys, "rep"]).withColumnRenamed("pooled_gap", "estimate"), keys)
     n = labelled.groupBy(*keys).agg(F.count_distinct("parent_id").alias("n_clusters"))
     return plain.join(pooled_gap(cells, keys), keys).join(ci, keys).join(n, keys)
 
 
-def atlas(scores: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean accuracy, consistency and reliability of the clusters of each skill, by contamination level and over all, with a verdict."""
+def atlas(scores: DataFrame, labels: DataFrame, reps: int = REPS) -> DataFrame:
+    """Mean accuracy, consistency and reliability of the clusters of each skill, by contamination level and over all, with a verdict.
+
+    ci_low, ci_high: a cluster bootstrap of the mean reliability; a cell of one cluster has its value at both ends.
+    """
     skill = scores.groupBy("parent_id").agg(F.min("skill").alias("skill"))
     c = clusters(scores).join(skill, "parent_id").join(labels.select(F.col("benchmark_id").alias("parent_id"), "label"), "parent_id", "left").withColumn("level", F.coalesce("label", F.lit("clean")))
-    cells = c.cube("skill", "level").agg(
-        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n_clusters"), *[F.avg(m).alias(m) for m in ("accuracy", "consistency", "reliability")], F.count_if(F.col("n_preserving") >= 2).alias("n_multi")
-    ).where("_g in (0, 1)")
+    c = c.select("parent_id", "skill", "accuracy", "consistency", "reliability", "n_preserving", F.explode(F.array(F.col("level"), F.lit("all"))).alias("level"))
+    keys = ["skill", "level"]
+    cells = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"), *[F.avg(m).alias(m) for m in ("accuracy", "consistency", "reliability")], F.count_if(F.col("n_preserving") >= 2).alias("n_multi"))
+    means = drawn(c.withColumn("one", F.lit(1)), keys, ["reliability", "one"], reps).withColumn("estimate", F.try_divide("reliability", "one"))
+    cells = cells.join(interval(means, keys).drop("n_reps"), keys)
     verdict = atlas_verdict(F.col("accuracy"), F.col("reliability"), F.col("n_clusters"), F.col("n_multi"))
     # The reference's order of tests: an unprobed cell is accuracy_only whatever its size.
-    return cells.select("skill", F.when(F.col("_g") == 1, "all").otherwise(F.col("level")).alias("level"), "n_clusters", "accuracy", "consistency", "reliability", F.when(F.col("n_multi") == 0, "accuracy_only").otherwise(verdict).alias("verdict"))
+    return cells.select(*keys, "n_clusters", "accuracy", "consistency", "reliability", "ci_low", "ci_high", F.when(F.col("n_multi") == 0, "accuracy_only").otherwise(verdict).alias("verdict"))
 
 
 def canonical_counts(hits: DataFrame) -> DataFrame:
@@ -145,20 +140,18 @@ def did_value(prefix_n: str = "n_", prefix_c: str = "c_"):
     return (r("so") - r("uo")) - (r("sp") - r("up"))
 
 
-def did(df: DataFrame, keys: list[str], reps: int = 200) -> DataFrame:
+def did(df: DataFrame, keys: list[str], reps: int = REPS) -> DataFrame:
     """Difference in differences by model: (seen - unseen) on originals less that on perturbed, with a cluster-bootstrap interval."""
     cells = did_cells(df, keys)
     per = did_cells(df, [*keys, "parent_id"])
     names = [f"{a}_{k}" for a in "nc" for k in ("so", "sp", "uo", "up")]
-    drawn = replicated(per, reps).groupBy(*keys, "rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in names])
-    ci = interval(drawn.withColumn("estimate", did_value()), keys)
+    ci = interval(drawn(per, keys, names, reps).withColumn("estimate", did_value()), keys)
     full = F.least(*[F.col(f"n_{k}") for k in ("so", "sp", "uo", "up")]) > 0
     return cells.join(ci, keys).select(*keys, *[f"n_{k}" for k in ("so", "sp", "uo", "up")], F.when(full, did_value()).alias("did"), "ci_low", "ci_high", F.when(full, "measured").otherwise("insufficient_cells").alias("status"))
 
 
 def difficulty_bins(df: DataFrame, score: str, tie: str, bins: int = 3, rows: int | None = None) -> DataFrame:
-    """Equal-frequency bins by score, ties by a hash of the id: rank * bins div n. Ranks are counted over range partitions of the score."""
+    """Equal-frequency bins by score, ties by `tie`: rank * bins div n. Ranks are counted over range partitions of the score."""
     n = rows or df.count()
     k = max(1, min(bins, n))
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(score, tie)) - 1)
-    return ranked.withColumn("bin", F.least(F.lit(k - 1), F.floor(F.col("_r") * k / n)).cast("int")).drop("_r")
+    return ranked(df, [], [score, tie], "_r").withColumn("bin", F.least(F.lit(k - 1), F.floor(F.col("_r") * k / n)).cast("int")).drop("_r")

@@ -42,7 +42,7 @@ def _(s, d):
 
 @query("join05_inverted_index", inverted(False) + " SELECT item, doc, count(*) AS n_shared FROM u JOIN v USING (gram) GROUP BY ALL")
 def _(s, d):
-    return C.matches(C.grams(items(s, d), "prompt"), C.grams(docs(s, d), "text", short=False)).select("item", "doc", "n_shared")
+    return C.matches(C.grams(items(s, d), "prompt"), docs(s, d)).select("item", "doc", "n_shared")
 
 
 @query("con05_namespaced_sharded", inverted(False) + " SELECT 'benchmark:' || item AS item, max(k) AS n_matched FROM (SELECT item, doc, count(*) AS k FROM u JOIN v USING (gram) GROUP BY ALL) GROUP BY 1")
@@ -50,7 +50,7 @@ def _(s, d):
     """Item sets under their own name space, shards merged by maximum."""
     own = C.grams(items(s, d).withColumn("id", F.concat(F.lit("benchmark:"), F.col("id"))), "prompt")
     text = docs(s, d)
-    shards = [C.matches(own, C.grams(text.where(F.pmod(F.xxhash64("id"), F.lit(2)) == k), "text", short=False)) for k in range(2)]
+    shards = [C.matches(own, text.where(F.pmod(F.xxhash64("id"), F.lit(2)) == k)) for k in range(2)]
     return shards[0].unionByName(shards[1]).groupBy("item").agg(F.max("n_shared").alias("n_matched"))
 
 
@@ -70,7 +70,7 @@ def _(s, d):
 @query("agg17_route_attribution", inverted(False) + ", p AS (SELECT item, doc, count(*) AS k FROM u JOIN v USING (gram) GROUP BY ALL), r AS (SELECT source, count(DISTINCT item) AS n_items FROM p JOIN i USING (item) JOIN {docs} x ON x.id = doc WHERE k / len(g) >= 0.8 GROUP BY 1) SELECT source, n_items, n_rows FROM r JOIN (SELECT source, count(*) AS n_rows FROM documents GROUP BY 1) USING (source)")
 def _(s, d):
     x = docs(s, d)
-    hit = C.matches(C.grams(items(s, d), "prompt"), C.grams(x, "text", short=False)).where("n_shared / n_grams >= 0.8")
+    hit = C.matches(C.grams(items(s, d), "prompt"), x).where("n_shared / n_grams >= 0.8")
     per = hit.join(x.select(F.col("id").alias("doc"), "source"), "doc").groupBy("source").agg(F.count_distinct("item").alias("n_items"))
     return per.join(x.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows")), "source")
 
@@ -98,7 +98,7 @@ SELECT doc_id FROM (SELECT doc_id, sum(n) OVER (ORDER BY doc_id) AS total FROM o
 def _(s, d):
     """Long documents without a gram of the items, in order, up to a budget of characters."""
     x = docs(s, d).where(F.length("text") >= 200)
-    hit = C.matches(C.grams(items(s, d), "prompt"), C.grams(x, "text", short=False)).select(F.col("doc").alias("id")).distinct()
+    hit = C.matches(C.grams(items(s, d), "prompt"), x).select(F.col("doc").alias("id")).distinct()
     ok = x.join(hit, "id", "left_anti").select(F.col("id").cast("long").alias("doc_id"), F.length("text").alias("n"))
     w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     return ok.withColumn("total", F.sum("n").over(w)).where("total <= 200000").select("doc_id")

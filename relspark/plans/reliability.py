@@ -11,7 +11,7 @@ from ..functions import rules as R
 from ..operators import reliability as O
 from ..sources.tables import hits, judge, scores, sql, table
 
-REPS = 40
+REPS = O.REPS
 CHG = "variant_type IN ('gsm_symbolic', 'numeric_perturbation')"
 
 
@@ -121,13 +121,13 @@ def _(s, d):
     return O.pooled_gap(O.gap_cells(labelled(s, d), ["model"]), ["model"])
 
 
-def pw(cluster: str = "parent_id") -> str:
-    return A.poisson_weight_sql(f"'{O.SEED}'", "rep::VARCHAR", cluster)
+def draws(table: str, cluster: str = "parent_id", halves: bool = False) -> str:
+    return A.weight_sql(cluster, O.SEED, REPS, table, halves)
 
 
 @query("agg09_boot02_stratified_gap", f"""
 WITH l AS (SELECT * FROM {LAB}), per AS (SELECT model, parent_id, stratum, {CELL} FROM (SELECT *, 1 AS w FROM l) GROUP BY ALL), cells AS (SELECT model, stratum, sum(n1) AS n1, sum(c1) AS c1, sum(n0) AS n0, sum(c0) AS c0 FROM per GROUP BY ALL),
-b AS (SELECT model, rep, stratum, sum(n1 * w) AS n1, sum(c1 * w) AS c1, sum(n0 * w) AS n0, sum(c0 * w) AS c0 FROM (SELECT per.*, rep, {pw()} AS w FROM per, range({REPS}) r(rep)) GROUP BY ALL),
+b AS (SELECT model, rep, stratum, sum(n1 * w) AS n1, sum(c1 * w) AS c1, sum(n0 * w) AS n0, sum(c0 * w) AS c0 FROM {draws('per')} GROUP BY ALL),
 e AS (SELECT model, rep, {MH} AS e FROM b WHERE n1 > 0 AND n0 > 0 GROUP BY ALL), ci AS (SELECT model, quantile_cont(e, 0.025) AS lo, quantile_cont(e, 0.975) AS hi, count(e) AS n FROM e GROUP BY 1),
 u AS (SELECT model, sum(c1) / sum(n1) - sum(c0) / sum(n0) AS u FROM cells GROUP BY 1), p AS (SELECT model, {MH} AS p FROM cells WHERE n1 > 0 AND n0 > 0 GROUP BY 1), k AS (SELECT model, count(DISTINCT parent_id) AS k FROM l GROUP BY 1)
 SELECT model, round(u, 6) AS unadjusted_gap, round(p, 6) AS pooled_gap, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, n AS n_reps, k AS n_clusters FROM u JOIN p USING (model) JOIN ci USING (model) JOIN k USING (model)""")
@@ -136,10 +136,11 @@ def _(s, d):
 
 
 @query("agg10_atlas", CONS + f""", k AS (SELECT parent_id, min(skill) AS skill FROM {{scores}} GROUP BY 1),
-cc AS (SELECT p.parent_id, skill, coalesce(label, 'clean') AS level, acc, cons, acc * cons AS rel, kept FROM p JOIN m USING (parent_id) JOIN k USING (parent_id) LEFT JOIN {LABELS} l ON l.benchmark_id = p.parent_id),
-g AS (SELECT skill, CASE WHEN grouping(level) = 1 THEN 'all' ELSE level END AS level, count(*) AS n, avg(acc) AS acc, avg(cons) AS cons, avg(rel) AS rel, count(*) FILTER (WHERE kept >= 2) AS multi FROM cc GROUP BY GROUPING SETS ((skill, level), (skill)))
-SELECT skill, level, n AS n_clusters, round(acc, 6) AS accuracy, round(cons, 6) AS consistency, round(rel, 6) AS reliability,
-CASE WHEN multi = 0 THEN 'accuracy_only' WHEN n < 3 THEN 'insufficient_data' WHEN acc >= 0.6 AND rel < 0.3 THEN 'fragile' WHEN rel >= 0.5 THEN 'genuine' WHEN rel >= 0.3 THEN 'partial' ELSE 'gap' END AS verdict FROM g""")
+cc AS (SELECT p.parent_id, skill, unnest([coalesce(label, 'clean'), 'all']) AS level, acc, cons, acc * cons AS rel, kept FROM p JOIN m USING (parent_id) JOIN k USING (parent_id) LEFT JOIN {LABELS} l ON l.benchmark_id = p.parent_id),
+g AS (SELECT skill, level, count(*) AS n, avg(acc) AS acc, avg(cons) AS cons, avg(rel) AS rel, count(*) FILTER (WHERE kept >= 2) AS multi FROM cc GROUP BY ALL),
+e AS (SELECT skill, level, rep, CASE WHEN sum(w) > 0 THEN sum(rel * w) / sum(w) END AS e FROM {draws('cc')} GROUP BY ALL), ci AS (SELECT skill, level, quantile_cont(e, 0.025) AS lo, quantile_cont(e, 0.975) AS hi FROM e GROUP BY ALL)
+SELECT skill, level, n AS n_clusters, round(acc, 6) AS accuracy, round(cons, 6) AS consistency, round(rel, 6) AS reliability, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high,
+CASE WHEN multi = 0 THEN 'accuracy_only' WHEN n < 3 THEN 'insufficient_data' WHEN acc >= 0.6 AND rel < 0.3 THEN 'fragile' WHEN rel >= 0.5 THEN 'genuine' WHEN rel >= 0.3 THEN 'partial' ELSE 'gap' END AS verdict FROM g JOIN ci USING (skill, level)""")
 def _(s, d):
     return O.atlas(scores(s, d), O.strongest_labels(hits(s, d)))
 
@@ -162,10 +163,10 @@ def _(s, d):
     return O.did_cells(scores(s, d), ["model"])
 
 
-def did_sql(source: str, keys: str = "model", reps: int = REPS) -> str:
+def did_sql(source: str, keys: str = "model") -> str:
     sums = ", ".join(f"sum({c} * w) AS {c}" for c in NAMES)
     return f"""WITH per AS (SELECT {keys}, parent_id, {DIDC} FROM {source} GROUP BY ALL), cells AS (SELECT {keys}, {', '.join(f'sum({c})::BIGINT AS {c}' for c in NAMES)} FROM per GROUP BY {keys}),
-b AS (SELECT {keys}, rep, {sums} FROM (SELECT per.*, rep, {pw()} AS w FROM per, range({reps}) r(rep)) GROUP BY ALL), ci AS (SELECT {keys}, quantile_cont({DIDV}, 0.025) AS lo, quantile_cont({DIDV}, 0.975) AS hi FROM b GROUP BY {keys})
+b AS (SELECT {keys}, rep, {sums} FROM {draws('per')} GROUP BY ALL), ci AS (SELECT {keys}, quantile_cont({DIDV}, 0.025) AS lo, quantile_cont({DIDV}, 0.975) AS hi FROM b GROUP BY {keys})
 SELECT {keys}, n_so, n_sp, n_uo, n_up, round({DIDV}, 6) AS did, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, 'measured' AS status FROM cells JOIN ci USING ({keys})"""
 
 
@@ -214,20 +215,19 @@ def _(s, d):
 
 
 @query("boot01_mean_interval", CONS + f""", cc AS (SELECT parent_id, acc * cons AS rel FROM p JOIN m USING (parent_id)),
-e AS (SELECT rep, sum(rel * w) / sum(w) AS e FROM (SELECT cc.*, rep, {pw()} AS w FROM cc, range({REPS}) r(rep)) GROUP BY 1)
+e AS (SELECT rep, sum(rel * w) / sum(w) AS e FROM {draws('cc')} GROUP BY 1)
 SELECT round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high, count(e) AS n_reps FROM e""")
 def _(s, d):
-    drawn = O.replicated(O.clusters(scores(s, d)), REPS).groupBy("rep").agg((F.sum(F.col("reliability") * F.col("w")) / F.sum("w")).alias("estimate"))
-    return O.interval(drawn, [])
+    means = O.drawn(O.clusters(scores(s, d)).withColumn("one", F.lit(1)), [], ["reliability", "one"], REPS)
+    return O.interval(means.withColumn("estimate", F.try_divide("reliability", "one")), [])
 
 
 @query("boot04_rate_interval", f"""WITH c AS (SELECT arm, parent_id, count(*) FILTER (WHERE correct) AS k, count(*) AS n FROM {{scores}} WHERE arm IS NOT NULL GROUP BY ALL),
-e AS (SELECT arm, rep, sum(k * w) / sum(n * w) AS e FROM (SELECT c.*, rep, {pw()} AS w FROM c, range({REPS}) r(rep)) GROUP BY ALL)
+e AS (SELECT arm, rep, sum(k * w) / sum(n * w) AS e FROM {draws('c')} GROUP BY ALL)
 SELECT arm, round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high, count(e) AS n_reps FROM e GROUP BY 1""")
 def _(s, d):
     c = scores(s, d).where("arm is not null").groupBy("arm", "parent_id").agg(F.count_if("correct").alias("k"), F.count(F.lit(1)).alias("n"))
-    drawn = O.replicated(c, REPS).groupBy("arm", "rep").agg((F.sum(F.col("k") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("estimate"))
-    return O.interval(drawn, ["arm"])
+    return O.interval(O.drawn(c, ["arm"], ["k", "n"], REPS).withColumn("estimate", F.try_divide("k", "n")), ["arm"])
 
 
 BA = "(0.5e0 * (tp / (tp + fn) + tn / (tn + fp)))"
@@ -262,50 +262,47 @@ def _(s, d):
     return c.select("judge", "arm", "n", "abstained", "base_rate", F.try_divide("tp", F.col("tp") + F.col("fn")).alias("sensitivity"), F.try_divide("tn", F.col("tn") + F.col("fp")).alias("specificity"), balanced().alias("balanced_accuracy"), kappa().alias("kappa"))
 
 
-@query("boot05_judge_gap", f"""WITH per AS (SELECT arm, parent_id, {CONF} FROM {{judge}} GROUP BY ALL), b AS (SELECT arm, rep, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn, sum(tn * w) AS tn FROM (SELECT per.*, rep, {pw()} AS w FROM per, range({REPS}) r(rep)) GROUP BY ALL),
+@query("boot05_judge_gap", f"""WITH per AS (SELECT arm, parent_id, {CONF} FROM {{judge}} GROUP BY ALL), b AS (SELECT arm, rep, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn, sum(tn * w) AS tn FROM {draws('per')} GROUP BY ALL),
 e AS (SELECT rep, max({BA}) FILTER (WHERE arm = 'seen') - max({BA}) FILTER (WHERE arm = 'unseen') AS e FROM b GROUP BY 1) SELECT round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high, count(e) AS n_reps FROM e""")
 def _(s, d):
-    drawn = O.replicated(confusion(judge(s, d), ["arm", "parent_id"]), REPS).groupBy("arm", "rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn", "tn")])
-    ba = drawn.select("arm", "rep", balanced().alias("ba"))
+    ba = O.drawn(confusion(judge(s, d), ["arm", "parent_id"]), ["arm"], ["tp", "fp", "fn", "tn"], REPS).select("arm", "rep", balanced().alias("ba"))
     return O.interval(ba.groupBy("rep").agg((F.max(F.when(F.col("arm") == "seen", F.col("ba"))) - F.max(F.when(F.col("arm") == "unseen", F.col("ba")))).alias("estimate")), [])
 
 
-@query("boot06_interaction", f"""WITH per AS (SELECT parent_id, arm, condition, count(*) AS n, count(*) FILTER (WHERE truth) AS k FROM {{judge}} GROUP BY ALL), b AS (SELECT rep, arm, condition, sum(k * w) / sum(n * w) AS r FROM (SELECT per.*, rep, {pw()} AS w FROM per, range({REPS}) r(rep)) GROUP BY ALL),
+@query("boot06_interaction", f"""WITH per AS (SELECT parent_id, arm, condition, count(*) AS n, count(*) FILTER (WHERE truth) AS k FROM {{judge}} GROUP BY ALL), b AS (SELECT rep, arm, condition, sum(k * w) / sum(n * w) AS r FROM {draws('per')} GROUP BY ALL),
 e AS (SELECT rep, max(r) FILTER (WHERE arm = 'seen' AND condition = 'pruned') - max(r) FILTER (WHERE arm = 'seen' AND condition = 'control') - max(r) FILTER (WHERE arm = 'unseen' AND condition = 'pruned') + max(r) FILTER (WHERE arm = 'unseen' AND condition = 'control') AS e FROM b GROUP BY 1)
 SELECT round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high, count(e) AS n_reps FROM e""")
 def _(s, d):
     per = judge(s, d).groupBy("parent_id", "arm", "condition").agg(F.count(F.lit(1)).alias("n"), F.count_if("truth").alias("k"))
-    b = O.replicated(per, REPS).groupBy("rep", "arm", "condition").agg((F.sum(F.col("k") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("r"))
+    b = O.drawn(per, ["arm", "condition"], ["k", "n"], REPS).withColumn("r", F.try_divide("k", "n"))
     at = lambda a, c: F.max(F.when((F.col("arm") == a) & (F.col("condition") == c), F.col("r")))
     return O.interval(b.groupBy("rep").agg((at("seen", "pruned") - at("seen", "control") - at("unseen", "pruned") + at("unseen", "control")).alias("estimate")), [])
 
 
-HALF = f"({A.hashed_sql(f'{chr(39)}{O.SEED}{chr(39)}', 'rep::VARCHAR', 'parent_id')} < 2147483648)"
-
-
 @query("boot07_placebo_relabelling", f"""WITH per AS (SELECT parent_id, count(*) AS n, count(*) FILTER (WHERE truth) AS k FROM {{judge}} GROUP BY 1),
-e AS (SELECT rep, sum(k) FILTER (WHERE h) / sum(n) FILTER (WHERE h) - sum(k) FILTER (WHERE NOT h) / sum(n) FILTER (WHERE NOT h) AS e FROM (SELECT per.*, rep, {HALF} AS h FROM per, range({REPS}) r(rep)) GROUP BY 1)
+e AS (SELECT rep, sum(k * w) / sum(n * w) - sum(k * (1 - w)) / sum(n * (1 - w)) AS e FROM {draws('per', halves=True)} GROUP BY 1)
 SELECT round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high, count(e) AS n_reps FROM e""")
 def _(s, d):
     """Clusters dealt to two halves by hash in each replicate; no difference is expected."""
-    per = judge(s, d).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("truth").alias("k")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1))))
-    h = A.hashed(F.lit(str(O.SEED)), F.col("rep").cast("string"), F.col("parent_id")) < 2147483648
-    part = lambda c, cond: F.sum(F.when(cond, F.col(c)))
-    return O.interval(per.groupBy("rep").agg((part("k", h) / part("n", h) - part("k", ~h) / part("n", ~h)).alias("estimate")), [])
+    per = judge(s, d).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("truth").alias("k"))
+    total = F.broadcast(per.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k")))  # one row
+    half = O.drawn(per, [], ["n", "k"], REPS, halves=True).crossJoin(total)
+    other = F.try_divide(F.col("all_k") - F.col("k"), F.col("all_n") - F.col("n"))
+    return O.interval(half.withColumn("estimate", F.try_divide("k", "n") - other), [])
 
 
 SXY = "sum(w) AS n, sum(x * w) AS sx, sum(y * w) AS sy, sum(x * y * w) AS sxy, sum(x * x * w) AS sxx"
 
 
 @query("num15_boot10_slope", f"""WITH r AS (SELECT model, parent_id, seq % 7 AS x, correct::INT AS y FROM {{scores}}), per AS (SELECT model, parent_id, {SXY} FROM (SELECT *, 1 AS w FROM r) GROUP BY ALL),
-b AS (SELECT model, rep, sum(n * w) AS n, sum(sx * w) AS sx, sum(sy * w) AS sy, sum(sxy * w) AS sxy, sum(sxx * w) AS sxx FROM (SELECT per.*, rep, {pw()} AS w FROM per, range({REPS}) q(rep)) GROUP BY ALL),
+b AS (SELECT model, rep, sum(n * w) AS n, sum(sx * w) AS sx, sum(sy * w) AS sy, sum(sxy * w) AS sxy, sum(sxx * w) AS sxx FROM {draws('per')} GROUP BY ALL),
 ci AS (SELECT model, quantile_cont(100 * (n * sxy - sx * sy) / (n * sxx - sx * sx), 0.025) AS lo, quantile_cont(100 * (n * sxy - sx * sy) / (n * sxx - sx * sx), 0.975) AS hi FROM b GROUP BY 1)
 SELECT model, round(100 * regr_slope(y, x), 6) AS slope, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high FROM r JOIN ci USING (model) GROUP BY 1""")
 def _(s, d):
     """Slope of the success rate, in points; clusters are carried as sums of moments."""
     r = scores(s, d).select("model", "parent_id", (F.col("seq") % 7).alias("x"), F.col("correct").cast("int").alias("y"))
     per = r.groupBy("model", "parent_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
-    b = O.replicated(per, REPS).groupBy("model", "rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx")])
+    b = O.drawn(per, ["model"], ["n", "sx", "sy", "sxy", "sxx"], REPS)
     n, sx, sy, sxy, sxx = (F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx"))
     ci = O.interval(b.withColumn("estimate", 100 * (n * sxy - sx * sy) / (n * sxx - sx * sx)), ["model"]).drop("n_reps")
     return r.groupBy("model").agg((100 * F.regr_slope("y", "x")).alias("slope")).join(ci, "model")
