@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_answer_text
+from .text import boxed_balanced, canonical_number, normalize_answer_text
 
 PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 FRACTION = r"\\d?frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}"
@@ -41,6 +41,19 @@ def equivalent(gold: Column, pred: Column, kind: Column) -> Column:
     return F.coalesce(text | (kind.isin("numeric", "math") & close(numeric_value(gold), numeric_value(pred))), F.lit(False))
 
 
+def symbolic_equal(gold: Column, pred: Column) -> Column:
+    """Equality as formulas: needs an algebra system, which is not installed, so it holds for none."""
+    return F.lit(False)
+
+
+def correct(pred: Column, gold: Column) -> Column:
+    """A prediction against a gold answer that may still carry its solution: the gold's box is unwrapped, then texts, then values compared."""
+    own = F.coalesce(boxed_balanced(gold), gold)
+    p, g = canonical_number(pred), canonical_number(own)
+    same = (p == g) | (F.upper(F.trim(p)) == F.upper(F.trim(g))) | equivalent(own, pred, F.lit("math")) | symbolic_equal(own, pred)
+    return F.coalesce(same, F.lit(False))
+
+
 def answer_kind(benchmark: Column, skill: Column, answer: Column, has_choices: Column) -> Column:
     yes_no = F.lower(F.trim(F.coalesce(answer, F.lit("")))).isin("yes", "no", "true", "false")
     return F.when((benchmark == "math") | (skill == "mathematical"), "math").when(benchmark.isin("arc_challenge", "logiqa2", "reclor") | has_choices, "multiple_choice").when((benchmark == "gsm8k") | (skill == "arithmetic"), "numeric").when(yes_no, "yes_no").otherwise("text")
@@ -150,12 +163,47 @@ def weight_sql(cluster: str, seed: int, reps: int, table: str, halves: bool = Fa
     return f"(SELECT *, {cuts} AS w FROM (SELECT t.*, rep, (b0 + b1 * rep) % {PRIME} AS u FROM (SELECT *, {at(1)} AS b0, {at(9)} AS b1 FROM {table}) t, range({reps}) r(rep)))"
 
 
+def binomial_tail(lost: Column, gained: Column) -> Column:
+    """Two-sided exact McNemar p of discordant pairs: twice the lower tail of a fair binomial, 1 at most."""
+    n, k = lost + gained, F.least(lost, gained)
+    # From each term to the next: C(n, i) = C(n, i - 1) (n - i + 1) / i, in logarithms, so that no power of two underflows.
+    start = F.struct((-n * math.log(2)).cast("double").alias("at"), F.exp(-n * math.log(2)).alias("sum"))
+
+    def step(acc: Column, i: Column) -> Column:
+        at = acc["at"] + F.log((n - i + 1) / i)
+        return F.struct(at.alias("at"), (acc["sum"] + F.exp(at)).alias("sum"))
+
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.least(F.lit(1.0), 2 * F.aggregate(terms, start, step, lambda acc: acc["sum"]))
+
+
 def mcnemar_exact(gained: int, lost: int) -> float:
     """Two-sided exact McNemar p of discordant pairs."""
     n, k = gained + lost, min(gained, lost)
     return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
 
 
+def design_effect(size: Column, icc: Column) -> Column:
+    """What clustering costs: rows of clusters of `size` are worth their number over this."""
+    return 1 + (size - 1) * icc
+
+
+def detectable(p0: Column, n: Column, alpha_z: float = 1.959963984540054, power: float = 0.8, rounds: int = 40) -> Column:
+    """minimum_detectable_effect() as a Column, by the rational approximation of the normal tail."""
+    def reached(s: Column, d: Column) -> Column:
+        p1 = s["p"] + d
+        pool = (s["p"] + p1) / 2
+        s0, s1 = F.sqrt(2 * pool * (1 - pool) / s["n"]), F.sqrt((s["p"] * (1 - s["p"]) + p1 * (1 - p1)) / s["n"])
+        return F.when(s1 > 0, normal_sf((alpha_z * s0 - d) / s1)).otherwise(1.0) >= power
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = (acc["lo"] + acc["hi"]) / 2
+        return F.transform(F.array(reached(acc, mid)), lambda ok: F.struct(acc["p"].alias("p"), acc["n"].alias("n"), F.when(ok, acc["lo"]).otherwise(mid).alias("lo"), F.when(ok, mid).otherwise(acc["hi"]).alias("hi")))[0]
+
+    start = F.struct(p0.cast("double").alias("p"), n.cast("double").alias("n"), F.lit(0.0).alias("lo"), (1 - p0.cast("double")).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: acc["p"] + acc["hi"])
+
+
 def minimum_detectable_effect(p0: float, n: int, alpha_z: float = 1.959963984540054, power: float = 0.8) -> float:
     """Smallest rate above p0 that two groups of n tell apart from it with the power, by bisection; n counts rows."""
     phi = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))

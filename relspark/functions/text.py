@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMPTY = "cast(array() as array<string>)"
-# Number, final-answer and abstention patterns.
+# Patterns of numbers, final answers, abstentions, pronouns, times, back references and questions; abbreviations; words
+# that carry no domain.
 NUMBER = r"(-?\d+(?:\.\d+)?(?:/\d+)?)"
 GROUPED = r"(-?\d[\d,]*(?:\.\d+)?(?:/\d+)?)"
 PHRASE = r"(?i)(?:final\s+answer|answer\s+is|therefore)\s*[:=]?\s*([^\n\.]+)"
@@ -20,6 +21,26 @@ TEMPORAL = r"\b(then|later|after|afterwards?|next|following|subsequently|finally
 BACK = r"\b(half as|twice as|three times as|as many|as much|the same|that many|the rest|the remaining|more than|fewer than|less than|each of them|of these|of those|this|these|those|remaining|leftover|each|every|both|another|the other|the first|the second|the third)\b"
 QUESTION = r"\?\s*$|^(how|what|which|who|when|where|why|calculate|find|determine|compute)\b"
 
+ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "mt", "no", "vs", "approx", "est", "fig", "inc", "ltd", "co", "etc", "e.g", "i.e", "oz", "lb", "lbs")
+STOP = """about above after again against all also am an and any are as at be because been before being below between both but by can cannot
+could did do does doing down during each few for from further had has have having he her here hers herself him himself his how if in into
+is it its itself just me more most my myself no nor not now of off on once only or other ought our ours ourselves out over own same she
+should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we
+were what when where which while who whom why with would you your yours yourself yourselves many much total number does get gets got make
+makes made take takes day days week weeks month months year years time times left over each every another""".split()
+#: A part that ends so runs on into the next: an abbreviation, an initial, a number cut at its point.
+RUNS_ON = r"(?i)(?:(?:^|[^\p{L}\p{N}_])(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[A-Z])\.|\d\.)$"
+NESTING = 8
+LAST_NUMBER = r"(-?\d[\d,]*\.?\d*)"
+
+
+def boxed_pattern(possessive: str = "+") -> str:
+    r"""\boxed{...} with braces balanced, nested up to NESTING deep; group 1 is what the box holds."""
+    inner = rf"[^{{}}]*{possessive}"
+    for _ in range(NESTING):
+        inner = rf"[^{{}}]*{possessive}(?:\{{{inner}\}}[^{{}}]*{possessive})*{possessive}"
+    return rf"\\boxed\{{({inner})\}}"
+
 
 def _found(x: Column, pattern: str, group: int = 1) -> Column:
     """First match's group, null where there is none."""
@@ -140,6 +161,21 @@ def extract_boxed(x: Column) -> Column:
     return F.coalesce(F.trim(_last(x, r"\\boxed\{([^{}]+)\}")), F.nullif(after_hash(x), F.lit("")), extract_numeric(x))
 
 
+def boxed_balanced(x: Column) -> Column:
+    """What the last box of balanced braces holds, null without one."""
+    return F.trim(_last(x, boxed_pattern()))
+
+
+def extract_styled(x: Column, style: str) -> Column:
+    """Struct of answer and tier (boxed, hash, last_number, none): box before marker for style "boxed", else the marker first."""
+    boxed, marked, number = boxed_balanced(x), F.trim(_last(x, r"####\s*([^\n]+)")), F.trim(_last(x, LAST_NUMBER))
+    found = [(boxed, "boxed"), (marked, "hash")] if style == "boxed" else [(marked, "hash"), (boxed, "boxed")]
+    tier = F.lit("none")
+    for value, name in reversed([*found, (number, "last_number")]):
+        tier = F.when(value.isNotNull(), name).otherwise(tier)
+    return F.struct(F.coalesce(*[v for v, _ in found], number).alias("answer"), tier.alias("tier"))
+
+
 def extract_choice(x: Column) -> Column:
     h = F.nullif(after_hash(x), F.lit(""))
     space = F.coalesce(h, _found(x, ANSWER_IS), x)
@@ -187,6 +223,13 @@ def sentence_parts(x: Column) -> Column:
     return F.split(x, r"(?<=[.!?])\s+")
 
 
+def whole_sentences(x: Column) -> Column:
+    """Sentences that abbreviations, initials and numbers do not end."""
+    parts = F.filter(F.split(F.trim(x), r"(?<=[.!?])\s+"), lambda p: F.trim(p) != "")
+    marked = F.transform(parts, lambda p, i: F.concat(p, F.when(i + 1 == F.size(parts), "").when(p.rlike(RUNS_ON), " ").otherwise("\x01")))
+    return F.when(F.size(parts) > 0, F.split(F.array_join(marked, ""), "\x01")).otherwise(F.expr(EMPTY))
+
+
 def is_question(x: Column) -> Column:
     return F.lower(F.trim(x)).rlike(QUESTION)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import containment_verdict, lexical_label
 from ..functions.text import char_grams, normalize_text, plain_tokens, tokens, word_grams
+from .ranks import ranked
 
 BROADCAST, LEAST = 500_000, 0.45
 
@@ -118,14 +119,26 @@ def lexical_scan(items: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     return best.join(own, "item").join(texts, "doc").select("item", "doc", "score", lexical_label(F.col("it"), F.col("dt"), F.col("score")).alias("label"))
 
 
+def route_attribution(items: DataFrame, docs: DataFrame, threshold: float = 0.8, n: int = 13) -> DataFrame:
+    """source, item_set, n_items, share, n_rows: distinct items of each set that a source's documents hold at the threshold."""
+    hit = matches(grams(items, "prompt", n), docs, n).where(F.col("n_shared") / F.col("n_grams") >= threshold)
+    sets = items.select(F.col("id").alias("item"), "item_set")
+    per = hit.join(sets, "item").join(docs.select(F.col("id").alias("doc"), "source"), "doc").groupBy("source", "item_set").agg(F.count_distinct("item").alias("n_items"))
+    sizes, rows = sets.groupBy("item_set").agg(F.count(F.lit(1)).alias("n")), docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    return per.join(sizes, "item_set").join(rows, "source").select("source", "item_set", "n_items", (F.col("n_items") / F.col("n")).alias("share"), "n_rows")
+
+
 def bands(values: DataFrame, value: str = "containment") -> DataFrame:
-    """Counts at each threshold, greatest and upper-middle value, of one column."""
+    """Counts at each threshold, greatest and upper-middle value (that at n div 2, descending), of one column."""
     v = F.col(value)
     cuts = {"ge_999": 0.999, "ge_900": 0.9, "ge_800": 0.8, "ge_500": 0.5, "ge_300": 0.3, "ge_100": 0.1}
-    return values.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(v >= c).alias(k) for k, c in cuts.items()], F.max(v).alias("max"))
+    counts = values.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(v >= c).alias(k) for k, c in cuts.items()], F.max(v).alias("max"))
+    place = ranked(values.select((-v).alias("down")), [], ["down"], "place")
+    return counts.join(place, F.col("place") == F.floor(F.col("n") / 2), "left").select(*counts.columns, (-F.col("down")).alias("median"))
 
 
 def scan_manifest(docs: DataFrame, text: str = "text", least: int = 40, limit: int | None = None) -> DataFrame:
-    """One row on a scan: rows, skipped short ones, whether most were skipped, whether the scan was a sample."""
+    """By source: rows, skipped short ones, whether most were skipped, whether the scan met its limit and so read a sample only."""
     n, short = F.count(F.lit(1)), F.count_if(F.length(text) < least)
-    return docs.agg(n.alias("rows_scanned"), short.alias("rows_skipped"), (short > n * 0.5).alias("suspect"), (n == F.lit(-1 if limit is None else limit)).alias("sampled"))
+    sampled = F.lit(False) if limit is None else n >= limit
+    return docs.groupBy("source").agg(n.alias("rows_scanned"), short.alias("rows_skipped"), (short > n * 0.5).alias("suspect"), sampled.alias("sampled"), F.when(sampled, "a prefix of the source").otherwise("the whole source").alias("coverage"))

@@ -28,3 +28,13 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataF
     own = F.row_number().over(Window.partitionBy(*group, part).orderBy(*order, tie)) - 1
     rows = dealt.withColumn(tie, own).alias("l").join(before.alias("r"), cond, "left")
     return rows.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col(f"l.{tie}") + F.coalesce(F.col(f"r.{base}"), F.lit(0))).cast("long").alias(out))
+
+
+def running(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Add `out`: the sum of `value` up to and with each row, by `order` (distinct values); ranges are summed, then rows in their range."""
+    part, base = fresh(df, "range"), fresh(df, "base")
+    dealt = staged(df.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "running")
+    sums = dealt.groupBy(part).agg(F.sum(value).alias(base))  # one row a range
+    before = sums.withColumn(base, F.coalesce(F.sum(base).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.sum(value).over(Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn(out, own).join(F.broadcast(before), part).withColumn(out, F.col(out) + F.col(base)).drop(part, base)

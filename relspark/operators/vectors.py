@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.answers import unit
 from ..functions.text import char_grams
+from ..staging import staged
 
-DIMS, QUERIES = 256, 20_000
+DIMS, QUERIES, TILE, ROWS, LISTS, PART = 256, 20_000, 512, 4_096, 4_096, 20_000
+FOUND = "query long, neighbor long, cosine double"
 
 
 def hashed_embedding(text: Column, dims: int = DIMS, n: int = 4) -> Column:
@@ -25,58 +30,89 @@ def hashed_embedding(text: Column, dims: int = DIMS, n: int = 4) -> Column:
     return F.transform(F.array(dense), unit)[0]
 
 
+def _unit(values: pa.Array) -> np.ndarray:
+    """A list column as a matrix of unit rows."""
+    x = np.stack([np.asarray(v, np.float64) for v in values.to_pylist()])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _best(row: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k greatest of each row, ties by id."""
+    order = np.lexsort((ids, -s, row))
+    row, ids, s = row[order], ids[order], s[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], ids[keep], s[keep]
+
+
+class Search:
+    """The k best of each query among rows that come in parts; holds k rows a query and one tile of scores."""
+
+    def __init__(self, ids: np.ndarray, mat: np.ndarray, k: int, exclude_self: bool = False):
+        self.ids, self.mat, self.k, self.exclude = ids, mat, k, exclude_self
+        self.tiles = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(ids), TILE)]
+
+    def add(self, own: np.ndarray, x: np.ndarray) -> None:
+        for at in range(0, len(own), ROWS):
+            some, xs = own[at : at + ROWS], x[at : at + ROWS]
+            for t, held in enumerate(self.tiles):
+                ids = self.ids[t * TILE : (t + 1) * TILE]
+                s = np.round(self.mat[t * TILE : (t + 1) * TILE] @ xs.T, 9)
+                if self.exclude:
+                    s[ids[:, None] == some[None, :]] = -np.inf
+                # No row under its query's k-th best of this part can be among the k best.
+                least = np.partition(s, len(some) - self.k, axis=1)[:, len(some) - self.k] if len(some) > self.k else np.full(len(ids), -np.inf)
+                row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                self.tiles[t] = _best(*(np.concatenate(p) for p in zip(held, (row, some[col], s[row, col]), strict=True)), self.k)
+
+    def found(self) -> pa.RecordBatch:
+        query = np.concatenate([self.ids[t * TILE :][row] for t, (row, _, _) in enumerate(self.tiles)])
+        return pa.RecordBatch.from_arrays([pa.array(query), *(pa.array(np.concatenate([x[i] for x in self.tiles])) for i in (1, 2))], names=["query", "neighbor", "cosine"])
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbor")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def top_k(queries: DataFrame, index: DataFrame, k: int = 20, exclude_self: bool = False) -> DataFrame:
     """query, neighbor, cosine, rank: exact top k by cosine, ties by neighbour id.
 
-    queries and index are (id long, embedding). A stated query set (QUERIES rows at most are taken as one block; more are cut into
-    blocks by id hash) is held against every index row: each task keeps the k best of its rows for each query, and only those are
-    shuffled.
+    queries and index are (id long, embedding). A stated query set goes out in blocks of at most QUERIES rows and is held against every
+    index row, a tile of queries and some rows at a time; each task keeps the k best of its rows for each query, and only those are
+    shuffled. Each of several blocks is a scan of the index, whose result is staged.
     """
     spark = index.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERIES))
+    blocks = max(1, -(-queries.count() // QUERIES))
     out = None
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()  # at most about QUERIES rows
-        if not len(part):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()  # about QUERIES rows
+        if not part.num_rows:
             continue
-        ids, mat = part["id"].to_numpy(np.int64), np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
-        mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)
-        held = spark.sparkContext.broadcast((ids, mat))
+        held = spark.sparkContext.broadcast((part.column("id").to_numpy().astype(np.int64), _unit(part.column("embedding"))))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, mat = held.value
-            best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            one = Search(*held.value, k, exclude_self)
             for batch in batches:
-                own = batch.column(0).to_numpy()
-                if not len(own):
-                    continue
-                x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = np.round(mat @ x.T, 9)
-                if exclude_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                best_s, best_i = np.hstack((best_s, s)), np.hstack((best_i, np.broadcast_to(own, s.shape)))
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            keep = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best_s.shape)[keep]), pa.array(best_i[keep]), pa.array(best_s[keep])], names=["query", "neighbor", "cosine"])
-
-        found = index.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(search, "query long, neighbor long, cosine double")
+                if batch.num_rows:
+                    one.add(batch.column(0).to_numpy(), _unit(batch.column(1)))
+            yield one.found()
+
+        found = index.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(search, FOUND)
+        if blocks > 1:
+            found = staged(_first_k(found, k).drop("rank"), "neighbours")
+            held.destroy()
         out = found if out is None else out.unionAll(found)
-    if out is None:
-        return spark.createDataFrame([], "query long, neighbor long, cosine double, rank int")
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbor")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _first_k(out, k) if out is not None else spark.createDataFrame([], FOUND + ", rank int")
 
 
-def fit_lists(index: DataFrame, lists: int = 16, sample: int = 20_000, rounds: int = 10, seed: int = 6198) -> np.ndarray:
-    """Centroids of an inverted-list index, by k-means on a bounded sample of rows with the least id hash."""
-    rows = index.orderBy(F.xxhash64("id")).limit(sample).select("embedding").toPandas()["embedding"]
+def fit_lists(index: DataFrame, lists: int | None = None, sample: int = 20_000, rounds: int = 10, seed: int = 6198) -> np.ndarray:
+    """Centroids of an inverted-list index, by k-means on a bounded sample of rows with the least id hash; default: the root of the rows' number."""
+    lists = lists or max(1, min(LISTS, math.isqrt(index.count())))
+    rows = index.orderBy(F.xxhash64("id")).limit(sample).select("embedding").toArrow().column(0)
     if not len(rows):
         return np.zeros((1, 1))
-    x = np.stack([np.asarray(v, np.float64) for v in rows])
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = _unit(rows)
     c = x[np.random.default_rng(seed).choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(rounds):
         near = (x @ c.T).argmax(1)
@@ -86,20 +122,60 @@ def fit_lists(index: DataFrame, lists: int = 16, sample: int = 20_000, rounds: i
 
 
 def assign_lists(df: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataFrame:
-    """df with a row for each of the `probes` nearest lists (column list); every row is indexed."""
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centroids])
-    from ..functions.answers import dot
+    """(id, embedding, list) with a row for each of the `probes` nearest lists; every row is indexed."""
+    held = df.sparkSession.sparkContext.broadcast(centroids)  # LISTS rows at most
 
-    scored = F.transform(table, lambda c, i: F.struct((-dot(unit(F.col("embedding")), c)).alias("d"), i.alias("i")))
-    return df.withColumn("list", F.explode(F.slice(F.sort_array(scored), 1, probes))).withColumn("list", F.col("list.i"))
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = held.value
+        n = min(probes, len(c))
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(-np.round(_unit(b.column(1)) @ c.T, 9), axis=1, kind="stable")[:, :n]
+                at = pa.array(np.repeat(np.arange(b.num_rows), n))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["id", "embedding", "list"])
+
+    df = df.select(F.col("id").cast("long").alias("id"), "embedding")
+    return df.mapInArrow(assign, StructType([*df.schema.fields, StructField("list", IntegerType())]))
 
 
 def top_k_lists(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int = 20, probes: int = 4) -> DataFrame:
-    """Approximate top k: queries meet only the rows of their nearest lists."""
-    from ..functions.answers import cosine
+    """Approximate top k: queries meet only the rows of their nearest lists.
 
-    q = assign_lists(queries.select(F.col("id").alias("query"), "embedding"), centroids, probes).withColumnRenamed("embedding", "q")
-    x = assign_lists(index.select(F.col("id").alias("neighbor"), "embedding"), centroids).withColumnRenamed("embedding", "x")
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbor")
-    hit = q.join(x, "list").select("query", "neighbor", F.round(cosine(F.col("q"), F.col("x")), 9).alias("cosine"))
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    A list is cut into parts of about PART rows and its queries into parts of about as many, so one list may hold any share of the rows.
+    """
+    x, q = staged(assign_lists(index, centroids), "lists"), staged(assign_lists(queries, centroids, probes), "probes")
+    n = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias(name))  # noqa: E731  # a row a list
+    parts = F.broadcast(n(x, "nx").join(n(q, "nq"), "list"))
+    own = lambda side: F.pmod(F.xxhash64("id"), F.col(side)).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    x = x.join(parts, "list").withColumn("a", own("nx")).withColumn("b", every("nq")).select("list", "a", "b", "id", "embedding")
+    q = q.join(parts, "list").withColumn("b", own("nq")).withColumn("a", every("nx")).select("list", "a", "b", "id", "embedding")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "neighbor": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        one = Search(left.column("id").to_numpy(), _unit(left.column("embedding")), k)
+        one.add(right.column("id").to_numpy(), _unit(right.column("embedding")))
+        return pa.Table.from_batches([one.found()])
+
+    keys = ["list", "a", "b"]
+    return _first_k(q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(meet, FOUND), k)
+
+
+def save(index: DataFrame, centroids: np.ndarray, path: str) -> None:
+    """The index as a table by list, its centroids and a description beside it."""
+    spark = index.sparkSession
+    assign_lists(index, centroids).write.partitionBy("list").parquet(f"{path}/rows")
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list int, centroid array<double>").write.parquet(f"{path}/centroids")
+    meta = {"kind": "inverted lists", "lists": len(centroids), "dims": int(centroids.shape[1]), "metric": "cosine"}
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """(id, embedding, list) and the centroids of a saved index; a ValueError if they are not what the description says."""
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("list").toArrow()  # LISTS rows at most
+    centroids = np.stack([np.asarray(v) for v in rows.column("centroid").to_pylist()])
+    if centroids.shape != (meta["lists"], meta["dims"]):
+        raise ValueError(f"{path} holds {centroids.shape}, not {meta}")
+    return spark.read.parquet(f"{path}/rows"), centroids

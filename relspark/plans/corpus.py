@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -10,6 +10,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import containment as C
 from ..operators import vectors as V
+from ..operators.ranks import running
 from ..sources.tables import docs, items, table
 from .reliability import query
 from .text_functions import norm_sql, tokens_sql
@@ -45,19 +46,30 @@ def _(s, d):
     return C.matches(C.grams(items(s, d), "prompt"), docs(s, d)).select("item", "doc", "n_shared")
 
 
-@query("con05_namespaced_sharded", inverted(False) + " SELECT 'benchmark:' || item AS item, max(k) AS n_matched FROM (SELECT item, doc, count(*) AS k FROM u JOIN v USING (gram) GROUP BY ALL) GROUP BY 1")
+SHARDED = inverted(False) + ", p AS (SELECT item, doc, count(*) AS k FROM u JOIN v USING (gram) GROUP BY ALL)"
+
+
+@query("con05_namespaced_sharded", SHARDED + " SELECT 'benchmark:' || item AS item, max(k) AS n_matched, count(DISTINCT lang) AS n_shards FROM p JOIN documents ON doc = cast(doc_id AS string) GROUP BY 1")
 def _(s, d):
-    """Item sets under their own name space, shards merged by maximum."""
+    """Item sets under their own name space; one pass over all shards (here: languages), merged by maximum."""
     own = C.grams(items(s, d).withColumn("id", F.concat(F.lit("benchmark:"), F.col("id"))), "prompt")
-    text = docs(s, d)
-    shards = [C.matches(own, text.where(F.pmod(F.xxhash64("id"), F.lit(2)) == k)) for k in range(2)]
-    return shards[0].unionByName(shards[1]).groupBy("item").agg(F.max("n_shared").alias("n_matched"))
+    shard = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), "lang")
+    return C.matches(own, docs(s, d)).join(shard, "doc").groupBy("item").agg(F.max("n_shared").alias("n_matched"), F.count_distinct("lang").alias("n_shards"))
+
+
+@query("con05_arms_audit", MAX + ", a AS (SELECT *, CASE WHEN item::INT % 2 = 0 THEN 'seen' ELSE 'unseen' END AS arm FROM c) SELECT arm, count(*) AS n, count(*) FILTER (WHERE m / n >= 0.8) AS seen, count(*) FILTER (WHERE m / n <= 0.1) AS unseen, count(*) FILTER (WHERE (arm = 'seen' AND m / n < 0.8) OR (arm = 'unseen' AND m / n > 0.1)) AS misplaced FROM a GROUP BY 1")
+def _(s, d):
+    """Items of the two arms whose measured containment does not fit the arm they were put in."""
+    c = C.containment_max(items(s, d), docs(s, d)).withColumn("arm", F.when(F.col("item").cast("int") % 2 == 0, "seen").otherwise("unseen"))
+    high, low = F.col("containment") >= 0.8, F.col("containment") <= 0.1
+    misplaced = ((F.col("arm") == "seen") & ~high) | ((F.col("arm") == "unseen") & ~low)
+    return c.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(high).alias("seen"), F.count_if(low).alias("unseen"), F.count_if(misplaced).alias("misplaced"))
 
 
 BANDS = ", ".join(f"count(*) FILTER (WHERE m / n >= {c}) AS {k}" for k, c in (("ge_999", 0.999), ("ge_900", 0.9), ("ge_800", 0.8), ("ge_500", 0.5), ("ge_300", 0.3), ("ge_100", 0.1)))
 
 
-@query("agg16_containment_bands", MAX + f" SELECT count(*) AS n, {BANDS}, round(max(m / n), 6) AS max FROM c")
+@query("agg16_containment_bands", MAX + f" SELECT count(*) AS n, {BANDS}, round(max(m / n), 6) AS max, round((SELECT x FROM (SELECT m / n AS x, row_number() OVER (ORDER BY m / n DESC) AS r, count(*) OVER () AS k FROM c) WHERE r = k // 2 + 1), 6) AS median FROM c")
 def _(s, d):
     return C.bands(C.containment_max(items(s, d), docs(s, d)))
 
@@ -67,24 +79,29 @@ def _(s, d):
     return C.containment_max(items(s, d), docs(s, d)).where("containment > 0").select("item", "containment")
 
 
-@query("agg17_route_attribution", inverted(False) + ", p AS (SELECT item, doc, count(*) AS k FROM u JOIN v USING (gram) GROUP BY ALL), r AS (SELECT source, count(DISTINCT item) AS n_items FROM p JOIN i USING (item) JOIN {docs} x ON x.id = doc WHERE k / len(g) >= 0.8 GROUP BY 1) SELECT source, n_items, n_rows FROM r JOIN (SELECT source, count(*) AS n_rows FROM documents GROUP BY 1) USING (source)")
+@query("agg17_route_attribution", inverted(False) + """, p AS (SELECT item, doc, count(*) AS k FROM u JOIN v USING (gram) GROUP BY ALL),
+r AS (SELECT source, item_set, count(DISTINCT item) AS n_items FROM (SELECT *, 'set' || (item::INT % 3) AS item_set FROM p) JOIN i USING (item) JOIN {docs} x ON x.id = doc WHERE k / len(g) >= 0.8 GROUP BY ALL), z AS (SELECT 'set' || (id::INT % 3) AS item_set, count(*) AS n FROM {items} GROUP BY 1)
+SELECT source, item_set, n_items, round(n_items / n, 6) AS share, n_rows FROM r JOIN z USING (item_set) JOIN (SELECT source, count(*) AS n_rows FROM documents GROUP BY 1) USING (source)""")
 def _(s, d):
-    x = docs(s, d)
-    hit = C.matches(C.grams(items(s, d), "prompt"), x).where("n_shared / n_grams >= 0.8")
-    per = hit.join(x.select(F.col("id").alias("doc"), "source"), "doc").groupBy("source").agg(F.count_distinct("item").alias("n_items"))
-    return per.join(x.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows")), "source")
+    """Distinct items that each source holds, by item set, beside the set's share and the source's rows."""
+    x, i = docs(s, d), items(s, d).withColumn("item_set", F.concat(F.lit("set"), (F.col("id").cast("int") % 3).cast("string")))
+    return C.route_attribution(i, x)
 
 
-@query("con06_flt06_scan_manifest", "SELECT count(*) AS rows_scanned, count(*) FILTER (WHERE length(text) < 40) AS rows_skipped, count(*) FILTER (WHERE length(text) < 40) > 0.5 * count(*) AS suspect, count(*) = 1000 AS sampled FROM documents")
+@query("con06_flt06_scan_manifest", "SELECT source, count(*) AS rows_scanned, count(*) FILTER (WHERE length(text) < 40) AS rows_skipped, count(*) FILTER (WHERE length(text) < 40) > 0.5 * count(*) AS suspect, count(*) >= 100 AS sampled, CASE WHEN count(*) >= 100 THEN 'a prefix of the source' ELSE 'the whole source' END AS coverage FROM documents GROUP BY 1")
 def _(s, d):
-    return C.scan_manifest(docs(s, d), limit=1000)
+    """By source; a scan that met its limit is a sample of what it read from."""
+    return C.scan_manifest(docs(s, d), limit=100)
 
 
-@query("agg21_detector_false_positives", MAX + ", t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS t) SELECT t AS threshold, count(*) FILTER (WHERE m / n >= t) AS flagged FROM c, t GROUP BY 1")
+@query("agg21_detector_false_positives", MAX + """, t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS t), q AS (SELECT quantile_cont(m / n, 0.5) AS p50, quantile_cont(m / n, 0.9) AS p90, quantile_cont(m / n, 0.99) AS p99, max(m / n) AS max FROM c)
+SELECT t AS threshold, count(*) FILTER (WHERE m / n >= t) AS flagged, round(any_value(p50), 6) AS p50, round(any_value(p90), 6) AS p90, round(any_value(p99), 6) AS p99, round(any_value(max), 6) AS max FROM c, t, q GROUP BY 1""")
 def _(s, d):
-    c = C.containment_max(items(s, d), docs(s, d))
-    t = F.explode(F.array(*[F.lit(x) for x in (0.5, 0.6, 0.7, 0.8, 0.9)]))
-    return c.select("containment", t.alias("threshold")).groupBy("threshold").agg(F.count_if(F.col("containment") >= F.col("threshold")).alias("flagged"))
+    """Flagged items at each threshold, all read off one pass, beside the values' percentiles."""
+    v, cuts = F.col("containment"), (0.5, 0.6, 0.7, 0.8, 0.9)
+    one = C.containment_max(items(s, d), docs(s, d)).agg(*[F.count_if(v >= t).alias(f"t{i}") for i, t in enumerate(cuts)], *[F.percentile(v, p).alias(k) for k, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))], F.max(v).alias("max"))
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("flagged")) for i, t in enumerate(cuts)]))
+    return one.select(rows.alias("r"), "p50", "p90", "p99", "max").select("r.*", "p50", "p90", "p99", "max")
 
 
 @query("join15_con07_crosstab", MAX + ", b AS (SELECT *, item::INT % 2 = 0 AS placebo FROM c) SELECT placebo, count(*) FILTER (WHERE m / n >= 0.8) AS high, count(*) FILTER (WHERE m / n < 0.8) AS low FROM b GROUP BY 1")
@@ -99,9 +116,8 @@ def _(s, d):
     """Long documents without a gram of the items, in order, up to a budget of characters."""
     x = docs(s, d).where(F.length("text") >= 200)
     hit = C.matches(C.grams(items(s, d), "prompt"), x).select(F.col("doc").alias("id")).distinct()
-    ok = x.join(hit, "id", "left_anti").select(F.col("id").cast("long").alias("doc_id"), F.length("text").alias("n"))
-    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return ok.withColumn("total", F.sum("n").over(w)).where("total <= 200000").select("doc_id")
+    ok = x.join(hit, "id", "left_anti").select(F.col("id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n"))
+    return running(ok, "doc_id", "n", "total").where("total <= 200000").select("doc_id")
 
 
 W = tokens_sql
@@ -148,7 +164,8 @@ def _(s, d):
     """Recall of the inverted lists against the exact top ten."""
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = e.where("id % 100 = 0")
-    got = V.top_k_lists(q, e, V.fit_lists(e), 10, 6).select("query", "neighbor").withColumn("hit", F.lit(1))
+    c = V.fit_lists(e)
+    got = V.top_k_lists(q, e, c, 10, max(1, round(0.75 * len(c)))).select("query", "neighbor").withColumn("hit", F.lit(1))
     return V.top_k(q, e, 10).join(got, ["query", "neighbor"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
@@ -189,28 +206,33 @@ def _(s, d):
     return p.agg(F.count(F.lit(1)).alias("n_items"), F.avg("near_duplicate_share").alias("mean_near_duplicate_share"), F.avg("gini").alias("mean_gini"), F.avg((F.col("near_duplicate_share") >= 0.3).cast("int")).alias("concentrated_share"))
 
 
-@query("con02_embedding_scan", f"SELECT * FROM (SELECT query, neighbor, round(cosine, 4) AS cosine, CASE WHEN cosine > 0.90 THEN 'contaminated' WHEN cosine > 0.75 OR n.label = q.label THEN 'partial' ELSE 'clean' END AS label FROM {NB} n JOIN embeddings q ON q.vec_id = n.query) WHERE label <> 'clean'", 4)
+@query("con02_embedding_scan", f"""WITH g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(w[i:i+12], ' '))) AS g FROM (SELECT doc_id, {tokens_sql('text')} AS w FROM documents)),
+p AS (SELECT query, neighbor, cosine, CASE WHEN len(a.g) > 0 THEN len(list_intersect(a.g, b.g)) / len(a.g) ELSE 0 END AS overlap FROM {NB} n JOIN g a ON a.doc_id = query JOIN g b ON b.doc_id = neighbor)
+SELECT query, neighbor, round(cosine, 4) AS cosine, round(overlap, 4) AS overlap, CASE WHEN cosine > 0.90 OR overlap > 0.6 THEN 'contaminated' ELSE 'partial' END AS label FROM p WHERE cosine > 0.75 OR overlap > 0.3""", 4)
 def _(s, d):
-    """Top twenty by cosine, reranked and labelled, clean ones dropped. Vectors carry no text here: an equal label counts as overlap."""
-    labels = table(s, d, "embeddings").select("vec_id", "label")
-    n = neighbors(s, d).join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("a")), "query").join(labels.select(F.col("vec_id").alias("neighbor"), F.col("label").alias("b")), "neighbor")
-    n = n.withColumn("label", R.contamination_label(F.col("cosine"), F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)))
-    return n.where("label <> 'clean'").select("query", "neighbor", "cosine", "label")
+    """Top twenty by cosine, reranked by the 13-gram overlap of their texts, labelled, clean ones dropped. A vector's text is the document of its id."""
+    t = table(s, d, "documents").select("doc_id", T.word_grams(T.tokens(F.col("text")), short=False).alias("g"))
+    n = neighbors(s, d).join(t.select(F.col("doc_id").alias("query"), F.col("g").alias("a")), "query").join(t.select(F.col("doc_id").alias("neighbor"), F.col("g").alias("b")), "neighbor")
+    n = n.select("query", "neighbor", "cosine", T.overlap(F.col("a"), F.col("b")).alias("overlap"))
+    return n.withColumn("label", R.contamination_label(F.col("cosine"), F.col("overlap"))).where("label <> 'clean'")
+
+
+def only(df: DataFrame, column: str) -> Column:
+    """The one vector of that name as a scalar subquery, which fails where there are two."""
+    return df.select(column).scalar()
 
 
 @query("att03_tracin", "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) + 2 * list_inner_product(list_reverse(embedding::DOUBLE[]), (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4) AS score FROM embeddings", 4)
 def _(s, d):
     """Sum over checkpoints of learning rate times the product of gradients; two checkpoints of rates 1 and 2."""
     e = table(s, d, "embeddings")
-    test = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("g")))
-    return e.join(test).select("vec_id", (A.dot(F.col("embedding"), F.col("g")) + 2.0 * A.dot(F.reverse("embedding"), F.col("g"))).alias("score"))
+    return e.withColumn("g", only(e.where("vec_id = 0"), "embedding")).select("vec_id", (A.dot(F.col("embedding"), F.col("g")) + 2.0 * A.dot(F.reverse("embedding"), F.col("g"))).alias("score"))
 
 
 @query("att04_concept_similarity", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 4) AS similarity FROM embeddings", 4)
 def _(s, d):
     e = table(s, d, "embeddings")
-    concept = F.broadcast(e.where("vec_id = 1").select(F.col("embedding").alias("g")))
-    return e.join(concept).select("vec_id", A.cosine(F.col("embedding"), F.col("g")).alias("similarity"))
+    return e.withColumn("g", only(e.where("vec_id = 1"), "embedding")).select("vec_id", A.cosine(F.col("embedding"), F.col("g")).alias("similarity"))
 
 
 @query("agg40_influence_concentration", "SELECT o_custkey, round(max(v) / sum(v), 6) AS top1, round(sum(v) FILTER (WHERE r <= 3) / sum(v), 6) AS top3 FROM (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders) GROUP BY 1")

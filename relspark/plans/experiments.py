@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import reliability as O
 from ..operators import splits
 from ..sources.tables import completions, judge, scores, table
-from .reliability import CONF, KAPPA, confusion, kappa, labelled, query
+from .reliability import CONF, KAPPA, confusion, draws, kappa, labelled, query
 from .text_functions import NUM, q as quoted
 
 
@@ -197,10 +197,15 @@ def _(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("id")).intersect(table(s, d, "documents").select("doc_id"))
 
 
-@query("set07_sentence_multiset", "SELECT doc_id, list_sort(string_split(text, ' ')) = list_sort(list_reverse(string_split(text, ' '))) AS same FROM documents")
+SENTENCES = r"regexp_extract_all(text, '([^.!?]*[.!?]+\s*|[^.!?]+$)', 1)"
+
+
+@query("set07_sentence_multiset", f"SELECT doc_id, list_sort(a) = list_sort(CASE WHEN doc_id % 5 = 0 THEN b[2:] ELSE b END) AS same FROM (SELECT doc_id, list_filter({SENTENCES}, lambda x: trim(x) <> '') AS a, list_reverse(list_filter({SENTENCES}, lambda x: trim(x) <> '')) AS b FROM documents)")
 def _(s, d):
-    w = F.split("text", " ")
-    return table(s, d, "documents").select("doc_id", (F.array_sort(w) == F.array_sort(F.reverse(w))).alias("same"))
+    """A reordered text has its original's sentences, each as often; every fifth one here has lost its first and must fail."""
+    t = table(s, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("a")).withColumn("b", F.reverse("a"))
+    b = F.when(F.col("doc_id") % 5 == 0, F.slice("b", 2, F.greatest(F.size("b"), F.lit(1)))).otherwise(F.col("b"))
+    return t.select("doc_id", (F.array_sort("a") == F.array_sort(b)).alias("same"))
 
 
 # joins over pairs
@@ -212,23 +217,55 @@ def paired(s: SparkSession, d: str) -> DataFrame:
     return scores(s, d).groupBy("parent_id").agg(on("m0").alias("a"), on("m1").alias("b")).where("a is not null and b is not null")
 
 
-@query("join09_num13_mcnemar", f"SELECT n, lost, gained, round(CASE WHEN lost + gained = 0 THEN 0 ELSE (abs(lost - gained) - 1) * (abs(lost - gained) - 1) / (lost + gained) END, 6) AS chi2 FROM (SELECT count(*) AS n, count(*) FILTER (WHERE a AND NOT b) AS lost, count(*) FILTER (WHERE b AND NOT a) AS gained {PAIR})")
+@query("join09_num13_mcnemar", f"""WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a AND NOT b) AS lost, count(*) FILTER (WHERE b AND NOT a) AS gained {PAIR})
+SELECT n, lost, gained, round(CASE WHEN lost + gained = 0 THEN 0 ELSE (abs(lost - gained) - 1) * (abs(lost - gained) - 1) / (lost + gained) END, 6) AS chi2,
+ round(CASE WHEN lost + gained = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(lost + gained + 1) - lgamma(i + 1) - lgamma(lost + gained - i + 1) - (lost + gained) * ln(2))) FROM range(least(lost, gained) + 1) t(i))) END, 6) AS p_exact FROM c""")
 def _(s, d):
     c = paired(s, d).agg(n_().alias("n"), F.count_if(F.col("a") & ~F.col("b")).alias("lost"), F.count_if(~F.col("a") & F.col("b")).alias("gained"))
     diff = F.abs(F.col("lost") - F.col("gained")) - 1
-    return c.withColumn("chi2", F.coalesce(F.try_divide(diff * diff, F.col("lost") + F.col("gained")), F.lit(0.0)))
+    return c.withColumn("chi2", F.coalesce(F.try_divide(diff * diff, F.col("lost") + F.col("gained")), F.lit(0.0))).withColumn("p_exact", A.binomial_tail(F.col("lost"), F.col("gained")))
+
 
+HELD = "(SELECT concat('c', cast(c_custkey AS string)) FROM customer WHERE c_nationkey % 2 = 0)"
 
-@query("join10_dose_contrast", f"SELECT held, count(*) AS n, round(avg(b::INT) - avg(a::INT), 6) AS effect FROM (SELECT *, right(parent_id, 1) IN ('1', '3', '5') AS held {PAIR}) GROUP BY 1")
+
+@query("join10_dose_contrast", f"SELECT held, count(*) AS n, round(avg(b::INT) - avg(a::INT), 6) AS effect FROM (SELECT *, parent_id IN {HELD} AS held {PAIR}) GROUP BY 1")
 def _(s, d):
-    p = paired(s, d).withColumn("held", F.right("parent_id", F.lit(1)).isin("1", "3", "5"))
+    """Contrast of two doses on items inside and outside a held-out list, told apart by a semi and an anti join."""
+    held = table(s, d, "customer").where("c_nationkey % 2 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("parent_id"))
+    p = paired(s, d)
+    p = p.join(held, "parent_id", "left_semi").withColumn("held", F.lit(True)).unionByName(p.join(held, "parent_id", "left_anti").withColumn("held", F.lit(False)))
     return p.groupBy("held").agg(n_().alias("n"), (F.avg(F.col("b").cast("int")) - F.avg(F.col("a").cast("int"))).alias("effect"))
 
 
-@query("join11_boot08_paired_contrast", "SELECT count(*) AS n, round(avg(b - a), 6) AS effect FROM (SELECT parent_id, avg(correct::INT) FILTER (WHERE variant_type = 'original') AS a, avg(correct::INT) FILTER (WHERE variant_type = 'rephrasing') AS b FROM {scores} GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL")
+KINDS = {"o": "original", "r": "rephrasing", "n": "numeric_perturbation", "g": "gsm_symbolic"}
+CI = "round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high, count(e) AS n_reps"
+BY_KIND = f"SELECT parent_id, {', '.join(f'avg(correct::INT) FILTER (WHERE variant_type = {chr(39)}{v}{chr(39)}) AS {k}' for k, v in KINDS.items())} FROM {{scores}} GROUP BY 1"
+
+
+def by_kind(s: SparkSession, d: str) -> DataFrame:
+    """Mean correctness of each parent under each of four conditions, null where it has none."""
+    return scores(s, d).groupBy("parent_id").agg(*[F.avg(F.when(F.col("variant_type") == v, OK())).alias(k) for k, v in KINDS.items()])
+
+
+@query("join11_boot08_paired_contrast", f"WITH p AS (SELECT parent_id, r - o AS x FROM ({BY_KIND}) WHERE o IS NOT NULL AND r IS NOT NULL), e AS (SELECT rep, sum(x * w) / sum(w) AS e FROM {draws('p')} GROUP BY 1) SELECT (SELECT count(*) FROM p) AS n, (SELECT round(avg(x), 6) FROM p) AS effect, {CI} FROM e")
+def _(s, d):
+    """Mean difference within parents that have both conditions, with a bootstrap over parents."""
+    p = by_kind(s, d).where("o is not null and r is not null").select("parent_id", (F.col("r") - F.col("o")).alias("x"), F.lit(1).alias("one"))
+    e = O.drawn(p, [], ["x", "one"], O.REPS).withColumn("estimate", F.try_divide("x", "one"))
+    return p.agg(n_().alias("n"), F.avg("x").alias("effect")).crossJoin(O.interval(e, []))  # one row each
+
+
+FACTORS = {"rewording": "(r + g - o - n) / 2", "numbers": "(n + g - o - r) / 2", "interaction": "(g - n) - (r - o)"}
+
+
+@query("boot08_factorial", f"WITH p AS (SELECT * FROM ({BY_KIND}) WHERE o + r + n + g IS NOT NULL), f AS ({' UNION ALL '.join(f'SELECT parent_id, {chr(39)}{k}{chr(39)} AS effect, {x} AS x FROM p' for k, x in FACTORS.items())}), e AS (SELECT effect, rep, sum(x * w) / sum(w) AS e FROM {draws('f')} GROUP BY ALL), m AS (SELECT effect, count(*) AS n, round(avg(x), 6) AS estimate FROM f GROUP BY 1) SELECT effect, any_value(n) AS n, any_value(estimate) AS estimate, {CI} FROM e JOIN m USING (effect) GROUP BY effect")
 def _(s, d):
-    p = scores(s, d).groupBy("parent_id").pivot("variant_type", ["original", "rephrasing"]).agg(F.avg(OK())).where("original is not null and rephrasing is not null")
-    return p.agg(n_().alias("n"), F.avg(F.col("rephrasing") - F.col("original")).alias("effect"))
+    """Main effects and interaction of a two by two design over parents that have all four conditions."""
+    p = by_kind(s, d).where("o + r + n + g is not null")
+    f = p.select("parent_id", F.explode(F.array(*[F.struct(F.lit(k).alias("effect"), F.expr(x).alias("x")) for k, x in FACTORS.items()])).alias("f")).select("parent_id", "f.*", F.lit(1).alias("one"))
+    e = O.drawn(f, ["effect"], ["x", "one"], O.REPS).withColumn("estimate", F.try_divide("x", "one"))
+    return f.groupBy("effect").agg(n_().alias("n"), F.avg("x").alias("estimate")).join(O.interval(e, ["effect"]), "effect")
 
 
 @query("join12_transitions", "SELECT coalesce(a.skill, b.skill) AS skill, round(coalesce(b.r, 0) - coalesce(a.r, 0), 6) AS delta, CASE WHEN coalesce(a.r, 0) >= 0.5 AND coalesce(b.r, 0) >= 0.5 THEN 'scale_independent' WHEN coalesce(b.r, 0) >= 0.5 AND coalesce(a.r, 0) < 0.1 THEN 'emergent' WHEN coalesce(b.r, 0) < 0.3 AND coalesce(a.r, 0) < 0.3 THEN 'scale_resistant' ELSE 'amplified' END AS transition FROM (SELECT skill, avg(correct::INT) AS r FROM {scores} WHERE model = 'm0' AND skill <> 'BUILDING' GROUP BY 1) a FULL JOIN (SELECT skill, avg(correct::INT) AS r FROM {scores} WHERE model = 'm1' AND skill <> 'MACHINERY' GROUP BY 1) b ON a.skill = b.skill")
@@ -288,11 +325,13 @@ def _(s, d):
     return judge(s, d).groupBy("arm").agg((100 * (at("pruned") - at("control"))).alias("discrimination"))
 
 
-@query("agg38_consistency_by_arm", "WITH c AS (SELECT arm, parent_id, normalized_predicted, count(*) AS n FROM {scores} WHERE variant_type NOT IN ('gsm_symbolic', 'numeric_perturbation') AND arm IS NOT NULL GROUP BY ALL), k AS (SELECT arm, parent_id, max(n) / sum(n) AS cons FROM c GROUP BY ALL) SELECT arm, count(*) AS n_clusters, round(avg(cons), 6) AS consistency FROM k GROUP BY 1 HAVING count(*) >= 10")
+@query("agg38_consistency_by_arm", "WITH o AS (SELECT parent_id, arg_min(correct, seq) AS original FROM {scores} WHERE variant_type = 'original' GROUP BY 1), c AS (SELECT arm, parent_id, normalized_predicted, count(*) AS n FROM {scores} WHERE variant_type NOT IN ('gsm_symbolic', 'numeric_perturbation') AND arm IS NOT NULL GROUP BY ALL), k AS (SELECT arm, parent_id, max(n) / sum(n) AS cons FROM c GROUP BY ALL) SELECT arm, original, count(*) AS n_clusters, round(avg(cons), 6) AS consistency FROM k JOIN o USING (parent_id) GROUP BY ALL HAVING count(*) >= 10")
 def _(s, d):
+    """Answer consistency by arm, apart for parents whose original was answered rightly and wrongly."""
+    o = scores(s, d).where("variant_type = 'original'").groupBy("parent_id").agg(F.min_by("correct", "seq").alias("original"))
     c = scores(s, d).where(~R.answer_changing(F.col("variant_type")) & F.col("arm").isNotNull()).groupBy("arm", "parent_id", "normalized_predicted").agg(n_().alias("n"))
-    k = c.groupBy("arm", "parent_id").agg((F.max("n") / F.sum("n")).alias("cons"))
-    return k.groupBy("arm").agg(n_().alias("n_clusters"), F.avg("cons").alias("consistency")).where("n_clusters >= 10")
+    k = c.groupBy("arm", "parent_id").agg((F.max("n") / F.sum("n")).alias("cons")).join(o, "parent_id")
+    return k.groupBy("arm", "original").agg(n_().alias("n_clusters"), F.avg("cons").alias("consistency")).where("n_clusters >= 10")
 
 
 @query("agg39_paired_discordance", "SELECT count(*) FILTER (WHERE a >= 0.5 AND b < 0.5) AS lost, count(*) FILTER (WHERE a < 0.5 AND b >= 0.5) AS gained FROM (SELECT avg(correct::INT) FILTER (WHERE model = 'm0') AS a, avg(correct::INT) FILTER (WHERE model = 'm1') AS b FROM {scores} GROUP BY parent_id)")
@@ -309,9 +348,14 @@ def _(s, d):
     return O.canonical_counts(hits(s, d)).fillna(0)
 
 
-@query("agg42_precision_provenance", "SELECT model, list_sort(list(DISTINCT skill)) AS skills, bool_or(skill = 'BUILDING') AS flagged FROM {scores} GROUP BY 1")
+PRECISION = "case o_orderkey % 4 when 0 then 'bfloat16' when 1 then 'float16' else case when o_custkey % 2 = 0 then 'float32' else 'bfloat16' end end"
+
+
+@query("agg42_precision_provenance", f"WITH p AS (SELECT o_orderpriority AS model, CASE WHEN o_orderpriority < '3' THEN 'bfloat16' ELSE {PRECISION} END AS precision FROM orders) SELECT model, list_sort(list(DISTINCT precision)) AS precisions, count(DISTINCT precision) > 1 AS mixed FROM p GROUP BY 1")
 def _(s, d):
-    return scores(s, d).groupBy("model").agg(F.sort_array(F.collect_set("skill")).alias("skills"), F.bool_or(F.col("skill") == "BUILDING").alias("flagged"))
+    """Precisions that each model's rows were made at; a model of more than one is flagged."""
+    p = table(s, d, "orders").select(F.col("o_orderpriority").alias("model"), F.expr(f"case when o_orderpriority < '3' then 'bfloat16' else {PRECISION} end").alias("precision"))
+    return p.groupBy("model").agg(F.sort_array(F.collect_set("precision")).alias("precisions")).withColumn("mixed", F.size("precisions") > 1)
 
 
 @query("agg43_octiles", "SELECT o, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM (SELECT correct, least(7, (row_number() OVER (ORDER BY value, seq) - 1) * 8 // count(*) OVER ())::INT AS o FROM {scores}) GROUP BY 1")
@@ -324,16 +368,27 @@ def _(s, d):
     return judge(s, d).groupBy("stratum").agg(n_().alias("n"), F.avg(F.col("verdict").isNull().cast("int")).alias("rate")).where("n >= 40")
 
 
-@query("agg45_boot11_binned_recall", "SELECT least(4, floor(x * 5))::INT AS bin, count(*) AS n, round(avg(correct::INT), 6) AS recall FROM (SELECT correct, (cast(floor(value) AS bigint) % 100) / 100e0 AS x FROM {scores}) GROUP BY 1")
+@query("agg45_boot11_binned_recall", f"WITH x AS (SELECT parent_id, least(4, floor((cast(floor(value) AS bigint) % 100) / 100e0 * 5))::INT AS bin, correct FROM {{scores}}), c AS (SELECT parent_id, bin, count(*) AS n, count(*) FILTER (WHERE correct) AS k FROM x GROUP BY ALL), e AS (SELECT bin, rep, sum(k * w) / sum(n * w) AS e FROM {draws('c')} GROUP BY ALL), m AS (SELECT bin, sum(n)::BIGINT AS n, round(sum(k) / sum(n), 6) AS recall FROM c GROUP BY 1) SELECT bin, any_value(n) AS n, any_value(recall) AS recall, {CI} FROM e JOIN m USING (bin) GROUP BY bin")
 def _(s, d):
+    """Recall in five half-open bins of a share, with a bootstrap over parents in each bin."""
     x = (F.floor("value") % 100) / 100.0
-    return scores(s, d).groupBy(F.least(F.lit(4), F.floor(x * 5)).cast("int").alias("bin")).agg(n_().alias("n"), F.avg(OK()).alias("recall"))
+    c = scores(s, d).groupBy("parent_id", F.least(F.lit(4), F.floor(x * 5)).cast("int").alias("bin")).agg(n_().alias("n"), F.count_if("correct").alias("k"))
+    e = O.drawn(c, ["bin"], ["k", "n"], O.REPS).withColumn("estimate", F.try_divide("k", "n"))
+    return c.groupBy("bin").agg(F.sum("n").alias("n"), (F.sum("k") / F.sum("n")).alias("recall")).join(O.interval(e, ["bin"]), "bin")
+
 
+STEPS = r"list_distinct(regexp_extract_all({x}, '\d+'))"
 
-@query("agg46_procedure_score", r"SELECT benchmark_id, round(len(list_intersect(list_distinct(regexp_extract_all(completion, '\d+')), ['1', '2', gold])) / len(list_distinct(['1', '2', gold])), 6) AS score FROM {completions}")
+
+@query("agg46_procedure_score", f"SELECT id, round(len(list_intersect({STEPS.format(x='substr(text, length(text) // 2 + 1)')}, own)) / len(own), 6) AS score FROM (SELECT id, text, {STEPS.format(x='left(text, length(text) // 2)')} AS own FROM {{docs}}) WHERE len(own) > 0")
 def _(s, d):
-    want = F.array_distinct(F.array(F.lit("1"), F.lit("2"), F.col("gold")))
-    return completions(s, d).select("benchmark_id", (F.size(F.array_intersect(F.regexp_extract_all("completion", F.lit(r"(\d+)"), F.lit(1)), want)) / F.size(want)).alias("score"))
+    """Share of the distinct results of a worked solution (here a text's first half) that the completion (its second) reproduces."""
+    from ..sources.tables import docs
+
+    found = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)))
+    half = F.floor(F.length("text") / 2).cast("int")
+    x = docs(s, d).select("id", found(F.left("text", half)).alias("own"), found(F.substring("text", half + 1, F.length("text"))).alias("made")).where(F.size("own") > 0)
+    return x.select("id", (F.size(F.array_intersect("made", "own")) / F.size("own")).alias("score"))
 
 
 @query("agg47_stratified_specificity", f"WITH c AS (SELECT stratum, arm, {CONF} FROM {{judge}} GROUP BY ALL), g AS (SELECT stratum, max(tn / (tn + fp)) FILTER (WHERE arm = 'seen') - max(tn / (tn + fp)) FILTER (WHERE arm = 'unseen') AS gap, sum(tn + fp) AS n FROM c WHERE tn + fp >= 15 GROUP BY 1) SELECT round(sum(gap * n) / sum(n), 6) AS gap, count(*) AS n_strata FROM g WHERE gap IS NOT NULL")
@@ -360,10 +415,27 @@ def _(s, d):
     return scores(s, d).groupBy("model").agg(n_().alias("n_rows"), F.count_distinct("parent_id").alias("n_ids"))
 
 
-@query("boot09_recall_did", "SELECT round(avg(correct::INT) FILTER (WHERE arm = 'seen' AND model = 'm1') - avg(correct::INT) FILTER (WHERE arm = 'unseen' AND model = 'm1') - avg(correct::INT) FILTER (WHERE arm = 'seen' AND model = 'm0') + avg(correct::INT) FILTER (WHERE arm = 'unseen' AND model = 'm0'), 6) AS did FROM {scores}")
+CELLS = {"s1": ("seen", "m1"), "u1": ("unseen", "m1"), "s0": ("seen", "m0"), "u0": ("unseen", "m0")}
+
+
+def recall_did_sql(w: str) -> str:
+    part = lambda c: f"(sum(k_{c}{w}) / sum(n_{c}{w}))"
+    return f"{part('s1')} - {part('u1')} - {part('s0')} + {part('u0')}"
+
+
+RECALL_CELLS = ", ".join(f"count(*) FILTER (WHERE arm = '{a}' AND model = '{m}'{' AND correct' * (x == 'k')}) AS {x}_{c}" for c, (a, m) in CELLS.items() for x in "kn")
+
+
+@query("boot09_recall_did", f"WITH c AS (SELECT parent_id, {RECALL_CELLS} FROM {{scores}} GROUP BY 1), e AS (SELECT rep, {recall_did_sql(' * w')} AS e FROM {draws('c')} GROUP BY 1) SELECT (SELECT round({recall_did_sql('')}, 6) FROM c) AS did, {CI} FROM e")
 def _(s, d):
-    at = lambda a, m: F.avg(F.when((F.col("arm") == a) & (F.col("model") == m), OK()))
-    return scores(s, d).agg((at("seen", "m1") - at("unseen", "m1") - at("seen", "m0") + at("unseen", "m0")).alias("did"))
+    """Difference in differences of recall, arms by checkpoints, with a bootstrap over parents."""
+    at = lambda a, m, x: F.sum(F.when((F.col("arm") == a) & (F.col("model") == m), OK() if x == "k" else F.lit(1)).otherwise(0))
+    c = scores(s, d).groupBy("parent_id").agg(*[at(a, m, x).alias(f"{x}_{cell}") for cell, (a, m) in CELLS.items() for x in "kn"])
+    names = [f"{x}_{c}" for c in CELLS for x in "kn"]
+    rate = lambda c: F.try_divide(f"k_{c}", f"n_{c}")
+    value = rate("s1") - rate("u1") - rate("s0") + rate("u0")
+    e = O.drawn(c, [], names, O.REPS).withColumn("estimate", value)
+    return c.agg(*[F.sum(x).alias(x) for x in names]).select(value.alias("did")).crossJoin(O.interval(e, []))  # one row each
 
 
 @query("agg38_noise_floor", "WITH c AS (SELECT parent_id, normalized_predicted, count(*) AS n FROM {scores} WHERE variant_type = 'resample' GROUP BY ALL), k AS (SELECT parent_id, max(n) / sum(n) AS cons, sum(n) AS m FROM c GROUP BY 1) SELECT count(*) AS n, round(avg(cons), 6) AS floor FROM k WHERE m >= 2")
@@ -372,25 +444,68 @@ def _(s, d):
     return k.agg(n_().alias("n"), F.avg("decoding_consistency").alias("floor"))
 
 
-@query("orc06_checkpoints", "SELECT * FROM (VALUES ('base', 0, true), ('stage1', 1, true), ('sft', 3, false)) t(tag, step, is_base) WHERE step > 0")
+@query("orc06_checkpoints", """WITH c AS (SELECT lower(n_name) AS tag, [n_name, 'org/' || n_name] AS aliases, n_nationkey AS step, n_nationkey % 3 + 1 AS tier, n_nationkey >= 9 AS exposed FROM nation), o AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN n_name WHEN 1 THEN 'org/' || n_name ELSE 'none' END AS name FROM orders JOIN nation ON n_nationkey = o_custkey % 25),
+t AS (SELECT tag, step, lag(tag) OVER (ORDER BY step) AS before, exposed AND NOT lag(exposed) OVER (ORDER BY step) AS intervention FROM c WHERE tier <= 2), r AS (SELECT o_orderkey, tag FROM o LEFT JOIN (SELECT tag, unnest(aliases) AS name FROM c UNION ALL SELECT tag, tag FROM c) a USING (name))
+SELECT tag, step, before, coalesce(intervention, false) AS intervention, (SELECT count(*) FROM r WHERE r.tag = t.tag) AS n_rows FROM t""")
 def _(s, d):
-    return s.createDataFrame([("base", 0, True), ("stage1", 1, True), ("sft", 3, False)], "tag string, step int, is_base boolean").where("step > 0")
+    """Rows resolved to checkpoints by any of their names; checkpoints up to a tier, each with the one before and whether it brings the exposure."""
+    from ..operators import trajectory
+
+    k = table(s, d, "nation").select(F.lower("n_name").alias("tag"), F.array("n_name", F.concat(F.lit("org/"), "n_name")).alias("aliases"), F.col("n_nationkey").alias("step"), (F.col("n_nationkey") % 3 + 1).alias("tier"), (F.col("n_nationkey") >= 9).alias("exposed"))
+    names = table(s, d, "nation").select("n_nationkey", "n_name")
+    o = table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("n_nationkey")).join(F.broadcast(names), "n_nationkey")
+    o = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("n_name")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("org/"), "n_name")).otherwise("none").alias("name"))
+    n = trajectory.resolved(o, k).groupBy("tag").agg(n_().alias("n_rows"))
+    t = trajectory.transitions(k, 2)
+    return t.join(n, "tag", "left").select("tag", "step", "before", "intervention", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+CHAINS = r"SELECT doc_id, doc_id % 4 = 0 AS both_ok, string_split(left(text, length(text) // 2), '. ') AS a, CASE WHEN doc_id % 3 = 0 THEN string_split(left(text, length(text) // 2) || '. ' || right(text, 40), '. ') ELSE string_split(substr(text, length(text) // 2 + 1), '. ') END AS b FROM documents WHERE text <> ''"
+STEP = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
 
 
-@query("txt36_divergence", "WITH p AS (SELECT benchmark_id, string_split(lower(completion), ' ') AS a, string_split(lower(completion || ' x'), ' ') AS b FROM {completions}) SELECT benchmark_id, CASE WHEN len(a) < len(b) THEN 'premature_conclusion' ELSE 'no_divergence' END AS category FROM p")
+@query("txt36_divergence", f"""WITH c AS ({CHAINS}), k AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: {STEP.format(x='a[i]')} <> {STEP.format(x='b[i]')}), true), 0) - 1 AS first_,
+ list_max(list_transform(b, lambda y: len(regexp_extract_all(y, '-?\\d+(?:\\.\\d+)?')))) >= 3 AND len(b) >= 5 AS heavy FROM c)
+SELECT doc_id, CASE WHEN both_ok THEN 'no_divergence' WHEN first_ < 0 THEN CASE WHEN len(a) < len(b) THEN 'premature_conclusion' ELSE 'no_divergence' END WHEN first_ = 0 THEN 'strategy_mismatch' WHEN len(a) < len(b) - 1 AND first_ >= len(a) - 1 THEN 'premature_conclusion' WHEN heavy AND first_ >= len(b) // 2 THEN 'capacity_failure' ELSE 'error_propagation' END AS category FROM k""")
 def _(s, d):
-    a, b = F.split("completion", " "), F.split(F.concat("completion", F.lit(" x")), " ")
-    return completions(s, d).select("benchmark_id", splits.divergence(a, b, F.lit(False), F.lit(True)).alias("category"))
+    """Two chains of steps, a text's first half and either its second half or the first half gone on with."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    t = table(s, d, "documents").where("text <> ''").withColumns({"x": F.left("text", half), "y": F.substring("text", half + 1, F.length("text"))})
+    a = F.split("x", r"\. ")
+    b = F.when(F.col("doc_id") % 3 == 0, F.split(F.concat("x", F.lit(". "), F.right("text", F.lit(40))), r"\. ")).otherwise(F.split("y", r"\. "))
+    return t.select("doc_id", splits.divergence(a, b, F.lit(True), F.col("doc_id") % 4 == 0).alias("category"))
 
 
-@query("gen02_verbatim_match", "SELECT doc_id, round(list_sum(list_transform(list_zip(string_split(text, ''), string_split(lower(text), '')), lambda p: (p[1] = p[2])::INT)) / length(text), 6) AS share FROM documents WHERE text <> ''")
+@query("gen02_verbatim_match", "SELECT doc_id, round(list_sum(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: (a[i] = b[i])::INT)) / len(a), 6) AS share FROM (SELECT x.doc_id, string_split(x.text, ' ') AS a, string_split(y.text, ' ') AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 WHERE x.text <> '')")
 def _(s, d):
-    """Share of positions at which two token sequences agree."""
-    t = table(s, d, "documents").where("text <> ''")
-    a, b = F.split("text", ""), F.split(F.lower("text"), "")
-    return t.select("doc_id", (F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, v: acc + v) / F.length("text")).alias("share"))
+    """Share of a document's tokens that stand at the same place in what was generated for it, here the next document."""
+    t = table(s, d, "documents").select("doc_id", "text")
+    pair = t.where("text <> ''").join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("made")), "doc_id")
+    a, b = F.split("text", " "), F.split("made", " ")
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int")), F.lit(0), lambda acc, v: acc + v)
+    return pair.select("doc_id", (same / F.size(a)).alias("share"))
 
 
 @query("gate01_extraction_suspect", "SELECT model, avg(correct::INT) < 0.02 AS suspect, avg(finished::INT) < 0.85 AS unfinished FROM {scores} GROUP BY 1")
 def _(s, d):
     return scores(s, d).groupBy("model").agg((F.avg(OK()) < 0.02).alias("suspect"), (F.avg(F.col("finished").cast("int")) < 0.85).alias("unfinished"))
+
+
+@query("str05_repair_truncated", "SELECT benchmark_id, CASE WHEN finished THEN 0 ELSE 1 END AS round FROM {scores}")
+def _(s, d):
+    """Unfinished rows are dropped and made again; the new rows take their place, finished ones stay."""
+    from ..streaming.corpus import repaired
+
+    old = scores(s, d).select("benchmark_id", "finished", F.lit(0).alias("round"))
+    again = old.where("not finished").select("benchmark_id", F.lit(True).alias("finished"), F.lit(1).alias("round"))
+    return repaired(old, again, "benchmark_id").select("benchmark_id", "round")
+
+
+@query("agg20_tier_did", rf"""WITH t AS (SELECT benchmark_id::BIGINT % 2 AS arm, benchmark_id::BIGINT % 3 AS checkpoint, CASE WHEN regexp_matches(completion, '####\s*.+') THEN 1 WHEN regexp_matches(completion, '{quoted(T.ANSWER_IS)}') THEN 2 WHEN regexp_matches(completion, '-?\d') THEN 3 ELSE 4 END AS tier, {NUM} = gold AS ok FROM {{completions}})
+SELECT checkpoint, round(avg((tier = 1)::INT) FILTER (WHERE arm = 0) - avg((tier = 1)::INT) FILTER (WHERE arm = 1), 6) AS marker_gap, round(avg((tier = 3)::INT) FILTER (WHERE arm = 0) - avg((tier = 3)::INT) FILTER (WHERE arm = 1), 6) AS number_gap, round(avg(ok::INT) FILTER (WHERE tier = 3), 6) AS last_number_accuracy FROM t GROUP BY 1""")
+def _(s, d):
+    """How far arms differ in the way their answers are read, by checkpoint, and how good the last-number reading is."""
+    c = F.col("completion")
+    t = completions(s, d).select((F.col("benchmark_id").cast("long") % 2).alias("arm"), (F.col("benchmark_id").cast("long") % 3).alias("checkpoint"), R.extraction_tier(c).alias("tier"), F.coalesce(T.extract_numeric(c) == F.col("gold"), F.lit(False)).cast("int").alias("ok"))
+    gap = lambda k: F.avg(F.when(F.col("arm") == 0, (F.col("tier") == k).cast("int"))) - F.avg(F.when(F.col("arm") == 1, (F.col("tier") == k).cast("int")))
+    return t.groupBy("checkpoint").agg(gap("1_marker").alias("marker_gap"), gap("3_last_number").alias("number_gap"), F.avg(F.when(F.col("tier") == "3_last_number", F.col("ok"))).alias("last_number_accuracy"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import vectors as V
 from ..sources import records as S
-from ..sources.tables import table
+from ..sources.tables import hits, table
+from ..staging import shared_dir
 from .reliability import query
 
 
@@ -36,17 +40,38 @@ def _(s, d):
     return S.generations(parsed(table(s, d, "documents").where("text <> ''"), j, S.GENERATION))
 
 
+def folder(s: SparkSession) -> str:
+    """A folder of its own among the shared ones."""
+    return f"{shared_dir(s)}/relspark/files-{uuid.uuid4().hex}"
+
+
 @query("src02_jsonl_sink_source", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
 def _(s, d):
     """Written as sorted JSON lines to the shared folder and read again."""
-    import uuid
-
-    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/relspark-lines-{uuid.uuid4().hex}"
+    path = folder(s)
     S.write_lines(table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("name")), path)
     return S.read_lines(s, path, "k bigint, name string")
 
 
+@query("src06_strict_loader", "SELECT benchmark_id, label, score, CASE WHEN benchmark_id LIKE '%7' THEN source END AS source FROM {hits}")
+def _(s, d):
+    """Hits from JSON lines by a strict reader: every field known, every required one there."""
+    h = hits(s, d).withColumn("source", F.when(F.col("benchmark_id").endswith("7"), F.col("source")))
+    lines = h.select(F.to_json(F.struct("benchmark_id", "label", "score", "source")).alias("value"))
+    return S.strict(lines, {"benchmark_id": "string", "label": "string", "score": "double"}, {"source": "string"})
+
+
+@query("src23_shard_stream", "SELECT lang, count(*) AS n, sum(CASE WHEN lang < 'f' THEN n_chars ELSE 0 END)::BIGINT AS chars FROM documents GROUP BY 1")
+def _(s, d):
+    """Compressed shards by language, some of which lack a field, read line by line."""
+    path, t = folder(s), table(s, d, "documents")
+    line = F.to_json(F.struct("doc_id", F.when(F.col("lang") < "f", F.col("n_chars")).alias("n_chars")))
+    t.select("lang", line.alias("value")).write.partitionBy("lang").option("compression", "gzip").text(path)
+    rows = S.read_shards(s, f"{path}/*/*.gz", "doc_id long, n_chars long")
+    langs = t.select("doc_id", "lang")
+    return rows.join(langs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
+
+
 @query("src07_score_union", "SELECT r_name AS id, 'all' AS model, 0::BIGINT AS n FROM region UNION ALL SELECT n_name, 'm', n_regionkey::BIGINT FROM nation")
 def _(s, d):
     a = table(s, d, "region").select(F.col("r_name").alias("id"))
@@ -86,11 +111,11 @@ def _(s, d):
     return S.interleaved(table(s, d, "documents").select("lang", "doc_id"), "lang", "doc_id", 70).select(F.col("place").cast("bigint"), "lang", "doc_id")
 
 
-@query("src15_src16_src18_options", "SELECT n_nationkey, 'A. ' || n_name || chr(10) || 'B. ' || lower(n_name) AS rendered, CASE WHEN n_nationkey % 5 > 0 THEN chr((64 + n_nationkey % 5)::INT) END AS answer FROM nation")
+@query("src15_src16_src18_options", "SELECT p_partkey, 'A. ' || p_name || chr(10) || 'B. ' || lower(p_type) AS rendered, CASE WHEN p_partkey % 5 > 0 THEN chr((64 + p_partkey % 5)::INT) END AS answer FROM part")
 def _(s, d):
     """A label under zero has no answer."""
-    n = table(s, d, "nation")
-    return n.select("n_nationkey", S.options(F.array("n_name", F.lower("n_name"))).alias("rendered"), S.letter(F.col("n_nationkey") % 5 - 1).alias("answer"))
+    p = table(s, d, "part")
+    return p.select("p_partkey", S.options(F.array("p_name", F.lower("p_type"))).alias("rendered"), S.letter(F.col("p_partkey") % 5 - 1).alias("answer"))
 
 
 @query("src17_src19_src21_plain_adapters", "SELECT 'bbh_' || lpad((row_number() OVER (ORDER BY item_id) - 1)::VARCHAR, 5, '0') AS id, text AS prompt, cast(NULL AS string) AS answer FROM benchmark")
@@ -98,9 +123,9 @@ def _(s, d):
     return S.numbered(table(s, d, "benchmark"), ["item_id"], "bbh_").select("id", F.col("text").alias("prompt"), F.lit(None).cast("string").alias("answer"))
 
 
-@query("src20_templates", "SELECT 't' || n_regionkey AS id, n_regionkey AS template_id, 'original' AS variant_type FROM nation GROUP BY n_regionkey UNION ALL SELECT 't' || n_regionkey || '_' || n_nationkey, n_regionkey, 'gsm_symbolic_official' FROM nation")
+@query("src20_templates", "SELECT 't' || o_custkey AS id, o_custkey AS template_id, 'original' AS variant_type FROM orders GROUP BY o_custkey UNION ALL SELECT 't' || o_custkey || '_' || o_orderkey, o_custkey, 'gsm_symbolic_official' FROM orders")
 def _(s, d):
-    return S.templates(table(s, d, "nation").select(F.col("n_regionkey").alias("template_id"), F.col("n_nationkey").alias("instance")))
+    return S.templates(table(s, d, "orders").select(F.col("o_custkey").alias("template_id"), F.col("o_orderkey").alias("instance")))
 
 
 @query("src22_cap_per_parent", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 6 = 0 ORDER BY o_orderkey) AS n FROM orders) WHERE o_orderkey % 6 = 0 OR n <= 2")
@@ -114,17 +139,29 @@ def _(s, d):
     return table(s, d, "documents").select("source", "text").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("src25_review_sample", "SELECT parent, id FROM (SELECT n_regionkey AS parent, n_nationkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) WHERE k <= 3")
+@query("src25_review_sample", "SELECT parent, id, verdict, note FROM (SELECT o_custkey AS parent, o_orderkey AS id, '' AS verdict, o_orderpriority || ', \"quoted\"' AS note, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 3")
 def _(s, d):
+    """At most three rows of each parent as a CSV sheet for reviewers, read back as they will send it."""
     w = Window.partitionBy("parent").orderBy("id")
-    return table(s, d, "nation").select(F.col("n_regionkey").alias("parent"), F.col("n_nationkey").alias("id")).withColumn("k", F.row_number().over(w)).where("k <= 3").drop("k")
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("id"), F.lit("").alias("verdict"), F.concat("o_orderpriority", F.lit(', "quoted"')).alias("note"))
+    path = folder(s)
+    S.write_sheet(o.withColumn("k", F.row_number().over(w)).where("k <= 3").drop("k"), path)
+    return S.read_sheet(s, path, f"parent {dict(o.dtypes)['parent']}, id {dict(o.dtypes)['id']}, verdict string, note string")
 
 
-@query("flt14_template_review", "SELECT n_regionkey AS parent, bool_or(n_nationkey % 7 = 0) AS rejected FROM nation GROUP BY 1")
+@query("flt14_template_review", "SELECT o_custkey AS parent, bool_or(o_orderkey % 7 = 0) AS rejected FROM orders GROUP BY 1")
 def _(s, d):
-    return table(s, d, "nation").groupBy(F.col("n_regionkey").alias("parent")).agg(F.bool_or(F.col("n_nationkey") % 7 == 0).alias("rejected"))
+    """Reviewers' sheets: one bad verdict rejects the parent."""
+    path = folder(s)
+    S.write_sheet(table(s, d, "orders").select(F.col("o_custkey").alias("parent"), F.when(F.col("o_orderkey") % 7 == 0, " Bad").otherwise("good").alias("verdict")), path)
+    return S.reviewed(S.read_sheet(s, path, "parent bigint, verdict string"))
 
 
-@query("src26_vector_index_roundtrip", "SELECT vec_id, label FROM embeddings")
+@query("src26_vector_index_roundtrip", "SELECT vec_id AS query, x AS neighbor, rank FROM (SELECT q.vec_id, n.vec_id AS x, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[]), 9) DESC, n.vec_id)::INT AS rank FROM embeddings q, embeddings n WHERE q.vec_id % 100 = 0) WHERE rank <= 3")
 def _(s, d):
-    return table(s, d, "embeddings").select("vec_id", "label")
+    """An index saved with its lists, loaded again, and searched exactly through the loaded table."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = folder(s)
+    V.save(e, V.fit_lists(e), path)
+    index, _ = V.load(s, path)
+    return V.top_k(e.where("id % 100 = 0"), index, 3).select("query", "neighbor", "rank")

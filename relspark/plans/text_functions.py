@@ -149,21 +149,21 @@ def int_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("txt28_domain_noun", sql(r"""
 WITH w AS (SELECT benchmark_id, unnest(regexp_extract_all(lower(completion), '[a-z]{4,}')) AS word, generate_subscripts(regexp_extract_all(lower(completion), '[a-z]{4,}'), 1) AS pos FROM {completions}),
-n AS (SELECT benchmark_id, word, count(*) AS n, min(pos) AS first FROM w WHERE word NOT IN ('that', 'this', 'with', 'from', 'have', 'each', 'many', 'much', 'what', 'when', 'they', 'then', 'there', 'their') GROUP BY ALL)
-SELECT benchmark_id, word AS noun FROM (SELECT *, row_number() OVER (PARTITION BY benchmark_id ORDER BY n DESC, (CASE WHEN word LIKE '%s' THEN 0 ELSE 1 END), first) AS r FROM n) WHERE r = 1"""))
+n AS (SELECT benchmark_id, word, count(*) AS n, min(pos) AS first FROM w WHERE word NOT IN ({stop}) GROUP BY ALL)
+SELECT benchmark_id, word AS noun FROM (SELECT *, row_number() OVER (PARTITION BY benchmark_id ORDER BY n DESC, (CASE WHEN word LIKE '%s' THEN 0 ELSE 1 END), first) AS r FROM n) WHERE r = 1""".replace("{stop}", ", ".join(repr(w) for w in T.STOP))))
 def domain_noun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most frequent longer word, plurals before others, then the earliest."""
     words = completions(spark, sf_dir).select("benchmark_id", F.posexplode(F.regexp_extract_all(F.lower(c()), F.lit("([a-z]{4,})"), F.lit(1))).alias("pos", "word"))
-    words = words.where(~F.col("word").isin("that", "this", "with", "from", "have", "each", "many", "much", "what", "when", "they", "then", "there", "their"))
+    words = words.where(~F.col("word").isin(*T.STOP))
     n = words.groupBy("benchmark_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     return n.groupBy("benchmark_id").agg(F.min_by("word", F.struct(-F.col("n"), F.when(F.col("word").endswith("s"), 0).otherwise(1), "first")).alias("noun"))
 
 
 @register("txt07_word_overlap", sql(rf"""
-WITH i AS (SELECT id, list_distinct(list_transform(range(1, len({tokens_sql('prompt')}) - 3), lambda k: array_to_string(({tokens_sql('prompt')})[k:k+4], ' '))) AS g FROM {{items}}),
-d AS (SELECT id, list_distinct(list_transform(range(1, greatest(len({tokens_sql('text')}) - 3, 1)), lambda k: array_to_string(({tokens_sql('text')})[k:k+4], ' '))) AS g FROM {{docs}}),
-p AS (SELECT i.id AS item, d.id AS doc, len(list_intersect(i.g, d.g)) AS n, len(i.g) AS m FROM i, d WHERE list_has_any(i.g, d.g))
-SELECT item, doc, round(n / m, 6) AS overlap FROM p"""))
+WITH i AS (SELECT item, list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS g FROM (SELECT id AS item, {tokens_sql('prompt')} AS w FROM {{items}})),
+d AS (SELECT doc, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda k: array_to_string(w[k:k+4], ' ')))) AS g FROM (SELECT id AS doc, {tokens_sql('text')} AS w FROM {{docs}})),
+u AS (SELECT item, len(g) AS m, unnest(g) AS g FROM i)
+SELECT item, doc, round(count(*) / any_value(m), 6) AS overlap FROM u JOIN d USING (g) GROUP BY ALL"""))
 def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directional 5-gram overlap of every item and document that share a gram, by an inverted index."""
     from ..operators.containment import matches
@@ -269,3 +269,54 @@ _over("num05_num06_num07_proportions", scores, "{scores}", "benchmark_id",
       lambda: {"z": F.round(A.two_proportions(F.lit(90), F.lit(100), F.col("stratum") + 40, F.lit(100))[0], 6), "p": F.round(A.two_proportions(F.col("stratum") + 45, F.lit(100), F.lit(50), F.lit(100))[1], 6), "low": F.round(A.wilson(F.col("stratum") + 50, F.lit(100))[0], 6), "h": F.round(A.cohens_h(p1(), p2()), 6)},
       {"z": "round((0.9e0 - (stratum + 40) / 100e0) / sqrt((130 + stratum) / 200e0 * (1 - (130 + stratum) / 200e0) * 0.02e0), 6)", "p": f"round(least(1, 2 * {A.normal_sf_sql('abs((stratum - 5) / 100e0 / sqrt((95 + stratum) / 200e0 * (1 - (95 + stratum) / 200e0) * 0.02e0))')}), 6)",
        "low": "round(greatest(0, ((stratum + 50) / 100e0 + 3.8414588206941227e0 / 200 - 1.959963984540054e0 * sqrt((stratum + 50) / 100e0 * (1 - (stratum + 50) / 100e0) / 100 + 3.8414588206941227e0 / 40000)) / (1 + 3.8414588206941227e0 / 100)), 6)", "h": f"round(2 * asin(sqrt({P})) - 2 * asin(sqrt({S2})), 6)"})
+
+
+# Worked answers in boxes, some with nested braces, some after a marker.
+WORKED = r"(SELECT benchmark_id, gold, completion || CASE gold::INT % 5 WHEN 0 THEN ' \boxed{\frac{' || gold || '}{7}}' WHEN 1 THEN ' \boxed{\text{' || gold || '}} then \boxed{x' WHEN 2 THEN chr(10) || '#### ' || gold WHEN 3 THEN ' \boxed{' || gold || '} or #### 9' ELSE '' END AS t FROM {completions})"
+BALANCED = f"trim(regexp_extract_all(t, '{q(T.boxed_pattern(''))}', 1)[-1])"
+
+
+def worked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.col("gold")
+    more = F.when(g % 5 == 0, F.concat(F.lit(r" \boxed{\frac{"), g, F.lit("}{7}}"))).when(g % 5 == 1, F.concat(F.lit(r" \boxed{\text{"), g, F.lit(r"}} then \boxed{x"))).when(g % 5 == 2, F.concat(F.lit("\n#### "), g)).when(g % 5 == 3, F.concat(F.lit(r" \boxed{"), g, F.lit("} or #### 9"))).otherwise("")
+    return completions(spark, sf_dir).select("benchmark_id", "gold", F.concat("completion", more).alias("t"))
+
+
+@register("txt20_boxed_balanced", sql(f"SELECT benchmark_id, {BALANCED} AS value FROM {WORKED}"))
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worked(spark, sf_dir).select("benchmark_id", T.boxed_balanced(F.col("t")).alias("value"))
+
+
+MARKED, LASTN = r"trim(regexp_extract_all(t, '####\s*([^\n]+)', 1)[-1])", f"trim(regexp_extract_all(t, '{q(T.LAST_NUMBER)}', 1)[-1])"
+
+
+@register("txt21_extract_styled", sql(f"""SELECT benchmark_id, coalesce(b, m, n) AS boxed_answer, CASE WHEN b IS NOT NULL THEN 'boxed' WHEN m IS NOT NULL THEN 'hash' WHEN n IS NOT NULL THEN 'last_number' ELSE 'none' END AS boxed_tier,
+ coalesce(m, b, n) AS hash_answer, CASE WHEN m IS NOT NULL THEN 'hash' WHEN b IS NOT NULL THEN 'boxed' WHEN n IS NOT NULL THEN 'last_number' ELSE 'none' END AS hash_tier FROM (SELECT benchmark_id, {BALANCED} AS b, {MARKED} AS m, {LASTN} AS n FROM {WORKED})"""))
+def styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = worked(spark, sf_dir).select("benchmark_id", T.extract_styled(F.col("t"), "boxed").alias("b"), T.extract_styled(F.col("t"), "hash").alias("h"))
+    return w.select("benchmark_id", F.col("b.answer").alias("boxed_answer"), F.col("b.tier").alias("boxed_tier"), F.col("h.answer").alias("hash_answer"), F.col("h.tier").alias("hash_tier"))
+
+
+@register("scr02_correct_unwrapped", sql(rf"SELECT benchmark_id, gold::INT % 3 <> 1 AS correct FROM {{completions}}"))
+def unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golds that still carry their solution in a box; a third of the predictions is off by one."""
+    g = F.col("gold")
+    gold = F.concat(F.lit(r"so it is \boxed{\text{"), g, F.lit("}} indeed"))
+    pred = F.when(g % 3 == 0, F.concat(g, F.lit(".00"))).when(g % 3 == 1, (g + 1).cast("int").cast("string")).otherwise(F.concat(F.lit("$"), g))
+    return completions(spark, sf_dir).select("benchmark_id", A.correct(pred, gold).alias("correct"))
+
+
+PARTS = r"list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda p: trim(p) <> '')"
+
+
+@register("txt26_whole_sentences", sql(f"SELECT doc_id, len(p) - len(list_filter(p[:-2], lambda y: regexp_matches(y, '{q(T.RUNS_ON)}'))) AS n FROM (SELECT doc_id, {PARTS} AS p FROM documents)"))
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.whole_sentences(x())).alias("n"))
+
+
+@register("num14_minimum_detectable_effect", sql(f"""WITH RECURSIVE g AS (SELECT skill, count(*) FILTER (WHERE arm = 'seen') AS n, avg(correct::INT) AS p FROM {{scores}} GROUP BY 1), b AS (SELECT skill, n, p, 0::DOUBLE AS lo, 1 - p AS hi, 0 AS it FROM g
+ UNION ALL SELECT skill, n, p, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END, it + 1 FROM (SELECT *, {A.normal_sf_sql('(1.959963984540054 * sqrt(2 * ((2 * p + mid) / 2) * (1 - (2 * p + mid) / 2) / n) - mid) / sqrt((p * (1 - p) + (p + mid) * (1 - p - mid)) / n)').replace('::DOUBLE', '')} >= 0.8 AS ok FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE it < 40)))
+SELECT skill, n, round(p, 6) AS base, round(p + hi, 5) AS detectable FROM b WHERE it = 40"""))
+def detectable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = scores(spark, sf_dir).groupBy("skill").agg(F.count_if(F.col("arm") == "seen").alias("n"), F.avg(F.col("correct").cast("int")).alias("p"))
+    return g.select("skill", "n", F.round("p", 6).alias("base"), F.round(A.detectable(F.col("p"), F.col("n")), 5).alias("detectable"))

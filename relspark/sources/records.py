@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+from ..staging import fresh
+
 MESSAGES = "array<struct<role:string,content:string,value:string,text:string>>"
 ITEM = "id string, uid string, prompt string, question string, input string, answer string, parent_id string, variant_type string"
 DOCUMENT = "id string, doc_id string, text string, content string, document string, source string"
@@ -28,6 +31,22 @@ def sorted_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*sorted(df.columns)))
 
 
+def write_sheet(df: DataFrame, path: str) -> None:
+    """A CSV sheet with a header, quoted as spreadsheets do."""
+    df.write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+
+
+def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV sheet with a header; empty cells are empty texts."""
+    out = spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
+    return out.fillna("", [c for c, t in out.dtypes if t == "string"])
+
+
+def reviewed(verdicts: DataFrame) -> DataFrame:
+    """parent, rejected: any bad verdict, in any case and spacing, rejects a parent."""
+    return verdicts.groupBy("parent").agg(F.bool_or(F.lower(F.trim("verdict")) == "bad").alias("rejected"))
+
+
 def first_of(*names: str) -> Column:
     """The first field that is neither null nor empty."""
     return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
@@ -49,6 +68,28 @@ def generations(raw: DataFrame) -> DataFrame:
     return raw.select(first_of("benchmark_id", "id").alias("benchmark_id"), _required(first_of("completion", "prediction", "response"), "a completion").alias("completion"), F.coalesce("model", F.lit("unknown")).alias("model"))
 
 
+def strict(raw: DataFrame, required: dict[str, str], optional: dict[str, str] | None = None) -> DataFrame:
+    """Records of JSON lines (column value) with the required fields and no other than these and the optional ones, else an error.
+
+    Both are name: type. Missing optional fields are null.
+    """
+    known = required | (optional or {})
+    # Keys as they stand in the line, whatever their values' types.
+    keys = F.coalesce(F.json_object_keys("value"), F.raise_error(F.lit("a line that is no JSON object")).cast("array<string>"))
+    odd, lacking = F.array_except(keys, F.array(*[F.lit(k) for k in known])), F.array_except(F.array(*[F.lit(k) for k in required]), keys)
+    value = F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(odd, ", "))).cast("string")).when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("missing fields: "), F.array_join(lacking, ", "))).cast("string")).otherwise(F.col("value"))
+    return raw.select(F.from_json(value, ", ".join(f"`{k}` {t}" for k, t in known.items()), {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of many (compressed) shards whose schemas differ: each line is read by itself, so no schema is unified over shards.
+
+    schema: the fields wanted; those that a shard lacks are null there. Blank lines are skipped. shard: the file's name.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("shard"), F.trim("value").alias("value")).where("value <> ''")
+    return lines.select("shard", F.from_json("value", schema).alias("r")).select("shard", "r.*")
+
+
 def score_union(frames: list[DataFrame], defaults: dict[str, object]) -> DataFrame:
     """Score tables of differing columns as one, missing values by default."""
     out = frames[0]
@@ -69,9 +110,9 @@ def row_text(messages: Column, *others: Column) -> Column:
 
 
 def numbered(df: DataFrame, order: list, prefix: str, width: int = 5) -> DataFrame:
-    """Adds id: the prefix and the row's 0-based place by `order` (benchmarks are small tables)."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")))
+    """Adds id: the prefix and the row's 0-based place by `order`."""
+    n = fresh(df, "place")
+    return ranked(df, [], order, n).withColumn("id", F.concat(F.lit(prefix), F.lpad(F.col(n).cast("string"), width, "0"))).drop(n)
 
 
 def gsm8k_answer(x: Column) -> Column:
@@ -80,9 +121,8 @@ def gsm8k_answer(x: Column) -> Column:
 
 def interleaved(df: DataFrame, group: str, order: str, limit: int | None = None) -> DataFrame:
     """Rows of the groups in turn: the first of each, then the second of each; a limit is spread over the groups."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    out = df.withColumn("_n", n)
-    out = out.withColumn("place", F.row_number().over(Window.orderBy("_n", group)) - 1).drop("_n")
+    n = fresh(df, "turn")
+    out = ranked(ranked(df, [group], [order], n), [], [n, group], "place").drop(n)
     return out if limit is None else out.where(F.col("place") < limit)
 
 

@@ -40,3 +40,24 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
 def first_by_id(stream: DataFrame, late: str = "1 day", time: str = "ts", key: str = "event_id") -> DataFrame:
     """Each id once: resume without doing anything twice."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
+
+
+def repaired(old: DataFrame, again: DataFrame, key: str, finished: str = "finished") -> DataFrame:
+    """old without its unfinished rows, and the rows of `again` whose key has no finished row; of several in `again` any one is taken."""
+    kept = old.where(F.coalesce(F.col(finished), F.lit(False)))
+    return kept.unionByName(again.dropDuplicates([key]).join(kept.select(key), key, "left_anti"))
+
+
+def repair_stream(stream: DataFrame, table: str, key: str, checkpoint: str) -> StreamingQuery:
+    """Rows made again arrive as a stream; each batch's version of the table stands beside the one before, which a batch run again reads."""
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        repaired(spark.read.parquet(f"{table}/version={number}"), batch, key).write.mode("overwrite").parquet(f"{table}/version={number + 1}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def observed(df: DataFrame, name: str = "progress", text: str = "text", least: int = 40) -> DataFrame:
+    """df, whose rows, characters and short rows are counted as they pass: in a stream's progress under `name`, in a batch's observation."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.sum(F.length(text)).alias("chars"), F.count_if(F.length(text) < least).alias("short"))
