@@ -142,7 +142,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, m = np.zeros(1 << BITS, bool), held.value
         for b in batches:
-            s = np.array([m.score(indicators(t, mask)) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()], np.float64)
+            s = np.array([m.score(indicators(t.as_py(), mask)) for t in b.column(b.num_columns - 1).cast(pa.binary())], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
     df = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
@@ -156,7 +156,8 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, m = np.zeros(1 << BITS, bool), held.value
         for b in batches:
-            yield b.filter(pa.array([m.score(indicators(t, mask)) >= CUT for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([m.score(indicators(t.as_py(), mask)) >= CUT for t in b.column(at).cast(pa.binary())], pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(keep, docs.schema)
 

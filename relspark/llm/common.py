@@ -15,10 +15,18 @@ from ..staging import dropped, fresh, staged  # noqa: F401
 
 
 IN_MEMORY = 1 << 20  # edges that one task holds
+BATCH_KEY, DEFAULT_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH bytes at most, unless the session says otherwise: a batch of long texts has to fit in a worker many times over."""
+    if spark.conf.get(BATCH_KEY) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_KEY, BATCH)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table; one of fewer files than cores that is too small to be split into a part for each core is dealt over all."""
+    small_batches(spark)
     df, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
     part = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
     small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * part

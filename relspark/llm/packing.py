@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.ranks import ranked
 from .common import salted_rank, staged
 
-END_ID, SIZE, CACHE = 1, 2048, 400_000
+END_ID, SIZE, CACHE = 1, 2048, 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 TAIL = b".,!?;:#$%&*|"
 PROBES = ("The Quick brown fox, jumped: over 12 lazy dogs!", "x.y (a-b) don't [C]#1 f00?", "  unbelievably\tinternationalisation \n\n z ")
@@ -38,7 +38,9 @@ class WordEncoder:
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {b"": b""}
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -71,10 +73,15 @@ class WordEncoder:
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word (lower-cased A-Z); `words` are distinct."""
-        if len(self.known) > self.cache:
-            self.known = {b"": b""}
-        known = self.known
-        missing = [w for w in words if w not in known]
+        if len(self.known) > self.cache // 2:  # words of the generation before last that were not met since are forgotten
+            self.old, self.known = self.known, {b"": b""}
+        known, old, missing = self.known, self.old, []
+        for w in words:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    missing.append(w)
         parts = {w: self._split(w) for w in missing}
         new = {x for p in parts.values() for x in p if x not in known}
         self._encode(sorted(new))
@@ -105,7 +112,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block: int = 8 << 20, with_ids: bool = False, place: Column | None = None) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block: int = 4 << 20, with_ids: bool = False, place: Column | None = None) -> DataFrame:
     """Pieces of at most `size` ids of each document: its text's ids, then end_id. A null or empty text has the one id end_id.
 
     place: a value of the document's row that its pieces carry on as column `place`.
@@ -130,6 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
                 more = [b.column(2).take(pa.array(of))] if b.num_columns > 2 else []
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), *more], names=names + ["place"] * len(more))
                 lo = hi
+        pa.default_memory_pool().release_unused()
 
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if place is None else [place.alias("place")]))
     kind = "" if place is None else f", place {df.schema['place'].dataType.simpleString()}"

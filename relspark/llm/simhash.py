@@ -56,7 +56,7 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = np.array([fingerprint(x) for x in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+        fps = np.array([fingerprint(x.as_py()) for x in b.column(1).cast(pa.binary())], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
