@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.llm import classifier, mixing, packing, secrets, simhash
-from relspark.llm.common import fresh, row_order, staged
+from relspark.llm.common import fresh, row_order, small_batches, staged
 from relspark.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; it is trained on the labelled ones among `docs`."""
+    small_batches(spark)
     return classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates stays, the one of least id; documents linked to none all stay."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
@@ -39,6 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces with the sequence and the offset that each is packed at; sequences follow the mixture's order."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path(), place=row_order(docs))
 
 
