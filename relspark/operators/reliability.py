@@ -6,7 +6,7 @@ cluster is a parent's records; it is reduced to a few numbers by partial aggrega
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import two_proportions
@@ -94,19 +94,19 @@ def gap_cells(labelled: DataFrame, keys: list[str], weight=None) -> DataFrame:
     return labelled.groupBy(*keys, "stratum").agg(total(one).alias("n1"), total(one & ok).alias("c1"), total(zero).alias("n0"), total(zero & ok).alias("c0"))
 
 
-def stratified_gap(labelled: DataFrame, keys: list[str], reps: int = REPS) -> DataFrame:
+def stratified_gap(labelled: DataFrame, keys: list[str], reps: int = REPS, seed: int = SEED) -> DataFrame:
     """Unadjusted and pooled gap by scope with a cluster-bootstrap interval; clusters are reduced to cell counts first."""
     cells = gap_cells(labelled, keys)
     plain = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n1", "c1", "n0", "c0")])
     plain = plain.select(*keys, (F.try_divide("c1", "n1") - F.try_divide("c0", "n0")).alias("unadjusted_gap"))
     per = gap_cells(labelled, [*keys, "parent_id"])
-    replicates = drawn(per, [*keys, "stratum"], ["n1", "c1", "n0", "c0"], reps)
+    replicates = drawn(per, [*keys, "stratum"], ["n1", "c1", "n0", "c0"], reps, seed=seed)
     ci = interval(pooled_gap(replicates, [*keys, "rep"]).withColumnRenamed("pooled_gap", "estimate"), keys)
     n = labelled.groupBy(*keys).agg(F.count_distinct("parent_id").alias("n_clusters"))
     return plain.join(pooled_gap(cells, keys), keys).join(ci, keys).join(n, keys)
 
 
-def atlas(scores: DataFrame, labels: DataFrame, reps: int = REPS) -> DataFrame:
+def atlas(scores: DataFrame, labels: DataFrame, reps: int = REPS, seed: int = SEED) -> DataFrame:
     """Mean accuracy, consistency and reliability of the clusters of each skill, by contamination level and over all, with a verdict.
 
     ci_low, ci_high: a cluster bootstrap of the mean reliability; a cell of one cluster has its value at both ends.
@@ -116,7 +116,7 @@ def atlas(scores: DataFrame, labels: DataFrame, reps: int = REPS) -> DataFrame:
     c = c.select("parent_id", "skill", "accuracy", "consistency", "reliability", "n_preserving", F.explode(F.array(F.col("level"), F.lit("all"))).alias("level"))
     keys = ["skill", "level"]
     cells = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"), *[F.avg(m).alias(m) for m in ("accuracy", "consistency", "reliability")], F.count_if(F.col("n_preserving") >= 2).alias("n_multi"))
-    means = drawn(c.withColumn("one", F.lit(1)), keys, ["reliability", "one"], reps).withColumn("estimate", F.try_divide("reliability", "one"))
+    means = drawn(c.withColumn("one", F.lit(1)), keys, ["reliability", "one"], reps, seed=seed).withColumn("estimate", F.try_divide("reliability", "one"))
     cells = cells.join(interval(means, keys).drop("n_reps"), keys)
     verdict = atlas_verdict(F.col("accuracy"), F.col("reliability"), F.col("n_clusters"), F.col("n_multi"))
     # The reference's order of tests: an unprobed cell is accuracy_only whatever its size.
@@ -127,10 +127,13 @@ def canonical_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("source").pivot("canon", ["contaminated", "partial", "clean"]).count() if "canon" in hits.columns else canonical_counts(hits.withColumn("canon", canonical_label(F.col("label"))))
 
 
-def did_cells(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of the 2 x 2 cells of arm and condition, resample copies and records without an arm left out."""
+def did_cells(df: DataFrame, keys: list[str], changed: Column | None = None) -> DataFrame:
+    """Counts of the 2 x 2 cells of arm and condition, resample copies and records without an arm left out.
+
+    changed: which records are the perturbed ones; by default those whose variant changes the answer.
+    """
     use = df.where(F.col("arm").isin("seen", "unseen") & (F.col("variant_type") != "resample"))
-    changed, ok = answer_changing(F.col("variant_type")), F.col("correct").cast("int")
+    changed, ok = answer_changing(F.col("variant_type")) if changed is None else changed, F.col("correct").cast("int")
     cell = lambda name, arm, cond: (F.count_if((F.col("arm") == arm) & cond).alias(f"n_{name}"), F.sum(F.when((F.col("arm") == arm) & cond, ok).otherwise(0)).alias(f"c_{name}"))
     return use.groupBy(*keys).agg(*cell("so", "seen", ~changed), *cell("sp", "seen", changed), *cell("uo", "unseen", ~changed), *cell("up", "unseen", changed))
 
@@ -140,14 +143,14 @@ def did_value(prefix_n: str = "n_", prefix_c: str = "c_"):
     return (r("so") - r("uo")) - (r("sp") - r("up"))
 
 
-def did(df: DataFrame, keys: list[str], reps: int = REPS) -> DataFrame:
+def did(df: DataFrame, keys: list[str], reps: int = REPS, seed: int = SEED, changed: Column | None = None) -> DataFrame:
     """Difference in differences by model: (seen - unseen) on originals less that on perturbed, with a cluster-bootstrap interval."""
-    cells = did_cells(df, keys)
-    per = did_cells(df, [*keys, "parent_id"])
+    cells = did_cells(df, keys, changed)
+    per = did_cells(df, [*keys, "parent_id"], changed)
     names = [f"{a}_{k}" for a in "nc" for k in ("so", "sp", "uo", "up")]
-    ci = interval(drawn(per, keys, names, reps).withColumn("estimate", did_value()), keys)
+    ci = interval(drawn(per, keys, names, reps, seed=seed).withColumn("estimate", did_value()), keys)
     full = F.least(*[F.col(f"n_{k}") for k in ("so", "sp", "uo", "up")]) > 0
-    return cells.join(ci, keys).select(*keys, *[f"n_{k}" for k in ("so", "sp", "uo", "up")], F.when(full, did_value()).alias("did"), "ci_low", "ci_high", F.when(full, "measured").otherwise("insufficient_cells").alias("status"))
+    return cells.join(ci, keys, "left").select(*keys, *[f"n_{k}" for k in ("so", "sp", "uo", "up")], F.when(full, did_value()).alias("did"), "ci_low", "ci_high", F.when(full, "measured").otherwise("insufficient_cells").alias("status"))
 
 
 def difficulty_bins(df: DataFrame, score: str, tie: str, bins: int = 3, rows: int | None = None) -> DataFrame:

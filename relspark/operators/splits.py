@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED = 6198
+from .ranks import ranked
+
+SEED, BINS = 6198, 100_000
 
 
 def _ranked(pool: DataFrame, seed: int) -> DataFrame:
-    w = Window.partitionBy("bin", "arm").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))))
-    return pool.withColumn("r", F.row_number().over(w))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    return ranked(pool.withColumn("_key", key), ["bin", "arm"], ["_key"], "r").withColumn("r", F.col("r") + 1).drop("_key")
+
+
+def _small(bins: DataFrame) -> DataFrame:
+    """A table of one row a bin, broadcast while there are at most BINS of them."""
+    return F.broadcast(bins) if bins.limit(BINS + 1).count() <= BINS else bins
 
 
 def matched(pool: DataFrame, per_arm: int, seed: int = SEED) -> DataFrame:
     """id, arm: as many of each arm from every bin as the smaller side allows, then topped up in pairs. pool: id, arm, bin."""
-    ranked = _ranked(pool, seed)
-    sizes = ranked.groupBy("bin").agg(F.count_if(F.col("arm") == "seen").alias("a"), F.count_if(F.col("arm") == "unseen").alias("b"))
+    places = _ranked(pool, seed)
+    sizes = places.groupBy("bin").agg(F.count_if(F.col("arm") == "seen").alias("a"), F.count_if(F.col("arm") == "unseen").alias("b"))
     bins = sizes.agg(F.count(F.lit(1)).alias("k")).first()["k"]
     target = max(1, per_arm // max(1, bins))
     take = sizes.select("bin", F.least("a", "b", F.lit(target)).alias("take"))
-    first = ranked.join(F.broadcast(take), "bin").where("r <= take").select("id", "arm")
+    first = places.join(_small(take), "bin").where("r <= take").select("id", "arm")
     taken = take.agg(F.coalesce(F.sum("take"), F.lit(0)).alias("n")).first()["n"]
-    left = ranked.where(F.col("r") > target).withColumn("k", F.row_number().over(Window.partitionBy("arm").orderBy("bin", "r")))
+    left = ranked(places.where(F.col("r") > target), ["arm"], ["bin", "r"], "k").withColumn("k", F.col("k") + 1)
     spare = left.agg(F.count_if(F.col("arm") == "seen").alias("a"), F.count_if(F.col("arm") == "unseen").alias("b")).first()
     extra = min(per_arm - taken, spare["a"], spare["b"])
     return first.unionByName(left.where(F.col("k") <= extra).select("id", "arm"))
@@ -30,9 +37,9 @@ def matched(pool: DataFrame, per_arm: int, seed: int = SEED) -> DataFrame:
 
 def step_matched(pool: DataFrame, seed: int = SEED) -> DataFrame:
     """Of every bin the smaller side's number from both arms."""
-    ranked = _ranked(pool, seed)
-    sizes = ranked.groupBy("bin").agg(F.least(F.count_if(F.col("arm") == "seen"), F.count_if(F.col("arm") == "unseen")).alias("m"))
-    return ranked.join(F.broadcast(sizes), "bin").where("r <= m").select("id", "arm")
+    places = _ranked(pool, seed)
+    sizes = places.groupBy("bin").agg(F.least(F.count_if(F.col("arm") == "seen"), F.count_if(F.col("arm") == "unseen")).alias("m"))
+    return places.join(_small(sizes), "bin").where("r <= m").select("id", "arm")
 
 
 def balance(df: DataFrame, bin_: str = "stratum") -> DataFrame:

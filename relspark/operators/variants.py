@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import hashed
 from ..functions.text import QUESTION, sentence_parts
+from .ranks import running
 
 SEED = 6198
 # Name, object, distractor and rewording lists.
@@ -291,10 +292,10 @@ def suite(items: DataFrame) -> DataFrame:
 
 def dose_stream(repeat: DataFrame, filler: DataFrame, dose: int, budget: int) -> DataFrame:
     """id, copy, text up to a fixed budget of characters: each repeated text `dose` times, then filler, in hashed order."""
-    from pyspark.sql import Window
-
     again = repeat.select("id", "text", F.explode(F.sequence(F.lit(1), F.lit(dose))).alias("copy")).withColumn("first", F.lit(0))
     rest = filler.select("id", "text", F.lit(0).alias("copy"), F.lit(1).alias("first"))
-    w = Window.orderBy("first", F.md5(F.concat_ws(":", F.lit(str(SEED)), "id", F.col("copy").cast("string")))).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = again.unionByName(rest).withColumn("total", F.sum(F.length("text")).over(w))
-    return all_.where(F.col("total") <= budget).select("id", "copy", "text")
+    key = F.concat_ws(":", "first", F.md5(F.concat_ws(":", F.lit(str(SEED)), "id", F.col("copy").cast("string"))))
+    all_ = again.unionByName(rest).select("id", "copy", key.alias("key"), "text", F.length("text").cast("long").alias("n"))
+    # Lengths alone are ordered and summed; texts join what is within the budget.
+    within = running(all_.drop("text"), "key", "n", "total").where(F.col("total") <= budget).select("key")
+    return all_.join(within, "key").select("id", "copy", "text")

@@ -9,7 +9,7 @@ from ..functions import answers as A
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import reliability as O
-from ..operators import splits
+from ..operators import splits, studies
 from ..sources.tables import completions, judge, scores, table
 from .reliability import CONF, KAPPA, confusion, draws, kappa, labelled, query
 from .text_functions import NUM, q as quoted
@@ -45,10 +45,7 @@ def _(s, d):
 
 @query("agg18_termination", "SELECT model, count(*) AS n, count(*) FILTER (WHERE finished) AS n_finished, max(v) FILTER (WHERE r = (m // 2) + 1) AS median_value, avg(finished::INT) >= 0.85 AS passes FROM (SELECT *, value AS v, row_number() OVER (PARTITION BY model ORDER BY value) AS r, count(*) OVER (PARTITION BY model) AS m FROM {scores}) GROUP BY 1")
 def _(s, d):
-    """The upper median of an even number."""
-    g = scores(s, d).groupBy("model")
-    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)")
-    return g.agg(n_().alias("n"), F.count_if("finished").alias("n_finished"), upper.alias("median_value"), (F.avg(F.col("finished").cast("int")) >= 0.85).alias("passes"))
+    return studies.termination(scores(s, d))
 
 
 @query("agg19_gate01_termination_did", "SELECT model, round((avg(f) FILTER (WHERE arm = 'seen' AND NOT c) - avg(f) FILTER (WHERE arm = 'unseen' AND NOT c)) - (avg(f) FILTER (WHERE arm = 'seen' AND c) - avg(f) FILTER (WHERE arm = 'unseen' AND c)), 6) AS second_difference FROM (SELECT model, arm, finished::INT AS f, variant_type IN ('gsm_symbolic', 'numeric_perturbation') AS c FROM {scores}) GROUP BY 1")
@@ -68,11 +65,7 @@ CAL = "WITH c AS (SELECT vec_id AS id, abs(embedding[1])::DOUBLE AS best, label
 
 def calibrated(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings").select(F.abs(F.get("embedding", 0)).cast("double").alias("best"), (F.col("label") % 2 == 0).alias("truth"))
-    a = e.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.02, 0.05, 0.1, 0.15, 0.2)])))
-    hit = F.col("best") >= F.col("threshold")
-    a = a.groupBy("threshold").agg(F.count_if(hit & F.col("truth")).alias("tp"), F.count_if(hit & ~F.col("truth")).alias("fp"), F.count_if(~hit & F.col("truth")).alias("fn"))
-    a = a.withColumns({"precision": F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(1.0)), "recall": F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(1.0))})
-    return a.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    return studies.calibrated(e, [0.02, 0.05, 0.1, 0.15, 0.2])
 
 
 @query("agg22_calibration", CAL + " SELECT t AS threshold, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f")
@@ -82,22 +75,17 @@ def _(s, d):
 
 @query("agg23_best_threshold", CAL + " SELECT t AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f1 DESC, p DESC, t LIMIT 1")
 def _(s, d):
-    return calibrated(s, d).orderBy(F.desc("f1"), F.desc("precision"), "threshold").limit(1).select("threshold", "f1")
+    return studies.best_threshold(calibrated(s, d))
 
 
 @query("agg24_metric_validation", "WITH c AS (SELECT parent_id, avg(correct::INT) AS a FROM {scores} GROUP BY 1), k AS (SELECT *, CASE WHEN substr(parent_id, -1) IN ('0', '1', '2') THEN 'genuine' ELSE 'fragile' END AS status FROM c) SELECT round(avg(a) FILTER (WHERE status = 'genuine'), 6) AS genuine, round(avg(a) FILTER (WHERE status = 'fragile'), 6) AS fragile, round(avg(a) FILTER (WHERE status = 'genuine') - avg(a) FILTER (WHERE status = 'fragile'), 6) AS separation FROM k")
 def _(s, d):
-    c = scores(s, d).groupBy("parent_id").agg(F.avg(OK()).alias("a")).withColumn("g", F.right("parent_id", F.lit(1)).isin("0", "1", "2"))
-    g, f = F.avg(F.when(F.col("g"), F.col("a"))), F.avg(F.when(~F.col("g"), F.col("a")))
-    return c.agg(g.alias("genuine"), f.alias("fragile"), (g - f).alias("separation"))
+    return studies.metric_validation(scores(s, d), F.right("parent_id", F.lit(1)).isin("0", "1", "2"))
 
 
 @query("agg25_join08_validate_variants", "WITH o AS (SELECT parent_id, min(normalized_predicted) AS gold FROM {scores} WHERE variant_type = 'original' GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE gold IS NULL) AS n_orphans, count(*) FILTER (WHERE NOT c) AS n_preserving, count(*) FILTER (WHERE NOT c AND normalized_predicted = gold) AS n_ok FROM (SELECT s.*, gold, variant_type IN ('gsm_symbolic', 'numeric_perturbation') AS c FROM {scores} s LEFT JOIN o USING (parent_id) WHERE variant_type <> 'original')")
 def _(s, d):
-    o = scores(s, d).where("variant_type = 'original'").groupBy("parent_id").agg(F.min("normalized_predicted").alias("gold"))
-    v = scores(s, d).where("variant_type <> 'original'").join(o, "parent_id", "left")
-    c = R.answer_changing(F.col("variant_type"))
-    return v.agg(n_().alias("n"), F.count_if(F.col("gold").isNull()).alias("n_orphans"), F.count_if(~c).alias("n_preserving"), F.count_if(~c & (F.col("normalized_predicted") == F.col("gold"))).alias("n_ok"))
+    return studies.validated_variants(scores(s, d), "normalized_predicted")
 
 
 @query("agg26_magnitude_report", "SELECT count(m) AS n, round(median(m), 6) AS median, round(avg(ln(m)), 6) AS mean_log, round(avg((m > 1)::INT), 6) AS share_over_one, round(avg((m BETWEEN 0.8 AND 1.25)::INT), 6) AS in_band FROM (SELECT magnitude_ratio AS m FROM {scores} WHERE magnitude_ratio IS NOT NULL)")
@@ -123,10 +111,12 @@ def _(s, d):
     return splits.matched(pool(s, d), 100)
 
 
-@query("agg29_split_summary", SPLIT + ", o AS (SELECT id, arm FROM p JOIN t USING (bin) WHERE r <= take UNION ALL SELECT id, arm FROM l, x WHERE k <= e) SELECT arm, count(*) AS n, (SELECT count(*) FROM p WHERE p.arm = o.arm) AS pool FROM o GROUP BY 1")
+@query("agg29_split_summary", SPLIT + """, o AS (SELECT id, arm FROM p JOIN t USING (bin) WHERE r <= take UNION ALL SELECT id, arm FROM l, x WHERE k <= e), c AS (SELECT id, (id % 101) / 100e0 AS v FROM p), j AS (SELECT p.arm, o.id IS NULL AS out, v FROM p LEFT JOIN o USING (id) LEFT JOIN c USING (id)),
+a AS (SELECT arm, count(*) FILTER (WHERE NOT out) AS n, count(*) AS pool, count(*) FILTER (WHERE out AND arm = 'seen' AND v < 0.8) AS not_seen, count(*) FILTER (WHERE out AND arm = 'unseen' AND v > 0.1) AS not_unseen, count(*) FILTER (WHERE out AND NOT (arm = 'seen' AND v < 0.8) AND NOT (arm = 'unseen' AND v > 0.1)) AS unmatched FROM j GROUP BY 1)
+SELECT *, CASE WHEN n >= 100 THEN 'full' WHEN not_seen + not_unseen > unmatched THEN 'evidence' ELSE 'matching' END AS diagnosis FROM a""")
 def _(s, d):
     p = pool(s, d)
-    return splits.matched(p, 100).groupBy("arm").agg(n_().alias("n")).join(p.groupBy("arm").agg(n_().alias("pool")), "arm")
+    return studies.split_summary(p.select("id", "arm"), splits.matched(p, 100), p.select("id", ((F.col("id") % 101) / 100.0).alias("containment")), 100)
 
 
 @query("win11_step_matched", "WITH p AS (SELECT c_custkey AS id, c_custkey % 7 AS bin, CASE WHEN c_nationkey % 2 = 0 THEN 'seen' ELSE 'unseen' END AS arm, row_number() OVER (PARTITION BY c_custkey % 7, c_nationkey % 2 = 0 ORDER BY md5('6198:' || c_custkey)) AS r FROM customer), b AS (SELECT bin, least(count(*) FILTER (WHERE arm = 'seen'), count(*) FILTER (WHERE arm = 'unseen')) AS m FROM p GROUP BY 1) SELECT id, arm FROM p JOIN b USING (bin) WHERE r <= m")

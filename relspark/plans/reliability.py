@@ -9,6 +9,7 @@ from ..catalog import register
 from ..functions import answers as A
 from ..functions import rules as R
 from ..operators import reliability as O
+from ..operators.ranks import running
 from ..sources.tables import hits, judge, scores, sql, table
 
 REPS = O.REPS
@@ -204,14 +205,22 @@ def _(s, d):
     return t.select("model", "did", (F.col("did") - F.lag("did").over(w)).alias("delta"))
 
 
-@query("mem05_multi_condition_did", """
-SELECT model, round(avg(correct::INT) FILTER (WHERE arm = 'seen' AND variant_type = 'numeric_perturbation') - avg(correct::INT) FILTER (WHERE arm = 'unseen' AND variant_type = 'numeric_perturbation'), 6) AS numeric_gap,
- round(avg(correct::INT) FILTER (WHERE arm = 'seen' AND variant_type = 'rephrasing') - avg(correct::INT) FILTER (WHERE arm = 'unseen' AND variant_type = 'rephrasing'), 6) AS surface_gap,
- round(avg(correct::INT) FILTER (WHERE arm = 'seen' AND variant_type = 'original') - avg(correct::INT) FILTER (WHERE arm = 'unseen' AND variant_type = 'original'), 6) AS original_gap FROM {scores} GROUP BY 1""")
+CONDITIONS = ("numeric_perturbation", "gsm_symbolic", "rephrasing", "entity_substitution")
+BY_CONDITION = f"(SELECT s.*, c AS condition FROM {{scores}} s, (SELECT unnest({list(CONDITIONS)}) AS c) WHERE variant_type = 'original' OR variant_type = c) WHERE arm IS NOT NULL"
+
+
+@query("mem05_multi_condition_did", did_sql(BY_CONDITION, "model, condition").replace(CHG, "variant_type <> 'original'"))
+def _(s, d):
+    """Difference in differences of each condition against the originals, with a bootstrap over parents."""
+    v = F.col("variant_type")
+    own = F.when(v == "original", F.array(*[F.lit(c) for c in CONDITIONS])).when(v.isin(*CONDITIONS), F.array(v)).otherwise(F.expr("cast(array() as array<string>)"))
+    return O.did(scores(s, d).withColumn("condition", F.explode(own)), ["model", "condition"], REPS, changed=v != "original")
+
+
+@query("cls08_did_reading", f"SELECT model, CASE WHEN ci_low <= 0 AND ci_high >= 0 THEN 'no detectable difference between arms' WHEN did > 0 THEN printf('seen items lose %.3f more under perturbation', did) ELSE printf('unseen items lose %.3f more under perturbation', -did) END AS reading FROM ({did_sql(USE)})")
 def _(s, d):
-    ok = F.col("correct").cast("int")
-    gap = lambda v: F.avg(F.when((F.col("arm") == "seen") & (F.col("variant_type") == v), ok)) - F.avg(F.when((F.col("arm") == "unseen") & (F.col("variant_type") == v), ok))
-    return scores(s, d).groupBy("model").agg(gap("numeric_perturbation").alias("numeric_gap"), gap("rephrasing").alias("surface_gap"), gap("original").alias("original_gap"))
+    """The measured difference in words."""
+    return O.did(scores(s, d), ["model"], REPS).select("model", R.did_reading(F.col("did"), F.col("ci_low"), F.col("ci_high")).alias("reading"))
 
 
 @query("boot01_mean_interval", CONS + f""", cc AS (SELECT parent_id, acc * cons AS rel FROM p JOIN m USING (parent_id)),
@@ -315,10 +324,10 @@ RANKS = "(SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) -
 u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1 FROM a), z AS (SELECT *, least(u1, n1 * n2 - u1) AS u, (least(u1, n1 * n2 - u1) - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)
 SELECT round(u, 3) AS u, round(z, 6) AS z, round(least(1, 2 * {A.normal_sf_sql('abs(z)')}), 6) AS p, round(2 * u1 / (n1 * n2) - 1, 6) AS cliffs_delta FROM z""")
 def _(s, d):
-    """Ranks are counted over distinct values, so equal values and values without number need no sort in one task."""
+    """Ranks are counted over distinct values in ranges, so no task sorts them all."""
     v = scores(s, d).where("arm is not null").select("arm", F.floor(F.col("value") / 1000).alias("v"))
     t = v.groupBy("v").agg(F.count_if(F.col("arm") == "seen").alias("a"), F.count(F.lit(1)).alias("t"))
-    t = t.withColumn("r", F.sum("t").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("t") - 1) / 2)
+    t = running(t, "v", "t", "upto").withColumn("r", F.col("upto") - (F.col("t") - 1) / 2)
     a = t.agg(F.sum("a").cast("double").alias("n1"), F.sum(F.col("t") - F.col("a")).cast("double").alias("n2"), F.sum(F.col("a") * F.col("r")).alias("r1"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("ties"), F.sum("t").cast("double").alias("n"))
     n1, n2, n = F.col("n1"), F.col("n2"), F.col("n")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2

@@ -110,6 +110,6 @@ def _(s, d):
 
 @query("reg01_reg02_mem02_logistic")
 def _(s, d):
-    df = scores(s, d).where("arm is not null").select("parent_id", F.col("correct").cast("int").alias("y"), (F.col("arm") == "seen").cast("int").alias("seen"), F.col("variant_type").isin("gsm_symbolic", "numeric_perturbation").cast("int").alias("changed")).withColumn("both", F.col("seen") * F.col("changed"))
-    fit = regression.fit_logistic(df, "y", ["seen", "changed", "both"], "parent_id")
+    df = scores(s, d).where("arm is not null").select("parent_id", F.col("correct").cast("int").alias("y"), (F.col("arm") == "seen").cast("int").alias("seen"), F.col("variant_type").isin("gsm_symbolic", "numeric_perturbation").cast("int").alias("changed"), F.coalesce(F.log("magnitude_ratio"), F.lit(0.0)).alias("log_magnitude")).withColumn("both", F.col("seen") * F.col("changed"))
+    fit = regression.fit_logistic(df, "y", ["seen", "changed", "both", "log_magnitude"], "parent_id")
     return s.createDataFrame([(k, float(b), float(e), float(p)) for k, b, e, p in zip(fit.names, fit.beta, fit.se, fit.p(), strict=True)], "term string, estimate double, se double, p double")

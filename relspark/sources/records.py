@@ -56,8 +56,8 @@ def _required(value: Column, what: str) -> Column:
     return F.when(value.isNull(), F.raise_error(F.lit(f"a record without {what}"))).otherwise(value)
 
 
-def benchmark_items(raw: DataFrame) -> DataFrame:
-    return raw.select(first_of("id", "uid").alias("id"), _required(first_of("prompt", "question", "input"), "a prompt").alias("prompt"), "answer", "parent_id", F.coalesce("variant_type", F.lit("original")).alias("variant_type"))
+def benchmark_items(raw: DataFrame, more: list[str] | None = None) -> DataFrame:
+    return raw.select(first_of("id", "uid").alias("id"), _required(first_of("prompt", "question", "input"), "a prompt").alias("prompt"), "answer", "parent_id", F.coalesce("variant_type", F.lit("original")).alias("variant_type"), *(more or []))
 
 
 def corpus_documents(raw: DataFrame) -> DataFrame:

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Dealt over all cores where a small table has fewer files than that; a table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 _VALUE = "cast(floor(o_totalprice) as bigint)"
 SCORES = {
     "benchmark_id": "cast(o_orderkey as string)",
@@ -87,7 +83,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spread(table(spark, sf_dir, "documents")), COMPLETIONS)
+    return _mapped(dealt(table(spark, sf_dir, "documents")), COMPLETIONS)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +91,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("id"), "text", "source")
+    return dealt(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("id"), "text", "source")
 
 
 SQL = {

@@ -57,3 +57,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores that is too small to be split into a part for each core, dealt over all; others as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    part = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * part
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df

@@ -43,3 +43,76 @@ def test_bad_settings_and_unknown_generations_raise(spark, config, tmp_path):
 
 def test_commands(capsys):
     assert cli.main(["list-queries"]) == 0 and "con04_containment_max" in capsys.readouterr().out
+
+
+def test_a_changed_setting_makes_stages_again(spark, config):
+    from dataclasses import replace
+
+    c = workflow.Config.load(config)
+    workflow.run(spark, c)
+    again = workflow.run(spark, replace(c, ngram=3))
+    assert {r["item"]: r["n_grams"] for r in again["containment"].collect()}["a"] > 10
+    with pytest.raises(ValueError, match="not read"):
+        workflow.run(spark, replace(c, min_accuracy=0.9))
+
+
+def test_commands_write_their_tables(spark, config, tmp_path, capsys):
+    c = workflow.Config.load(config)
+    at = lambda n: str(tmp_path / n)
+    assert cli.main(["scan-contamination", c.benchmark, c.corpus, at("scan"), "--ngram", "5"]) == 0
+    assert cli.main(["scan-lexical", c.benchmark, c.corpus, at("lex")]) == 0 and spark.read.parquet(at("lex")).where("label = 'exact'").count() >= 1
+    assert cli.main(["scan-embedding", c.benchmark, c.corpus, at("emb"), "--dims", "64"]) == 0 and spark.read.parquet(at("emb")).where("item = 'a' and doc = 'd1'").count() == 1
+    assert cli.main(["make-variants", c.benchmark, at("var")]) == 0 and cli.main(["validate-variants", at("var"), at("val")]) == 0
+    assert cli.main(["export-templates", at("var"), at("sheet")]) == 0
+    sheet = spark.read.option("header", True).csv(at("sheet"))
+    assert {"parent_id", "verdict"} <= set(sheet.columns) and sheet.count() >= 1
+    sheet.withColumn("verdict", __import__("pyspark.sql.functions").sql.functions.lit("bad")).write.option("header", True).csv(at("done"))
+    assert cli.main(["apply-template-review", at("var"), at("done"), at("kept")]) == 0
+    bad = {r["parent_id"] for r in sheet.collect()}
+    assert not bad & {r["parent_id"] for r in spark.read.parquet(at("kept")).collect()}
+    assert cli.main(["score-generations", c.benchmark, c.generations, at("scores")]) == 0
+    assert cli.main(["attribute", at("scan"), at("scores"), at("attr")]) == 0 and spark.read.parquet(at("attr")).count() >= 3
+    assert cli.main(["check-termination", c.generations, at("term")]) == 1
+    assert cli.main(["emergence", at("scores"), "unknown", "other", at("em")]) == 0
+    assert cli.main(["memorization", at("scores"), at("memo"), "--n-bootstrap", "50"]) == 0
+
+
+def test_strict_records_and_shards(spark, tmp_path):
+    from relspark.sources import records
+
+    lines = lambda *rows: spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+    need = {"a": "string", "n": "long"}
+    assert [tuple(r) for r in records.strict(lines({"a": "x", "n": 1}, {"n": 2, "a": "y", "z": 0.5}), need, {"z": "double"}).collect()] == [("x", 1, None), ("y", 2, 0.5)]
+    for row, what in (({"a": "x", "n": 1, "q": 1}, "unknown fields"), ({"a": "x"}, "missing fields")):
+        with pytest.raises(Exception, match=what):
+            records.strict(lines(row), need).collect()
+    (tmp_path / "s").mkdir()
+    write(tmp_path / "s" / "1.jsonl", [{"k": 1, "t": "x"}])
+    write(tmp_path / "s" / "2.jsonl", [{"k": "2", "other": [1]}])
+    assert sorted((r["k"], r["t"]) for r in records.read_shards(spark, str(tmp_path / "s"), "k string, t string").collect()) == [("1", "x"), ("2", None)]
+
+
+def test_streams_drop_late_rows_and_repeats(spark, tmp_path):
+    from datetime import datetime
+
+    from relspark.streaming import corpus
+
+    rows = [(1, "a", 1.0, datetime(2024, 1, 1, 0, 10)), (1, "a", 1.0, datetime(2024, 1, 1, 0, 10)), (2, "a", 2.0, datetime(2024, 1, 1, 0, 50)), (3, "b", 5.0, datetime(2024, 1, 2))]
+    for i, part in enumerate((rows[:2], rows[2:], [(6, "b", 1.0, datetime(2024, 1, 3))], [(4, "a", 9.0, datetime(2024, 1, 1, 0, 20))], [(5, "b", 0.0, datetime(2024, 1, 4))])):
+        spark.createDataFrame(part, "event_id long, event_type string, value double, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    schema = "event_id long, event_type string, value double, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = corpus.windowed_counts(stream).writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", f"{tmp_path}/cw").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(str(r["start"]), r["event_type"]): r["n"] for r in spark.table("w").collect()}
+    assert got[("2024-01-01 00:00:00", "a")] == 3  # the row of 00:20 came after its window had closed
+    d = corpus.first_by_id(stream).writeStream.format("memory").queryName("d").option("checkpointLocation", f"{tmp_path}/cd").trigger(availableNow=True).start()
+    d.awaitTermination()
+    ids = [r["event_id"] for r in spark.table("d").collect()]
+    assert len(ids) == len(set(ids)) and {1, 2, 3} <= set(ids)
+    old = spark.createDataFrame([("a", True, 0), ("b", False, 0)], "id string, finished boolean, round int")
+    old.write.parquet(f"{tmp_path}/t/version=0")
+    spark.createDataFrame([("b", True, 1), ("a", True, 1)], "id string, finished boolean, round int").write.parquet(f"{tmp_path}/again")
+    again = spark.readStream.schema(old.schema).parquet(f"{tmp_path}/again")
+    corpus.repair_stream(again, f"{tmp_path}/t", "id", f"{tmp_path}/cr").awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/version=1").collect()) == [("a", True, 0), ("b", True, 1)]
