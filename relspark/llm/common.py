@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..staging import dropped, fresh, staged  # noqa: F401
+from ..staging import dealt, dropped, fresh, staged  # noqa: F401
 
 
 IN_MEMORY = 1 << 20  # edges that one task holds
@@ -25,12 +25,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table; one of fewer files than cores that is too small to be split into a part for each core is dealt over all."""
+    """The documents table; a small one of few files is dealt over all cores."""
     small_batches(spark)
-    df, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
-    part = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * part
-    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def row_order(df: DataFrame) -> Column | None:
