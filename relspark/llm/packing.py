@@ -15,13 +15,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import ranked
 from .common import salted_rank, staged
 
-END_ID, SIZE, CACHE = 1, 2048, 200_000
+END_ID, SIZE, CACHE, WINDOW = 1, 2048, 200_000, 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 TAIL = b".,!?;:#$%&*|"
 PROBES = ("The Quick brown fox, jumped: over 12 lazy dogs!", "x.y (a-b) don't [C]#1 f00?", "  unbelievably\tinternationalisation \n\n z ")
@@ -192,38 +192,73 @@ def _slots(plan: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, np.int64) for x in zip(*sorted(rows), strict=True))
 
 
+def _seats(slots: tuple[np.ndarray, ...], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces by their length and their rank among the pieces of that length."""
+    lengths, first, sequence, offset = slots
+    many = int(first.max()) + 1
+    line = lengths * many + first  # lengths apart, ranks ascending
+    at = np.searchsorted(line, length * many + np.minimum(rank, many - 1), side="right") - 1
+    assert (lengths[at] == length).all()
+    return sequence[at] + rank - first[at], offset[at]
+
+
 def _placer(plan: list[tuple[int, tuple[int, ...]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     slots = _slots(plan)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, rank, sequence, offset = slots
-        low, many = np.searchsorted(length, np.arange(length.max() + 2)), int(rank.max()) + 1
-        line = length * many + rank  # lengths apart, ranks ascending
         for b in batches:
-            own, r = b.column("length").to_numpy(), b.column("_rank").to_numpy()
-            at = np.searchsorted(line, own * many + np.minimum(r, many - 1), side="right") - 1
-            assert (at >= low[own]).all()
+            seats = _seats(slots, b.column("length").to_numpy(), b.column("_rank").to_numpy())
             keep = [c for c in b.schema.names if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sequence[at] + r - rank[at]), pa.array(offset[at])], names=[*keep, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *map(pa.array, seats)], names=[*keep, "sequence_id", "offset"])
+
+    return place
+
+
+def _in_window(size: int) -> Callable[[pa.Table], pa.Table]:
+    """Packs the pieces of one window by their own histogram, ranks by place; its sequences are numbered by their earliest piece."""
+    def place(table: pa.Table) -> pa.Table:
+        t = table.sort_by("_place")
+        length = t.column("length").to_numpy()
+        values, counts = np.unique(length, return_counts=True)
+        order = np.argsort(length, kind="stable")
+        rank = np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+        sequence, offset = _seats(_slots(shortest_pack_first(dict(zip(values.tolist(), counts.tolist(), strict=True)), size)), length, rank)
+        first = np.full(int(sequence.max()) + 1, len(length))
+        np.minimum.at(first, sequence, np.arange(len(length)))
+        number = np.empty(len(first), np.int64)
+        number[np.argsort(first)] = np.arange(len(first))
+        total = np.bincount(sequence, length, len(first)).astype(np.int64)
+        padded = np.where(total & (total - 1) == 0, np.minimum(total, size), size)[sequence]
+        return t.drop_columns(["_place"]).append_column("sequence_id", pa.array(number[sequence])).append_column("offset", pa.array(offset)).append_column("padded", pa.array(padded))
 
     return place
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, place: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, place: Column | None = None, window: int = WINDOW) -> DataFrame:
     """One row for each piece with its sequence and its offset there; sequences are gapless, 0 up.
 
     padded: the sequence's length as stored, `size` unless its ids fill a power of two. place: an order of the documents that the
-    sequences follow: pieces of one length are dealt to patterns in that order, and sequences are numbered by their earliest piece.
+    sequences follow: each `window` pieces in that order are packed among themselves, by their own histogram, in a task of their own;
+    pieces of one length are dealt to patterns in that order, and a window's sequences are numbered by their earliest piece.
     Null and empty texts are pieces of the one id end_id. Rows with the same id are packed each for itself. Columns besides id and text
     are not looked at. An empty table gives no rows.
     """
     cut = staged(pieces(docs, tokenizer, size, end_id, id_col, text_col, with_ids=with_ids, place=place), "pieces")
+    own = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    if place is not None:
+        placed = ranked(cut, [], ["place", *own], "_place").drop("place").withColumn("window", F.floor(F.col("_place") / window))
+        schema = placed.drop("_place").schema.add("sequence_id", "long").add("offset", "long").add("padded", "long")
+        placed = staged(placed.groupBy("window").applyInArrow(_in_window(size), schema), "placed")
+        before = F.sum("n").over(Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1))  # one row a window
+        base = placed.groupBy("window").agg((F.max("sequence_id") + 1).alias("n")).select("window", F.coalesce(before, F.lit(0)).alias("base"))
+        out = placed.join(base, "window").withColumn("sequence_id", F.col("sequence_id") + F.col("base"))
+        return out.drop("window", "base")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `size` rows at most
     plan = shortest_pack_first(counts, size)
     if not plan:
-        return cut.drop("place").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "padded": F.lit(0).cast("long")})
-    own = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    ranks = salted_rank(cut, ["length"], own, "_rank", sum(counts.values())) if place is None else ranked(cut, ["length"], ["place", *own], "_rank")
+        return cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "padded": F.lit(0).cast("long")})
+    ranks = salted_rank(cut, ["length"], own, "_rank", sum(counts.values()))
     placed = ranks.mapInArrow(_placer(plan), cut.schema.add("sequence_id", "long").add("offset", "long"))
     # A sequence's own length is its pattern's: patterns and their runs of sequence ids are as bounded as the plan.
     ends = np.cumsum([t for t, _ in plan])
@@ -231,10 +266,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
     padded = F.lit(size)
     for lo, hi, n in odd:
         padded = F.when((F.col("sequence_id") >= lo) & (F.col("sequence_id") < hi), n).otherwise(padded)
-    placed = placed.withColumn("padded", padded.cast("long"))
-    if place is None:
-        return placed
-    placed = staged(placed, "placed")
-    numbered = ranked(placed.groupBy("sequence_id").agg(F.min("place").alias("first")), [], ["first", "sequence_id"], "number")
-    out = placed.join(numbered.select("sequence_id", "number"), "sequence_id")
-    return out.select(*[F.col("number").alias(c) if c == "sequence_id" else F.col(c) for c in placed.columns if c != "place"])
+    return placed.withColumn("padded", padded.cast("long"))

@@ -57,6 +57,48 @@ def test_run_is_the_stages_in_turn(spark, folder):
         assert sum(r["length"] for r in rows if r["sequence_id"] == s) <= 2048
 
 
+def test_run_against_a_plain_version(spark, folder, monkeypatch):
+    """Every piece's ids from the plain text with its secret replaced; the order of sequences from the schedule of the stage before."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from relspark.llm.queries import tokenizer_path
+
+    sf, texts = folder
+    t = Tokenizer.from_file(tokenizer_path())
+    rows = P.run(spark, sf).collect()
+    want = {}
+    for i in {i for i in texts if i % 6} - {11}:
+        ids = [*t.encode(texts[i].replace('token = "abcdefghijkl', "[secret]"), add_special_tokens=False).ids, 1]
+        want |= {(i, at): (len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes()), len(ids)) for at in range(0, len(ids), 2048)}
+    assert {(r["doc_id"], r["start"]): (r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows} == want
+    assert sorted({r["sequence_id"] for r in rows}) == list(range(len({r["sequence_id"] for r in rows})))
+
+    def firsts(weights):
+        monkeypatch.setattr(P, "STAGES", [*P.STAGES[:3], ("mixing", lambda s, d, f: P.mixing.mixed(d, weights, 1)), ("packing", lambda s, d, f: P.packing.pack(d, tokenizer_path(), place=P.row_order(d), window=16))])
+        out = {}
+        for r in P.run(spark, sf).collect():
+            out.setdefault(r["sequence_id"], set()).add(r["doc_id"])
+        return out
+
+    sources = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    a, b = firsts({"hot": 50.0, "s0": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1.0}), firsts({"hot": 0.02, "s0": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1.0})
+    hot = lambda x: sum(sources[i] == "hot" for i in x[0]) / len(x[0])
+    assert a != b and hot(a) > hot(b)
+
+
+def test_tables_without_n_chars_and_empty_ones(spark, folder):
+    sf, _ = folder
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bare = docs.drop("n_chars").limit(20)
+    for df in (bare, docs.limit(0)):
+        for _, stage in P.STAGES[:-1]:
+            df = P.staged(stage(spark, df, sf), "test")
+        assert P.STAGES[-1][1](spark, df, sf).count() >= 0
+
+
 def test_registration():
     import __spark_entry__ as e
 
