@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -175,44 +177,84 @@ def quantity_ablation(items: DataFrame) -> DataFrame:
     return df.select(F.concat("id", F.lit("__"), name).alias("id"), F.col("id").alias("parent_id"), F.concat(F.lit("ablation_"), name).alias("variant_type"), _before_last(kept, extra).alias("prompt"), F.when(~F.col("c.removed"), F.col("answer")).alias("answer"))
 
 
-CHAIN = re.compile(r"<<([^=<>]+)=([^<>]+)>>")
+# Annotated steps, their numbers, and how many steps and leaves a template may have.
+CHAIN, NUMBER = re.compile(r"<<([^=<>]+)=([^<>]+)>>"), re.compile(r"\d+\.?\d*|\.\d+")
+STEPS, LEAVES = 8, 6
 
 
-def template(prompt: str, rationale: str, answer: str) -> tuple[list[int], list[tuple[str, float]]] | str:
-    """(leaf numbers, (expression, value) steps) of an annotated solution, or why it has none."""
-    steps = [(e.strip(), v.strip()) for e, v in CHAIN.findall(rationale)]
+class Rejected(NamedTuple):
+    reason: str
+    detail: str = ""
+
+
+def _whole(text: str) -> int | None:
+    text = text.strip().replace(",", "")
+    return int(text) if re.fullmatch(r"-?\d+", text) else None
+
+
+def _chain(rationale: str, answer: str) -> list[tuple[str, int]] | Rejected:
+    """(expression, result) of each annotated step of a chain that can be recomputed and ends in the answer."""
+    steps = [(e.strip(), v) for e, v in CHAIN.findall(rationale)]
     if not steps:
-        return "no_annotations"
-    leaves: list[int] = []
-    made: set[float] = set()
-    for expr, value in steps:
+        return Rejected("no_calc_annotations")
+    if len(steps) > STEPS:
+        return Rejected("chain_too_long", f"{len(steps)} steps")
+    if odd := [v for _, v in steps if _whole(v) is None]:
+        return Rejected("non_integer_step_result", odd[0])
+    whole = [(e, _whole(v)) for e, v in steps]
+    for expr, value in whole:
         try:
-            got = evaluate(expr, {})
-            stated = float(value)
+            if evaluate(expr, {}) != value:
+                return Rejected("step_does_not_reproduce_result", f"{expr} != {value}")
         except ValueError:
-            return "unreadable_step"
-        if abs(got - stated) > 1e-6:
-            return "broken_chain"
-        for t in re.findall(r"\d+\.?\d*|\.\d+", expr):
-            if "." in t or float(t) in made:
+            return Rejected("step_does_not_reproduce_result", f"{expr} != {value}")
+    results = [v for _, v in whole]
+    if _whole(answer) != results[-1]:
+        return Rejected("final_answer_mismatch", f"answer={answer} last_step={results[-1]}")
+    return Rejected("duplicate_step_results") if len(set(results)) < len(results) else whole
+
+
+def template(prompt: str, rationale: str, answer: str) -> tuple[list[int], list[tuple[str, float]]] | Rejected:
+    """(leaf numbers, (expression, value) steps) of an annotated solution, or why it has none.
+
+    A leaf is a whole number of a step that the question states and no earlier step has made; a number of the chain alone stays as it is.
+    """
+    chain = _chain(rationale, answer)
+    if isinstance(chain, Rejected):
+        return chain
+    used = Counter(int(t) for e, _ in chain for t in NUMBER.findall(e) if "." not in t)
+    leaves: dict[int, None] = {}
+    made: set[int] = set()
+    for expr, value in chain:
+        own = Counter(NUMBER.findall(expr))
+        for t, times in own.items():
+            if "." in t or (n := int(t)) in made or n in leaves:
                 continue
-            n = int(t)
-            found = len(re.findall(rf"(?<![\d.,]){n}(?!\d)(?![.,]\d)", prompt))
-            if found > 1:
-                return "repeated_value"
-            if found and n not in leaves:
-                leaves.append(n)
-        made.add(stated)
-    if set(leaves) & {int(v) for v in made if v == int(v)}:
-        return "ambiguous_value"
+            if times > 1:
+                return Rejected("value_repeated_within_step", f"{n} in '{expr}'")
+            asked = len(re.findall(rf"(?<![\d.,]){n}(?!\d)(?![.,]\d)", prompt))
+            if asked > used[n]:
+                return Rejected("value_ambiguous_in_question", f"{n} appears {asked}x in question but {used[n]}x in chain")
+            if asked:
+                leaves[n] = None
+        made.add(value)
     if not leaves:
-        return "no_leaves"
-    try:
-        if abs(float(answer.replace(",", "")) - float(steps[-1][1])) > 1e-6:
-            return "answer_mismatch"
-    except ValueError:
-        return "non_numeric_answer"
-    return leaves, [(e, float(v)) for e, v in steps]
+        return Rejected("no_substitutable_leaves")
+    if len(leaves) > LEAVES:
+        return Rejected("too_many_leaves", str(len(leaves)))
+    if leaves.keys() & made:
+        return Rejected("leaf_collides_with_step_result")
+    return list(leaves), [(e, float(v)) for e, v in chain]
+
+
+def rejections(items: DataFrame) -> DataFrame:
+    """id, reason, detail of each item that no template can be made of; items: id, prompt, rationale, answer. Nulls count as empty."""
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *got) for i, p, r, a in zip(b["id"], b["prompt"], b["rationale"], b["answer"], strict=True) if isinstance(got := template(p or "", r or "", a or ""), Rejected)]
+            yield pd.DataFrame(rows, columns=["id", "reason", "detail"])
+
+    return items.select("id", "prompt", "rationale", "answer").mapInPandas(judge, "id string, reason string, detail string")
 
 
 def evaluate(expr: str, values: dict[str, float]) -> float:
@@ -245,7 +287,7 @@ def evaluate(expr: str, values: dict[str, float]) -> float:
 def numeric_variant(id_: str, prompt: str, rationale: str, answer: str, copy: int = 0, low: float = 0.8, high: float = 1.25) -> tuple[str, str] | None:
     """(prompt, answer) with every leaf drawn anew near its value and the chain recomputed; whole, positive results only."""
     built = template(prompt, rationale, answer)
-    if isinstance(built, str):
+    if isinstance(built, Rejected):
         return None
     leaves, steps = built
     for attempt in range(40):

@@ -113,3 +113,30 @@ def _(s, d):
     df = scores(s, d).where("arm is not null").select("parent_id", F.col("correct").cast("int").alias("y"), (F.col("arm") == "seen").cast("int").alias("seen"), F.col("variant_type").isin("gsm_symbolic", "numeric_perturbation").cast("int").alias("changed"), F.coalesce(F.log("magnitude_ratio"), F.lit(0.0)).alias("log_magnitude")).withColumn("both", F.col("seen") * F.col("changed"))
     fit = regression.fit_logistic(df, "y", ["seen", "changed", "both", "log_magnitude"], "parent_id")
     return s.createDataFrame([(k, float(b), float(e), float(p)) for k, b, e, p in zip(fit.names, fit.beta, fit.se, fit.p(), strict=True)], "term string, estimate double, se double, p double")
+
+
+#: Question, annotated solution, answer, and why no template can be made of it; n and m are an item's own numbers.
+FLAWS = [
+    ("{n} birds.", "none", "1", "no_calc_annotations"),
+    ("{n} birds.", "<<{n}+1={n}>>" * 9, "1", "chain_too_long"),
+    ("{n} birds.", "<<{n}/1={n}.5>>", "1", "non_integer_step_result"),
+    ("{n} birds.", "<<{n}+1={n}>>", "{n}", "step_does_not_reproduce_result"),
+    ("{n} birds.", "<<{n}*1={n}>>", "7", "final_answer_mismatch"),
+    ("{n} birds.", "<<{n}*1={n}>><<{n}/1={n}>>", "{n}", "duplicate_step_results"),
+    ("{n} birds.", "<<{n}-{n}=0>>", "0", "value_repeated_within_step"),
+    ("{n} birds and {n} more.", "<<{n}-{n}1=-{m}>>", "-{m}", "value_ambiguous_in_question"),
+    ("Some birds.", "<<{n}*1={n}>>", "{n}", "no_substitutable_leaves"),
+    ("2 3 4 5 6 7 8 birds.", "<<2+3+4+5+6+7+8=35>>", "35", "too_many_leaves"),
+    ("{n} birds.", "<<{n}*1={n}>>", "{n}", "leaf_collides_with_step_result"),
+    ("{n} birds.", "<<{n}*3={t}>>", "{t}", None),
+]
+
+
+@query("var08_rejections", "SELECT id, (" + repr([f[3] or "" for f in FLAWS]) + ")[id::INT % 12 + 1] AS reason FROM {items} WHERE id::INT % 12 <> 11")
+def _(s, d):
+    """Items with one flaw each, and one in twelve without."""
+    n = F.col("id").cast("int") % 40 + 40
+    put = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{n}"), n.cast("string")), F.lit("{m}"), (9 * n + 1).cast("string")), F.lit("{t}"), (3 * n).cast("string"))
+    pick = lambda i: F.get(F.array(*[put(f[i]) for f in FLAWS]), F.col("id").cast("int") % 12)
+    rows = items(s, d).select("id", pick(0).alias("prompt"), pick(1).alias("rationale"), pick(2).alias("answer"))
+    return V.rejections(rows).select("id", "reason")

@@ -109,8 +109,8 @@ def test_numeric_templates():
     p, r = "Janet has 16 eggs, eats 3 and bakes 4. She sells the rest at 2 dollars.", "<<16-3-4=9>> then <<9*2=18>>"
     leaves, steps = variants.template(p, r, "18")
     assert leaves == [16, 3, 4, 2] and [v for _, v in steps] == [9, 18]
-    assert variants.template(p, "<<16-3-4=8>>", "8") == "broken_chain"
-    assert variants.template("2 and 2 of 5", "<<2+5=7>>", "7") == "repeated_value"
+    assert variants.template(p, "<<16-3-4=8>>", "8").reason == "step_does_not_reproduce_result"
+    assert variants.template("2 and 2 of 5", "<<2+5=7>>", "7").reason == "value_ambiguous_in_question"
     text, answer = variants.numeric_variant("a", p, r, "18")
     n = [int(x) for x in __import__("re").findall(r"\d+", text)]
     assert (n[0] - n[1] - n[2]) * n[3] == int(answer)
