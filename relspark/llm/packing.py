@@ -23,7 +23,7 @@ from .common import salted_rank, staged
 
 END_ID, SIZE, CACHE, WINDOW = 1, 2048, 200_000, 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-TAIL = b".,!?;:#$%&*|"
+TAIL, SHORT = ".,!?;:#$%&*|", 4
 PROBES = ("The Quick brown fox, jumped: over 12 lazy dogs!", "x.y (a-b) don't [C]#1 f00?", "  unbelievably\tinternationalisation \n\n z ")
 _encoders: dict[str, WordEncoder] = {}
 
@@ -50,59 +50,91 @@ class WordEncoder:
                 raise ValueError(f"{path} does not encode texts word by word in lower case")
 
     def _encode(self, words: list[bytes]) -> None:
-        plain, other = [], []
+        plain, other, known = [], [], self.known
         for w in words:
-            text = w.decode()  # below U+0130 each letter is one code point that stays one when it is lower-cased
-            (plain if text.isalpha() and max(text) < "\u0130" else other).append(text)
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            e = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            if w.isascii():
+                (plain if w.isalpha() else other).append(w)
+            else:  # below U+0130 each letter is one code point that stays one when it is lower-cased
+                text = w.decode()
+                (plain if text.isalpha() and max(text) < "\u0130" else other).append(w)
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            e = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0]
             ids = np.array(e.ids, "<u4")
-            cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-            for w, a, b in zip(part, cut[:-1], cut[1:], strict=True):
-                self.known[w.encode()] = ids[a:b].tobytes()
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[w.encode()] = np.array(e.ids, "<u4").tobytes()
-
-    @staticmethod
-    def _split(word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(TAIL)
-        if core and len(core) < len(word) and (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].lower().isalpha()):
-            return core, word[len(core) :]
-        return word, b""
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                known[w] = raw[at:end]
+                at = end
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word (lower-cased A-Z); `words` are distinct."""
         if len(self.known) > self.cache // 2:  # words of the generation before last that were not met since are forgotten
             self.old, self.known = self.known, {b"": b""}
-        known, old, missing = self.known, self.old, []
-        for w in words:
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                else:
-                    missing.append(w)
-        parts = {w: self._split(w) for w in missing}
-        new = {x for p in parts.values() for x in p if x not in known}
-        self._encode(sorted(new))
-        for w, (core, tail) in parts.items():
-            known[w] = known[core] + known[tail]
-        return [known[w] for w in words]
+        known, old = self.known, self.old
+        found = list(map(known.get, words))
+        lacking = [i for i, v in enumerate(found) if v is None]
+        new = []
+        for i in lacking:
+            w = words[i]
+            if (v := old.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = v
+        self._encode(new)
+        for i in lacking:
+            found[i] = known[words[i]]
+        return found
+
+    @staticmethod
+    def _parted(words: pa.Array) -> tuple[pa.Array, list[tuple[np.ndarray, pa.Array]]]:
+        """Words without the punctuation at their end, and that punctuation as (places, tails) by its length, SHORT at most.
+
+        A word is parted where a letter or digit stands before the punctuation, else it is left whole.
+        """
+        core = pc.ascii_rtrim(words, TAIL)
+        last = pc.utf8_slice_codeunits(core, -1)
+        cut = pc.subtract(pc.binary_length(words), pc.binary_length(core))
+        whole = pc.or_(pc.ascii_is_alnum(last), pc.and_(pc.less(last, "\u0130"), pc.utf8_is_alpha(last)))
+        parted = pc.and_(pc.and_(whole, pc.greater(cut, 0)), pc.less_equal(cut, SHORT))
+        cut = np.where(parted.to_numpy(zero_copy_only=False), cut.to_numpy(), 0)
+        tails = []
+        for k in range(1, SHORT + 1):
+            if len(at := np.flatnonzero(cut == k)):
+                tails.append((at, pc.binary_slice(words.take(pa.array(at)).cast(pa.large_binary()), -k)))
+        return pc.if_else(parted, core, words), tails
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (nulls: none), end to end, and where each text's ids end."""
         texts = pa.concat_arrays([texts.cast(pa.large_string())])  # a copy: pyarrow's ascii_lower goes wrong on a slice
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         coded = pc.dictionary_encode(lists.flatten())
-        ids = self.words(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        core, tails = self._parted(coded.dictionary)
+        core = pc.dictionary_encode(core)
+        # Units are the distinct cores, nothing, and the distinct tails; a word is its core's unit and its tail's.
+        units = core.dictionary.cast(pa.large_binary()).to_pylist()
+        tail_of = np.full(len(coded.dictionary), len(units))
+        units.append(b"")
+        for at, tail in tails:
+            tail = pc.dictionary_encode(tail)
+            tail_of[at] = len(units) + tail.indices.to_numpy()
+            units += tail.dictionary.to_pylist()
+        ids = self.words(list(dict.fromkeys(units)))
+        if len(ids) < len(units):  # some tail stands as a word too
+            one = dict(zip(dict.fromkeys(units), ids, strict=True))
+            ids = [one[u] for u in units]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin, at = np.cumsum(size) - size, coded.indices.to_numpy()
-        many = size[at]
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+        unit = np.empty(2 * len(at), np.int64)
+        unit[0::2], unit[1::2] = core.indices.to_numpy()[at], tail_of[at]
+        many = size[unit]
         ends = np.cumsum(many)
-        out = flat[np.repeat(begin[at] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)] if len(at) else np.zeros(0, "<u4")
+        begin = (np.cumsum(size) - size)[unit] - (ends - many)
+        held = many > 0
+        out = flat[np.repeat(begin[held], many[held]) + np.arange(int(ends[-1]) if len(ends) else 0)] if len(at) else np.zeros(0, "<u4")
         last = np.asarray(lists.offsets)[1:] - np.asarray(lists.offsets)[0]
-        return out, np.concatenate(([0], ends))[last]
+        return out, np.concatenate(([0], ends))[2 * last]
 
 
 def encoder(path: str) -> WordEncoder:
