@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import containment_verdict, lexical_label
-from ..functions.text import char_grams, normalize_text, plain_tokens, tokens, word_grams
+from ..functions.text import normalize_text, plain_tokens, tokens, word_grams
+from ..staging import staged
 from .ranks import ranked
 
 BROADCAST, LEAST = 500_000, 0.45
@@ -70,39 +71,69 @@ def _verdicts(own: DataFrame, matched: DataFrame) -> DataFrame:
     return df.select("item", "n_grams", F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"), value.alias("containment"), containment_verdict(value, F.col("n_grams")).alias("verdict"))
 
 
-def _counted(df: DataFrame, name: str, text: str, most: Column) -> DataFrame:
+def _char_hashes(t: Column, n: int = 5) -> Column:
+    """A long for each distinct n-character window of a normalised text; a shorter text is one window."""
+    def slide(c: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.xxhash64(*[F.get(c, i + j) for j in range(n)])))
+
+    return F.when(F.length(t) > n, F.transform(F.array(F.split(t, "")), slide)[0]).otherwise(F.array(F.xxhash64(t)))
+
+
+def _counted(df: DataFrame, name: str, text: str, most: Column, *more: str) -> DataFrame:
     """name, kind (c: character gram, w: word), hash and count of each distinct feature of a text, beside its numbers of features.
 
-    Texts of over `most` distinct character grams give their words only.
+    Texts of over `most` distinct character grams give their words only. more: columns that are carried along.
     """
-    def feature(kind: str, value: Column, n: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), value).alias("k"), n.alias("n"))
+    def feature(kind: str, k: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), k.alias("k"), n.alias("n"))
 
-    t = df.select(F.col("id").alias(name), normalize_text(F.col(text)).alias("t")).where("t <> ''")
-    t = t.select(name, char_grams(F.col("t")).alias("chars"), F.sort_array(F.split("t", " ")).alias("ws"))
+    t = df.select(F.col("id").alias(name), *more, normalize_text(F.col(text)).alias("t")).where("t <> ''")
+    t = t.select(name, *more, _char_hashes(F.col("t")).alias("chars"), F.sort_array(F.split("t", " ")).alias("ws"))
     # Equal words stand together; a word's count is the way from its first place to the next word's.
     first = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (i == 0) | (F.get("ws", i) != F.get("ws", i - 1)))
-    t = t.select(name, "chars", "ws", first.alias("first"))
-    words = F.transform("first", lambda i, j: feature("w", F.get("ws", i), F.coalesce(F.get("first", j + 1), F.size("ws")) - i))
-    chars = F.transform(F.when(F.size("chars") <= most, F.col("chars")).otherwise(F.expr("cast(array() as array<string>)")), lambda g: feature("c", g, F.lit(1)))
+    t = t.select(name, *more, "chars", "ws", first.alias("first"))
+    words = F.transform("first", lambda i, j: feature("w", F.xxhash64(F.get("ws", i)), F.coalesce(F.get("first", j + 1), F.size("ws")) - i))
+    chars = F.transform(F.when(F.size("chars") <= most, F.col("chars")).otherwise(F.expr("cast(array() as array<bigint>)")), lambda g: feature("c", g, F.lit(1)))
     numbers = [F.size("chars").alias("n_c"), F.size("first").alias("n_w"), F.size("ws").alias("total")]
-    return t.select(name, *numbers, F.explode(F.concat(chars, words)).alias("f")).select(name, "n_c", "n_w", "total", "f.*")
+    return t.select(name, *more, *numbers, F.explode(F.concat(chars, words)).alias("f")).select(name, *more, "n_c", "n_w", "total", "f.*")
+
+
+def _rarest(left: DataFrame) -> DataFrame:
+    """The features of each item without one of which no document can have a score of LEAST with it.
+
+    A score of LEAST takes that share of the item's words, of its words as often as they stand, or of its character grams. Features are
+    taken from the rarest on, until what is left is under that share. Any order serves; the number of items that hold a feature stands
+    for the documents that do, which saves a pass over them.
+    """
+    often = left.groupBy("kind", "k").agg(F.count(F.lit(1)).alias("often"))
+    w = Window.partitionBy("item", "kind").orderBy("often", "k").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda value: F.coalesce(F.sum(value).over(w), F.lit(0))
+    f = left.join(often, ["kind", "k"]).withColumns({"places": before(F.lit(1)), "weight": before("i_n")})
+    size, rest = F.when(F.col("kind") == "c", F.col("i_n_c")).otherwise(F.col("i_n_w")), 1 - LEAST + 1e-9
+    return f.where((F.col("places") <= rest * size) | ((F.col("kind") == "w") & (F.col("weight") <= rest * F.col("i_total")))).select("item", "kind", "k", "i_n_c", "i_total")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
 def lexical_scan(items: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """item, doc, score, label: the k best labelled documents of each item by word Jaccard, character 5-gram Jaccard or weighted word overlap.
 
-    An inverted index counts what each pair shares. A Jaccard of LEAST needs sizes within that ratio, so longer documents are not looked up
-    by character grams unless an item has under four words: one of more words whose text a document holds has LEAST by its inner words
-    alone. Texts are compared for the best k only. An item of under five characters is found as a word, not within one. Texts without
-    a word have no hit. Ties go to the lesser document id.
+    Candidates share one of an item's rarest features; only they are counted through, by an inverted index of all features. A Jaccard of
+    LEAST needs sizes within that ratio, so longer documents are not looked up by character grams unless an item has under four words:
+    one of more words whose text a document holds has LEAST by its inner words alone. Texts are compared for the best k only. An item of
+    under five characters is found as a word, not within one. Texts without a word have no hit. Ties go to the lesser document id.
     """
     left = _counted(items, "item", "prompt", F.lit(1 << 30))
     widest, least = left.agg(F.max("n_c"), F.min("total")).first()
     most = F.lit(1 << 30 if (least or 0) < 4 else widest / LEAST)
     left = left.select("item", *[F.col(c).alias(f"i_{c}") for c in ("n_c", "n_w", "total", "n")], "kind", "k")
-    left = F.broadcast(left) if left.limit(BROADCAST + 1).count() <= BROADCAST else left
-    hit = _counted(docs, "doc", "text", most).join(left, ["kind", "k"]).where(f"kind = 'w' or n_c <= i_n_c / {LEAST} or i_total < 4")
+    near = f"kind = 'w' or n_c <= i_n_c / {LEAST} or i_total < 4"
+    rare = _few(staged(_rarest(left), "rarest"))
+    found = _counted(docs, "doc", "text", most).join(rare, ["kind", "k"]).where(near).groupBy(F.col("doc").alias("id")).agg(F.collect_set("item").alias("own"))
+    some = docs.select("id", "text").join(staged(found, "candidates"), "id")
+    hit = _counted(some, "doc", "text", most, "own").join(_few(left), ["kind", "k"]).where(f"({near}) and array_contains(own, item)")
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
     pairs = hit.groupBy("item", "doc", "n_c", "n_w", "i_n_c", "i_n_w", "i_total").agg(of("c", F.lit(1)).alias("c"), of("w", F.lit(1)).alias("w"), of("w", F.least("n", "i_n")).alias("m"))
     shared = lambda kind: F.col(kind) / (F.col(f"n_{kind}") + F.col(f"i_n_{kind}") - F.col(kind))
