@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import hashed
@@ -182,6 +182,20 @@ CHAIN, NUMBER = re.compile(r"<<([^=<>]+)=([^<>]+)>>"), re.compile(r"\d+\.?\d*|\.
 STEPS, LEAVES = 8, 6
 
 
+def evaluated(expr: Column) -> Column:
+    """Values of arithmetic expressions; null for anything else."""
+    def value(e: str | None) -> float | None:
+        try:
+            return evaluate(e or "", {})
+        except ValueError:
+            return None
+
+    def values(batch: pd.Series) -> pd.Series:
+        return pd.Series([value(e) for e in batch], dtype="float64")
+
+    return F.pandas_udf(values, "double")(expr)
+
+
 class Rejected(NamedTuple):
     reason: str
     detail: str = ""
@@ -323,13 +337,16 @@ def numeric(items: DataFrame, copies: int = 1) -> DataFrame:
     return items.select("id", "prompt", "rationale", "answer").mapInPandas(make, SCHEMA)
 
 
-def suite(items: DataFrame) -> DataFrame:
-    """Originals with all their variants."""
+def suite(items: DataFrame, max_variants: int | None = None, include_original: bool = True) -> DataFrame:
+    """Originals with all their variants, or with the first max_variants of each by id; the originals may be left out."""
     heads = items.select("id", F.col("id").alias("parent_id"), F.lit("original").alias("variant_type"), "prompt", "answer")
     out = heads
     for part in (surface(items), irrelevant_context(items), depth_extension(items), distractor_quantity(items), premise_removal(items)):
         out = out.unionByName(part)
-    return out
+    if max_variants is not None:
+        place = F.row_number().over(Window.partitionBy("parent_id", F.col("variant_type") == "original").orderBy("id"))
+        out = out.withColumn("_place", place).where((F.col("variant_type") == "original") | (F.col("_place") <= max_variants)).drop("_place")
+    return out if include_original else out.where("variant_type <> 'original'")
 
 
 def dose_stream(repeat: DataFrame, filler: DataFrame, dose: int, budget: int) -> DataFrame:

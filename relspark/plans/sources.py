@@ -95,9 +95,28 @@ def _(s, d):
     return payloads(s, d).select("conv_id", S.row_text(F.col("messages"), F.lit("none")).alias("text"))
 
 
-@query("src10_flt08_prefix", "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")
+@query("src10_flt08_corpus_rows", """WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN trim(left(text, 20) || ' ' || right(text, 20)) ELSE trim(' ' || lower(left(text, 30))) END AS t FROM documents), n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM r WHERE t <> '')
+SELECT 'org_set_' || lpad(n::VARCHAR, 7, '0') AS id, t AS text, 'org/set' AS source FROM n WHERE n < 300""")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", "source").orderBy("doc_id").limit(100)
+    """A prefix of a dataset whose rows have their text, a problem and a solution, or chat messages."""
+    k, t = F.col("doc_id") % 3, F.col("text")
+    said = F.array(F.struct(F.lit("user").alias("role"), F.lit("").alias("content")), F.struct(F.lit("assistant").alias("role"), F.lower(F.left(t, F.lit(30))).alias("content")))
+    raw = table(s, d, "documents").select("doc_id", F.when(k == 0, t).alias("text"), F.when(k == 1, F.left(t, F.lit(20))).otherwise("").alias("problem"), F.when(k == 1, F.right(t, F.lit(20))).otherwise("").alias("solution"), F.when(k == 2, said).alias("messages"))
+    raw = raw.withColumns({"problem": F.nullif("problem", F.lit("")), "solution": F.nullif("solution", F.lit(""))})
+    return S.corpus_rows(raw, "org/set", "doc_id", limit=300)
+
+
+@query("src27_append_resume", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS round FROM orders")
+def _(s, d):
+    """A sink that was stopped after a third of its rows and started again with all of them."""
+    path, o = folder(s), table(s, d, "orders").select(F.col("o_orderkey").alias("id"))
+    S.append_once(o.where("id % 3 = 0").withColumn("round", F.lit(1)), path, "id")
+    return S.append_once(o.withColumn("round", F.lit(2)), path, "id")
+
+
+@query("src11_benchmark_registry", "SELECT * FROM (VALUES ('gsm8k', 'arithmetic'), ('gsm8k_train', 'arithmetic'), ('gsm_symbolic', 'arithmetic'), ('gsm_symbolic_p1', 'arithmetic'), ('gsm_symbolic_p2', 'arithmetic'), ('math', 'mathematical'), ('arc_challenge', 'scientific'), ('logiqa2', 'logical'), ('bbh', 'multi_step'), ('reclor', 'logical'), ('humaneval', 'code')) t(name, skill)")
+def _(s, d):
+    return s.createDataFrame([(b.name, b.skill) for b in S.BENCHMARKS.values()], "name string, skill string")
 
 
 @query("src13_gsm8k_adapter", "SELECT 'gsm8k_' || lpad((row_number() OVER (ORDER BY item_id) - 1)::VARCHAR, 5, '0') AS id, (item_id * 1000)::VARCHAR AS answer FROM benchmark")
@@ -165,3 +184,14 @@ def _(s, d):
     V.save(e, V.fit_lists(e), path)
     index, _ = V.load(s, path)
     return V.top_k(e.where("id % 100 = 0"), index, 3).select("query", "neighbor", "rank")
+
+
+@query("num09_safe_arithmetic", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round((o_custkey + o_orderkey * 2) / 4.0::DOUBLE - (o_custkey // 7) + (o_orderkey % 11), 6) END AS value FROM orders")
+def _(s, d):
+    """Expressions read and computed without running them; every fifth one is no arithmetic."""
+    from ..operators.variants import evaluated
+
+    c, k = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
+    e = F.concat(F.lit("("), c, F.lit(" + "), k, F.lit("*2)/4 - "), c, F.lit("//7 + "), k, F.lit("%11"))
+    o = table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("print("), k, F.lit(")"))).otherwise(e).alias("e"))
+    return o.select("o_orderkey", evaluated(F.col("e")).alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 ROWS = 200
@@ -33,3 +35,16 @@ def report(title: str, parts: dict[str, DataFrame], notes: list[str] | None = No
 
 def atlas_report(cells: DataFrame) -> str:
     return report("Reliability atlas", {"Cells": cells.orderBy("skill", "level")}, ["clean means not detected by the scan", "reliability is accuracy times modal-answer consistency"])
+
+
+def emergence_report(rows: DataFrame) -> str:
+    return report("Emergence", {"Transitions": rows.groupBy("transition").count().orderBy("transition"), "Skills": rows.orderBy("skill")}, ["a skill that one model lacks counts as 0 there"])
+
+
+def json_report(parts: dict[str, DataFrame], rows: int = ROWS) -> str:
+    """The same tables as one JSON object, keys sorted; a table that was cut says so."""
+    out = {}
+    for name, df in parts.items():
+        got = [r.asDict(recursive=True) for r in df.limit(rows + 1).collect()]
+        out[name] = {"rows": got[:rows], "cut": len(got) > rows}
+    return json.dumps(out, sort_keys=True, default=str)

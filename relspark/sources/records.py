@@ -64,6 +64,37 @@ def corpus_documents(raw: DataFrame) -> DataFrame:
     return raw.select(first_of("id", "doc_id").alias("id"), _required(first_of("text", "content", "document"), "a text").alias("text"), F.coalesce("source", F.lit("unknown")).alias("source"))
 
 
+#: Fields that stand in for a missing text, in order.
+INSTEAD = ("problem", "question", "solution", "answer", "messages")
+
+
+def corpus_rows(raw: DataFrame, source: str, order: str, text: str = "text", limit: int | None = None) -> DataFrame:
+    """id, text, source of any dataset's rows: the text field, else the fields of INSTEAD that the table has, joined by blanks.
+
+    A field may be a text or chat messages. Rows without any text are left out; ids number the others by `order` (a prefix of `limit`).
+    """
+    def said(c: str) -> Column:
+        kind = raw.schema[c].dataType.simpleString()
+        return F.coalesce(chat_text(F.col(c)) if kind.startswith("array<struct") else F.col(c).cast("string"), F.lit(""))
+
+    own = F.nullif(said(text), F.lit("")) if text in raw.columns else F.lit(None).cast("string")
+    others = [said(c) for c in INSTEAD if c in raw.columns]
+    rows = raw.select(F.col(order).alias("_order"), F.coalesce(own, F.trim(F.concat_ws(" ", *others))).alias("text")).where("text <> ''")
+    out = numbered(rows, ["_order"], source.replace("/", "_") + "_", 7)
+    out = out if limit is None else out.orderBy("id").limit(limit)
+    return out.select("id", "text", F.lit(source).alias("source"))
+
+
+def append_once(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Appends the rows of df whose key the table at path does not hold yet, and gives the whole table: a run that stopped goes on there."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        df = df.join(spark.read.schema(df.schema).parquet(path).select(key), key, "left_anti").select(*df.columns)
+    df.write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def generations(raw: DataFrame) -> DataFrame:
     return raw.select(first_of("benchmark_id", "id").alias("benchmark_id"), _required(first_of("completion", "prediction", "response"), "a completion").alias("completion"), F.coalesce("model", F.lit("unknown")).alias("model"))
 

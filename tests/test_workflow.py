@@ -116,3 +116,24 @@ def test_streams_drop_late_rows_and_repeats(spark, tmp_path):
     again = spark.readStream.schema(old.schema).parquet(f"{tmp_path}/again")
     corpus.repair_stream(again, f"{tmp_path}/t", "id", f"{tmp_path}/cr").awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/version=1").collect()) == [("a", True, 0), ("b", True, 1)]
+
+
+def test_reports_registries_and_progress(spark):
+    from pyspark.sql import Observation
+
+    from relspark import report
+    from relspark.operators import variants
+    from relspark.sources import records
+    from relspark.streaming import corpus
+
+    rows = spark.createDataFrame([("a", 0.1, 0.7, 0.6, "emergent"), ("b", 0.9, 0.9, 0.0, "scale_independent")], "skill string, small double, large double, delta double, transition string")
+    assert "| emergent | 1 |" in report.emergence_report(rows)
+    got = json.loads(report.json_report({"x": rows}, 1))
+    assert got["x"]["cut"] and got["x"]["rows"][0]["skill"] in ("a", "b")
+    assert len(records.BENCHMARKS) == 11 and all(c.policy == "full" or c.limit for c in records.CORPORA.values()) and len(records.CORPORA) == 5
+    seen = Observation("progress")
+    df = corpus.observed(spark.createDataFrame([("x" * 50,), ("y",)], "text string"), seen)
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 2, "chars": 51, "short": 1}
+    items = spark.createDataFrame([("i", "Alice has 12 pencils. Bob takes 3 of them. How many pencils are there?", "9")], "id string, prompt string, answer string")
+    assert variants.suite(items, 2).count() == 3 and variants.suite(items, include_original=False).where("variant_type = 'original'").count() == 0
