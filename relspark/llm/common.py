@@ -93,15 +93,20 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an undirected graph of longs (columns a, b): root is the component's least node.
 
-    Each task first contracts its own edges to a forest. What is left goes through alternating large-star and small-star rounds until it
-    settles; once it is at most IN_MEMORY edges, which one task can hold, that task settles it at once. Each round is a table in the
-    shared folder and the only thing that reaches the driver is one row of counts. Nodes without an edge to another node do not appear.
+    Tasks first contract their own edges to forests. What is left goes through alternating large-star and small-star rounds until it
+    settles; once there are at most IN_MEMORY edges, which one task can hold, that task settles them at once. Each round is a table in
+    the shared folder and the only thing that reaches the driver is one row of counts. Nodes without an edge to another node do not appear.
     """
     def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
         df = staged(df, "edges")
         return df, tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
 
-    both, seen = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).mapInArrow(_contracted, "u long, v long"))
+    # Edges are staged before they are contracted: a second Python function in one task would be a second worker beside the first.
+    both, seen = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    if seen[0] > IN_MEMORY:
+        last = both
+        both, seen = settle(both.mapInArrow(_contracted, "u long, v long"))
+        dropped(last)
     for _ in range(max_rounds):
         if seen[0] <= IN_MEMORY:
             last = both
