@@ -1,8 +1,8 @@
 """Quality rules, in DataFrame functions only: line, symbol and repetition rules, then a hashed n-gram log-likelihood ratio.
 
 Word uni- and bigrams are hashed to BUCKETS buckets. Two multinomials are counted over them: the raw one over all documents, the
-trusted one over all documents with a trusted label. A document's verdict is its mean log ratio of the two, held against a threshold that
-all but a share LOST of the trusted documents reach; no draw is made, so equal texts are treated equally. The table of ratios has BUCKETS
+trusted one over all documents with a trusted label. A document's verdict is its mean log ratio of the two, held against a threshold set
+by the spread of the trusted documents' own ratios; no draw is made, so equal texts are treated equally. The table of ratios has BUCKETS
 entries, whatever the corpus, and enters the plan as a constant.
 """
 
@@ -83,8 +83,9 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float | None = None, n: int = BUCKETS, lost: float = LOST) -> DataFrame:
     """One row for each document with its base counts, base_failed, llr and kept.
 
-    threshold: the least ratio of a kept document; by default the one below which a share `lost` of the trusted documents that pass the
-    base rules lies (without any, all that pass are kept). A null or empty text, or one of white space, has no words: all counts 0,
+    threshold: the least ratio of a kept document. By default it lies half as far again below the median of the trusted documents that
+    pass the base rules as the ratio which all but a share `lost` of them reach, so that hardly any trusted text falls below it and no
+    single one moves it (without any trusted document, all that pass are kept). A null or empty text, or one of white space, has no words: all counts 0,
     base_failed true, llr null, kept false. Repeated rows are judged each for itself, and each counts in the raw multinomial. Columns
     besides id and text are not looked at. An empty table has no rows.
     """
@@ -106,6 +107,7 @@ def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     df = staged(df.withColumn("llr", llr).drop("sum"), "quality")
     if threshold is None:
         passed = df.where("not base_failed").join(trusted_ids(labels, id_col, label_col).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        threshold = passed.agg(F.percentile_approx("llr", lost, 10_000)).first()[0]
+        low, middle = passed.agg(F.percentile_approx("llr", [lost, 0.5], 10_000)).first()[0] or (None, None)
+        threshold = None if low is None else low - (middle - low) / 2
     verdict = F.coalesce(F.col("llr") >= (-math.inf if threshold is None else threshold), F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & verdict)
