@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import vectors as V
 from ..sources import records as S
 from ..sources.tables import hits, table
-from ..staging import shared_dir
+from ..staging import own_folder
 from .reliability import query
 
 
@@ -42,7 +42,7 @@ def _(s, d):
 
 def folder(s: SparkSession) -> str:
     """A folder of its own among the shared ones."""
-    return f"{shared_dir(s)}/relspark/files-{uuid.uuid4().hex}"
+    return f"{own_folder(s)}/files-{uuid.uuid4().hex}"
 
 
 @query("src02_jsonl_sink_source", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")

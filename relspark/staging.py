@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
+_folders: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,13 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _removed(jvm, conf, folder: str) -> None:
+    with suppress(Exception):  # at the driver's end, when the JVM may be gone
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/relspark/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_removed, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
 
     Nothing reads the shuffle files of such a write again, so they are removed as soon as it has ended.
     """
     spark = df.sparkSession
-    path, was = f"{shared_dir(spark)}/relspark/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    path, was = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
