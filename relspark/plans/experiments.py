@@ -111,7 +111,7 @@ def _(s, d):
     return splits.matched(pool(s, d), 100)
 
 
-@query("agg29_split_summary", SPLIT + """, o AS (SELECT id, arm FROM p JOIN t USING (bin) WHERE r <= take UNION ALL SELECT id, arm FROM l, x WHERE k <= e), c AS (SELECT id, (id % 101) / 100e0 AS v FROM p), j AS (SELECT p.arm, o.id IS NULL AS out, v FROM p LEFT JOIN o USING (id) LEFT JOIN c USING (id)),
+@query("agg29_split_summary", SPLIT + """, o AS (SELECT id, arm FROM p JOIN t USING (bin) WHERE r <= take UNION ALL SELECT id, arm FROM l, x WHERE k <= e), cv AS (SELECT id, (id % 101) / 100e0 AS v FROM p), j AS (SELECT p.arm, o.id IS NULL AS out, v FROM p LEFT JOIN o USING (id) LEFT JOIN cv USING (id)),
 a AS (SELECT arm, count(*) FILTER (WHERE NOT out) AS n, count(*) AS pool, count(*) FILTER (WHERE out AND arm = 'seen' AND v < 0.8) AS not_seen, count(*) FILTER (WHERE out AND arm = 'unseen' AND v > 0.1) AS not_unseen, count(*) FILTER (WHERE out AND NOT (arm = 'seen' AND v < 0.8) AND NOT (arm = 'unseen' AND v > 0.1)) AS unmatched FROM j GROUP BY 1)
 SELECT *, CASE WHEN n >= 100 THEN 'full' WHEN not_seen + not_unseen > unmatched THEN 'evidence' ELSE 'matching' END AS diagnosis FROM a""")
 def _(s, d):
