@@ -142,7 +142,8 @@ _over("txt38_numbers", completions, "{completions}", "benchmark_id", lambda: {"n
       {"n": r"len(list_distinct(list_transform(regexp_extract_all(completion, '-?\d+(?:\.\d+)?'), lambda v: v::DOUBLE)))", "total": r"round(coalesce(list_sum(list_distinct(list_transform(regexp_extract_all(completion, '-?\d+(?:\.\d+)?'), lambda v: v::DOUBLE))), 0), 6)"})
 
 
-@register("txt39_int_occurrences")
+# Without looking around: characters between numbers are doubled, so that a match leaves its neighbour one of them.
+@register("txt39_int_occurrences", sql(r"SELECT benchmark_id, len(regexp_extract_all(regexp_replace(completion, '([^0-9.,])', '\1\1', 'g'), '(?:^|[^0-9.,])' || gold || '(?:[^0-9.,]|[.,](?:[^0-9]|$)|$)')) AS n FROM {completions}"))
 def int_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completions(spark, sf_dir).select("benchmark_id", T.int_occurrences(c(), F.col("gold")).alias("n"))
 
@@ -243,11 +244,16 @@ _over("num10_norm_dot_cosine", vectors, "embeddings", "vec_id", lambda: {"norm":
       {"norm": "round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5)", "cosine_with_reversed": "round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 5)", "unit_norm": "1.0::DOUBLE"})
 
 
-@register("num11_hashing_embedder")
+@register("num11_hashing_embedder", sql(f"""WITH t AS (SELECT id, {norm_sql('prompt')} AS t FROM {{items}}), g AS (SELECT id, unnest(CASE WHEN length(t) > 4 THEN list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) ELSE [t] END) AS g FROM t WHERE t <> ''),
+p AS (SELECT id, h % 256 AS i, sum(CASE WHEN h // 256 % 2 = 0 THEN 1 ELSE -1 END) AS v FROM (SELECT id, {A.hashed_sql('g')} AS h FROM g) GROUP BY ALL)
+SELECT id, 256 AS dims, round(sum(i * v) / sqrt(sum(v * v)), 6) AS weighted, round(greatest(max(v), 0) / sqrt(sum(v * v)), 6) AS most FROM p GROUP BY 1"""))
 def hashing_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding of each item, by its places weighted with their number and its greatest value."""
     from ..operators.vectors import hashed_embedding
 
-    return items(spark, sf_dir).select("id", hashed_embedding(F.col("prompt")).alias("embedding")).select("id", F.round(A.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dims"))
+    e = items(spark, sf_dir).select("id", hashed_embedding(F.col("prompt")).alias("e"))
+    weighted = F.aggregate(F.transform("e", lambda v, i: v * i), F.lit(0.0), lambda acc, v: acc + v)
+    return e.select("id", F.size("e").alias("dims"), F.round(weighted, 6).alias("weighted"), F.round(F.array_max("e"), 6).alias("most"))
 
 
 # CLS
