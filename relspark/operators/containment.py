@@ -36,14 +36,13 @@ def _met(items: DataFrame, docs: DataFrame, n: int, plain: bool) -> DataFrame:
     """item, n_grams, gram, doc of each place of a document (id, text) where a gram of the items (id, g) stands; places may repeat."""
     left = items.select(F.col("id").alias("item"), F.size("g").alias("n_grams"), F.explode("g").alias("own"))
     left = left.withColumn("k", F.get(_gram_hashes(F.split("own", " "), n), 0)).where("k is not null")
-    small = left.limit(BROADCAST + 1).count() <= BROADCAST
     words = plain_tokens(F.col("text")) if plain else tokens(F.col("text"))
-    right = docs.select(F.col("id").alias("doc"), words.alias("w")).select("doc", "w", _gram_hashes(F.col("w"), n).alias("ks"))
-    right = right.select("doc", "w", F.posexplode("ks").alias("at", "k"))
+    right = docs.select(F.col("id").alias("doc"), F.posexplode(_gram_hashes(words, n)).alias("at", "k"))
+    # Longs alone are held against the items; words are put together again for the few documents in which some met.
+    hit = staged(right.join(_few(left), "k").select("item", "n_grams", "own", "doc", "at"), "grams-met")
     gram = F.array_join(F.slice("w", F.col("at") + 1, n), " ")
-    # Beside a broadcast side words stay where they are; rows that are shuffled carry their own gram instead of all words.
-    hit = right.join(F.broadcast(left), "k").withColumn("gram", gram) if small else right.select("doc", "k", gram.alias("gram")).join(left, "k")
-    return hit.where("gram = own").select("item", "n_grams", "gram", "doc")
+    whole = docs.select(F.col("id").alias("doc"), "text").join(hit.select("doc").distinct(), "doc", "left_semi").select("doc", words.alias("w"))
+    return hit.join(whole, "doc").where(gram == F.col("own")).select("item", "n_grams", F.col("own").alias("gram"), "doc")
 
 
 def matches(items: DataFrame, docs: DataFrame, n: int = 13, plain: bool = False) -> DataFrame:
