@@ -250,32 +250,52 @@ def judge_verdict(x: Column) -> Column:
     return F.when(right & ~wrong, True).when(wrong & ~right, False)
 
 
-def longest_run(ws: Column) -> Column:
-    """Longest streak of one word."""
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+def _streak(hs: Column) -> Column:
+    """Longest streak of one long."""
+    start = F.struct(F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most"))
 
     def step(acc: Column, w: Column) -> Column:
         n = F.when((acc["n"] > 0) & (acc["w"] == w), acc["n"] + 1).otherwise(1)
         return F.struct(w.alias("w"), n.alias("n"), F.greatest(acc["most"], n).alias("most"))
 
-    return F.aggregate(ws, start, step, lambda acc: acc["most"])
+    return F.aggregate(hs, start, step, lambda acc: acc["most"])
+
+
+def _hashed(ws: Column) -> Column:
+    """A long for each word; equal words are compared by it."""
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
+def longest_run(ws: Column) -> Column:
+    """Longest streak of one word."""
+    return _streak(_hashed(ws))
+
+
+def _top_share(hs: Column, n: int) -> Column:
+    grams = F.transform(F.sequence(F.lit(0), F.size(hs) - n), lambda i: F.xxhash64(*[F.get(hs, i + j) for j in range(n)]))
+    return F.when(F.size(hs) < n, 0.0).otherwise(_let(F.sort_array(grams), lambda g: _streak(g) / F.size(g)))
 
 
 def top_gram_share(ws: Column, n: int = 3) -> Column:
     """Share of the most frequent n-gram among all n-grams; sorted grams are counted in streaks."""
-    return F.when(F.size(ws) < n, 0.0).otherwise(_let(F.sort_array(_windows(ws, n)), lambda g: longest_run(g) / F.size(g)))
+    return _let(_hashed(ws), lambda h: _top_share(h, n))
 
 
 def degenerate(x: Column, least: int = 20, distinct: float = 0.35, trigram: float = 0.25, run: int = 12) -> Column:
     """Struct of n_tokens, distinct_ratio, top_trigram, longest_run, reasons and degenerate of a completion."""
-    def assess(w: Column) -> Column:
-        n = F.size(w)
-        ratio = F.when(n > 0, F.size(F.array_distinct(w)) / n).otherwise(0.0)
-        top, streak = top_gram_share(w), longest_run(w)
-        reasons = F.filter(F.array(F.when(n == 0, "empty"), F.when((n >= least) & (ratio < distinct), "low_distinct_token_ratio"), F.when((n >= least) & (top > trigram), "repeated_trigram"), F.when(streak >= run, "long_token_run")), lambda r: r.isNotNull())
-        return F.struct(n.alias("n_tokens"), ratio.alias("distinct_ratio"), top.alias("top_trigram"), streak.alias("longest_run"), reasons.alias("reasons"), (F.size(reasons) > 0).alias("degenerate"))
-
-    return _let(F.filter(F.split(F.coalesce(x, F.lit("")), r"\s+"), lambda w: w != ""), assess)
+    def assess(h: Column) -> Column:
+        ratio = F.when(F.size(h) > 0, F.size(F.array_distinct(h)) / F.size(h)).otherwise(0.0)
+        return judged(F.struct(F.size(h).alias("n"), ratio.alias("ratio"), _top_share(h, 3).alias("top"), _streak(h).alias("streak")))
+
+    def judged(measures: Column) -> Column:  # each measure is taken once
+        def of(m: Column) -> Column:
+            n, ratio, top, streak = m["n"], m["ratio"], m["top"], m["streak"]
+            reasons = F.filter(F.array(F.when(n == 0, "empty"), F.when((n >= least) & (ratio < distinct), "low_distinct_token_ratio"), F.when((n >= least) & (top > trigram), "repeated_trigram"), F.when(streak >= run, "long_token_run")), lambda r: r.isNotNull())
+            return F.struct(n.alias("n_tokens"), ratio.alias("distinct_ratio"), top.alias("top_trigram"), streak.alias("longest_run"), reasons.alias("reasons"), (F.size(reasons) > 0).alias("degenerate"))
+
+        return _let(measures, of)
+
+    return _let(_hashed(F.filter(F.split(F.coalesce(x, F.lit("")), r"\s+"), lambda w: w != "")), assess)
 
 
 def chain_length(x: Column) -> Column:
