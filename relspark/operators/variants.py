@@ -203,7 +203,7 @@ class Rejected(NamedTuple):
 
 def _whole(text: str) -> int | None:
     text = text.strip().replace(",", "")
-    return int(text) if re.fullmatch(r"-?\d+", text) else None
+    return int(text) if re.match(r"-?\d+\Z", text) else None
 
 
 def _chain(rationale: str, answer: str) -> list[tuple[str, int]] | Rejected:
