@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog, report, workflow
+from . import catalog, report, staging, workflow
 from .functions import text as T
 from .operators import containment, reliability, splits, studies, variants, vectors
 from .session import session
@@ -41,7 +41,8 @@ def parser() -> argparse.ArgumentParser:
 
 def embedded(df: DataFrame, text: str, dims: int) -> DataFrame:
     """(id long, name, embedding) of a text column by hashed character grams."""
-    return df.select(F.xxhash64("id").alias("id"), F.col("id").alias("name"), vectors.hashed_embedding(F.col(text), dims).alias("embedding"))
+    own = df.select(F.xxhash64("id").alias("id"), F.col("id").alias("name"), F.col(text).alias("text"))
+    return staging.staged(vectors.embedded_texts(own, dims).join(own.select("id", "name"), "id"), "embedded")
 
 
 def neighbours(items: DataFrame, docs: DataFrame, k: int, dims: int) -> DataFrame:

@@ -30,6 +30,16 @@ def hashed_embedding(text: Column, dims: int = DIMS, n: int = 4) -> Column:
     return F.transform(F.array(dense), unit)[0]
 
 
+def embedded_texts(df: DataFrame, dims: int = DIMS, n: int = 4) -> DataFrame:
+    """(id, embedding): hashed_embedding() of whole texts by one aggregation over places; df: id, text. Texts without a word have no row."""
+    grams = df.select("id", F.explode(char_grams(F.col("text"), n)).alias("g"))
+    h = F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("bigint")
+    sums = grams.select("id", h.alias("h")).groupBy("id", (F.col("h") % dims).cast("int").alias("i")).agg(F.sum(F.when(F.floor(F.col("h") / dims) % 2 == 0, 1.0).otherwise(-1.0)).alias("v"))
+    at = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))  # `dims` places at most
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("int")), F.lit(0.0)))
+    return at.select("id", unit(dense).alias("embedding"))
+
+
 def _unit(values: pa.Array) -> np.ndarray:
     """A list column as a matrix of unit rows."""
     x = np.stack([np.asarray(v, np.float64) for v in values.to_pylist()])

@@ -12,6 +12,7 @@ from ..operators import containment as C
 from ..operators import vectors as V
 from ..operators.ranks import running
 from ..sources.tables import docs, items, table
+from ..staging import dealt, staged
 from .reliability import query
 from .text_functions import norm_sql, tokens_sql
 
@@ -206,13 +207,21 @@ def _(s, d):
     return p.agg(F.count(F.lit(1)).alias("n_items"), F.avg("near_duplicate_share").alias("mean_near_duplicate_share"), F.avg("gini").alias("mean_gini"), F.avg((F.col("near_duplicate_share") >= 0.3).cast("int")).alias("concentrated_share"))
 
 
-@query("con02_embedding_scan", f"""WITH g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(w[i:i+12], ' '))) AS g FROM (SELECT doc_id, {tokens_sql('text')} AS w FROM documents)),
-p AS (SELECT query, neighbor, cosine, CASE WHEN len(a.g) > 0 THEN len(list_intersect(a.g, b.g)) / len(a.g) ELSE 0 END AS overlap FROM {NB} n JOIN g a ON a.doc_id = query JOIN g b ON b.doc_id = neighbor)
-SELECT query, neighbor, round(cosine, 4) AS cosine, round(overlap, 4) AS overlap, CASE WHEN cosine > 0.90 OR overlap > 0.6 THEN 'contaminated' ELSE 'partial' END AS label FROM p WHERE cosine > 0.75 OR overlap > 0.3""", 4)
-def _(s, d):
-    """Top twenty by cosine, reranked by the 13-gram overlap of their texts, labelled, clean ones dropped. A vector's text is the document of its id."""
-    t = table(s, d, "documents").select("doc_id", T.word_grams(T.tokens(F.col("text")), short=False).alias("g"))
-    n = neighbors(s, d).join(t.select(F.col("doc_id").alias("query"), F.col("g").alias("a")), "query").join(t.select(F.col("doc_id").alias("neighbor"), F.col("g").alias("b")), "neighbor")
+@query("con02_embedding_scan", f"""WITH t AS (SELECT doc_id, {norm_sql('text')} AS t, {tokens_sql('text')} AS w FROM documents), g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(w[i:i+12], ' '))) AS g FROM t),
+c AS (SELECT doc_id, unnest(CASE WHEN length(t) > 4 THEN list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) ELSE [t] END) AS c FROM t WHERE t <> ''),
+p AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM (SELECT doc_id, {A.hashed_sql('c')} AS h FROM c) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM p GROUP BY 1),
+s AS (SELECT a.doc_id AS query, b.doc_id AS neighbor, sum(a.v * b.v) AS dot FROM p a JOIN p b USING (i) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL), k AS (SELECT query, neighbor, dot / (x.n * y.n) AS cosine FROM s JOIN n x ON x.doc_id = query JOIN n y ON y.doc_id = neighbor QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(dot / (x.n * y.n), 9) DESC, neighbor) <= 20),
+o AS (SELECT query, neighbor, cosine, CASE WHEN len(a.g) > 0 THEN len(list_intersect(a.g, b.g)) / len(a.g) ELSE 0 END AS overlap FROM k JOIN g a ON a.doc_id = query JOIN g b ON b.doc_id = neighbor)
+SELECT query, neighbor, round(cosine, 4) AS cosine, round(overlap, 4) AS overlap, CASE WHEN cosine > 0.90 OR overlap > 0.6 THEN 'contaminated' ELSE 'partial' END AS label FROM o WHERE cosine > 0.75 OR overlap > 0.3""", 4)
+def _(s, d):
+    """Documents with an id divisible by 100 against all: top twenty by embedding, reranked by 13-gram overlap, labelled, clean ones dropped."""
+    t = dealt(table(s, d, "documents")).select(F.col("doc_id").alias("id"), "text")
+    e = staged(V.embedded_texts(t, 64), "embedded")
+    n = staged(V.top_k(e.where("id % 100 = 0"), e, 20, exclude_self=True).select("query", "neighbor", "cosine"), "near")
+    # Grams are made of the documents that are in some pair.
+    some = n.select(F.col("query").alias("id")).union(n.select("neighbor")).distinct()
+    g = t.join(some, "id", "left_semi").select("id", T.word_grams(T.tokens(F.col("text")), short=False).alias("g"))
+    n = n.join(g.select(F.col("id").alias("query"), F.col("g").alias("a")), "query").join(g.select(F.col("id").alias("neighbor"), F.col("g").alias("b")), "neighbor")
     n = n.select("query", "neighbor", "cosine", T.overlap(F.col("a"), F.col("b")).alias("overlap"))
     return n.withColumn("label", R.contamination_label(F.col("cosine"), F.col("overlap"))).where("label <> 'clean'")
 
