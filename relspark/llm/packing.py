@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.ranks import ranked
 from .common import salted_rank, staged
 
-END_ID, SIZE, CACHE, WINDOW = 1, 2048, 200_000, 1 << 16
+END_ID, SIZE, CACHE, WINDOW = 1, 2048, 100_000, 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 TAIL, SHORT = ".,!?;:#$%&*|", 4
 PROBES = ("The Quick brown fox, jumped: over 12 lazy dogs!", "x.y (a-b) don't [C]#1 f00?", "  unbelievably\tinternationalisation \n\n z ")
@@ -144,7 +144,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block: int = 4 << 20, with_ids: bool = False, place: Column | None = None) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block: int = 2 << 20, with_ids: bool = False, place: Column | None = None) -> DataFrame:
     """Pieces of at most `size` ids of each document: its text's ids, then end_id. A null or empty text has the one id end_id.
 
     place: a value of the document's row that its pieces carry on as column `place`.
