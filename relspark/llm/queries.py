@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, licenses, media, mixing, packing, quality, runindex, secrets, simhash
+from . import chat, classifier, collocations, importance, licenses, media, mixing, packing, quality, runindex, secrets, simhash, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,19 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).where("best").drop("best")
 
 
-QUERIES = [op1_run_index, op2_secret_scans, op3_packing, op4_mixing, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_media_sniffing, op9_chat_formatting, op10_license_scans]
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = [op1_run_index, op2_secret_scans, op3_packing, op4_mixing, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_media_sniffing, op9_chat_formatting, op10_license_scans, op11_phrase_collocations, op12_toxicity, op13_importance_resampling]
 
 
 def queries() -> dict[str, Query]:
@@ -66,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_phrase_collocations": collocations.SQL}
