@@ -86,6 +86,20 @@ def test_schedule_stays_within_a_block():
             assert all(abs(had[x] - k * (t + 1) / total) < 1 for x, k in parts.items())
 
 
+@pytest.mark.parametrize("weights", [{"big": 0.5} | {f"s{i}": 0.001 for i in range(500)}, {"a": 1 / 3, "b": 2 / 3}, {"a": 7, "b": 2, "c": 1}, {"a": 0.123457, "b": 0.3, "c": 0.576543}, {"a": 10**6, "b": 1}])
+def test_weights_are_met_as_given(weights):
+    parts, exact, off = mixing.shares(weights), mixing.targets(weights), mixing.drift(weights)
+    total = sum(parts.values())
+    assert total <= mixing.MAX_SLOTS and off <= 1 / mixing.MAX_SLOTS
+    if len(weights) == 501:
+        assert off == 0 and parts["big"] == 500 * parts["s0"]
+    had = Counter()
+    for t, s in sorted((x[2], s) for s, v in mixing.schedule(parts).items() for x in v)[:3000]:
+        had[s] += 1
+        assert all(abs(had[x] - float(w) * (t + 1)) < 1 + (t + 1) * off + 1e-9 for x, w in exact.items())
+    assert len(weights) < 501 or had["big"] >= 499
+
+
 def test_mixture_keeps_every_document(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 4}", "clash") for i in range(300)] + [(None, None, None), (5, "s0", "again")]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot string").repartition(3)
