@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-BUCKETS, LOST, BROADCAST = 10_000, 0.002, 2_000_000  # BROADCAST: ids
+BUCKETS, LOST, BROADCAST, DIGITS = 10_000, 0.002, 2_000_000, 4  # BROADCAST: ids
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
@@ -80,6 +80,27 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return [round(math.log(g) - math.log(r) + shift, 5) for g, r in zip(good, raw, strict=True)]
 
 
+def points(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
+    """The least values, to DIGITS digits, that those shares of the rows do not exceed, None without rows.
+
+    Values are counted by their first DIGITS digits, so the points are the same however the rows are dealt. A mean log ratio of two
+    smoothed shares is within a few tens of zero, so at most some 10**DIGITS times that many counts reach the driver.
+    """
+    scale = 10**DIGITS
+    counts = sorted((r["v"], r["n"]) for r in df.where(F.col(col).isNotNull()).groupBy(F.floor(F.col(col) * scale).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total, out = sum(n for _, n in counts), []
+    for share in shares:
+        need, seen = max(1, math.ceil(share * total)), 0
+        for v, n in counts:
+            seen += n
+            if seen >= need:
+                out.append(v / scale)
+                break
+        else:
+            out.append(None)
+    return out
+
+
 def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float | None = None, n: int = BUCKETS, lost: float = LOST) -> DataFrame:
     """One row for each document with its base counts, base_failed, llr and kept.
 
@@ -87,7 +108,7 @@ def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pass the base rules as the ratio which all but a share `lost` of them reach, so that hardly any trusted text falls below it and no
     single one moves it (without any trusted document, all that pass are kept). A null or empty text, or one of white space, has no words: all counts 0,
     base_failed true, llr null, kept false. Repeated rows are judged each for itself, and each counts in the raw multinomial. Columns
-    besides id and text are not looked at. An empty table has no rows.
+    besides id and text are not looked at. An empty table has no rows. A text's words are held as one array, however long it is.
     """
     table = F.split(F.lit(",".join(map(str, ratios(docs, labels, id_col, text_col, label_col, n)))), ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -107,7 +128,7 @@ def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     df = staged(df.withColumn("llr", llr).drop("sum"), "quality")
     if threshold is None:
         passed = df.where("not base_failed").join(trusted_ids(labels, id_col, label_col).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        low, middle = passed.agg(F.percentile_approx("llr", [lost, 0.5], 10_000)).first()[0] or (None, None)
+        low, middle = points(passed, "llr", [lost, 0.5])
         threshold = None if low is None else low - (middle - low) / 2
     verdict = F.coalesce(F.col("llr") >= (-math.inf if threshold is None else threshold), F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & verdict)
