@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS, SAMPLE, FOLDS, CUT, BLEND = 16, 8_000, 5, 0.3, 0.5
+from .common import fresh, staged
+
+BITS, SAMPLE, FOLDS, CUT, BLEND, HELD = 16, 8_000, 5, 0.3, 0.5, 1 << 25  # HELD: buckets of all fitted rows together
 
 
 def indicators(text: bytes | None, mask: np.ndarray) -> np.ndarray:
@@ -119,7 +121,10 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled rows that aren't held out; only their indicators reach the driver."""
+    """Fit on at most `sample` labelled rows that aren't held out; only their indicators reach the driver, HELD buckets at most.
+
+    An id is fitted once, by the text of least hash among its rows. Ids are taken by their hash until either bound is met.
+    """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
 
@@ -129,8 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [indicators(t, mask).astype("<u2").tobytes() for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
-    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("string"), F.col("y").cast("int"), "text")
-    found = sorted(df.mapInArrow(features, "id string, y int, x binary").collect(), key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], r["x"]))
+    df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    df = df.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select(F.col("id").cast("string"), F.col("y").cast("int"), "text")
+    rows = staged(df.mapInArrow(features, "id string, y int, x binary"), "indicators")
+    by_hash = lambda r: (zlib.crc32(r["id"].encode()), r["id"])
+    ids, full = [], 0
+    for r in sorted(rows.select("id", (F.octet_length("x") / 2).alias("n")).collect(), key=by_hash):  # `sample` rows
+        if (full := full + r["n"]) > HELD:
+            break
+        ids.append((r["id"],))
+    found = sorted(rows.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "id string")), "id", "left_semi").collect(), key=by_hash)
     return fit([np.frombuffer(r["x"], "<u2").astype(np.int64) for r in found], [r["y"] for r in found])
 
 
@@ -145,7 +158,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             s = np.array([m.score(indicators(t.as_py(), mask)) for t in b.column(b.num_columns - 1).cast(pa.binary())], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
-    df = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    df = docs.select(*keep, F.col(text_col).cast("string").alias(fresh(docs, "text")))
     return df.mapInArrow(score, docs.select(*keep).schema.add("score", "double").add("predicted", "integer"))
 
 
@@ -166,7 +179,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score (0 to 1) and predicted for each document; labels of held-out documents are never seen.
 
     Null and empty texts are scored like any other; a null id is not held out. An id labelled twice counts as the lower label. An empty
-    labels table gives every text the score a half.
+    labels table gives every text the score a half. Repeated rows are scored each for itself, an empty table has no rows. A text of any
+    length is one set of 2**BITS indicators.
     """
     out = scored(docs, train(docs, labels, id_col, text_col, label_col, sample), id_col, text_col)
     return out.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", "predicted")
