@@ -216,6 +216,22 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(write, "doc_id long, n_bytes long, blob binary, declared string")
 
 
+def carved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, blob, declared) -> the rows of sniffed()."""
+    a = automaton()
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            part, rows = b.slice(lo, ROWS), []
+            for i, (blob, declared) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                found = sniff(blob, a) if blob else []
+                rows += [(i, declared, f.type, f.type != declared, f.offset, f.length, blob[f.offset : f.offset + f.length]) for f in found]
+                if not found:
+                    rows.append((i, declared, declared, False, None, 0, None))
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=["id", "declared", "type", "corrected", "offset", "length", "media"])
+
+
 def sniffed(df: DataFrame, id_col: str, blob_col: str, type_col: str) -> DataFrame:
     """id, declared, type, corrected, offset, length, media: one row for each medium carved out of the blob column.
 
@@ -224,21 +240,7 @@ def sniffed(df: DataFrame, id_col: str, blob_col: str, type_col: str) -> DataFra
     """
     schema = df.select(F.col(id_col).alias("id")).schema.add("declared", "string").add("type", "string").add("corrected", "boolean").add("offset", "long").add("length", "long").add("media", "binary")
 
-    def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton()
-        for b in batches:
-            for lo in range(0, b.num_rows, ROWS):
-                part, rows = b.slice(lo, ROWS), []
-                for i, (blob, declared) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    found = sniff(blob, a) if blob else []
-                    rows += [(i, declared, f.type, f.type != declared, f.offset, f.length, blob[f.offset : f.offset + f.length]) for f in found]
-                    if not found:
-                        rows.append((i, declared, declared, False, None, 0, None))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=schema.names)
-
-    return df.select(F.col(id_col).alias("id"), F.col(blob_col).alias("blob"), F.col(type_col).alias("declared")).mapInArrow(carve, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(blob_col).alias("blob"), F.col(type_col).alias("declared")).mapInArrow(carved, schema)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -250,14 +252,13 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     media_bytes and media_sha256 are of the stored blob. feature: type found, declared type, offset and length in the blob, rows, sum and
     greatest sample. Equal texts have equal rows but for the id; null and empty texts are one row of blanks; a text that holds signatures
     or whole media itself does not change what is carved, which is the first and only medium of its blob. Repeated rows give repeated
-    rows; an empty table has none.
+    rows; an empty table has none. A text's blob is one row and has to fit in a worker.
     """
     blobs = staged(stored(docs, id_col, text_col), "media")
     key = F.struct("doc_id", "n_bytes", F.octet_length("blob").cast("long").alias("media_bytes"), F.sha2("blob", 256).alias("media_sha256"))
-    media = sniffed(blobs.select(key.alias("key"), "blob", "declared"), "key", "blob", "declared")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in carved(batches):  # in the same worker
             rows = []
             for key, declared, kind, offset, length, medium in zip(*(b.column(c).to_pylist() for c in ("id", "declared", "type", "offset", "length", "media")), strict=True):
                 payload = decode(medium, kind)
@@ -267,4 +268,4 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return media.mapInArrow(digest, DIGEST)
+    return blobs.select(key.alias("id"), "blob", "declared").mapInArrow(digest, DIGEST)
