@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,18 +44,38 @@ TEMPLATES = {
     "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "MIT-license-notice": "Licensed under the MIT license.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so,",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "Artistic-2.0-notice": "Licensed under the terms of the Artistic License 2.0.",
+    "CDDL-1.0": "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\"). You may not use this file except in compliance with the License.",
     "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
 } | {
     f"{x}-spdx": f"SPDX-License-Identifier: {x}"
-    for x in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
-}
+    for x in (
+        "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "BSL-1.0", "Artistic-2.0",
+        "CDDL-1.0", "EPL-2.0", "MIT OR Apache-2.0", "Apache-2.0 OR MIT", "GPL-2.0 OR MIT", "MIT OR GPL-2.0", "GPL-2.0 OR BSD-3-Clause", "BSD-3-Clause OR GPL-2.0", "GPL-2.0 OR BSD-2-Clause", "EPL-2.0 OR GPL-2.0",
+    )
+}
 # Those under five words.
 SHORT = {
     "All-rights-reserved": "All rights reserved.",
     "CC0-1.0-notice": "CC0 1.0 Universal",
     "MIT-spdx": "SPDX-License-Identifier: MIT",
     "ISC-spdx": "SPDX-License-Identifier: ISC",
+    "Zlib-spdx": "SPDX-License-Identifier: Zlib",
 }
+# What tells a license from its kin: of each phrase a shingle that holds it whole has to stand, however much of the rest does.
+MUST = {
+    "MIT-notice": ["the MIT License"], "MIT-license-notice": ["the MIT license"], "Apache-2.0-notice": ["Apache License", "Version 2 0"], "Apache-2.0": ["Apache License"],
+    "GPL-2.0-notice": ["GNU General Public", "version 2"], "GPL-3.0-notice": ["GNU General Public", "version 3"], "GPL-2.0-only": ["GNU General Public License version 2"],
+    "GPL-2.0-or-later": ["GNU General Public", "version 2 of"], "GPL-3.0-or-later": ["GNU General Public", "version 3 of"], "AGPL-3.0-or-later": ["Affero", "version 3 of"],
+    "LGPL-2.1-or-later": ["Lesser", "version 2 1 of"], "LGPL-3.0-or-later": ["Lesser", "version 3 of"], "CC-BY-4.0": ["Attribution 4 0"], "CC-BY-SA-4.0": ["ShareAlike 4 0"], "CC-BY-NC-4.0-notice": ["NC 4 0"],
+    "MPL-2.0": ["Mozilla Public License"], "EPL-2.0": ["Eclipse Public License 2 0"], "BSL-1.0-notice": ["Boost Software License"], "Artistic-2.0-notice": ["Artistic License 2 0"], "CDDL-1.0": ["Common Development and Distribution License"],
+}
 
 
 def shingles(text: Column, width: int = WORDS) -> Column:
@@ -68,6 +88,16 @@ def shingles(text: Column, width: int = WORDS) -> Column:
     return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), slide)[0]
 
 
+def musts(name: str, text: str, width: int) -> list[list[str]]:
+    """For each phrase that the template must have, its shingles (as texts) that hold the phrase whole; an SPDX line must stand whole."""
+    w = _words(text)
+    runs = [w[i : i + width] for i in range(len(w) - width + 1)]
+    if name.endswith("-spdx"):
+        return [[" ".join(r)] for r in runs]
+    phrases = [_words(p) for p in MUST.get(name, [])]
+    return [[" ".join(r) for r in runs if any(r[i : i + len(p)] == p for i in range(width - len(p) + 1))] for p in phrases]
+
+
 def signature(window: Column) -> Column:
     """The least shingle of a window under each of BANDS hashes: BANDS bands of one row."""
     least = lambda i: F.array_min(F.transform(window, lambda x: F.struct(F.xxhash64(x, i).alias("h"), x.alias("x"))))["x"]
@@ -91,8 +121,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """doc_id, license, containment, n_windows, best: one row for each license found in a document.
 
     containment: the greatest share of the template's distinct shingles near one of its n_windows colliding windows. best: in some window
-    no other template that overlaps it is held better, as a notice is by the text that quotes it or one license by its kin. Null and empty
-    texts have no row. Repeated rows give repeated rows, ids that differ only in text are kept apart. Other columns are not looked at.
+    no other template that overlaps it is held better, as a notice is by the text that quotes it or one license by its kin. A license whose
+    distinguishing words (MUST: name, version) do not stand is not found, whatever its share. Null and empty texts have no row, an empty
+    table has none. A text's shingles are held as one array, however long it is. Repeated rows give repeated rows, ids that differ only in text are kept apart. Other columns are not looked at.
     A template without a word is never found.
     """
     groups: dict[int, dict[str, str]] = {}
@@ -114,6 +145,11 @@ def _scan(docs: DataFrame, templates: dict[str, str], width: int, containment: f
     parts, all_ = pieces(spark, templates, width)
     held = parts.collect()  # a fixed list
     literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    asked = [(name, i, s) for name, text in templates.items() for i, group in enumerate(musts(name, text, width)) for s in group]
+    hashed = spark.createDataFrame(asked, "license string, i int, s string").select("license", "i", shingles(F.col("s"), width)[0].alias("h")).collect() if asked else []
+    must: dict[str, dict[int, list[int]]] = {}
+    for r in hashed:
+        must.setdefault(r["license"], {}).setdefault(r["i"], []).append(r["h"])
     anchors = {k: sorted({x for r in held if r["scale"] == k for x in r["signature"]}) for k in SCALES}
     reach = max((len(s) for _, s in all_), default=0)
     df = docs.select("doc_id", shingles(F.col("text"), width).alias("s")).withColumn("row", F.monotonically_increasing_id())
@@ -135,6 +171,8 @@ def _scan(docs: DataFrame, templates: dict[str, str], width: int, containment: f
     full = F.create_map(*[x for name, s in all_ for x in (F.lit(name), literal(s) if s else F.expr("cast(array() as array<bigint>)"))])
     share = F.size(F.array_intersect("near", F.element_at(full, F.col("license")))) / F.size(F.element_at(full, F.col("license")))
     hits = hits.withColumn("share", share).where(F.col("share") >= containment)
+    for name, groups in must.items():
+        hits = hits.where((F.col("license") != name) | reduce(and_, [F.arrays_overlap("near", literal(sorted(g))) for g in groups.values()]))
     # Of templates found about one place the best has the greatest share, then the most shingles.
     rank = F.struct("share", F.size(F.element_at(full, F.col("license"))).alias("size"))
     cells = F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("start") + F.col("scale") - 1) / CELL))
