@@ -2,12 +2,13 @@
 
 A token is a maximal run of at least MIN_TOKEN encoding characters. Its encoding is inferred from its alphabet; chi-squared uniformity
 over the alphabet, a runs test about its middle and lag-1 serial correlation measure how far it is from random in that encoding. A
-token's p-value is the chance that ordinary text of its length (LONGEST where it is longer) looks at least as uniform: characters
+token's p-value is the chance that an ordinary one of its length (LONGEST where it is longer) has so low a sum of the three: characters
 drawn by their shares in WORDS (English letters with some capitals, digits and separators) and scored among 64, or, for a token of
-digits only, even digits scored among 16. These chances are summed
-exactly over all letter counts (null()), so they are the same in a corpus of any size; runs and correlation only add to a score, so
-leaving them out of the chance makes it no smaller. Benjamini-Hochberg, with weights by the bits that a length holds, bounds the
-false discoveries over the tokens that are not letters only as words are written. Only counts by length and score (2 x CLASSES x SCORES cells at most,
+digits only, even digits scored among 16. The chances of the uniformity score are summed exactly over all letter counts and joined with
+those of the two order scores, as for characters in an order without any rule (a chi-squared sum of two; letters that lie to one side
+of the alphabet score higher there, so the chance is too large rather than too small). So p-values are the same in a corpus of any size.
+Benjamini-Hochberg, with weights by the bits that a length holds, bounds the false discoveries over the tokens that are not letters
+only as words are written. Only counts by length and score (2 x CLASSES x SCORES cells at most,
 whatever the corpus) leave the table of documents; the limits found enter the last pass as constants.
 """
 
@@ -119,11 +120,12 @@ def length_class(token: Column) -> Column:
 
 @cache
 def nulls(digits: bool) -> list[list[float]]:
-    """For each length and each score below SCORES, the chance that an ordinary token has a chi-squared part of at most that score.
+    """For each length and each score below SCORES, the chance that the three tests of an ordinary token sum up to at most that score.
 
     The sum of squared character counts decides the chi-squared statistic; its distribution is summed character by character for all
-    lengths at once, up to the sums that SCORES can need.
+    lengths at once, up to the sums that SCORES can need, and then spread by the chances of the order tests' score.
     """
+    order = 1 - np.exp(-np.arange(1, SCORES + 1) / (2 * STEP))  # at most that many steps
     k, shares = (16, (0.1,) * 10) if digits else (64, WORDS)
     df = k - 1
     spread = 2.0 / (9.0 * df)
@@ -140,7 +142,7 @@ def nulls(digits: bool) -> list[list[float]]:
     for n in range(MIN_TOKEN, LONGEST + 1):
         chi = np.cbrt(np.maximum(np.arange(top + 1) * k / n - n, 0.0) / df) - (1 - spread)
         score = np.minimum(np.maximum(chi, 0.0) ** 2 / spread * STEP, SCORES).astype(int)
-        sums = np.cumsum(np.bincount(score, table[n], SCORES + 1))[:SCORES] * float(factorial(n))
+        sums = np.convolve(np.bincount(score, table[n], SCORES + 1)[:SCORES], order)[:SCORES] * float(factorial(n))
         out.append(np.clip(sums, FLOOR, 1.0).tolist())
     return out
 
@@ -213,7 +215,8 @@ def _listed(array: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """doc_id, counts by kind, digest of the base spans and all spans of each row.
 
-    Null and empty texts have no span. Repeated rows are scanned each for itself; other columns are not looked at.
+    Null and empty texts have no span. Repeated rows are scanned each for itself, equal ones alike; other columns are not looked at. An
+    empty table has no rows. Texts of any length are scanned whole, their matches in chunks.
     """
     df = staged(docs.select(F.col(id_col).alias("doc_id"), _features(F.col(text_col)).alias("f")), "secret-tokens")
     df = df.select("doc_id", _spans(F.col("f"), _limits(df, rate)).alias("spans"))
