@@ -6,12 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
+_made: list[list[DataFrame]] = []
 _folders: set[str] = set()
 
 
@@ -57,9 +59,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
+    for made in _made:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables staged inside are removed at the end, but for those taken out of the list; what reads them has to be staged by then."""
+    made: list[DataFrame] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.remove(made)
+        dropped(*made)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove staged tables that no plan reads any more."""
     for df in tables:
