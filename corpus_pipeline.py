@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.llm import classifier, mixing, packing, secrets, simhash
-from relspark.llm.common import fresh, row_order, small_batches, staged
+from relspark.llm.common import dropped, fresh, row_order, small_batches, staged
 from relspark.llm.queries import tokenizer_path
+from relspark.staging import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it is trained on the labelled ones among `docs`."""
+    """Documents that the quality classifier rejects go; it is trained on the labelled ones among `docs`. Null texts are judged as empty ones."""
     small_batches(spark)
     return classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,8 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each stage's rows staged in the shared folder before the next one reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table, each stage's rows staged in the shared folder before the next one reads them.
+
+    What a stage staged for itself goes when it has ended, and its rows when the next stage's are written. Null, empty and very long texts,
+    ties, repeated rows and empty tables are as each stage's operator defines them; a documents table without rows gives none.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch() as made:
+            docs = staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            made[:] = [t for t in made if t is not docs]
+        if last is not None:
+            dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
