@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -42,7 +41,8 @@ def embedded_texts(df: DataFrame, dims: int = DIMS, n: int = 4) -> DataFrame:
 
 def _unit(values: pa.Array) -> np.ndarray:
     """A list column as a matrix of unit rows."""
-    x = np.stack([np.asarray(v, np.float64) for v in values.to_pylist()])
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -170,22 +170,3 @@ def top_k_lists(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k:
 
     keys = ["list", "a", "b"]
     return _first_k(q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(meet, FOUND), k)
-
-
-def save(index: DataFrame, centroids: np.ndarray, path: str) -> None:
-    """The index as a table by list, its centroids and a description beside it."""
-    spark = index.sparkSession
-    assign_lists(index, centroids).write.partitionBy("list").parquet(f"{path}/rows")
-    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list int, centroid array<double>").write.parquet(f"{path}/centroids")
-    meta = {"kind": "inverted lists", "lists": len(centroids), "dims": int(centroids.shape[1]), "metric": "cosine"}
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/meta")
-
-
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
-    """(id, embedding, list) and the centroids of a saved index; a ValueError if they are not what the description says."""
-    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    rows = spark.read.parquet(f"{path}/centroids").orderBy("list").toArrow()  # LISTS rows at most
-    centroids = np.stack([np.asarray(v) for v in rows.column("centroid").to_pylist()])
-    if centroids.shape != (meta["lists"], meta["dims"]):
-        raise ValueError(f"{path} holds {centroids.shape}, not {meta}")
-    return spark.read.parquet(f"{path}/rows"), centroids

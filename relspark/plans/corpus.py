@@ -9,6 +9,7 @@ from ..functions import answers as A
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import containment as C
+from ..operators import quantised as Q
 from ..operators import vectors as V
 from ..operators.ranks import running
 from ..sources.tables import docs, items, table
@@ -170,6 +171,17 @@ def _(s, d):
     return V.top_k(q, e, 10).join(got, ["query", "neighbor"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
+@query("idx01_pq_recall")
+def _(s, d):
+    """Recall of the quantised index against the exact top ten, the bytes of a code for each byte of a vector, and the rows reranked."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q, codec = e.where("id % 100 = 0"), Q.fit(e)
+    got = Q.search(q, staged(Q.coded(e, codec), "coded"), codec, 10).select("query", "neighbor").withColumn("hit", F.lit(1))
+    size = e.agg(F.max(F.size("embedding") * 4).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    recall = V.top_k(q, e, 10).join(got, ["query", "neighbor"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return recall.crossJoin(size).select("recall", (F.lit(len(codec.words)) / F.col("bytes")).alias("bytes_read"), F.least(F.lit(1.0), F.lit(10.0 * Q.RERANK) / F.col("n")).alias("reranked"))
+
+
 NB = f"(SELECT * FROM ({KNN}) WHERE rank <= 20)"
 
 

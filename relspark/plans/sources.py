@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import vectors as V
+from ..operators import quantised as Q
 from ..sources import records as S
 from ..sources.tables import hits, table
 from ..staging import own_folder
@@ -96,7 +96,7 @@ def _(s, d):
 
 
 @query("src10_flt08_corpus_rows", """WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN trim(left(text, 20) || ' ' || right(text, 20)) ELSE trim(' ' || lower(left(text, 30))) END AS t FROM documents), n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM r WHERE t <> '')
-SELECT 'org_set_' || lpad(n::VARCHAR, 7, '0') AS id, t AS text, 'org/set' AS source FROM n WHERE n < 300""")
+SELECT 'org_set_' || CASE WHEN n < 10000000 THEN lpad(n::VARCHAR, 7, '0') ELSE n::VARCHAR END AS id, t AS text, 'org/set' AS source FROM n WHERE n < 300""")
 def _(s, d):
     """A prefix of a dataset whose rows have their text, a problem and a solution, or chat messages."""
     k, t = F.col("doc_id") % 3, F.col("text")
@@ -119,7 +119,7 @@ def _(s, d):
     return s.createDataFrame([(b.name, b.skill) for b in S.BENCHMARKS.values()], "name string, skill string")
 
 
-@query("src13_gsm8k_adapter", "SELECT 'gsm8k_' || lpad((row_number() OVER (ORDER BY item_id) - 1)::VARCHAR, 5, '0') AS id, (item_id * 1000)::VARCHAR AS answer FROM benchmark")
+@query("src13_gsm8k_adapter", "SELECT 'gsm8k_' || printf('%05d', row_number() OVER (ORDER BY item_id) - 1) AS id, (item_id * 1000)::VARCHAR AS answer FROM benchmark")
 def _(s, d):
     raw = table(s, d, "benchmark").withColumn("a", F.concat(F.col("text"), F.lit("\n#### "), F.format_number(F.col("item_id") * 1000, 0)))
     return S.numbered(raw, ["item_id"], "gsm8k_").select("id", S.gsm8k_answer(F.col("a")).alias("answer"))
@@ -137,7 +137,7 @@ def _(s, d):
     return p.select("p_partkey", S.options(F.array("p_name", F.lower("p_type"))).alias("rendered"), S.letter(F.col("p_partkey") % 5 - 1).alias("answer"))
 
 
-@query("src17_src19_src21_plain_adapters", "SELECT 'bbh_' || lpad((row_number() OVER (ORDER BY item_id) - 1)::VARCHAR, 5, '0') AS id, text AS prompt, cast(NULL AS string) AS answer FROM benchmark")
+@query("src17_src19_src21_plain_adapters", "SELECT 'bbh_' || printf('%05d', row_number() OVER (ORDER BY item_id) - 1) AS id, text AS prompt, cast(NULL AS string) AS answer FROM benchmark")
 def _(s, d):
     return S.numbered(table(s, d, "benchmark"), ["item_id"], "bbh_").select("id", F.col("text").alias("prompt"), F.lit(None).cast("string").alias("answer"))
 
@@ -178,12 +178,12 @@ def _(s, d):
 
 @query("src26_vector_index_roundtrip", "SELECT vec_id AS query, x AS neighbor, rank FROM (SELECT q.vec_id, n.vec_id AS x, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[]), 9) DESC, n.vec_id)::INT AS rank FROM embeddings q, embeddings n WHERE q.vec_id % 100 = 0) WHERE rank <= 3")
 def _(s, d):
-    """An index saved with its lists, loaded again, and searched exactly through the loaded table."""
+    """An index saved with its lists, loaded again, and searched through the loaded codes of all lists; the best three stand exactly."""
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     path = folder(s)
-    V.save(e, V.fit_lists(e), path)
-    index, _ = V.load(s, path)
-    return V.top_k(e.where("id % 100 = 0"), index, 3).select("query", "neighbor", "rank")
+    Q.save(e, Q.fit(e), path)
+    index, codec = Q.load(s, path)
+    return Q.search(e.where("id % 100 = 0"), index, codec, 3, rerank=40).select("query", "neighbor", "rank")
 
 
 @query("num09_safe_arithmetic", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round((o_custkey + o_orderkey * 2) / 4.0::DOUBLE - (o_custkey // 7) + (o_orderkey % 11), 6) END AS value FROM orders")

@@ -141,9 +141,9 @@ def row_text(messages: Column, *others: Column) -> Column:
 
 
 def numbered(df: DataFrame, order: list, prefix: str, width: int = 5) -> DataFrame:
-    """Adds id: the prefix and the row's 0-based place by `order`."""
+    """Adds id: the prefix and the row's 0-based place by `order`, of `width` digits, or more where the place has more."""
     n = fresh(df, "place")
-    return ranked(df, [], order, n).withColumn("id", F.concat(F.lit(prefix), F.lpad(F.col(n).cast("string"), width, "0"))).drop(n)
+    return ranked(df, [], order, n).withColumn("id", F.concat(F.lit(prefix), F.lpad(F.col(n).cast("string"), F.greatest(F.lit(width), F.length(F.col(n).cast("string"))), F.lit("0")))).drop(n)
 
 
 def gsm8k_answer(x: Column) -> Column:

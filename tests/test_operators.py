@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relspark.operators import containment as C
-from relspark.operators import regression, reliability, splits, variants, vectors
+from relspark.operators import quantised, regression, reliability, splits, variants, vectors
 from relspark.sources import records
 from relspark.streaming import corpus
 
@@ -95,6 +95,39 @@ def test_vector_search_is_exact_and_lists_reach_recall(spark):
     assert len(exact & {(r["query"], r["neighbor"]) for r in near.collect()}) >= 0.9 * len(exact)
 
 
+def test_quantised_index(spark, tmp_path):
+    """Uniform vectors by codes alone; clustered ones (a third of them about one plane) by a fifth of the lists, saved and loaded again."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    clustered = rng.normal(size=(150, 32))[rng.integers(0, 150, 3000)] + 0.15 * rng.normal(size=(3000, 32))
+    clustered[:1000] = clustered[0] + rng.normal(size=(1000, 2)) @ rng.normal(size=(2, 32))
+    for x, lists, probes, least in ((rng.normal(size=(2000, 32)), 10, None, 0.95), (clustered, 40, 8, 0.95)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+        q, codec = df.where("id % 100 = 0"), quantised.fit(df, lists)
+        quantised.save(df, codec, f"{tmp_path}/{lists}")
+        index, again = quantised.load(spark, f"{tmp_path}/{lists}")
+        assert index.count() == len(x) and np.allclose(codec.words, again.words) and np.allclose(codec.centroids, again.centroids)
+        got = quantised.search(q, index, again, 10, probes).collect()
+        exact = {(r["query"], r["neighbor"]): r["cosine"] for r in vectors.top_k(q, df, 10).collect()}
+        hits = [r for r in got if (r["query"], r["neighbor"]) in exact]
+        assert len(hits) >= least * len(exact) and all(abs(exact[r["query"], r["neighbor"]] - r["cosine"]) < 1e-6 for r in hits)
+        assert len(got) == len(q.collect()) * 10 and max(r["rank"] for r in got) == 10
+    tables, (lists_, codes) = codec.tables(x[:3]), codec.encode(x[:50] / np.linalg.norm(x[:50], axis=1, keepdims=True))
+    decoded = np.stack([np.concatenate([codec.words[j, c] for j, c in enumerate(row)]) for row in codes])
+    assert np.linalg.norm(x[:50] / np.linalg.norm(x[:50], axis=1, keepdims=True) - codec.centroids[lists_] - decoded, axis=1).mean() < 0.2
+    assert np.allclose(codec.scores(tables, codes), x[:3] @ decoded[:, : x.shape[1]].T)
+    none = df.limit(0)
+    assert quantised.search(none, index, codec, 3).count() == 0 and quantised.search(q, quantised.coded(none, quantised.fit(none)), quantised.fit(none), 3).count() == 0
+
+
+def test_ids_beyond_their_width_differ(spark):
+    df = spark.range(100_050).withColumnRenamed("id", "k")
+    ids = records.numbered(df, ["k"], "x_")
+    assert ids.select("id").distinct().count() == 100_050
+    assert {r["id"] for r in ids.where("k in (7, 99999, 100000)").collect()} == {"x_00007", "x_99999", "x_100000"}
+
+
 def test_surface_variants_keep_numbers():
     import re
 
