@@ -1,14 +1,21 @@
 """Containment of items in documents by an inverted index of word grams.
 
-Items are the small side: their distinct grams are hashed to longs. A document's words are hashed once, its grams are hashes of word
-hashes, and these longs alone meet the items' grams; words are put together and compared only where hashes met. The item side is
-broadcast while its grams are under BROADCAST rows; beyond that the join is left to the planner, which shuffles both sides by gram.
+Items are the small side. While they have BROADCAST distinct grams at most, their hashes go to all tasks as a sorted array behind a table
+of their high bits, and documents are read once: words are hashed (a cache knows most), a gram's hash is rolled over its words' hashes for
+a block of documents at a time, and only grams whose hash is in the array are put together as text and joined with the items' own. Beyond
+that the hashes of all grams are rows and the join is left to the planner, which shuffles both sides by gram.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.rules import containment_verdict, lexical_label
 from ..functions.text import normalize_text, plain_tokens, tokens, word_grams
@@ -16,6 +23,10 @@ from ..staging import staged
 from .ranks import ranked
 
 BROADCAST, LEAST = 500_000, 0.45
+BLOCK, CACHE, HIGH, ODD = 1 << 22, 1 << 17, 22, np.uint64(0x9E3779B97F4A7C15)  # bytes of a block, cached words, bits of the table, base of the rolled hash
+#: ASCII punctuation as blanks, as normalize_text() has it; and all but a-z and 0-9, as plain_tokens() has it.
+PUNCTUATION = bytes(32 if 0x21 <= b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7E else b for b in range(256))
+PLAIN = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 32 for b in range(256))
 
 
 def grams(df: DataFrame, text: str, n: int = 13, plain: bool = False, short: bool = True) -> DataFrame:
@@ -32,8 +43,89 @@ def _gram_hashes(words: Column, n: int) -> Column:
     return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), slide)[0]
 
 
+class _Words(dict):
+    """Word -> its 64-bit hash; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n among the word hashes h."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = out * ODD + h[j : len(out) + j]
+        return (out ^ out >> np.uint64(32)) * ODD + np.uint64(n)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts) of BLOCK bytes or one row more."""
+    for b in batches:
+        ids, texts, size = [], [], 0
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            ids.append(i)
+            texts.append(t)
+            if (size := size + len(t)) >= BLOCK:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
+
+
+def _scan(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, n: int, plain: bool) -> Iterator[pa.RecordBatch]:
+    """(id, lower-cased text) -> (id, gram): the distinct grams of each text whose hash is wanted (sorted); a text under n words is one gram."""
+    high = np.zeros(1 << HIGH, bool)
+    high[wanted >> np.uint64(64 - HIGH)] = True
+    words, fold = _Words(), PLAIN if plain else PUNCTUATION
+
+    def hits(h: np.ndarray) -> np.ndarray:
+        near = np.flatnonzero(high[h >> np.uint64(64 - HIGH)])
+        at = np.searchsorted(wanted, h[near])
+        return near[wanted[np.minimum(at, len(wanted) - 1)] == h[near]] if len(wanted) else near[:0]
+
+    for ids, texts in _blocks(batches):
+        parted = [t.translate(fold).split() for t in texts]
+        ends = np.cumsum([len(p) for p in parted])
+        flat = [w for p in parted for w in p]
+        h = np.fromiter(map(words.__getitem__, flat), np.uint64, len(flat))
+        doc = np.repeat(np.arange(len(parted)), np.diff(ends, prepend=0))
+        found = set()
+        at = hits(_rolled(h, n))
+        for i in at[doc[at] == doc[at + n - 1]].tolist():
+            found.add((int(doc[i]), b" ".join(flat[i : i + n])))
+        for i, p in enumerate(parted):
+            if 0 < len(p) < n and len(hits(_rolled(h[ends[i] - len(p) : ends[i]], len(p)))):
+                found.add((i, b" ".join(p)))
+        rows = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in rows], pa.string()), pa.array([g for _, g in rows], pa.string())], names=["doc", "gram"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = _Words()
+    for b in batches:
+        hs = [_rolled(np.array([words[w] for w in g.split(b" ")], np.uint64), g.count(b" ") + 1)[0] for g in b.column(0).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64))], names=["h"])
+
+
 def _met(items: DataFrame, docs: DataFrame, n: int, plain: bool) -> DataFrame:
-    """item, n_grams, gram, doc of each place of a document (id, text) where a gram of the items (id, g) stands; places may repeat."""
+    """item, n_grams, gram, doc of each document (id, text) where a gram of the items (id, g) stands; rows may repeat."""
+    left = items.select(F.col("id").alias("item"), F.size("g").alias("n_grams"), F.explode("g").alias("gram"))
+    own = left.select("gram").distinct()
+    if own.limit(BROADCAST + 1).count() > BROADCAST:
+        return _met_shuffled(items, docs, n, plain)
+    wanted = np.unique(own.mapInArrow(_hashed, "h long").toArrow().column(0).to_numpy().view(np.uint64))  # BROADCAST longs at most
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+    texts = docs.select(F.col("id").cast("string").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    hit = texts.mapInArrow(lambda b: _scan(b, held.value, n, plain), StructType([StructField("doc", StringType()), StructField("gram", StringType())]))
+    return hit.join(F.broadcast(left), "gram").select("item", "n_grams", "gram", F.col("doc").cast(docs.schema["id"].dataType).alias("doc"))
+
+
+def _met_shuffled(items: DataFrame, docs: DataFrame, n: int, plain: bool) -> DataFrame:
+    """_met() for any number of items' grams: all grams of the documents meet them in a shuffle; runs of n words only."""
     left = items.select(F.col("id").alias("item"), F.size("g").alias("n_grams"), F.explode("g").alias("own"))
     left = left.withColumn("k", F.get(_gram_hashes(F.split("own", " "), n), 0)).where("k is not null")
     words = plain_tokens(F.col("text")) if plain else tokens(F.col("text"))

@@ -23,6 +23,30 @@ def test_union_and_maximum_differ(spark):
     assert all_["k"]["verdict"] == "too_short" and top["k"]["n_grams"] == 1
 
 
+def test_gram_kernel_against_brute_force(spark, monkeypatch):
+    """The one-pass kernel, in blocks of any size, and the shuffled way beyond its bound."""
+    import random
+
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice(["Alpha", "beta", "it's", "x-1", "élan", "İx", "42"]) + r.choice([" ", "  ", "\n", ", ", "\u00a0 "]) for _ in range(n))
+    docs = [(str(i), text(r.randint(0, 60))) for i in range(60)] + [("null", None), ("copy", None)]
+    items = [(str(i), docs[i][1][: r.randint(0, 200)] + " beta beta") for i in range(0, 60, 4)] + [("short", "beta it"), ("none", ""), ("twin", docs[0][1])]
+    docs += [("held", "Beta, IT"), ("twice", docs[0][1] + " " + docs[0][1])]
+    x, y = spark.createDataFrame(items, "id string, prompt string"), spark.createDataFrame(docs, "id string, text string").repartition(3)
+    for plain, n in ((False, 5), (True, 3)):
+        own, of = C.grams(x, "prompt", n, plain), C.grams(y, "text", n, plain)
+        gram = lambda df: {v["id"]: set(v["g"]) for v in df.collect()}
+        a, b = gram(own), gram(of)
+        want = {(i, d): len(a[i] & b[d]) for i in a for d in b if a[i] & b[d]}
+        got = {(v["item"], v["doc"]): v["n_shared"] for v in C.matches(own, y, n, plain).collect()}
+        assert got == want and len(want) > 20
+        with monkeypatch.context() as m:
+            m.setattr(C, "BROADCAST", 3)
+            few = {(v["item"], v["doc"]): v["n_shared"] for v in C.matches(own, y, n, plain).collect()}
+        assert few == {k: v for k, v in want.items() if k[0] != "short"}
+    assert C.matches(own, y.limit(0)).count() == 0 and C.matches(own.limit(0), y).count() == 0
+
+
 def test_planted_items_are_seen(spark):
     items = spark.createDataFrame([(f"{k}{i}", words(f"{k}{i}x", 20)) for k in "pu" for i in range(5)], "id string, prompt string")
     docs = spark.createDataFrame([(f"d{i}", "noise before " + words(f"p{i}x", 20) + " and after") for i in range(5)] + [("n", words("z", 90))], "id string, text string")
