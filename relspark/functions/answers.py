@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .symbolic import equal_formulas
 from .text import boxed_balanced, canonical_number, normalize_answer_text
 
 PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -36,22 +37,30 @@ def close(a: Column, b: Column, rel: float = 1e-6, abs_: float = 1e-9) -> Column
 
 
 def equivalent(gold: Column, pred: Column, kind: Column) -> Column:
-    """Equal as text; for numeric and math kinds also equal as numbers."""
+    """Equal as text; for numeric and math kinds also equal as numbers; equivalent_formulas() adds formulas."""
     text = normalize_answer_text(gold) == normalize_answer_text(pred)
     return F.coalesce(text | (kind.isin("numeric", "math") & close(numeric_value(gold), numeric_value(pred))), F.lit(False))
 
 
+def equivalent_formulas(gold: Column, pred: Column, kind: Column) -> Column:
+    """equivalent(), and for the math kind equal as formulas. Only what the cheaper ways leave open goes to a Python worker."""
+    plain = equivalent(gold, pred, kind)
+    open_ = (kind == "math") & ~plain
+    return plain | F.coalesce(equal_formulas(F.when(open_, gold), F.when(open_, pred)), F.lit(False))
+
+
 def symbolic_equal(gold: Column, pred: Column) -> Column:
-    """Equality as formulas: needs an algebra system, which is not installed, so it holds for none."""
-    return F.lit(False)
+    """Equality as formulas (functions/symbolic.py); sides that are equal as texts already are not looked at."""
+    differ = normalize_answer_text(gold) != normalize_answer_text(pred)
+    return F.coalesce(equal_formulas(F.when(differ, gold), F.when(differ, pred)), F.lit(False)) | F.coalesce(~differ, F.lit(False))
 
 
 def correct(pred: Column, gold: Column) -> Column:
     """A prediction against a gold answer that may still carry its solution: the gold's box is unwrapped, then texts, then values compared."""
     own = F.coalesce(boxed_balanced(gold), gold)
     p, g = canonical_number(pred), canonical_number(own)
-    same = (p == g) | (F.upper(F.trim(p)) == F.upper(F.trim(g))) | equivalent(own, pred, F.lit("math")) | symbolic_equal(own, pred)
-    return F.coalesce(same, F.lit(False))
+    same = F.coalesce((p == g) | (F.upper(F.trim(p)) == F.upper(F.trim(g))) | equivalent(own, pred, F.lit("math")), F.lit(False))
+    return same | F.coalesce(equal_formulas(F.when(~same, own), F.when(~same, pred)), F.lit(False))
 
 
 def answer_kind(benchmark: Column, skill: Column, answer: Column, has_choices: Column) -> Column:

@@ -231,6 +231,24 @@ _over("num01_numeric_value", number_forms, NV, "benchmark_id", lambda: {"value":
 _over("num02_numeric_equal", number_forms, NV, "benchmark_id", lambda: {"value": A.close(A.numeric_value(F.col("a")), A.numeric_value(F.col("gold")))}, {"value": f"coalesce(abs(({NVE}) - gold::DOUBLE) <= 1e-9 + 1e-6 * greatest(abs({NVE}), gold::DOUBLE), false)"})
 _over("num04_answers_equivalent", number_forms, NV, "benchmark_id", lambda: {"text": A.equivalent(F.col("gold"), F.col("a"), F.lit("text")), "numeric": A.equivalent(F.col("gold"), F.col("a"), F.lit("numeric"))},
       {"text": "a = gold", "numeric": f"coalesce(abs(({NVE}) - gold::DOUBLE) <= 1e-9 + 1e-6 * greatest(abs({NVE}), gold::DOUBLE), false)"})
+#: A quadratic of each item's number K (J is K^2 - 1): factored, expanded, one term changed, over a common denominator, under a root, broken off.
+FORMULAS = (r"(Kx-1)(x+K)", r"Kx^2+Jx-K", r"Kx^2+Jx-K+1", r"\frac{(Kx-1)(x^2-K^2)}{x-K}", r"\sqrt{(Kx-1)^2}\cdot(x+K)", r"Kx^2+(")
+
+
+def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, a, b: the factored form of each benchmark item's formula beside each of the six forms."""
+    k = (F.length("text") % 50 + 2).cast("long")
+    form = lambda p: F.replace(F.replace(F.lit(p), F.lit("K"), k.cast("string")), F.lit("J"), (k * k - 1).cast("string"))
+    forms = F.array(*[F.struct(F.lit(i).alias("form"), form(p).alias("b")) for i, p in enumerate(FORMULAS)])
+    return table(spark, sf_dir, "benchmark").select("item_id", form(FORMULAS[0]).alias("a"), F.explode(forms).alias("f")).select("item_id", "a", "f.*")
+
+
+@register("num03_symbolic_equal", sql("SELECT item_id, form, form IN (0, 1, 3) AS equal FROM benchmark, range(6) AS f(form)"))
+def symbolic_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which forms are the formula itself: a root of a square need not have the sign of what was squared."""
+    return formulas(spark, sf_dir).select("item_id", F.col("form").cast("long").alias("form"), A.symbolic_equal(F.col("a"), F.col("b")).alias("equal"))
+
+
 _over("num16_int_or_none", number_forms, NV, "benchmark_id", lambda: {"value": F.coalesce(A.int_or_none(F.col("a")), F.lit(-1))}, {"value": "CASE WHEN cast(benchmark_id AS bigint) % 6 = 0 THEN gold::BIGINT ELSE -1 END"})
 _over("num04_answer_kind", scores, "{scores}", "benchmark_id", lambda: {"value": A.answer_kind(F.col("benchmark"), F.when(F.col("skill") == "BUILDING", "arithmetic").otherwise(F.col("skill")), F.col("normalized_predicted"), F.col("arm") == "seen")},
       {"value": "CASE WHEN coalesce(arm, '') = 'seen' THEN 'multiple_choice' WHEN skill = 'BUILDING' THEN 'numeric' ELSE 'text' END"})

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from relspark.functions import answers as A
 from relspark.functions import rules as R
+from relspark.functions import symbolic
 from relspark.functions import text as T
 
 
@@ -24,6 +25,30 @@ def test_text_normalisation_keeps_letters_of_any_alphabet(spark):
     assert value(spark, T.normalize_text(F.lit(None).cast("string"))) == ""
 
 
+def test_formulas_are_equal_by_value(spark):
+    equal = [
+        ("x^2-1", "(x-1)(x+1)"), (r"\frac{1}{2}", "0.5"), (r"\sqrt{8}", r"2\sqrt{2}"), (r"\frac12", "1/2"), (r"\sin^2 x+1", r"1+(\sin x)^2"), (r"\sqrt{x^2y}", r"\sqrt{x^2}\sqrt{y}"),
+        (r"2\pi r", r"\pi\cdot 2 r"), (r"\frac{\sqrt{3}}{3}", r"\frac{1}{\sqrt 3}"), ("(a+b)^3", "a^3+3a^2b+3ab^2+b^3"), (r"\frac{x^2-1}{x-1}", "x+1"), (r"\sqrt{2738}", r"37\sqrt{2}"), ("1/2x", "x/2"),
+        (r"\sqrt[3]{x}", "x^{1/3}"), (r"\sqrt{x+1}^2", "x+1"), ("-2^2", "-4"), (r"\left(x_1+x_2\right)", "x_2+x_1"),
+    ]
+    unequal = [("x", "y"), ("x^2", "x"), (r"\sqrt{2}", "1.4142135"), ("", ""), ("x+", "x+"), (None, "x"), (r"\sin x", r"\cos x"), ("-2^2", "4"), ("x^y", "y^x"), (r"\frac{1}{0}", "1/0"), ("(3,5)", "(3,5)"), ("(" * 99, "x"), ("9" * 500, "9" * 500)]
+    rows = spark.createDataFrame([(*p, True) for p in equal] + [(*p, False) for p in unequal], "a string, b string, want boolean")
+    got = rows.withColumn("got", symbolic.equal_formulas("a", "b")).withColumn("back", symbolic.equal_formulas("b", "a")).collect()
+    assert [r for r in got if r["got"] != r["want"] or r["back"] != r["want"]] == []
+    kinds = rows.select("a", "b", A.equivalent_formulas(F.col("a"), F.col("b"), F.lit("math")).alias("m"), A.equivalent_formulas(F.col("a"), F.col("b"), F.lit("text")).alias("t"))
+    assert kinds.where("m").count() >= len(equal) and kinds.where("t and a = 'x^2-1'").count() == 0
+
+
+def test_random_polynomials_are_told_apart():
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        a, b, c, d = (r.randint(-9, 9) or 1 for _ in range(4))
+        expanded = f"{a * c}x^2+({a * d + b * c})x+({b * d})"
+        assert symbolic.equal(f"({a}x+({b}))({c}x+({d}))", expanded) and not symbolic.equal(f"({a}x+({b}))({c}x+({d}))", expanded + "+x")
+
+
 def test_grams_of_short_texts(spark):
     assert value(spark, T.word_grams(T.tokens(F.lit("one two")))) == ["one two"]
     assert value(spark, T.word_grams(T.tokens(F.lit("one two")), short=False)) == []
