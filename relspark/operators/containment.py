@@ -113,15 +113,24 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(items: DataFrame, docs: DataFrame, n: int, plain: bool) -> DataFrame:
     """item, n_grams, gram, doc of each document (id, text) where a gram of the items (id, g) stands; rows may repeat."""
-    left = items.select(F.col("id").alias("item"), F.size("g").alias("n_grams"), F.explode("g").alias("gram"))
-    own = left.select("gram").distinct()
+    own = items.select(F.explode("g").alias("gram")).distinct()
     if own.limit(BROADCAST + 1).count() > BROADCAST:
         return _met_shuffled(items, docs, n, plain)
+    return hits(items, docs, n, plain).drop("place")
+
+
+def hits(items: DataFrame, docs: DataFrame, n: int = 13, plain: bool = False) -> DataFrame:
+    """item, n_grams, place, gram, doc: where the items' grams (id, g; BROADCAST distinct ones at most) stand in documents, a table or a stream.
+
+    A document's rows follow one another; place is the gram's among the item's.
+    """
+    left = items.select(F.col("id").alias("item"), F.size("g").alias("n_grams"), F.posexplode("g").alias("place", "gram"))
+    own = left.select("gram").distinct()
     wanted = np.unique(own.mapInArrow(_hashed, "h long").toArrow().column(0).to_numpy().view(np.uint64))  # BROADCAST longs at most
     held = docs.sparkSession.sparkContext.broadcast(wanted)
     texts = docs.select(F.col("id").cast("string").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     hit = texts.mapInArrow(lambda b: _scan(b, held.value, n, plain), StructType([StructField("doc", StringType()), StructField("gram", StringType())]))
-    return hit.join(F.broadcast(left), "gram").select("item", "n_grams", "gram", F.col("doc").cast(docs.schema["id"].dataType).alias("doc"))
+    return hit.join(F.broadcast(left), "gram").select("item", "n_grams", "place", "gram", F.col("doc").cast(docs.schema["id"].dataType).alias("doc"))
 
 
 def _met_shuffled(items: DataFrame, docs: DataFrame, n: int, plain: bool) -> DataFrame:

@@ -110,12 +110,48 @@ def test_streams_drop_late_rows_and_repeats(spark, tmp_path):
     d.awaitTermination()
     ids = [r["event_id"] for r in spark.table("d").collect()]
     assert len(ids) == len(set(ids)) and {1, 2, 3} <= set(ids)
-    old = spark.createDataFrame([("a", True, 0), ("b", False, 0)], "id string, finished boolean, round int")
-    old.write.parquet(f"{tmp_path}/t/version=0")
-    spark.createDataFrame([("b", True, 1), ("a", True, 1)], "id string, finished boolean, round int").write.parquet(f"{tmp_path}/again")
-    again = spark.readStream.schema(old.schema).parquet(f"{tmp_path}/again")
-    corpus.repair_stream(again, f"{tmp_path}/t", "id", f"{tmp_path}/cr").awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/version=1").collect()) == [("a", True, 0), ("b", True, 1)]
+
+
+def test_repair_appends_each_finished_key_once(spark, tmp_path):
+    """The stream stops after each round and starts again; files of the table are only ever added."""
+    from relspark.streaming import corpus
+
+    schema = "id string, finished boolean, round int"
+    rounds = [[("a", True, 0), ("b", False, 0), ("c", None, 0)], [("b", True, 1), ("a", True, 1), ("c", False, 1)], [("c", True, 2), ("b", True, 2)], [("a", True, 3)]]
+    want = [[("a", 0)], [("a", 0), ("b", 1)], [("a", 0), ("b", 1), ("c", 2)], [("a", 0), ("b", 1), ("c", 2)]]
+    files: set[str] = set()
+    for i, rows in enumerate(rounds):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        corpus.repair_stream(stream, f"{tmp_path}/t", "id", f"{tmp_path}/cr").awaitTermination()
+        corpus.open_keys(stream, f"{tmp_path}/open", "id", f"{tmp_path}/co").awaitTermination()
+        table = spark.read.schema(schema).parquet(f"{tmp_path}/t")
+        assert sorted((r["id"], r["round"]) for r in table.collect()) == want[i]
+        assert {r["id"] for r in corpus.still_open(spark, f"{tmp_path}/open", "id").collect()} == {"a", "b", "c"} - {k for k, _ in want[i]}
+        now = {p.name for p in (tmp_path / "t").glob("*.parquet")}
+        assert files <= now
+        files = now
+
+
+def test_containment_stream_equals_the_batch_after_a_restart(spark, tmp_path):
+    from relspark.operators import containment as C
+    from relspark.streaming import corpus
+
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([("i", " ".join(words)), ("j", " ".join(words[5:25])), ("k", "none of it here at all " * 4), ("s", "w1 w2")], "id string, prompt string")
+    texts = [" ".join(words[a : a + 16]) for a in (0, 3, 20, 24)] + [" ".join(words[:30]), "noise", " ".join(words[10:40]), None]
+    for plain in (False, True):
+        at = tmp_path / str(plain)
+        for i, part in enumerate((texts[:3], texts[3:5], texts[5:])):
+            spark.createDataFrame([(f"{i}-{j}", t) for j, t in enumerate(part)], "id string, text string").write.mode("append").parquet(f"{at}/in")
+            stream = corpus.document_stream(spark, f"{at}/in", "id string, text string", 1)  # a file a batch, and a restart after each part
+            corpus.containment_stream(stream, items, f"{at}/out", f"{at}/c", plain=plain).awaitTermination()
+            own, docs = C.grams(items, "prompt", 13, plain, not plain), spark.read.parquet(f"{at}/in")
+            most = {r["item"]: r["n"] for r in C.matches(own, docs, 13, plain).groupBy("item").agg({"n_shared": "max"}).withColumnRenamed("max(n_shared)", "n").collect()}
+            union = {r["item"]: r["n"] for r in C.hits(own, docs, 13, plain).select("item", "place").distinct().groupBy("item").count().withColumnRenamed("count", "n").collect()}
+            got = {r["item"]: (r["n_max"], r["n_union"]) for r in corpus.progress(spark, f"{at}/out").collect()}
+            assert got == {k: (most[k], union[k]) for k in most}
+        assert got["i"][0] < got["i"][1]
 
 
 def test_reports_registries_and_progress(spark):
