@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import rules as R
 from ..functions import text as T
+from ..operators.quantiles import quantiles
 from ..operators import reliability as O
 from ..operators import splits, studies
 from ..sources.tables import completions, judge, scores, table
@@ -90,8 +91,9 @@ def _(s, d):
 
 @query("agg26_magnitude_report", "SELECT count(m) AS n, round(median(m), 6) AS median, round(avg(ln(m)), 6) AS mean_log, round(avg((m > 1)::INT), 6) AS share_over_one, round(avg((m BETWEEN 0.8 AND 1.25)::INT), 6) AS in_band FROM (SELECT magnitude_ratio AS m FROM {scores} WHERE magnitude_ratio IS NOT NULL)")
 def _(s, d):
-    m = F.col("magnitude_ratio")
-    return scores(s, d).where(m.isNotNull()).agg(F.count(m).alias("n"), F.median(m).alias("median"), F.avg(F.ln(m)).alias("mean_log"), F.avg((m > 1).cast("int")).alias("share_over_one"), F.avg(m.between(0.8, 1.25).cast("int")).alias("in_band"))
+    m, x = F.col("magnitude_ratio"), scores(s, d).where("magnitude_ratio is not null")
+    middle = quantiles(x, [], "magnitude_ratio", {"median": 0.5})
+    return x.agg(F.count(m).alias("n"), F.avg(F.ln(m)).alias("mean_log"), F.avg((m > 1).cast("int")).alias("share_over_one"), F.avg(m.between(0.8, 1.25).cast("int")).alias("in_band")).crossJoin(middle)  # one row each
 
 
 @query("agg28_arm_balance", "SELECT max(abs(a - b)) AS max_imbalance, max(abs(a - b)) <= 1 AS balanced FROM (SELECT stratum, count(*) FILTER (WHERE arm = 'seen') AS a, count(*) FILTER (WHERE arm = 'unseen') AS b FROM {scores} GROUP BY 1)")
@@ -391,8 +393,9 @@ def _(s, d):
 
 @query("agg48_num08_percentiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sd FROM lineitem GROUP BY 1", 4)
 def _(s, d):
-    x = "l_extendedprice"
-    return table(s, d, "lineitem").groupBy("l_returnflag").agg(*[F.percentile(x, p).alias(k) for k, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))], F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
+    x, rows = F.col("l_extendedprice").cast("double"), table(s, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    moments = rows.groupBy("l_returnflag").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
+    return quantiles(rows, ["l_returnflag"], x, {"p50": 0.5, "p90": 0.9, "p99": 0.99}).join(moments, "l_returnflag")
 
 
 @query("agg49_group_sizes", "SELECT concat_ws('|', coalesce(arm, 'none'), variant_type) AS k, count(*) AS n FROM {scores} GROUP BY 1")

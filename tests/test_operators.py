@@ -98,6 +98,43 @@ def test_matched_arms_are_balanced(spark):
     assert splits.balance(out.withColumnRenamed("bin", "stratum")).first()["balanced"]
 
 
+def test_quantiles_are_exact_in_groups_of_any_make(spark, monkeypatch):
+    """Ties, one value, heavy tails, a group with most rows, nulls, NaN and infinities; held against sorting."""
+    import math
+    import random
+
+    from relspark.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "BINS", 60)
+    monkeypatch.setattr(Q, "FEW", 20)
+    monkeypatch.setattr(Q, "ROUNDS", 12)
+    r = random.Random(9)
+    groups = {
+        "hot": [r.gauss(0, 1) for _ in range(1500)], "tie": [2.5] * 400 + [1.0], "one": [7.0], "tail": [10.0 ** r.randint(-300, 300) for _ in range(200)], "wide": [-1.7e308, 1.7e308, 0.0, 1.0, -3.0] * 5,
+        "none": [None, None], "gap": [float(i) for i in range(50)] + [None], None: [3.0, 1.0, 2.0],
+    }
+    rows = [(g, v, "x") for g, vs in groups.items() for v in vs]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, x double, g string").repartition(3)
+    shares = {"least": 0.0, "p10": 0.1, "median": 0.5, "p99": 0.99, "most": 1.0}
+    got = {x["k"]: x for x in Q.quantiles(df, ["k"], "x", shares).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        v = sorted(x for x in vs if x is not None)
+        for name, p in shares.items():
+            if not v:
+                assert got[g][name] is None
+                continue
+            h = (len(v) - 1) * p
+            a, b = v[math.floor(h)], v[math.ceil(h)]
+            want = a if a == b else a + (b - a) * (h - math.floor(h))
+            assert got[g][name] == want or math.isclose(got[g][name], want, rel_tol=1e-12), (g, name)
+    whole = sorted(v for _, v, _ in rows if v is not None)
+    assert Q.quantiles(df, [], "x", {"m": 0.0}).first()["m"] == whole[0] and Q.quantiles(df.limit(0), [], "x", {"m": 0.5}).count() == 0
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,), (float("-inf"),), (0.0,)], "x double")
+    assert Q.quantiles(odd, [], "x", {"a": 0.25, "b": 0.5, "c": 0.75}).first()[:3] == (0.0, 1.0, float("inf"))
+
+
 def test_logistic_standard_error(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0), i % 2) for i in range(400)], "id int, y int, x int")
     fit = regression.fit_logistic(df, "y", [], "id")
