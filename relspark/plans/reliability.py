@@ -9,6 +9,7 @@ from ..catalog import register
 from ..functions import answers as A
 from ..functions import rules as R
 from ..operators import reliability as O
+from ..operators.resampling import relabelled
 from ..operators.ranks import running
 from ..sources.tables import hits, judge, scores, sql, table
 
@@ -300,6 +301,19 @@ def _(s, d):
     return O.interval(half.withColumn("estimate", F.try_divide("k", "n") - other), [])
 
 
+@query("boot07_fixed_size_placebo", f"""WITH per AS (SELECT parent_id, count(*) AS n, count(*) FILTER (WHERE truth) AS k, bool_or(arm = 'seen') AS seen FROM {{judge}} GROUP BY 1), t AS (SELECT sum(n) AS n, sum(k) AS k, count(*) FILTER (WHERE seen) AS size FROM per),
+d AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY u, parent_id::VARCHAR) AS place FROM (SELECT * FROM {draws('per', halves=True)})), a AS (SELECT rep, sum(n) AS n, sum(k) AS k FROM d WHERE place <= (SELECT size FROM t) GROUP BY 1), e AS (SELECT a.k / a.n - (t.k - a.k) / (t.n - a.n) AS e FROM a, t)
+SELECT round(quantile_cont(e, 0.025), 6) AS ci_low, round(quantile_cont(e, 0.975), 6) AS ci_high, count(e) AS n_reps, (SELECT size FROM t) AS size FROM e""")
+def _(s, d):
+    """Arms drawn anew over the clusters, each as large as the seen arm is; no difference is expected."""
+    per = judge(s, d).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("truth").alias("k"), F.bool_or(F.col("arm") == "seen").alias("seen"))
+    total = per.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), F.count_if("seen").alias("size"))
+    size = total.first()["size"]
+    arm = relabelled(per, size, ["n", "k"], REPS).crossJoin(F.broadcast(total))  # one row
+    estimate = F.try_divide("k", "n") - F.try_divide(F.col("all_k") - F.col("k"), F.col("all_n") - F.col("n"))
+    return O.interval(arm.withColumn("estimate", estimate), []).withColumn("size", F.lit(size).cast("long"))
+
+
 SXY = "sum(w) AS n, sum(x * w) AS sx, sum(y * w) AS sy, sum(x * y * w) AS sxy, sum(x * x * w) AS sxx"
 
 

@@ -135,6 +135,27 @@ def test_quantiles_are_exact_in_groups_of_any_make(spark, monkeypatch):
     assert Q.quantiles(odd, [], "x", {"a": 0.25, "b": 0.5, "c": 0.75}).first()[:3] == (0.0, 1.0, float("inf"))
 
 
+@pytest.mark.parametrize("spread", [6.0, 0.01])
+def test_relabelled_arms_keep_their_size(spark, spread):
+    """Every replicate against ranking all draws; bounds that are too narrow are widened."""
+    import hashlib
+
+    from relspark.functions.answers import PRIME
+    from relspark.operators import resampling
+
+    rows = [(f"c{i}", float(i % 7), 1.0) for i in range(230)]
+    df = spark.createDataFrame(rows, "parent_id string, k double, n double").repartition(3)
+    for size in (0, 1, 90, 230):
+        got = {r["rep"]: (r["k"], r["n"]) for r in resampling.relabelled(df, size, ["k", "n"], 40, spread=spread).collect()}
+        digest = {c: hashlib.md5(f"{resampling.SEED}:{c}".encode()).hexdigest() for c, _, _ in rows}
+        u = lambda c, rep: (int(digest[c][:8], 16) % PRIME + int(digest[c][8:16], 16) % PRIME * rep) % PRIME
+        for rep in range(40):
+            arm = sorted(rows, key=lambda x: (u(x[0], rep), x[0]))[:size]
+            assert got[rep] == (sum(x[1] for x in arm), size)
+    with pytest.raises(ValueError):
+        resampling.relabelled(df, 231, ["k"], 4)
+
+
 def test_logistic_standard_error(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0), i % 2) for i in range(400)], "id int, y int, x int")
     fit = regression.fit_logistic(df, "y", [], "id")
