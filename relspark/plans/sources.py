@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import ledger
 from ..operators import quantised as Q
 from ..sources import records as S
 from ..sources.tables import hits, table
@@ -108,10 +109,10 @@ def _(s, d):
 
 @query("src27_append_resume", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS round FROM orders")
 def _(s, d):
-    """A sink that was stopped after a third of its rows and started again with all of them."""
+    """A sink that was stopped after a third of its rows and started again with all of them, twice each."""
     path, o = folder(s), table(s, d, "orders").select(F.col("o_orderkey").alias("id"))
-    S.append_once(o.where("id % 3 = 0").withColumn("round", F.lit(1)), path, "id")
-    return S.append_once(o.withColumn("round", F.lit(2)), path, "id")
+    ledger.append_once(o.where("id % 3 = 0").withColumn("round", F.lit(1)), path, "id")
+    return ledger.append_once(o.union(o).withColumn("round", F.lit(2)), path, "id")
 
 
 @query("src11_benchmark_registry", "SELECT * FROM (VALUES ('gsm8k', 'arithmetic'), ('gsm8k_train', 'arithmetic'), ('gsm_symbolic', 'arithmetic'), ('gsm_symbolic_p1', 'arithmetic'), ('gsm_symbolic_p2', 'arithmetic'), ('math', 'mathematical'), ('arc_challenge', 'scientific'), ('logiqa2', 'logical'), ('bbh', 'multi_step'), ('reclor', 'logical'), ('humaneval', 'code')) t(name, skill)")

@@ -85,16 +85,6 @@ def corpus_rows(raw: DataFrame, source: str, order: str, text: str = "text", lim
     return out.select("id", "text", F.lit(source).alias("source"))
 
 
-def append_once(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows of df whose key the table at path does not hold yet, and gives the whole table: a run that stopped goes on there."""
-    spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        df = df.join(spark.read.schema(df.schema).parquet(path).select(key), key, "left_anti").select(*df.columns)
-    df.write.mode("append").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def generations(raw: DataFrame) -> DataFrame:
     return raw.select(first_of("benchmark_id", "id").alias("benchmark_id"), _required(first_of("completion", "prediction", "response"), "a completion").alias("completion"), F.coalesce("model", F.lit("unknown")).alias("model"))
 
