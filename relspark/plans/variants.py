@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import text as T
+from ..operators import ablations as AB
 from ..operators import containment as C
 from ..operators import regression
 from ..operators import variants as V
@@ -76,6 +78,53 @@ def _(s, d):
     return w.join(got, "id", "left").agg(F.count(F.lit(1)).alias("n_items"), F.count("ok").alias("n_feasible"))
 
 
+#: Benchmark texts as word problems: a number is put before each sentence, behind a word that ends in a full stop, and two of them are used.
+NUMBERED = r"""(SELECT id, k, ss, array_to_string(list_transform(ss, lambda s, i: 'No. ' || (k + i) || ' ' || s), ' ') AS p, '<<' || (k + 1) || '+' || (k + 3) || '=' || (2 * k + 4) || '>>' AS r
+FROM (SELECT id, id::INT % 50 + 100 AS k, list_filter(string_split(regexp_replace(trim(prompt), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS ss FROM {items}))"""
+
+
+def numbered(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("id").cast("int") % 50 + 100
+    parts = F.filter(T.sentence_parts(F.trim("prompt")), lambda x: x != "")
+    text = F.array_join(F.transform(parts, lambda x, i: F.concat(F.lit("No. "), (k + i + 1).cast("string"), F.lit(" "), x)), " ")
+    r = F.concat(F.lit("<<"), (k + 1).cast("string"), F.lit("+"), (k + 3).cast("string"), F.lit("="), (2 * k + 4).cast("string"), F.lit(">>"))
+    return items(s, d).select("id", text.alias("prompt"), (2 * k + 4).cast("string").alias("answer"), r.alias("rationale"))
+
+
+PLACE = "list_filter([1, 3], lambda i: i < len(ss))"
+
+
+@query("var14_guarded_deletion", f"""SELECT id || '__del' || (j - 1) AS id, id AS parent_id, 'premise_deletion' AS variant_type, array_to_string(list_filter(list_transform(ss, lambda s, i: CASE WHEN i <> ({PLACE})[j] THEN 'No. ' || (k + i) || ' ' || s END), lambda s: s IS NOT NULL), ' ') AS prompt, NULL::VARCHAR AS answer,
+'No. ' || (k + ({PLACE})[j]) || ' ' || ss[({PLACE})[j]] AS removed, len(ss)::INT AS n_sentences FROM {NUMBERED}, range(1, 3) r2(j) WHERE len(ss) >= 3 AND j <= len({PLACE})""")
+def _(s, d):
+    """Premises of benchmark texts taken away, where the solution's number goes with them; "No. 7" is not cut behind its full stop."""
+    return AB.deletions(numbered(s, d))
+
+
+@query("var15_deletion_manifest", f"""SELECT count(*) AS scanned, count(*) FILTER (WHERE len(ss) < 3) AS too_short, count(*) FILTER (WHERE len(ss) >= 3 AND len({PLACE}) = 0) AS no_removable, count(*) FILTER (WHERE len(ss) >= 3 AND len({PLACE}) > 0) AS kept,
+sum(CASE WHEN len(ss) >= 3 THEN len({PLACE}) ELSE 0 END)::BIGINT AS n_variants, round(count(*) FILTER (WHERE len(ss) >= 3 AND len({PLACE}) > 0) / count(*), 6) AS yield FROM {NUMBERED}""")
+def _(s, d):
+    return AB.deletion_manifest(numbered(s, d))
+
+
+ASKED = r"""(SELECT id, prompt || ' How many are there?' AS p, list_concat(list_filter(string_split(regexp_replace(trim(prompt), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''), ['How many are there?']) AS ss FROM {items})"""
+
+
+@query("var13_two_by_two", f"""WITH c AS (SELECT id, ss, {H("'quantity'")} % 84 + 13 AS n, ({list(AB.OFF_TOPIC)!r})[{H("'topic'")} % 10 + 1] AS topic FROM {ASKED})
+SELECT id || '__' || kind AS id, kind AS variant_type, array_to_string(list_concat(list_concat(ss[1:len(ss) - 1], [replace(replace('{AB.FRAME}', '{{qty}}', CASE WHEN kind = 'offtopic_qty' THEN n::VARCHAR ELSE '{AB.FILLER}' END), '{{topic}}', topic)]), ss[len(ss):len(ss)]), ' ') AS prompt FROM c, (SELECT unnest(['offtopic_noqty', 'offtopic_qty']) AS kind)""")
+def _(s, d):
+    """The two cells off the subject, over benchmark texts with a question behind them; texts and answers hold no number."""
+    x = items(s, d).select("id", F.concat("prompt", F.lit(" How many are there?")).alias("prompt"), F.lit(None).cast("string").alias("answer"))
+    return AB.ablated(x).where("variant_type like 'offtopic%'").select("id", "variant_type", "prompt")
+
+
+@query("var13_violations", "SELECT '0' AS id, 'none' AS problem WHERE false")
+def _(s, d):
+    """No ablation of a benchmark text breaks a promise."""
+    x = numbered(s, d).withColumn("prompt", F.concat("prompt", F.lit(" How many are there?")))
+    return AB.violations(x, AB.ablated(x))
+
+
 @query("var01_var02_var04_var06_suite")
 def _(s, d):
     return V.suite(word_problems(s, d))
