@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .symbolic import equal_formulas
+from .symbolic import equal_answers, equal_formulas
 from .text import boxed_balanced, canonical_number, normalize_answer_text
 
 PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -60,7 +60,7 @@ def correct(pred: Column, gold: Column) -> Column:
     own = F.coalesce(boxed_balanced(gold), gold)
     p, g = canonical_number(pred), canonical_number(own)
     same = F.coalesce((p == g) | (F.upper(F.trim(p)) == F.upper(F.trim(g))) | equivalent(own, pred, F.lit("math")), F.lit(False))
-    return same | F.coalesce(equal_formulas(F.when(~same, own), F.when(~same, pred)), F.lit(False))
+    return same | F.coalesce(equal_answers(gold, pred), F.lit(False))
 
 
 def answer_kind(benchmark: Column, skill: Column, answer: Column, has_choices: Column) -> Column:

@@ -28,6 +28,7 @@ TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d*)?|\.\d+)|\\([A-Za-z]+)|([A-Za-z])|(\*\*|
 FUNCTIONS = ("sin", "cos", "tan", "log", "ln", "exp", "arcsin", "arccos", "arctan", "cot", "sec", "csc")
 #: Left out as they are only set with; then the names of the operators.
 SPACING = re.compile(r"\\left(?![a-z])|\\right(?![a-z])|\\displaystyle|\\[!,;: ]|\\%|[$%]|\\mathrm|\\text\{\s*\}")
+BOX = "\\boxed{"
 PRODUCTS = {"cdot": "*", "times": "*", "div": "/"}
 
 Tree = tuple
@@ -280,6 +281,27 @@ def equal(a: str | None, b: str | None) -> bool:
         return False
 
 
+def unboxed(text: str) -> str:
+    """What the last closed box of a text holds; without one, the text. Boxes are read one after another."""
+    out, at = text, 0
+    while (at := text.find(BOX, at)) >= 0:
+        end, depth = at + len(BOX), 1
+        while end < len(text) and depth:
+            depth += {"{": 1, "}": -1}.get(text[end], 0)
+            end += 1
+        if not depth:
+            out = text[at + len(BOX) : end - 1]
+        at = end
+    return out
+
+
+@F.pandas_udf(BooleanType())
+def equal_answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """equal() of a gold answer, out of its box, and a prediction."""
+    for a, b in batches:
+        yield pd.Series([x is not None and y is not None and equal(unboxed(x), y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
 @F.pandas_udf(BooleanType())
 def equal_formulas(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """equal() of two columns, in Arrow batches; repeated pairs of a batch are compared once."""

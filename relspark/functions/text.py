@@ -30,18 +30,9 @@ were what when where which while who whom why with would you your yours yourself
 makes made take takes day days week weeks month months year years time times left over each every another""".split()
 #: A part that ends so runs on into the next: an abbreviation, an initial, a number cut at its point.
 RUNS_ON = r"(?i)(?:(?:^|[^\p{L}\p{N}_])(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[A-Z])\.|\d\.)$"
-NESTING = 8
 LAST_NUMBER = r"(-?\d[\d,]*\.?\d*)"
 
 
-def boxed_pattern(possessive: str = "+") -> str:
-    r"""\boxed{...} with braces balanced, nested up to NESTING deep; group 1 is what the box holds."""
-    inner = rf"[^{{}}]*{possessive}"
-    for _ in range(NESTING):
-        inner = rf"[^{{}}]*{possessive}(?:\{{{inner}\}}[^{{}}]*{possessive})*{possessive}"
-    return rf"\\boxed\{{({inner})\}}"
-
-
 def _found(x: Column, pattern: str, group: int = 1) -> Column:
     """First match's group, null where there is none."""
     return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, group))
@@ -162,8 +153,24 @@ def extract_boxed(x: Column) -> Column:
 
 
 def boxed_balanced(x: Column) -> Column:
-    """What the last box of balanced braces holds, null without one."""
-    return F.trim(_last(x, boxed_pattern()))
+    """What the last box of balanced braces holds, however deep they are nested; null without one.
+
+    Boxes are read one after another: one in another is a part of it, and a box that is never closed takes in what follows it.
+    """
+    parts = F.regexp_extract_all(x, F.lit(r"(\\boxed\{|[{}]|[^{}\\]+|\\)"), F.lit(1))
+    start = F.struct(*[F.lit(v).alias(k) for k, v in (("at", 0), ("depth", 0), ("open", 0), ("first", -1), ("last", -1))])
+
+    def step(acc: Column, s: Column) -> Column:
+        inside, closes = acc["depth"] > 0, s == "}"
+        depth = F.when(inside & closes, acc["depth"] - 1).when((inside & (s == "{")) | (s == r"\boxed{"), acc["depth"] + 1).otherwise(acc["depth"])
+        ends = inside & closes & (acc["depth"] == 1)
+        return F.struct(
+            (acc["at"] + 1).alias("at"), depth.alias("depth"), F.when(~inside & (s == r"\boxed{"), acc["at"] + 1).otherwise(acc["open"]).alias("open"),
+            F.when(ends, acc["open"]).otherwise(acc["first"]).alias("first"), F.when(ends, acc["at"]).otherwise(acc["last"]).alias("last"),
+        )
+
+    held = lambda ps: _let(F.aggregate(ps, start, step), lambda a: F.when(a["first"] >= 0, F.array_join(F.slice(ps, F.greatest(a["first"], F.lit(0)) + 1, F.greatest(a["last"] - a["first"], F.lit(0))), "")))
+    return F.when(x.contains(r"\boxed{"), F.trim(_let(parts, held)))
 
 
 def extract_styled(x: Column, style: str) -> Column:

@@ -297,7 +297,18 @@ _over("num05_num06_num07_proportions", scores, "{scores}", "benchmark_id",
 
 # Worked answers in boxes, some with nested braces, some after a marker.
 WORKED = r"(SELECT benchmark_id, gold, completion || CASE gold::INT % 5 WHEN 0 THEN ' \boxed{\frac{' || gold || '}{7}}' WHEN 1 THEN ' \boxed{\text{' || gold || '}} then \boxed{x' WHEN 2 THEN chr(10) || '#### ' || gold WHEN 3 THEN ' \boxed{' || gold || '} or #### 9' ELSE '' END AS t FROM {completions})"
-BALANCED = f"trim(regexp_extract_all(t, '{q(T.boxed_pattern(''))}', 1)[-1])"
+NESTING = 8  # deep enough for the texts below; SQL has no way to count braces
+
+
+def boxed_pattern(possessive: str = "+") -> str:
+    r"""For SQL: \boxed{...} with braces balanced, nested up to NESTING deep; group 1 is what the box holds."""
+    inner = rf"[^{{}}]*{possessive}"
+    for _ in range(NESTING):
+        inner = rf"[^{{}}]*{possessive}(?:\{{{inner}\}}[^{{}}]*{possessive})*{possessive}"
+    return rf"\\boxed\{{({inner})\}}"
+
+
+BALANCED = f"trim(regexp_extract_all(t, '{q(boxed_pattern(''))}', 1)[-1])"
 
 
 def worked(spark: SparkSession, sf_dir: str) -> DataFrame:

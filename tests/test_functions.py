@@ -39,6 +39,12 @@ def test_formulas_are_equal_by_value(spark):
     assert kinds.where("m").count() >= len(equal) and kinds.where("t and a = 'x^2-1'").count() == 0
 
 
+def test_predictions_are_held_against_boxed_golds(spark):
+    cases = [(r"so \boxed{\frac{\sqrt{2}}{2}} it is", r"\frac{1}{\sqrt{2}}", True), (r"\boxed{x^2-1}", "(x-1)(x+1)", True), (r"\boxed{x^2}", "x", False), (r"\boxed{\text{5}}", "5.0", True), ("7", None, False), (None, "7", False), ("a", "A", True)]
+    rows = spark.createDataFrame(cases, "g string, p string, want boolean").select("want", A.correct(F.col("p"), F.col("g")).alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
 def test_random_polynomials_are_told_apart():
     import random
 
@@ -49,6 +55,19 @@ def test_random_polynomials_are_told_apart():
         assert symbolic.equal(f"({a}x+({b}))({c}x+({d}))", expanded) and not symbolic.equal(f"({a}x+({b}))({c}x+({d}))", expanded + "+x")
 
 
+def test_boxes_of_any_depth(spark):
+    deep = "x"
+    for _ in range(30):
+        deep = "{a" + deep + "}"
+    cases = {
+        r"\boxed{42}": "42", r"\boxed{" + deep + "} end": deep, r"a \boxed{1} b \boxed{\frac{2}{3}} c": r"\frac{2}{3}", r"\boxed{1} then \boxed{x": "1", r"\boxed{a \boxed{b} c}": r"a \boxed{b} c",
+        r"\boxed{x and \boxed{b}": None, "none": None, r"} \boxed{} {": "", r"\boxed{ {1} }}": "{1}", r"\box{1} \boxed {2}": None, r"\\boxed{7\}": "7\\",
+    }
+    for text, want in cases.items():
+        assert value(spark, T.boxed_balanced(F.lit(text))) == want, text
+    assert value(spark, T.boxed_balanced(F.lit(None).cast("string"))) is None
+
+
 def test_grams_of_short_texts(spark):
     assert value(spark, T.word_grams(T.tokens(F.lit("one two")))) == ["one two"]
     assert value(spark, T.word_grams(T.tokens(F.lit("one two")), short=False)) == []
