@@ -9,6 +9,7 @@ that the hashes of all grams are rows and the join is left to the planner, which
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from ..functions.text import normalize_text, plain_tokens, tokens, word_grams
 from ..staging import staged
 from .ranks import ranked
 
-BROADCAST, LEAST = 500_000, 0.45
+BROADCAST, LEAST, HELD = 500_000, 0.45, 1 << 20  # HELD: characters of all items
 BLOCK, CACHE, HIGH, ODD = 1 << 22, 1 << 17, 22, np.uint64(0x9E3779B97F4A7C15)  # bytes of a block, cached words, bits of the table, base of the rolled hash
 #: ASCII punctuation as blanks, as normalize_text() has it; and all but a-z and 0-9, as plain_tokens() has it.
 PUNCTUATION = bytes(32 if 0x21 <= b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7E else b for b in range(256))
@@ -217,14 +218,101 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
+def _windows(t: str, n: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct n-character windows of a normalised text; a shorter text is one window."""
+    c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.unique(_rolled(c, min(n, len(c)))) if len(c) else np.zeros(0, np.uint64)
+
+
+@dataclass(frozen=True)
+class _Lookup:
+    """Features of all items: sorted hashes, and for each the items that hold it and how often, one after another from `first` on."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    times: np.ndarray
+
+    @staticmethod
+    def of(features: list[tuple[np.ndarray, np.ndarray]]) -> _Lookup:
+        h = np.concatenate([f for f, _ in features]) if features else np.zeros(0, np.uint64)
+        item, times = np.repeat(np.arange(len(features)), [len(f) for f, _ in features]), np.concatenate([n for _, n in features]) if features else np.zeros(0, np.int64)
+        order = np.argsort(h, kind="stable")
+        hashes, first = np.unique(h[order], return_index=True)
+        return _Lookup(hashes, np.append(first, len(h)), item[order], times[order])
+
+    def met(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in h, item, its count) for each item that holds one of the distinct hashes h."""
+        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+        own = np.flatnonzero(self.hashes[at] == h) if len(self.hashes) else np.zeros(0, np.int64)
+        n = self.first[at[own] + 1] - self.first[at[own]]
+        flat = np.arange(n.sum()) + np.repeat(self.first[at[own]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(own) else np.zeros(0, np.int64)
+        return np.repeat(own, n), self.item[flat], self.times[flat]
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], held: tuple) -> Iterator[pa.RecordBatch]:
+    """(id, normalised text) -> (item, doc, score, whole): the pairs with a score of LEAST, or all of whose item's character grams are held."""
+    names, words, chars, n_w, n_c, total, most = held
+    cache, few = _Words(), total < 4
+    for b in batches:
+        rows: list[tuple[int, int, float, bool]] = []
+        for at, text in enumerate(b.column(1)):
+            t = text.as_py()
+            h, n = np.unique(np.fromiter(map(cache.__getitem__, t.encode().split(b" ")), np.uint64), return_counts=True)
+            place, item, times = words.met(h)
+            w, m = np.bincount(item, minlength=len(names)), np.bincount(item, np.minimum(n[place], times), minlength=len(names))
+            g = _windows(t)
+            near = (len(g) * LEAST <= n_c) | few if len(g) <= most else np.zeros(len(names), bool)
+            c = np.where(near, np.bincount(chars.met(g)[1], minlength=len(names)), 0) if near.any() else np.zeros(len(names), np.int64)
+            score = np.maximum(np.maximum(w / (len(h) + n_w - w), c / (len(g) + n_c - c)), m / total)
+            whole = c == n_c
+            rows += [(at, i, float(score[i]), bool(whole[i])) for i in np.flatnonzero((score >= LEAST) | whole).tolist()]
+        cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in cols[1]], pa.string()), b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())], names=["item", "doc", "score", "whole"])
+
+
+def _counted_through(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item, doc, score, whole of lexical_scan()'s pairs, by counting every document through for all items; items: HELD characters at most."""
+    own = [(r["id"], r["t"]) for r in items.select(F.col("id").cast("string").alias("id"), normalize_text(F.col("prompt")).alias("t")).where("t <> ''").collect()]
+    cache = _Words()
+    counts = [np.unique(np.array([cache[x] for x in t.encode().split(b" ")], np.uint64), return_counts=True) for _, t in own]
+    grams = [_windows(t) for _, t in own]
+    number = lambda xs: np.array(xs, np.float64)
+    n_c, total = number([len(g) for g in grams]), number([int(n.sum()) for _, n in counts])
+    most = 1 << 30 if (total < 4).any() else max([len(g) for g in grams], default=0) / LEAST
+    lookups = _Lookup.of(counts), _Lookup.of([(g, np.ones(len(g), np.int64)) for g in grams])
+    held = docs.sparkSession.sparkContext.broadcast(([i for i, _ in own], *lookups, number([len(h) for h, _ in counts]), n_c, total, most))
+    texts = docs.select(F.col("id").cast("string").alias("id"), normalize_text(F.col("text")).alias("t")).where("t <> ''")
+    pairs = texts.mapInArrow(lambda b: _pairs(b, held.value), "item string, doc string, score double, whole boolean")
+    return pairs.select(F.col("item").cast(items.schema["id"].dataType).alias("item"), F.col("doc").cast(docs.schema["id"].dataType).alias("doc"), "score", "whole")
+
+
 def lexical_scan(items: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """item, doc, score, label: the k best labelled documents of each item by word Jaccard, character 5-gram Jaccard or weighted word overlap.
 
-    Candidates share one of an item's rarest features; only they are counted through, by an inverted index of all features. A Jaccard of
+    While the items have HELD characters at most, their features go to all tasks and each document is counted through where it is. Beyond
+    that candidates share one of an item's rarest features; only they are counted through, by an inverted index of all features. A Jaccard of
     LEAST needs sizes within that ratio, so longer documents are not looked up by character grams unless an item has under four words:
     one of more words whose text a document holds has LEAST by its inner words alone. Texts are compared for the best k only. An item of
     under five characters is found as a word, not within one. Texts without a word have no hit. Ties go to the lesser document id.
     """
+    size = items.agg(F.coalesce(F.sum(F.length("prompt")), F.lit(0)), F.coalesce(F.min(F.size(F.split(normalize_text(F.col("prompt")), " "))), F.lit(0))).first()
+    pairs = _counted_through(items, docs) if size[0] <= HELD else _looked_up(items, docs)
+    least = size[1]
+    own = items.select(F.col("id").alias("item"), normalize_text(F.col("prompt")).alias("it"))
+    texts = docs.select(F.col("id").alias("doc"), normalize_text(F.col("text")).alias("dt"))
+    pairs = staged(pairs, "lexical-pairs")
+    w = Window.partitionBy("item").orderBy(F.desc(F.round("score", 9)), "doc")
+    best = pairs.where(F.col("score") >= LEAST).select("item", "doc", "score")
+    if (least or 0) < 4:
+        low = pairs.where((F.col("score") < LEAST) & F.col("whole")).join(own, "item").join(texts, "doc").where(F.col("dt").contains(F.col("it")))
+        best = best.unionAll(low.select("item", "doc", "score"))
+    best = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    return best.join(own, "item").join(texts, "doc").select("item", "doc", "score", lexical_label(F.col("it"), F.col("dt"), F.col("score")).alias("label"))
+
+
+def _looked_up(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item, doc, score, whole of lexical_scan()'s pairs for any number of items: candidates by an inverted index, which shuffles features."""
     left = _counted(items, "item", "prompt", F.lit(1 << 30))
     widest, least = left.agg(F.max("n_c"), F.min("total")).first()
     most = F.lit(1 << 30 if (least or 0) < 4 else widest / LEAST)
@@ -238,16 +326,7 @@ def lexical_scan(items: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     pairs = hit.groupBy("item", "doc", "n_c", "n_w", "i_n_c", "i_n_w", "i_total").agg(of("c", F.lit(1)).alias("c"), of("w", F.lit(1)).alias("w"), of("w", F.least("n", "i_n")).alias("m"))
     shared = lambda kind: F.col(kind) / (F.col(f"n_{kind}") + F.col(f"i_n_{kind}") - F.col(kind))
     score = F.greatest(shared("w"), shared("c"), F.col("m") / F.col("i_total"))
-    pairs = pairs.select("item", "doc", score.alias("score"), (F.col("c") == F.col("i_n_c")).alias("whole")).where((F.col("score") >= LEAST) | F.col("whole"))
-    own = items.select(F.col("id").alias("item"), normalize_text(F.col("prompt")).alias("it"))
-    texts = docs.select(F.col("id").alias("doc"), normalize_text(F.col("text")).alias("dt"))
-    w = Window.partitionBy("item").orderBy(F.desc(F.round("score", 9)), "doc")
-    best = pairs.where(F.col("score") >= LEAST).select("item", "doc", "score")
-    if (least or 0) < 4:
-        low = pairs.where((F.col("score") < LEAST) & F.col("whole")).join(own, "item").join(texts, "doc").where(F.col("dt").contains(F.col("it")))
-        best = best.unionAll(low.select("item", "doc", "score"))
-    best = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    return best.join(own, "item").join(texts, "doc").select("item", "doc", "score", lexical_label(F.col("it"), F.col("dt"), F.col("score")).alias("label"))
+    return pairs.select("item", "doc", score.alias("score"), (F.col("c") == F.col("i_n_c")).alias("whole")).where((F.col("score") >= LEAST) | F.col("whole"))
 
 
 def route_attribution(items: DataFrame, docs: DataFrame, threshold: float = 0.8, n: int = 13) -> DataFrame:

@@ -47,6 +47,23 @@ def test_gram_kernel_against_brute_force(spark, monkeypatch):
     assert C.matches(own, y.limit(0)).count() == 0 and C.matches(own.limit(0), y).count() == 0
 
 
+def test_both_lexical_scans_agree(spark, monkeypatch):
+    import random
+
+    r = random.Random(12)
+    text = lambda n: " ".join(r.choice(["alpha", "Beta", "gamma,", "délta", "x", "42", "of"]) for _ in range(n))
+    docs = [(f"d{i}", text(r.randint(0, 40))) for i in range(60)] + [("null", None), ("in", "xx beta alpha42 yy"), ("tiny", "x of")]
+    for least in (4, 1):
+        items = [(f"i{i}", docs[i][1] + " " + text(r.randint(0, 12))) for i in range(20) if len(docs[i][1].split()) >= 4] + ([("s", "alpha"), ("t", "eta"), ("e", "")] if least == 1 else [])
+        x, y = spark.createDataFrame(items, "id string, prompt string"), spark.createDataFrame(docs, "id string, text string").repartition(3)
+        rows = lambda: sorted((v["item"], v["doc"], round(v["score"], 9), v["label"]) for v in C.lexical_scan(x, y).collect())
+        whole = rows()
+        with monkeypatch.context() as m:
+            m.setattr(C, "HELD", -1)
+            assert rows() == whole and len(whole) > 20
+    assert C.lexical_scan(x, y.limit(0)).count() == 0 and C.lexical_scan(x.limit(0), y).count() == 0
+
+
 def test_planted_items_are_seen(spark):
     items = spark.createDataFrame([(f"{k}{i}", words(f"{k}{i}x", 20)) for k in "pu" for i in range(5)], "id string, prompt string")
     docs = spark.createDataFrame([(f"d{i}", "noise before " + words(f"p{i}x", 20) + " and after") for i in range(5)] + [("n", words("z", 90))], "id string, text string")
