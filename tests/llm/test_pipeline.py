@@ -103,4 +103,4 @@ def test_registration():
     import __spark_entry__ as e
 
     q = e.queries()
-    assert "pipeline" in q and [n for n, _ in P.STAGES] and sum(k.startswith("op") for k in q) == 10
+    assert "pipeline" in q and [n for n, _ in P.STAGES] and sum(k.startswith("op") for k in q) == 13
