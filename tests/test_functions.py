@@ -1,3 +1,4 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from relspark.functions import answers as A
@@ -19,6 +20,18 @@ def test_answers_are_extracted(spark):
         assert value(spark, f(F.lit(text))) == want, text
 
 
+def test_words_end_where_sql_ends_them(spark):
+    cases = [
+        (T.final_answer, "Noñ 3/4", "No"), (T.final_answer, "Yesé, 687865", "Yes"), (T.normalize_answer, "Noñ 3/4", "no"), (T.normalize_answer, "#### «the cat», a dog", "«the cat» dog"), (T.extract_yes_no, "ñno yes", "no"), (T.extract_yes_no, "casino", "casino"),
+        (T.extract_choice, "#### éB", "B"), (T.extract_choice, "#### dß or ſc", "D"), (T.after_hash, "#### 5\u2028x", "5\u2028x"), (lambda x: T.abstains(x).cast("string"), "ñcannot be solved", "true"), (lambda x: T.order_safe(x).cast("string"), "ñshe", "false"),
+    ]
+    con = duckdb.connect()
+    for f, text, want in cases:
+        assert value(spark, f(F.lit(text))) == want, text
+        for pattern in (T.PHRASE, T.ANSWER_IS, T.ABSTAIN, T.PRONOUN, r"(?i)\b(yes|no|true|false)\b", r"(?m)####\s*(.+?)\s*$", r"a\sb"):
+            assert value(spark, F.lit(text).rlike(T.as_sql(pattern))) == con.execute("SELECT regexp_matches(?, ?)", [text, pattern]).fetchone()[0], (text, pattern)
+
+
 def test_text_normalisation_keeps_letters_of_any_alphabet(spark):
     assert value(spark, T.normalize_text(F.lit("  Él, (no)  dijo: «sí»!"))) == "él no dijo «sí»"
     assert value(spark, T.plain_tokens(F.lit("Él dijo 4x"))) == ["l", "dijo", "4x"]
