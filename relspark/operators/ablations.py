@@ -51,12 +51,21 @@ def question_at(parts: Column) -> Column:
 
 
 def _prepared(items: DataFrame) -> DataFrame:
-    parts = F.filter(whole_sentences(F.trim(F.coalesce("prompt", F.lit("")))), lambda p: F.trim(p) != "")
-    return items.select("id", F.coalesce("prompt", F.lit("")).alias("prompt"), "answer", parts.alias("parts")).withColumn("q", question_at(F.col("parts")))
+    asked = F.trim(F.coalesce("question", F.lit(""))) if "question" in items.columns else F.lit("")
+    df = items.select("id", F.concat_ws(" ", "prompt", asked).alias("prompt"), "answer", _parts(items).alias("parts"), asked.alias("asked"))
+    return df.withColumn("q", F.when(F.col("asked") != "", F.size("parts") - 1).otherwise(question_at(F.col("parts")))).drop("asked")
+
+
+def _parts(items: DataFrame) -> Column:
+    """Sentences of the prompt and, behind them, the question where it is given apart: no sentence before it runs on into that."""
+    parts = whole_sentences(F.trim(F.coalesce("prompt", F.lit(""))))
+    parts = F.concat(parts, F.array(F.coalesce("question", F.lit("")))) if "question" in items.columns else parts
+    return F.filter(parts, lambda p: F.trim(p) != "")
 
 
 def ablated(items: DataFrame) -> DataFrame:
-    """id, parent_id, variant_type, prompt, answer, sentence, number of each item's ablations; items: id, prompt, answer.
+    """id, parent_id, variant_type, prompt, answer, sentence, number of each item's ablations; items: id, prompt, answer, or beside them
+    the question, where it stands behind the prompt as a sentence of its own.
 
     Four have one inserted sentence before the question, on the item's own subject or on none, with a number from LOW to HIGH that stands
     nowhere in the item or without one; `reorder_safe` has its premises in another order where nothing binds them to one another. Items of
@@ -95,8 +104,10 @@ def _reordered(df: DataFrame) -> DataFrame:
 
 def violations(items: DataFrame, variants: DataFrame) -> DataFrame:
     """id, problem of each promise that a finished ablation breaks: the answer kept, the sentence there, its number new, none where none is
-    due, the rest of the prompt and, of a new order, the sentences as they were. items: id, prompt, answer; variants as of ablated()."""
-    own = items.select(F.col("id").alias("parent_id"), F.coalesce("prompt", F.lit("")).alias("was"), F.col("answer").alias("due"))
+    due, the rest of the prompt and, of a new order, the sentences as they were. items as for ablated(); variants as it returns them."""
+    apart = "question" in items.columns
+    was = _joined(_parts(items)) if apart else F.coalesce("prompt", F.lit(""))
+    own = items.select(F.col("id").alias("parent_id"), was.alias("was"), F.col("answer").alias("due"))
     df = variants.join(own, "parent_id", "left")
     sentences = lambda x: F.sort_array(F.transform(F.filter(whole_sentences(F.trim(x)), lambda p: F.trim(p) != ""), F.trim))
     moved, number = F.col("variant_type") == "reorder_safe", F.col("number").cast("decimal(38,0)")
@@ -108,7 +119,8 @@ def violations(items: DataFrame, variants: DataFrame) -> DataFrame:
         "sentences changed": moved & (sentences(text) != sentences(F.col("was"))),
         "order unchanged": moved & (_joined(whole_sentences(F.trim("was"))) == text),
         "sentence missing": ~moved & ~F.coalesce(text.contains(F.col("sentence")), F.lit(False)),
-        "prompt altered": ~moved & (left_out != F.array_sort(F.array_distinct(sentences(F.col("was"))))),
+        # Before a question given apart, the inserted sentence may stand behind one that seems to run on.
+        "prompt altered": ~moved & ((F.replace(text, F.concat("sentence", F.lit(" ")), F.lit("")) != F.col("was")) if apart else (left_out != F.array_sort(F.array_distinct(sentences(F.col("was")))))),
         "number stands in the item": ~moved & (F.array_contains(integers(F.col("was")), number) | (F.abs(gold(F.col("due"))) == number)),
         "number in a cell without": ~moved & F.col("number").isNull() & F.col("sentence").rlike(r"\d"),
     }

@@ -114,7 +114,7 @@ ASKED = r"""(SELECT id, prompt || ' How many are there?' AS p, list_concat(list_
 SELECT id || '__' || kind AS id, kind AS variant_type, array_to_string(list_concat(list_concat(ss[1:len(ss) - 1], [replace(replace('{AB.FRAME}', '{{qty}}', CASE WHEN kind = 'offtopic_qty' THEN n::VARCHAR ELSE '{AB.FILLER}' END), '{{topic}}', topic)]), ss[len(ss):len(ss)]), ' ') AS prompt FROM c, (SELECT unnest(['offtopic_noqty', 'offtopic_qty']) AS kind)""")
 def _(s, d):
     """The two cells off the subject, over benchmark texts with a question behind them; texts and answers hold no number."""
-    x = items(s, d).select("id", F.concat("prompt", F.lit(" How many are there?")).alias("prompt"), F.lit(None).cast("string").alias("answer"))
+    x = items(s, d).select("id", "prompt", F.lit("How many are there?").alias("question"), F.lit(None).cast("string").alias("answer"))
     return AB.ablated(x).where("variant_type like 'offtopic%'").select("id", "variant_type", "prompt")
 
 

@@ -25,6 +25,18 @@ def test_ablations_keep_their_promises(spark):
     assert ablations.violations(x, ablations.ablated(x)).count() == 0 and ablations.ablated(x.limit(0)).count() == 0
 
 
+def test_a_question_given_apart_stands_alone(spark):
+    x = spark.createDataFrame([("a", "One thing is. It met a.", None, "How many?"), ("b", "Then one st.", None, "How many?"), ("c", "No end", None, "How many?"), ("d", "One. Two?", None, None)], "id string, prompt string, answer string, question string")
+    v = ablations.ablated(x)
+    got = {r["id"]: r["prompt"] for r in v.where("variant_type = 'offtopic_noqty'").collect()}
+    assert got["d__offtopic_noqty"].startswith("One. A separate") and got["d__offtopic_noqty"].endswith("question. Two?")
+    for row in x.where("question is not null").collect():
+        p = got[f"{row['id']}__offtopic_noqty"]
+        assert p.startswith(row["prompt"] + " A separate log listing several") and p.endswith(" this question. How many?")
+    assert ablations.violations(x, v).count() == 0
+    assert "prompt altered" in {r["problem"] for r in ablations.violations(x, v.withColumn("prompt", F.replace("prompt", F.lit("One"), F.lit("Two")))).collect()}
+
+
 def test_broken_promises_are_found(spark):
     x = items(spark)
     v = ablations.ablated(x).where("parent_id = 'a'")
