@@ -32,6 +32,14 @@ def test_words_end_where_sql_ends_them(spark):
             assert value(spark, F.lit(text).rlike(T.as_sql(pattern))) == con.execute("SELECT regexp_matches(?, ?)", [text, pattern]).fetchone()[0], (text, pattern)
 
 
+def test_whole_sentences_are_made_once_a_text(spark):
+    df = spark.range(1).select(T.whole_sentences(F.lit("Dr. No met J. R. at 5. He left! Why? No. 7")).alias("v"))
+    assert df.first()["v"] == ["Dr. No met J. R. at 5. He left!", "Why?", "No. 7"]
+    assert df._jdf.queryExecution().analyzed().toString().count("split(trim(") == 1
+    long = spark.range(1).select(F.size(T.whole_sentences(F.repeat(F.lit("So it is. "), 20_000))).alias("n"))
+    assert long.first()["n"] == 20_000
+
+
 def test_text_normalisation_keeps_letters_of_any_alphabet(spark):
     assert value(spark, T.normalize_text(F.lit("  Él, (no)  dijo: «sí»!"))) == "él no dijo «sí»"
     assert value(spark, T.plain_tokens(F.lit("Él dijo 4x"))) == ["l", "dijo", "4x"]
