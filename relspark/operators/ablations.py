@@ -86,7 +86,7 @@ def ablated(items: DataFrame) -> DataFrame:
 
 
 def _joined(parts: Column) -> Column:
-    return F.array_join(F.transform(parts, F.trim), " ")
+    return F.array_join(F.transform(parts, lambda p: F.trim(p)), " ")  # trim alone would be given the place as well
 
 
 def _reordered(df: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def violations(items: DataFrame, variants: DataFrame) -> DataFrame:
     was = _joined(_parts(items)) if apart else F.coalesce("prompt", F.lit(""))
     own = items.select(F.col("id").alias("parent_id"), was.alias("was"), F.col("answer").alias("due"))
     df = variants.join(own, "parent_id", "left")
-    sentences = lambda x: F.sort_array(F.transform(F.filter(whole_sentences(F.trim(x)), lambda p: F.trim(p) != ""), F.trim))
+    sentences = lambda x: F.sort_array(F.transform(F.filter(whole_sentences(F.trim(x)), lambda p: F.trim(p) != ""), lambda p: F.trim(p)))
     moved, number = F.col("variant_type") == "reorder_safe", F.col("number").cast("decimal(38,0)")
     text = F.coalesce("prompt", F.lit(""))
     left_out = F.array_sort(F.array_except(sentences(text), F.array(F.coalesce("sentence", F.lit("")))))

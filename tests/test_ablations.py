@@ -26,7 +26,7 @@ def test_ablations_keep_their_promises(spark):
 
 
 def test_a_question_given_apart_stands_alone(spark):
-    x = spark.createDataFrame([("a", "One thing is. It met a.", None, "How many?"), ("b", "Then one st.", None, "How many?"), ("c", "No end", None, "How many?"), ("d", "One. Two?", None, None)], "id string, prompt string, answer string, question string")
+    x = spark.createDataFrame([("a", "One thing is. It met a.", None, "How many?"), ("b", "Then one st.", None, "How many?"), ("c", "No end", None, "How many?"), ("d", "One. Two?", None, None), ("e", "0 apples came. 1 went at 1", None, "How many?")], "id string, prompt string, answer string, question string")
     v = ablations.ablated(x)
     got = {r["id"]: r["prompt"] for r in v.where("variant_type = 'offtopic_noqty'").collect()}
     assert got["d__offtopic_noqty"].startswith("One. A separate") and got["d__offtopic_noqty"].endswith("question. Two?")
