@@ -40,6 +40,18 @@ def test_whole_sentences_are_made_once_a_text(spark):
     assert long.first()["n"] == 20_000
 
 
+def test_nouns_are_counted_where_they_are(spark):
+    from relspark.plans.text_functions import nouns
+
+    texts = [("a", "Pens cost more than these pens; paper cost"), ("b", "that this with"), ("c", None), ("d", "zebra apple zebra apple"), ("e", "apple Books zebra")]
+    df = spark.createDataFrame(texts, "benchmark_id string, completion string")
+    want = {"a": "pens", "d": "zebra", "e": "books"}
+    got = nouns(df)
+    assert dict(got.collect()) == want and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    again = df.unionAll(spark.createDataFrame([("d", "apple pear"), ("d", None)], df.schema))
+    assert dict(nouns(again).collect()) == want | {"d": "apple"}
+
+
 def test_text_normalisation_keeps_letters_of_any_alphabet(spark):
     assert value(spark, T.normalize_text(F.lit("  Él, (no)  dijo: «sí»!"))) == "él no dijo «sí»"
     assert value(spark, T.plain_tokens(F.lit("Él dijo 4x"))) == ["l", "dijo", "4x"]
