@@ -11,17 +11,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..staging import dealt, dropped, fresh, staged  # noqa: F401
+from ..staging import dealt, dropped, fresh, small_batches, staged  # noqa: F401
 
 
 IN_MEMORY = 1 << 20  # edges that one task holds
-BATCH_KEY, DEFAULT_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH bytes at most, unless the session says otherwise: a batch of long texts has to fit in a worker many times over."""
-    if spark.conf.get(BATCH_KEY) == DEFAULT_BATCH:
-        spark.conf.set(BATCH_KEY, BATCH)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

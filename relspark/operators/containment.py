@@ -20,11 +20,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.rules import containment_verdict, lexical_label
 from ..functions.text import normalize_text, plain_tokens, tokens, word_grams
-from ..staging import staged
+from ..staging import small_batches, staged
 from .ranks import ranked
 
 BROADCAST, LEAST, HELD = 500_000, 0.45, 1 << 20  # HELD: characters of all items
-BLOCK, CACHE, HIGH, ODD = 1 << 22, 1 << 17, 22, np.uint64(0x9E3779B97F4A7C15)  # bytes of a block, cached words, bits of the table, base of the rolled hash
+BLOCK, ROWS, CACHE, HIGH, ODD = 1 << 19, 256, 1 << 17, 22, np.uint64(0x9E3779B97F4A7C15)  # bytes of a block, rows taken at once, cached words, bits of the table, base of the rolled hash
 #: ASCII punctuation as blanks, as normalize_text() has it; and all but a-z and 0-9, as plain_tokens() has it.
 PUNCTUATION = bytes(32 if 0x21 <= b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7E else b for b in range(256))
 PLAIN = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 32 for b in range(256))
@@ -67,12 +67,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
     """(ids, texts) of BLOCK bytes or one row more."""
     for b in batches:
         ids, texts, size = [], [], 0
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            if (size := size + len(t)) >= BLOCK:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+        for at in range(0, b.num_rows, ROWS):  # not the whole batch as Python's values at once
+            some = b.slice(at, ROWS)
+            for i, t in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t)
+                if (size := size + len(t)) >= BLOCK:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
         if ids:
             yield ids, texts
 
@@ -128,6 +130,7 @@ def hits(items: DataFrame, docs: DataFrame, n: int = 13, plain: bool = False) ->
     left = items.select(F.col("id").alias("item"), F.size("g").alias("n_grams"), F.posexplode("g").alias("place", "gram"))
     own = left.select("gram").distinct()
     wanted = np.unique(own.mapInArrow(_hashed, "h long").toArrow().column(0).to_numpy().view(np.uint64))  # BROADCAST longs at most
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(wanted)
     texts = docs.select(F.col("id").cast("string").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     hit = texts.mapInArrow(lambda b: _scan(b, held.value, n, plain), StructType([StructField("doc", StringType()), StructField("gram", StringType())]))

@@ -23,6 +23,18 @@ def test_union_and_maximum_differ(spark):
     assert all_["k"]["verdict"] == "too_short" and top["k"]["n_grams"] == 1
 
 
+def test_the_scan_holds_a_part_of_a_batch(spark):
+    import pyarrow as pa
+
+    rows = 5_000
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(rows)]), pa.array([words("x", 100 + i % 50) for i in range(rows)])], names=["id", "text"])
+    blocks = list(C._blocks(iter([batch])))
+    assert max(sum(map(len, texts)) for _, texts in blocks) < C.BLOCK + 1_000 <= (1 << 20) and [i for ids, _ in blocks for i in ids] == batch.column(0).to_pylist()
+    docs = spark.createDataFrame([("a", words("w", 20))], "id string, text string")
+    C.matches(spark.createDataFrame([("i", [words("w", 13)])], "id string, g array<string>"), docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
 def test_gram_kernel_against_brute_force(spark, monkeypatch):
     """The one-pass kernel, in blocks of any size, and the shuffled way beyond its bound."""
     import random
