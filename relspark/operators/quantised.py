@@ -55,6 +55,10 @@ class Codec:
             out += tables[:, j * WORDS + codes[:, j].astype(np.int64)]
         return out
 
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """The rows that codes stand for, without their centroid: rows x (parts * dims); products with a query's parts are its scores()."""
+        return np.concatenate([w[codes[:, j]] for j, w in enumerate(self.words)], 1)
+
 
 def fit(index: DataFrame, lists: int | None = None, dims: int = DIMS, sample: int = SAMPLE, rounds: int = 8, seed: int = 6198) -> Codec:
     """Centroids and code words, by k-means on at most `sample` rows of least id hash. dims: dimensions of one part."""
@@ -132,12 +136,12 @@ def search(queries: DataFrame, index: DataFrame, codec: Codec, k: int = 20, prob
                     if not len(by[one]):
                         continue
                     rows = np.flatnonzero(lists == one)
-                    for lo in range(0, len(by[one]), 256):  # tables are made for a few queries at a time
+                    for lo in range(0, len(by[one]), 256):  # a few queries at a time
                         some = by[one][lo : lo + 256]
-                        tables, base = codec.tables(q[some]), q[some] @ codec.centroids[one]
+                        cut, base = codec.parts(q[some]).reshape(len(some), -1), q[some] @ codec.centroids[one]
                         for at in range(0, len(rows), ROWS):
                             r = rows[at : at + ROWS]
-                            s = codec.scores(tables, codes[r]) + base[:, None]
+                            s = cut @ codec.decoded(codes[r]).T + base[:, None]  # as scores(), in one product
                             least = np.partition(s, len(r) - keep, axis=1)[:, len(r) - keep] if len(r) > keep else np.full(len(some), -np.inf)
                             i, j = np.nonzero(s >= least[:, None])
                             more.append((some[i], own[r[j]], s[i, j]))
