@@ -35,6 +35,34 @@ def test_the_scan_holds_a_part_of_a_batch(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
 
 
+def test_texts_are_embedded_where_they_are(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "GRAMS", 5)
+    docs = spark.createDataFrame([(1, "Él dijo: «sí», and then some more"), (2, "abc"), (3, "..."), (4, None), (5, "abcd abcd abcd")], "id long, text string")
+    got = vectors.embedded_texts(docs, 64)
+    want = docs.where("id in (1, 2, 5)").select("id", vectors.hashed_embedding(F.col("text"), 64).alias("e"))
+    a, b = ({r[0]: r[1] for r in x.collect()} for x in (got, want))
+    assert a.keys() == b.keys() and all(np.allclose(a[i], b[i]) for i in a)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_keeps_ties_by_id_over_parts():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x = np.round(r.normal(size=(9_000, 8)))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    ids = r.permutation(len(x)).astype(np.int64)
+    one = vectors.Search(ids[:30], x[:30], 5, True)
+    for at in range(0, len(x), 2_500):
+        one.add(ids[at : at + 2_500], x[at : at + 2_500])
+    got = one.found().to_pydict()
+    s = np.round(x[:30] @ x.T, 9)
+    want = [int(n) for i in range(30) for n in ids[[j for j in np.lexsort((ids, -s[i])) if ids[j] != ids[i]][:5]]]
+    assert got["neighbor"] == want and all((v > -np.inf).all() for v in one.least)
+
+
 def test_gram_kernel_against_brute_force(spark, monkeypatch):
     """The one-pass kernel, in blocks of any size, and the shuffled way beyond its bound."""
     import random
