@@ -2,9 +2,10 @@
 
 All 1- to MAX_N-word runs become rows (lang, phrase, count), tasks adding up what they hold before it is shuffled, and are counted by
 language and phrase. A phrase found `least` times has only parts that are found as often, so longer runs are made only where each pair
-of words in them is frequent: two bitmaps, of the frequent words' and of the frequent word pairs' hashes, tell where. They have at most
-MAX_BITS bits whatever the corpus; a hash that clashes or a full bitmap makes more rows, which the exact counts of whole phrases then
-drop, and never loses one. Frequent phrases join the counts of the two sides of each cut, are scored in decimals of 38 digits, lose
+of words in them is frequent: two bitmaps, of the frequent words' and of the frequent word pairs' hashes, tell where. Most runs of three
+words and more that pass are rare all the same, so these are first counted by slots of their hashes, up to `least`: a third bitmap holds
+the slots that reach it. The bitmaps have at most MAX_BITS bits whatever the corpus; a hash that clashes or a full bitmap makes more rows,
+which the exact counts of whole phrases then drop, and never loses one. Frequent phrases join the counts of the two sides of each cut, are scored in decimals of 38 digits, lose
 those that a one-word extension replaces, and are ranked in a window, of which each task sends on its best `top` alone.
 """
 
@@ -25,6 +26,7 @@ from .common import staged
 MAX_N, LEAST, TOP, NO_LANG = 5, 100, 2_000, "und"
 CHUNK, HELD, CACHE = 1 << 21, 1 << 18, 1 << 17  # bytes at once, counts held by a task, cached word hashes
 MIN_BITS, MAX_BITS, BITMAP = 1 << 20, 1 << 28, 1 << 15  # BITMAP: bits of one row of bitmap_construct_agg
+SPARSE, SLOTS, WORDS_A_SLOT, SENT = 128, 1 << 27, 8, 64  # bits for each hash, the most slots, words for each slot, BITMAPs of slots in one batch
 #: A-Z in lower case; a tab is a blank, what ends a piece a line feed. No byte of a longer UTF-8 character is below 128.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 PIECES, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
@@ -113,30 +115,38 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from held.rows(1)
 
 
-def bitmap(hashes: DataFrame, col: str, rows: int) -> np.ndarray:
-    """Bits of the hashes' low ends as bytes, lowest bit first: sixteen for each of `rows` hashes, MIN_BITS to MAX_BITS in all."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(1, rows) - 1).bit_length()))
-    at = F.col(col).bitwiseAND(F.lit(bits - 1))
-    parts = hashes.groupBy(F.floor(at / BITMAP).alias("i")).agg(F.bitmap_construct_agg((at % BITMAP).cast("long")).alias("b"))
+def _bits(parts: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of rows (i, b): bytes b from bit i * BITMAP on; bits / BITMAP rows at most."""
     out = np.zeros(bits // 8, np.uint8)
-    for r in parts.toLocalIterator():  # bits / BITMAP rows at most
+    for r in parts.toLocalIterator():
         out[r["i"] * BITMAP // 8 : (r["i"] + 1) * BITMAP // 8] = np.frombuffer(r["b"], np.uint8)
     return out
 
 
+def bitmap(hashes: DataFrame, col: str, rows: int) -> np.ndarray:
+    """Bits of the hashes' low ends as bytes, lowest bit first: SPARSE for each of `rows` hashes, MIN_BITS to MAX_BITS in all."""
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (SPARSE * max(1, rows) - 1).bit_length()))
+    at = F.col(col).bitwiseAND(F.lit(bits - 1))
+    return _bits(hashes.groupBy(F.floor(at / BITMAP).alias("i")).agg(F.bitmap_construct_agg((at % BITMAP).cast("long")).alias("b")), bits)
+
+
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = (h & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
     return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def _paired(words: list[bytes], piece: np.ndarray, hashes: _Hashes, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word but the last: may it make a frequent pair with the next, and the pair's hash."""
+def _longer(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hashes of runs one word longer: of runs g and the words h that follow them."""
+    with np.errstate(over="ignore"):
+        out = g * np.uint64(0x9E3779B97F4A7C15) + h
+    return out ^ out >> np.uint64(31)
+
+
+def _paired(words: list[bytes], piece: np.ndarray, hashes: _Hashes, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word but the last: may it make a frequent pair with the next, and the pair's hash; the hash of each word."""
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     ok = _in(frequent, h)
-    with np.errstate(over="ignore"):
-        pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
-        pair ^= pair >> np.uint64(31)
-    return ok[:-1] & ok[1:] & (piece[:-1] == piece[1:]), pair
+    return ok[:-1] & ok[1:] & (piece[:-1] == piece[1:]), _longer(h[:-1], h[1:]), h
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -151,7 +161,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], frequent: Broadcast) -> Iterator[p
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     for lang, words, piece, old in _runs(batches, 2):
-        ok, pair = _paired(words, piece, by.setdefault(lang, _Hashes(lang)), frequent.value)
+        ok, pair, _ = _paired(words, piece, by.setdefault(lang, _Hashes(lang)), frequent.value)
         held.append(pair[ok])  # the one word that comes again makes pairs with new ones only
         full += len(held[-1])
         if full >= 8 * HELD:
@@ -161,18 +171,58 @@ def _pairs(batches: Iterator[pa.RecordBatch], frequent: Broadcast) -> Iterator[p
         yield counted()
 
 
-def _phrases(batches: Iterator[pa.RecordBatch], frequent: Broadcast, pairs: Broadcast, max_n: int) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, phrase, n) of the runs of 2 to max_n words whose pairs are all marked as frequent."""
+def _candidates(batches: Iterator[pa.RecordBatch], frequent: Broadcast, pairs: Broadcast, max_n: int, marked: Broadcast | None = None) -> Iterator[tuple[bytes, list[bytes], list[tuple[np.ndarray, np.ndarray]]]]:
+    """(lang, words, starts and hashes of its runs of 2, 3, ... max_n words) of each part: runs whose pairs, and longer runs if `marked` is given, are all marked."""
     by: dict[bytes, _Hashes] = {}
-    held = _Held()
     for lang, words, piece, old in _runs(batches, max_n):
-        ok, pair = _paired(words, piece, by.setdefault(lang, _Hashes(lang)), frequent.value)
-        linked = ok & _in(pairs.value, pair)
-        run = linked
+        ok, g, h = _paired(words, piece, by.setdefault(lang, _Hashes(lang)), frequent.value)
+        run, out = ok & _in(pairs.value, g), []
         for n in range(2, max_n + 1):
+            if n > 2:
+                g, run = _longer(g[:-1], h[n - 1 :]), run[:-1] & run[1:]
             at = np.flatnonzero(run)
-            held.add(lang, [b" ".join(words[i : i + n]) for i in at[at + n > old].tolist()])
-            run = run[:-1] & linked[n - 1 :]
+            if n > 2 and marked is not None:
+                at = at[_in(marked.value, g[at])]
+                run = np.zeros(len(run), bool)
+                run[at] = True
+            at = at[at + n > old]
+            out.append((at, g[at]))
+        yield lang, words, out
+
+
+def _slotted(batches: Iterator[pa.RecordBatch], frequent: Broadcast, pairs: Broadcast, max_n: int, slots: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (i, at, n): of the BITMAP slots from i * BITMAP on those that runs of 3 to max_n words fall into, and how many do, `least` at most."""
+    seen = np.zeros(slots, np.min_scalar_type(least))
+    for _, _, runs in _candidates(batches, frequent, pairs, max_n):
+        slot, n = np.unique(np.concatenate([g for _, g in runs[1:]]) & np.uint64(slots - 1), return_counts=True)
+        slot = slot.astype(np.int64)
+        seen[slot] = np.minimum(seen[slot] + n, least)
+    for first in range(0, slots, SENT * BITMAP):
+        rows = [(i, np.flatnonzero(x), x) for i, x in enumerate(seen[first : first + SENT * BITMAP].reshape(-1, BITMAP), first // BITMAP)]
+        rows = [(i, at.astype(np.uint16).tobytes(), x[at].tobytes()) for i, at, x in rows if len(at)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["i", "at", "n"])
+
+
+def _full(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (i, b): the bits of the slots that `least` runs or more fall into, in all rows of one i together."""
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if i not in held:
+                held[i] = np.zeros(BITMAP, np.min_scalar_type(least))
+            at = np.frombuffer(at, np.uint16)
+            held[i][at] = np.minimum(held[i][at] + np.frombuffer(n, np.min_scalar_type(least)).astype(np.int64), least)
+    for i, x in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.packbits(x >= least, bitorder="little").tobytes()], pa.binary())], names=["i", "b"])
+
+
+def _phrases(batches: Iterator[pa.RecordBatch], frequent: Broadcast, pairs: Broadcast, max_n: int, marked: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, phrase, n) of the candidate runs of 2 to max_n words."""
+    held = _Held()
+    for lang, words, runs in _candidates(batches, frequent, pairs, max_n, marked):
+        for n, (at, _) in enumerate(runs, 2):
+            held.add(lang, [b" ".join(words[i : i + n]) for i in at.tolist()])
         yield from held.rows()
     yield from held.rows(1)
 
@@ -192,10 +242,17 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, lang_
     # A clash of two pairs' hashes adds up their counts: one more pair is marked, none is lost.
     counts = texts.mapInArrow(lambda b: _pairs(b, frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     pairs = sent(staged(counts.select("h"), "pairs"))
-    longer = texts.mapInArrow(lambda b: _phrases(b, frequent, pairs, max_n), schema).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # As many tasks as cores: each adds up a phrase once, so the rows shuffled grow with the phrases and not with the files as well.
+    few = texts.coalesce(spark.sparkContext.defaultParallelism)
+    marked = None
+    if max_n > 2:
+        slots = min(SLOTS, max(MIN_BITS, 1 << ((words.agg(F.sum("n")).first()[0] or 0) // WORDS_A_SLOT).bit_length()))
+        tallies = few.mapInArrow(lambda b: _slotted(b, frequent, pairs, max_n, slots, least), "i long, at binary, n binary")
+        marked = spark.sparkContext.broadcast(_bits(tallies.repartition("i").mapInArrow(lambda b: _full(b, least), "i long, b binary"), slots))
+    longer = few.mapInArrow(lambda b: _phrases(b, frequent, pairs, max_n, marked), schema).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     grams = staged(often.select("lang", "phrase", "n").unionAll(longer).withColumn("size", F.size(F.split("phrase", " "))), "phrases")
-    frequent.destroy()
-    pairs.destroy()
+    for sent_ in filter(None, (frequent, pairs, marked)):
+        sent_.destroy()
     return grams, words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 

@@ -83,6 +83,31 @@ def test_parts_of_a_long_text_count_like_the_whole(monkeypatch, chunk):
     assert counted() == (whole, pairs) and pairs == sum(n for p, n in whole.items() if p.count(" ") == 1)
 
 
+@pytest.mark.parametrize("least", [20, 300])
+def test_rare_runs_of_frequent_pairs_make_no_rows(least):
+    r = random.Random(7)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(25)], k=40)) + ". new york city hall is" for _ in range(900)]
+    parts = [[pa.RecordBatch.from_arrays([pa.array(["en"] * 100), pa.array(texts[i : i + 100])], names=["lang", "text"])] for i in range(0, 900, 100)]
+    every = SimpleNamespace(value=np.full(collocations.MIN_BITS // 8, 255, np.uint8))
+    slots = 1 << 18
+
+    def counted(marked):
+        out, rows = Counter(), 0
+        for part in parts:
+            for b in collocations._phrases(iter(part), every, every, 5, marked):
+                rows += b.num_rows
+                out.update(dict(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)))
+        return {p: n for p, n in out.items() if n >= least}, rows
+
+    tallies = [b for part in parts for b in collocations._slotted(iter(part), every, every, 5, slots, least)]
+    marked = np.zeros(slots // 8, np.uint8)
+    for b in collocations._full(iter(tallies), least):
+        for row in b.to_pylist():
+            marked[row["i"] * collocations.BITMAP // 8 : (row["i"] + 1) * collocations.BITMAP // 8] = np.frombuffer(row["b"], np.uint8)
+    often, few = counted(SimpleNamespace(value=marked))
+    assert (often, True) == (counted(None)[0], "new york city hall is" in often) and few * 5 < counted(None)[1]
+
+
 def test_bitmap_marks_spark_hashes(spark):
     words = [f"w{i}é" for i in range(500)]
     df = spark.createDataFrame([("en", w) for w in words], "lang string, phrase string")
