@@ -89,12 +89,15 @@ def shingles(text: Column, width: int = WORDS) -> Column:
 
 
 def musts(name: str, text: str, width: int) -> list[list[str]]:
-    """For each phrase that the template must have, its shingles (as texts) that hold the phrase whole; an SPDX line must stand whole."""
+    """For each phrase that the template must have, its shingles (as texts) that hold the phrase whole; an SPDX line must stand whole.
+
+    A phrase of more words than a shingle stands where each of its own shingles does.
+    """
     w = _words(text)
     runs = [w[i : i + width] for i in range(len(w) - width + 1)]
     if name.endswith("-spdx"):
         return [[" ".join(r)] for r in runs]
-    phrases = [_words(p) for p in MUST.get(name, [])]
+    phrases = [p[i : i + width] for p in map(_words, MUST.get(name, [])) for i in range(max(1, len(p) - width + 1))]
     return [[" ".join(r) for r in runs if any(r[i : i + len(p)] == p for i in range(width - len(p) + 1))] for p in phrases]
 
 

@@ -201,6 +201,14 @@ def test_licenses_against_exact_containment(spark):
     assert licenses.scan(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_a_phrase_longer_than_a_shingle_has_to_stand(spark):
+    """At 22 of 27 shingles a header of another version is no GPL-2.0-only."""
+    text = licenses.TEMPLATES["GPL-2.0-only"]
+    got = licenses.scan(frame(spark, [text, text.replace("version 2", "version 3")]), {"GPL-2.0-only": text}).collect()
+    assert [(x["doc_id"], x["license"], x["containment"]) for x in got] == [(0, "GPL-2.0-only", 1.0)]
+    assert all(g for name, t in licenses.TEMPLATES.items() for g in licenses.musts(name, t, 5))
+
+
 def test_short_notices_and_more_licenses(spark):
     pad = " ".join(f"w{i}" for i in range(90))
     texts = ["All rights reserved.", f"{pad}\nALL RIGHTS  RESERVED\n{pad}", "all rights are reserved", f"# SPDX-License-Identifier: MIT\n{pad}", "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later", f"{pad} CC0 1.0 Universal", None, "reserved all rights"]
