@@ -16,15 +16,16 @@ from .reliability import query
 
 
 def parsed(df: DataFrame, value, schema: str) -> DataFrame:
-    return df.select(F.from_json(value, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    """Records of JSON; texts of any length (the parser would stop at 20 million characters)."""
+    return df.select(F.from_json(value, schema, {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}).alias("r")).select("r.*")
 
 
 @query("src01_src04_corpus_reader", "SELECT cast(doc_id AS string) AS id, text, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE source END AS source FROM documents")
 def _(s, d):
-    """JSON lines with text under any of its names."""
-    k, t = F.col("doc_id") % 3, F.col("text")
-    j = F.to_json(F.struct(F.when(k != 1, F.col("doc_id").cast("string")).alias("id"), F.when(k == 1, F.col("doc_id").cast("string")).alias("doc_id"), F.when(k == 0, t).when(k == 1, "").alias("text"), F.when(k == 1, t).alias("content"), F.when(k == 2, t).alias("document"), F.when(k != 0, F.col("source")).alias("source")))
-    return S.corpus_documents(parsed(table(s, d, "documents"), j, S.DOCUMENT))
+    """JSON lines with text under any of its names; empty and null texts stay, under any id or none."""
+    k, t = F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(2)), F.col("text")
+    j = F.to_json(F.struct(F.when(k != 1, F.col("doc_id").cast("string")).alias("id"), F.when(k == 1, F.col("doc_id").cast("string")).alias("doc_id"), F.when(k == 0, t).when((k == 1) & t.isNotNull(), "").alias("text"), F.when(k == 1, t).alias("content"), F.when(k == 2, t).alias("document"), F.when(k != 0, F.col("source")).alias("source")))
+    return S.corpus_documents(parsed(table(s, d, "documents"), j, S.DOCUMENT), required=False)
 
 
 @query("src03_benchmark_reader", "SELECT cast(item_id AS string) AS id, text AS prompt, cast(NULL AS string) AS answer, cast(NULL AS string) AS parent_id, 'original' AS variant_type FROM benchmark")

@@ -60,8 +60,11 @@ def benchmark_items(raw: DataFrame, more: list[str] | None = None) -> DataFrame:
     return raw.select(first_of("id", "uid").alias("id"), _required(first_of("prompt", "question", "input"), "a prompt").alias("prompt"), "answer", "parent_id", F.coalesce("variant_type", F.lit("original")).alias("variant_type"), *(more or []))
 
 
-def corpus_documents(raw: DataFrame) -> DataFrame:
-    return raw.select(first_of("id", "doc_id").alias("id"), _required(first_of("text", "content", "document"), "a text").alias("text"), F.coalesce("source", F.lit("unknown")).alias("source"))
+def corpus_documents(raw: DataFrame, required: bool = True) -> DataFrame:
+    """id, text, source: the first text that is not empty, else the empty one. A record without any raises, or has null if none is required."""
+    names = ("text", "content", "document")
+    text = F.coalesce(first_of(*names), *names)
+    return raw.select(first_of("id", "doc_id").alias("id"), (_required(text, "a text") if required else text).alias("text"), F.coalesce("source", F.lit("unknown")).alias("source"))
 
 
 #: Fields that stand in for a missing text, in order.

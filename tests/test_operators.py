@@ -298,6 +298,14 @@ def test_readers(spark, tmp_path):
     assert records.read_lines(spark, str(tmp_path), records.ITEM, strict=False).count() == 2
 
 
+def test_corpus_records_without_a_text(spark):
+    raw = spark.createDataFrame([("1", "", "c"), ("2", "", None), ("3", None, None)], "id string, text string, content string").selectExpr("*", "cast(null as string) doc_id", "cast(null as string) document", "cast(null as string) source")
+    assert [r["text"] for r in records.corpus_documents(raw, required=False).orderBy("id").collect()] == ["c", "", None]
+    assert [r["text"] for r in records.corpus_documents(raw.where("id < 3")).orderBy("id").collect()] == ["c", ""]
+    with pytest.raises(Exception, match="without a text"):
+        records.corpus_documents(raw).collect()
+
+
 def test_stream_scan_equals_the_table_scan(spark, tmp_path):
     items = spark.createDataFrame([("i", words("w", 20))], "id string, prompt string")
     for k in range(3):

@@ -40,3 +40,17 @@ def test_against_sql(spark, name):
 def test_every_query_has_a_callable_and_names_are_unique():
     q, s = catalog.queries(), catalog.oracle_sql()
     assert len(q) > 150 and set(s) <= set(q) and all(map(callable, q.values()))
+
+
+def test_corpus_reader_on_odd_documents(spark, tmp_path):
+    """Empty, null and very long texts, ids below zero and none: rows as SQL has them, no error."""
+    rows = [(i, t, "web") for i, t in enumerate(["", "", "", None, None, None, "  ", "a"])] + [(-i, f"n{i}", "web") for i in range(1, 4)] + [(None, "no id", "web"), (None, None, "web")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.unionAll(spark.range(8, 11).selectExpr("id", "repeat('long ', 4200000)", "'web'"))  # over 20 million characters
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    name = "src01_src04_corpus_reader"
+    want = con.execute(f"SELECT id, md5(text), source FROM ({catalog.oracle_sql()[name]})").fetchall()
+    got = [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).selectExpr("id", "md5(cast(text as binary))", "source").collect()]
+    assert len(want) == 16 and sorted(got, key=str) == sorted(want, key=str)
