@@ -49,7 +49,7 @@ def neighbours(items: DataFrame, docs: DataFrame, k: int, dims: int) -> DataFram
     """item, doc, cosine, overlap, label: nearest documents by embedding, reranked by their share of the item's grams."""
     q, x = embedded(items, "prompt", dims), embedded(docs, "text", dims)
     near = vectors.top_k(q, x, k).join(q.select(F.col("id").alias("query"), F.col("name").alias("item")), "query").join(x.select(F.col("id").alias("neighbor"), F.col("name").alias("doc")), "neighbor")
-    shared = containment.matches(containment.grams(items, "prompt"), docs).select("item", "doc", (F.col("n_shared") / F.col("n_grams")).alias("overlap"))
+    shared = containment.matches(containment.grams(items, "prompt"), docs, short=True).select("item", "doc", (F.col("n_shared") / F.col("n_grams")).alias("overlap"))
     near = near.join(shared, ["item", "doc"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
     return near.select("item", "doc", "cosine", "overlap", workflow.R.contamination_label(F.col("cosine"), F.col("overlap")).alias("label"))
 

@@ -3,7 +3,8 @@
 Items are the small side. While they have BROADCAST distinct grams at most, their hashes go to all tasks as a sorted array behind a table
 of their high bits, and documents are read once: words are hashed (a cache knows most), a gram's hash is rolled over its words' hashes for
 a block of documents at a time, and only grams whose hash is in the array are put together as text and joined with the items' own. Beyond
-that the hashes of all grams are rows and the join is left to the planner, which shuffles both sides by gram.
+that the hashes of all grams are rows and the join is left to the planner, which shuffles both sides by gram. Both ways find the same
+rows; a text under n words is one gram in both.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ def grams(df: DataFrame, text: str, n: int = 13, plain: bool = False, short: boo
 
 
 def _gram_hashes(words: Column, n: int) -> Column:
-    """One long for each n words in a row, from the words' own hashes; fewer words: none."""
+    """One long for each n words in a row, from the words' own hashes; fewer words: one for all of them."""
     def slide(h: Column) -> Column:
-        return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        runs = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))
+        return F.when(F.size(h) >= n, runs).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
     return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), slide)[0]
 
@@ -114,11 +116,12 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64))], names=["h"])
 
 
-def _met(items: DataFrame, docs: DataFrame, n: int, plain: bool) -> DataFrame:
-    """item, n_grams, gram, doc of each document (id, text) where a gram of the items (id, g) stands; rows may repeat."""
+def _met(items: DataFrame, docs: DataFrame, n: int, plain: bool, short: bool = True) -> DataFrame:
+    """item, n_grams, gram, doc of each document (id, text) where a gram of the items (id, g) stands; rows may repeat. short: as in matches()."""
     own = items.select(F.explode("g").alias("gram")).distinct()
     if own.limit(BROADCAST + 1).count() > BROADCAST:
-        return _met_shuffled(items, docs, n, plain)
+        found = _met_shuffled(items, docs, n, plain)
+        return found if short else found.where(F.size(F.split("gram", " ")) >= n)
     return hits(items, docs, n, plain).drop("place")
 
 
@@ -138,27 +141,32 @@ def hits(items: DataFrame, docs: DataFrame, n: int = 13, plain: bool = False) ->
 
 
 def _met_shuffled(items: DataFrame, docs: DataFrame, n: int, plain: bool) -> DataFrame:
-    """_met() for any number of items' grams: all grams of the documents meet them in a shuffle; runs of n words only."""
+    """_met() for any number of items' grams: all grams of the documents meet them in a shuffle."""
     left = items.select(F.col("id").alias("item"), F.size("g").alias("n_grams"), F.explode("g").alias("own"))
     left = left.withColumn("k", F.get(_gram_hashes(F.split("own", " "), n), 0)).where("k is not null")
     words = plain_tokens(F.col("text")) if plain else tokens(F.col("text"))
-    right = docs.select(F.col("id").alias("doc"), F.posexplode(_gram_hashes(words, n)).alias("at", "k"))
+    doc = F.struct("id").alias("doc")  # meets itself without an id, too
+    right = docs.select(doc, F.posexplode(_gram_hashes(words, n)).alias("at", "k"))
     # Longs alone are held against the items; words are put together again for the few documents in which some met.
     hit = staged(right.join(_few(left), "k").select("item", "n_grams", "own", "doc", "at"), "grams-met")
     gram = F.array_join(F.slice("w", F.col("at") + 1, n), " ")
-    whole = docs.select(F.col("id").alias("doc"), "text").join(hit.select("doc").distinct(), "doc", "left_semi").select("doc", words.alias("w"))
-    return hit.join(whole, "doc").where(gram == F.col("own")).select("item", "n_grams", F.col("own").alias("gram"), "doc")
+    whole = docs.select(doc, "text").join(hit.select("doc").distinct(), "doc", "left_semi").select("doc", words.alias("w"))
+    return hit.join(whole, "doc").where(gram == F.col("own")).select("item", "n_grams", F.col("own").alias("gram"), F.col("doc.id").alias("doc"))
 
 
-def matches(items: DataFrame, docs: DataFrame, n: int = 13, plain: bool = False) -> DataFrame:
-    """item, doc, n_grams, n_shared of each item (id, g: its distinct grams) and document (id, text) with a gram of n words in common."""
-    return _met(items, docs, n, plain).distinct().groupBy("item", "doc", "n_grams").agg(F.count(F.lit(1)).alias("n_shared"))
+def matches(items: DataFrame, docs: DataFrame, n: int = 13, plain: bool = False, short: bool = False) -> DataFrame:
+    """item, doc, n_grams, n_shared of each item (id, g: its distinct grams) and document (id, text) with a gram of n words in common.
+
+    short: items under n words, one gram each, are met whatever the number of grams. Not so without it, beyond BROADCAST distinct grams; every
+    query asks for it.
+    """
+    return _met(items, docs, n, plain, short).distinct().groupBy("item", "doc", "n_grams").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def containment_max(items: DataFrame, docs: DataFrame, n: int = 13) -> DataFrame:
     """Per-document maximum: item, n_grams, n_matched, containment, verdict; items without a match have 0."""
     own = grams(items, "prompt", n)
-    best = matches(own, docs, n).groupBy("item").agg(F.max("n_shared").alias("n_matched"))
+    best = matches(own, docs, n, short=True).groupBy("item").agg(F.max("n_shared").alias("n_matched"))
     return _verdicts(own, best)
 
 
@@ -334,7 +342,7 @@ def _looked_up(items: DataFrame, docs: DataFrame) -> DataFrame:
 
 def route_attribution(items: DataFrame, docs: DataFrame, threshold: float = 0.8, n: int = 13) -> DataFrame:
     """source, item_set, n_items, share, n_rows: distinct items of each set that a source's documents hold at the threshold."""
-    hit = matches(grams(items, "prompt", n), docs, n).where(F.col("n_shared") / F.col("n_grams") >= threshold)
+    hit = matches(grams(items, "prompt", n), docs, n, short=True).where(F.col("n_shared") / F.col("n_grams") >= threshold)
     sets = items.select(F.col("id").alias("item"), "item_set")
     per = hit.join(sets, "item").join(docs.select(F.col("id").alias("doc"), "source"), "doc").groupBy("source", "item_set").agg(F.count_distinct("item").alias("n_items"))
     sizes, rows = sets.groupBy("item_set").agg(F.count(F.lit(1)).alias("n")), docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))

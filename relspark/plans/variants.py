@@ -141,7 +141,7 @@ def _(s, d):
     """Hashed halves of the items injected or held out, beside filler that holds none of their grams."""
     i = items(s, d).withColumn("held", A.hashed(F.lit("6198"), F.col("id"), F.lit("mix")) % 2 == 0)
     x = docs(s, d).where(F.length("text") >= 200)
-    hit = C.matches(C.grams(i, "prompt"), x).select(F.col("doc").alias("id")).distinct()
+    hit = C.matches(C.grams(i, "prompt"), x, short=True).select(F.col("doc").alias("id")).distinct()
     filler = x.join(hit, "id", "left_anti").select("id", F.lit("filler").alias("role"))
     return i.select("id", F.when(F.col("held"), "held_out").otherwise("injected").alias("role")).unionByName(filler)
 

@@ -25,7 +25,7 @@ def scan_stream(stream: DataFrame, items: DataFrame, out: str, checkpoint: str,
     own = grams(items, "prompt", n)
 
     def each(batch: DataFrame, number: int) -> None:
-        matches(own, batch, n).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        matches(own, batch, n, short=True).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -54,3 +54,29 @@ def test_corpus_reader_on_odd_documents(spark, tmp_path):
     want = con.execute(f"SELECT id, md5(text), source FROM ({catalog.oracle_sql()[name]})").fetchall()
     got = [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).selectExpr("id", "md5(cast(text as binary))", "source").collect()]
     assert len(want) == 16 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_route_attribution_at_any_number_of_grams(spark, tmp_path, monkeypatch):
+    """Items and documents under 13 words, and documents without an id: the same rows on both sides of the bound on broadcast grams."""
+    from relspark.operators import containment as C
+
+    def words(a, n):
+        return " ".join(f"{a}{i}" for i in range(n))
+
+    items = [(0, "two words"), (1, words("a", 12)), (2, words("b", 13)), (3, words("c", 40)), (4, ""), (5, None), (6, "one"), (7, "Two, WORDS!"), (8, "...")]
+    docs = [(0, "Two words.", "x"), (1, words("a", 12), "x"), (2, words("b", 13), "y"), (3, f"pre {words('c', 36)} post", "y"), (4, "", "z"), (5, None, "z"), (6, "One", "z"), (7, words("a", 13), "z")]
+    docs += [(None, "one", "n"), (None, words("c", 40), "n")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    name = "agg17_route_attribution"
+    want = sorted(con.execute(f"SELECT source, item_set, n_items, n_rows FROM ({catalog.oracle_sql()[name]})").fetchall())
+    assert want == [("x", "set0", 1, 2), ("x", "set1", 2, 2), ("y", "set0", 1, 2), ("y", "set2", 1, 2), ("z", "set0", 1, 4)]
+    held = []
+    for most in (C.BROADCAST, 2):
+        monkeypatch.setattr(C, "BROADCAST", most)
+        assert sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).select("source", "item_set", "n_items", "n_rows").collect()) == want
+        held.append(sorted(tuple(r) for r in catalog.queries()["con04_containment_max"](spark, str(tmp_path)).select("item", "n_grams", "n_matched").collect()))
+    assert held[0] == held[1] and ("3", 28, 28) in held[1]
